@@ -42,7 +42,7 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 _OP1 = f"""
 WITH t AS (SELECT doc_id, {_WORDS} AS w, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS lines FROM documents),
 phrase(p, label) AS (VALUES {", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES.items())}),
-spot AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), i -> w[i + 1 : i + len(p)] = p)) AS i FROM t, phrase),
+spot AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS i FROM t, phrase),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM spot GROUP BY doc_id),
 template(label, words) AS (VALUES {", ".join(f"('{label}', {sorted(set(x.split()))!r})" for label, x in licenses.TEMPLATES)}),
 line AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(lines), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS words FROM t),
