@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from .shared import LOWER_BYTES, span_hashes, stored, text_groups, word_spans
 
 #: Bytes of context of the longest order, and the symbol that ends a text (no byte of UTF-8).
-ORDER = 4
+ORDER = 5
 END = 255
 #: Entries of the trie's longest order that one pass over the texts holds; a larger trie is scored in several passes.
-PASS_ENTRIES = 4_000_000
+PASS_ENTRIES = 3_000_000
 #: Words whose counts are sent to all workers (the most frequent ones); the others are looked up by a join.
 HOT_WORDS = 1 << 20
 
@@ -105,7 +105,7 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys
-        bits = max(4, int(len(keys) * 4).bit_length())
+        bits = max(4, int(len(keys) * 2).bit_length())
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.slots = np.full(1 << bits, -1, np.int32)
         rest, step = np.arange(len(keys)), 0
@@ -157,7 +157,7 @@ class Trie:
             n = np.add.reduceat(c, first) if len(grams) else c
             q = np.diff(np.append(first, len(grams)))
             self.grams[k], self.contexts[k] = Lookup(grams), Lookup(grams[first] >> 8)
-            self.log_c[k] = np.log10(c)
+            self.log_c[k] = np.log10(c).astype(np.float32)
             self.log_p[k] = (self.log_c[k] - np.log10(np.repeat(n + q, q))).astype(np.float32)
             self.escape[k] = np.log10(q / np.maximum(n + q, 1))
             if k:  # what is left at the next shorter context once this one's symbols are out

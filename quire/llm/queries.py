@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, decontamination, lexicon, licenses, ppm, quality, sharding, simhash, wrappers
+from . import bitplanes, decontamination, lexicon, licenses, linededup, ppm, quality, sharding, simhash, wrappers
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,6 +29,12 @@ def op2_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplanes.read_documents(spark, path, docs.schema["doc_id"].dataType.simpleString())
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.line_dedup(_read(spark, sf_dir, "documents"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return out.select("doc_id", "n_lines", "n_removed", F.array_join("removed", ",").alias("removed_lines"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -70,7 +76,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_license_scan, op2_token_output, op4_simhash, op5_lm_score, op6_sharding, op7_main_text, op8_bpe_round_trip, op9_quality, op10_decontamination,
+        op1_license_scan, op2_token_output, op3_line_dedup, op4_simhash, op5_lm_score, op6_sharding, op7_main_text, op8_bpe_round_trip, op9_quality, op10_decontamination,
     )
 }
 
