@@ -194,3 +194,22 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_row
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return counts.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, score double, kept boolean")
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_rows: int = 20_000) -> DataFrame:
+    """The rows of docs(doc_id, text, ...) that quality() keeps, with all their columns.
+
+    Statistics of the labelled sample train the trees; then each row is decided where it is read, so no text is shuffled.
+    """
+    chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
+    model = train(stored(document_statistics(docs.join(F.broadcast(chosen), "doc_id", "left_semi")), "statistics"), labels, most_rows)
+
+    def run(batches):
+        for b in batches:
+            data, offsets = text_buffer(b.column("text"))
+            rows = np.array([statistics(data[s:e]) for s, e in zip(offsets[:-1], offsets[1:])], dtype=np.int64).reshape(-1, len(COUNTS))
+            c = {name: rows[:, i].astype(np.float64) for i, name in enumerate(COUNTS)}
+            failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
+            yield b.filter(pa.array(~failed & (model.score(features(c)) >= threshold)))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -46,6 +46,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """df without the rows whose column is among ids(column), null being a value; ids are broadcast if they take
+    BROADCAST_BYTES at most, else both sides are shuffled."""
+    ids = stored(ids.select(F.col(column).alias("__id")).distinct(), "ids")
+    if ids.count() * 32 <= BROADCAST_BYTES:
+        ids = F.broadcast(ids)
+    return df.join(ids, df[column].eqNullSafe(F.col("__id")), "left_anti")
+
+
 def lower_ascii(column):
     """A-Z to a-z; other letters stay (lower() would change them too)."""
     return F.translate(column, UPPER, LOWER)
