@@ -19,7 +19,7 @@ from .pieces import Cache, binary_array, gather, ids_of_spans, spaced_starts
 from .shared import text_groups
 
 #: White space of the pre-tokenizer's pattern (fixed values).
-_WIDE = r"\x85\xa0  -     　"
+_WIDE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _SPACE = r"\t-\r " + _WIDE
 _PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Texts with white space beyond ASCII aren't cut at blanks first.
