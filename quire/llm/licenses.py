@@ -112,7 +112,8 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score of every row of docs(doc_id, text).
 
     Base: places of PHRASES, word by word, in the whole text; words are runs of digits, a-z and characters beyond ASCII
-    after lower-casing A-Z. labels adds those of templates that a line of the text contains (template_matches). score
+    after lower-casing A-Z. labels adds those of templates that a line of the text contains (template_matches), unless the
+    line also contains a template with all their words and more (CC BY in CC BY-NC). score
     is the largest containment found; a place of a phrase counts as 1. Both label columns are distinct, sorted and
     comma-joined, empty if none.
 
@@ -121,7 +122,11 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     a few numbers each; texts never are.
     """
     rows = keyed(docs.select("doc_id", "text"), "doc_id", "text")
-    matched = template_matches(rows, templates, containment).groupBy("__key").agg(F.collect_set("label").alias("found"), F.max("containment").alias("best"))
+    wider = [[j for j, (_, y) in enumerate(templates) if set(x.split()) < set(y.split())] for _, x in templates]
+    matched = template_matches(rows, templates, containment).groupBy("__key", "block").agg(F.collect_list(F.struct("template", "label", "containment")).alias("met"))
+    ids = F.transform("met", lambda m: m["template"])
+    narrow = F.filter("met", lambda m: ~F.arrays_overlap(ids, F.element_at(F.array(*[F.array(*map(F.lit, w)).cast("array<int>") for w in wider]), m["template"] + 1)))
+    matched = matched.select("__key", F.explode(narrow).alias("m")).groupBy("__key").agg(F.collect_set("m.label").alias("found"), F.max("m.containment").alias("best"))
     base = rows.select("doc_id", "__key", _words(_clean(F.col("text"))).alias("words"))
     spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     base = base.select("doc_id", "__key", F.size("words").cast("long").alias("n_words"), F.when(spaced.rlike(f" ({'|'.join(PHRASES)}) "), F.col("words")).alias("words"))

@@ -88,9 +88,10 @@ phrase(p, label) AS (VALUES {", ".join(f"({p.split()!r}, '{label}')" for p, labe
 spot AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS i FROM t, phrase),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM spot GROUP BY doc_id),
 template(label, words) AS (VALUES {", ".join(f"('{label}', {sorted(set(x.split()))!r})" for label, x in licenses.TEMPLATES)}),
-line AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(lines), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS words FROM t),
-met AS (SELECT doc_id, label, len(list_intersect(line.words, template.words)) / len(template.words) AS c FROM line, template WHERE len(list_intersect(line.words, template.words)) >= ceil({licenses.CONTAINMENT} * len(template.words) - 1e-9)),
-own AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(c) AS best FROM met GROUP BY doc_id)
+line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS block FROM t),
+met AS (SELECT doc_id, block, label, t.words AS words, len(list_intersect(l.words, t.words)) / len(t.words) AS c FROM (SELECT doc_id, block, list_distinct(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS words FROM line) l, template t WHERE len(list_intersect(l.words, t.words)) >= ceil({licenses.CONTAINMENT} * len(t.words) - 1e-9)),
+narrow AS (SELECT * FROM met a WHERE NOT EXISTS (SELECT 1 FROM met b WHERE a.doc_id = b.doc_id AND a.block = b.block AND len(a.words) < len(b.words) AND list_has_all(b.words, a.words))),
+own AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(c) AS best FROM narrow GROUP BY doc_id)
 SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels,
