@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import latex, style
@@ -133,3 +134,91 @@ def f22_horizontal_merges(spark, sf_dir):
 def e11_first_pages(spark, sf_dir):
     """The first page that matches."""
     return matching.first_pages(_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page"), "text"), "(?i)th")
+
+
+@query(
+    """WITH r AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, o_orderstatus AS status, o_totalprice AS price FROM orders), s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE status WHEN 'F' THEN 0 WHEN 'P' THEN 1 ELSE 2 END, ord) AS n FROM r)
+SELECT doc_id, n AS step, ord FROM s WHERE n <= 5"""
+)
+def i10_repair_actions(spark, sf_dir):
+    """The first five of each group, errors first, then warnings, then the rest."""
+    t = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), "o_orderstatus")
+    rank = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "P", 1).otherwise(2)
+    return t.withColumn("step", F.row_number().over(Window.partitionBy("doc_id").orderBy(rank, "ord"))).where("step <= 5").select("doc_id", "step", "ord")
+
+
+@query(
+    """SELECT s_suppkey AS doc_id, s_suppkey * 3 % 80 + 1 AS n_pages, array_to_string(list_sort(list_distinct(list_filter([1, 2, 4, 3, (s_suppkey * 3 % 80 + 2) // 2, s_suppkey * 3 % 80 + 1], lambda p: p >= 1 AND p <= s_suppkey * 3 % 80 + 1))), ',') AS pages FROM supplier"""
+)
+def i09_sample_pages(spark, sf_dir):
+    """A sample of pages by priority: the first, contents, body, third, middle and last, ascending, eight at most."""
+    n = F.col("s_suppkey") * 3 % 80 + 1
+    wanted = F.array(F.lit(1), F.lit(2), F.lit(4), F.lit(3), F.floor((n + 1) / 2), n)
+    pages = F.slice(F.array_distinct(F.filter(wanted, lambda p: (p >= 1) & (p <= n))), 1, 8)
+    return _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), n.alias("n_pages"), F.array_join(F.array_sort(pages).cast("array<string>"), ",").alias("pages"))
+
+
+@query(
+    """SELECT l_orderkey AS doc_id, l_linenumber AS word, l_partkey AS part, greatest(0.5, least(6, round_even(l_quantity / 10, 2))) AS margin, abs(l_quantity - l_linenumber * 7) > 4 AS off, l_quantity > l_linenumber AND l_linenumber > 0 AS landscape FROM lineitem"""
+)
+def g32_k15_page_checks(spark, sf_dir):
+    """Margins held within bounds, sizes off by more than the tolerance, landscape pages."""
+    q, n = F.col("l_quantity"), F.col("l_linenumber")
+    margin = F.greatest(F.lit(0.5), F.least(F.lit(6.0), F.bround(q / 10, 2)))
+    return _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), n.alias("word"), F.col("l_partkey").alias("part"), margin.alias("margin"), (F.abs(q - n * 7) > 4).alias("off"), ((q > n) & (n > 0)).alias("landscape"))
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS doc_id, o_orderkey AS run, floor(o_totalprice / 1000)::BIGINT AS chars, o_orderkey % 5 AS images FROM orders) SELECT doc_id, arg_max(run, chars * 1000000000000 + images * 100000000000 - run) AS run, max(chars) AS chars FROM s GROUP BY 1"""
+)
+def g36_best_result(spark, sf_dir):
+    """The best of several extractions by a lexicographic score, the first of equals."""
+    t = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("run"), F.floor(F.col("o_totalprice") / 1000).alias("chars"), (F.col("o_orderkey") % 5).alias("images"))
+    return t.groupBy("doc_id").agg(F.max_by("run", F.struct("chars", "images", -F.col("run"))).alias("run"), F.max("chars").alias("chars"))
+
+
+@query(
+    """WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, CASE WHEN o_orderkey % 4 = 0 THEN 'Abstract' WHEN o_orderkey % 4 = 1 THEN 'Keywords' ELSE 'x' END AS label FROM orders), w AS (SELECT doc_id, ord, string_agg(label, ' ') OVER (PARTITION BY doc_id ORDER BY ord ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS s FROM t)
+SELECT doc_id, min(ord) AS split_at FROM w WHERE contains(s, 'Abstract') AND contains(s, 'Keywords') GROUP BY 1"""
+)
+def h29_late_front_matter(spark, sf_dir):
+    """Where front matter begins among references: the first row whose four rows hold both labels."""
+    k = F.col("o_orderkey") % 4
+    t = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), F.when(k == 0, "Abstract").when(k == 1, "Keywords").otherwise("x").alias("label"))
+    ahead = F.array_join(F.collect_list("label").over(Window.partitionBy("doc_id").orderBy("ord").rowsBetween(0, 3)), " ")
+    return t.withColumn("s", ahead).where(F.col("s").contains("Abstract") & F.col("s").contains("Keywords")).groupBy("doc_id").agg(F.min("ord").alias("split_at"))
+
+
+@query(
+    """WITH t AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, CASE WHEN o_orderkey % 6 = 0 THEN o_orderkey % 9 + 1 END AS chapter, o_orderkey % 6 <> 0 AS formula, o_orderkey % 5 = 0 AS own FROM orders), c AS (SELECT *, coalesce(last_value(chapter IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ord), 0) AS ch FROM t)
+SELECT doc_id, ord, CASE WHEN own THEN 'own' ELSE CASE WHEN ch = 0 THEN '' ELSE ch || '-' END || sum((NOT own)::INT) OVER (PARTITION BY doc_id, ch ORDER BY ord) END AS label FROM c WHERE formula"""
+)
+def h28_h33_formula_labels(spark, sf_dir):
+    """Formula numbers by chapter; formulas with a number of their own don't count, chapter 0 has no prefix."""
+    o = F.col("o_orderkey")
+    t = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), o.alias("ord"), F.when(o % 6 == 0, o % 9 + 1).alias("chapter"), (o % 5 == 0).alias("own"))
+    order = Window.partitionBy("doc_id").orderBy("ord")
+    t = t.withColumn("ch", F.coalesce(F.last("chapter", ignorenulls=True).over(order), F.lit(0))).where("ord % 6 <> 0")
+    number = F.sum((~F.col("own")).cast("int")).over(Window.partitionBy("doc_id", "ch").orderBy("ord"))
+    prefix = F.when(F.col("ch") == 0, "").otherwise(F.concat(F.col("ch").cast("string"), F.lit("-")))
+    return t.select("doc_id", "ord", F.when(F.col("own"), "own").otherwise(F.concat(prefix, number.cast("string"))).alias("label"))
+
+
+@query("""SELECT p_partkey AS id, p_size > 0 AND (p_size * 4 > 160) AS wide, (p_size * 4 < 160 AND p_size < 45 AND 4.0 >= 2.4) OR (p_size < 80) AS fragment FROM part WHERE p_size > 0""")
+def d46_d67_image_fragments(spark, sf_dir):
+    """Pictures as small and flat as scraps of text."""
+    from ..functions import structure
+
+    t = _table(spark, sf_dir, "part").where("p_size > 0")
+    return t.select(F.col("p_partkey").alias("id"), (F.col("p_size") * 4 > 160).alias("wide"), structure.is_image_fragment(F.col("p_size") * 4, F.col("p_size"), F.lit("")).alias("fragment"))
+
+
+@query(
+    """WITH f AS (SELECT o_custkey AS doc_id, o_orderkey AS ord, o_orderstatus AS role FROM orders), g AS (SELECT doc_id, role, list(ord ORDER BY ord)[1:6] AS l, count(*) AS n FROM f GROUP BY ALL HAVING count(*) > 1) SELECT doc_id, role, n, array_to_string(l, ',') AS places FROM g"""
+)
+def h04_duplicate_roles(spark, sf_dir):
+    """Roles that occur more than once, with their first six places."""
+    t = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ord"), F.col("o_orderstatus").alias("role"))
+    nth = t.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "role").orderBy("ord")))
+    g = nth.groupBy("doc_id", "role").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("nth") <= 6, F.col("ord")))).alias("l")).where("n > 1")
+    return g.select("doc_id", "role", "n", F.array_join(F.col("l").cast("array<string>"), ",").alias("places"))
