@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import latex, style
-from ..operators import matching
+from ..operators import checks, matching
 from ..sources.corpora import corpus
 from .queries import _table, query
 
@@ -222,3 +222,74 @@ def h04_duplicate_roles(spark, sf_dir):
     nth = t.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "role").orderBy("ord")))
     g = nth.groupBy("doc_id", "role").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("nth") <= 6, F.col("ord")))).alias("l")).where("n > 1")
     return g.select("doc_id", "role", "n", F.array_join(F.col("l").cast("array<string>"), ",").alias("places"))
+
+
+@query(
+    """SELECT o_orderkey AS doc_id, code, severity, detail FROM (SELECT o_orderkey, 'TEXT_LOSS' AS code, 'error' AS severity, floor(o_totalprice)::BIGINT::VARCHAR AS detail FROM orders WHERE o_totalprice > 200 AND o_custkey * 1000 < 0.6 * o_totalprice
+UNION ALL SELECT o_orderkey, 'PLACEHOLDER_REMAINS', 'error', o_orderpriority FROM orders WHERE contains(o_orderpriority, 'NOT') UNION ALL SELECT o_orderkey, 'NO_STATUS', 'warning', o_orderstatus FROM orders WHERE o_orderstatus = 'P')"""
+)
+def k11_content_rules(spark, sf_dir):
+    """Rules held against rows in one pass."""
+    rules = [
+        ("TEXT_LOSS", "error", (F.col("o_totalprice") > 200) & (F.col("o_custkey") * 1000 < 0.6 * F.col("o_totalprice")), F.floor("o_totalprice")),
+        ("PLACEHOLDER_REMAINS", "error", F.col("o_orderpriority").contains("NOT"), F.col("o_orderpriority")),
+        ("NO_STATUS", "warning", F.col("o_orderstatus") == "P", F.col("o_orderstatus")),
+    ]
+    return checks.apply_rules(_table(spark, sf_dir, "orders").withColumn("doc_id", F.col("o_orderkey")), ["doc_id"], rules)
+
+
+@query(
+    """SELECT c_custkey AS id, 'nation' AS field, c_nationkey::VARCHAR AS expected, CASE WHEN c_custkey % 7 <> 0 THEN (c_nationkey + 1)::VARCHAR END AS actual FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 5 = 0
+UNION ALL SELECT c_custkey, 'segment', c_mktsegment, NULL FROM customer WHERE c_custkey % 7 = 0"""
+)
+def e10_golden_compare(spark, sf_dir):
+    """Differences from a baseline."""
+    t = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment"))
+    now = t.where("id % 7 <> 0").withColumn("nation", F.when(F.col("id") % 5 == 0, F.col("nation") + 1).otherwise(F.col("nation")))
+    return checks.compare(t, now, "id", ["nation", "segment"])
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS doc_id, o_orderkey % 3 AS chapter, o_orderkey AS ord, CASE WHEN o_custkey % 4 > 0 OR o_orderkey % 5 > 0 THEN o_orderkey % 7 END AS number FROM orders), l AS (SELECT *, lag(number) OVER (PARTITION BY doc_id, chapter ORDER BY ord) AS p FROM s),
+g AS (SELECT *, min((number IS NOT NULL)::INT) OVER w AS a, max((coalesce(number < p, false))::INT) OVER w AS b FROM l WINDOW w AS (PARTITION BY doc_id, chapter)) SELECT doc_id, chapter, ord, row_number() OVER (PARTITION BY doc_id, chapter ORDER BY CASE WHEN a * b = 1 THEN number ELSE 0 END, ord) AS place FROM g"""
+)
+def i02_section_order(spark, sf_dir):
+    """Sections put in the order of their numbers where that is safe."""
+    o = F.col("o_orderkey")
+    number = F.when((F.col("o_custkey") % 4 > 0) | (o % 5 > 0), o % 7)
+    return checks.sorted_where_numbered(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), (o % 3).alias("chapter"), o.alias("ord"), number.alias("number")))
+
+
+@query(
+    """WITH w AS (SELECT conv_id AS doc_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '')[1:5] AS l FROM conversations) SELECT doc_id, 1 AS page, turn AS line, array_to_string(l, ' ') AS text, 10.0 AS x_min, (len(l) - 1) * 40.0 + 45 AS x_max, 10.0 AS size FROM w WHERE len(l) > 0"""
+)
+def f26_word_lines(spark, sf_dir):
+    """Word boxes put together as lines."""
+    t = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.posexplode(F.slice(F.filter(F.split("text", " "), lambda x: x != ""), 1, 5)).alias("i", "text"))
+    y, x = F.col("turn") * 30.0 + F.col("i") % 2, F.col("i") * 40.0
+    return checks.word_lines(t.select("doc_id", F.lit(1).alias("page"), (x + 10).alias("x_min"), (x + 45).alias("x_max"), y.alias("y_min"), (y + 10).alias("y_max"), "text"))
+
+
+@query(
+    """WITH f AS (SELECT l_orderkey AS doc_id, min(l_linenumber) AS ord, l_suppkey AS s FROM lineitem GROUP BY l_orderkey, l_suppkey) SELECT doc_id, ord, 'Box of supplier number ' || s AS text FROM f
+WHERE s % 2 = 1 OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = doc_id AND contains('see the boxofsuppliernumber' || l_suppkey || '!', 'boxofsuppliernumber' || s) AND l_suppkey % 2 = 0)"""
+)
+def e04_recovered_texts(spark, sf_dir):
+    """Texts of boxes that the body doesn't have."""
+    t = _table(spark, sf_dir, "lineitem")
+    found = t.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord"), F.concat(F.lit("Box of supplier number "), "l_suppkey").alias("text"))
+    known = t.where("l_suppkey % 2 = 0").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("see the box  of supplier number "), "l_suppkey", F.lit("!")).alias("text"))
+    out = checks.recovered(found, known)
+    return out.select("doc_id", "ord", "text")
+
+
+@query(
+    """SELECT a.s_suppkey AS id, list_filter([CASE WHEN a.s_nationkey <> b.s_nationkey THEN 'nation' END, CASE WHEN floor(a.s_acctbal / 5000) <> floor(b.s_acctbal / 5000) THEN 'balance' END], lambda x: x IS NOT NULL)[1] AS first_difference FROM supplier a JOIN supplier b ON b.s_suppkey = a.s_suppkey + 1"""
+)
+def j05_signature_diff(spark, sf_dir):
+    """In what two signatures differ first."""
+    t = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.array(F.col("s_nationkey").cast("long"), F.floor(F.col("s_acctbal") / 5000)).alias("signature"))
+    after = t.select((F.col("id") - 1).alias("id"), F.col("signature").alias("other"))
+    names = F.array(F.lit("nation"), F.lit("balance"))
+    labels = F.filter(F.zip_with(names, F.arrays_zip("signature", "other"), lambda n, z: F.when(z["signature"] != z["other"], n)), lambda x: x.isNotNull())
+    return t.join(after, "id").select("id", F.get(labels, 0).alias("first_difference"))
