@@ -30,7 +30,7 @@ def query(sql: str):
 
 
 #: The place of a line item in its order, without ties.
-_ORD = F.expr("CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey * 1000 + l_suppkey % 1000")
+_ORD = "CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey * 1000 + l_suppkey % 1000"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -340,7 +340,7 @@ SELECT doc_id, ord, text FROM e WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id
 def e02_missing_headings(spark, sf_dir):
     """Expected texts that no rendered text contains."""
     t = _table(spark, sf_dir, "lineitem")
-    expected = t.select(F.col("l_orderkey").alias("doc_id"), _ORD.alias("ord"), F.concat(F.lit("Part "), "l_partkey").alias("text"))
+    expected = t.select(F.col("l_orderkey").alias("doc_id"), F.expr(_ORD).alias("ord"), F.concat(F.lit("Part "), "l_partkey").alias("text"))
     rendered = t.where("l_linenumber % 2 = 0").select(F.col("l_orderkey").alias("doc_id"), F.concat(F.lit("the part"), "l_partkey", F.lit(" and more")).alias("text"))
     return D.missing(expected, rendered)
 
@@ -406,7 +406,7 @@ SELECT doc_id, signature, n FROM g QUALIFY row_number() OVER (PARTITION BY doc_i
 )
 def g39_majority_result(spark, sf_dir):
     """What two runs or more agree on."""
-    t = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), _ORD.alias("run"), F.concat("l_returnflag", "l_linestatus").alias("signature"))
+    t = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.expr(_ORD).alias("run"), F.concat("l_returnflag", "l_linestatus").alias("signature"))
     return reports.majority(t)
 
 
