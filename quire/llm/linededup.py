@@ -6,11 +6,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from .shared import LOWER_BYTES, mix, span_hashes, stored, text_groups, word_spans
+from .shared import BROADCAST_BYTES, LOWER_BYTES, mix, span_hashes, stored, text_groups, word_spans
 
 #: Tokens are known by 56 bits of their hash; their counts are kept by 2**BUCKET_BITS buckets of it, as a level of a byte.
-BUCKET_BITS = 22
+BUCKET_BITS = 24
 _ID = np.uint64((1 << 56) - 1)
 #: A token in more lines than this has its list cut into blocks of about this many lines.
 BLOCK = 50_000
@@ -26,38 +27,52 @@ def _spread(x: np.ndarray, seed: int) -> np.ndarray:
 def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Token ids of all words (lower-cased, cut at ASCII white space), the line of each, and for each line its text's
     row and its number in the text, from 0. Lines end at newlines only."""
-    n, lengths = len(offsets) - 1, np.diff(offsets)
-    spaced = np.full(len(data) + n, 10, np.uint8)
-    spaced[np.arange(len(data)) + np.repeat(np.arange(n), lengths)] = LOWER_BYTES[data]
+    n, low = len(offsets) - 1, LOWER_BYTES[data]
+    spaced = np.full(len(data) + n, 10, np.uint8)  # a line end behind each text
+    for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        spaced[s + i : e + i] = low[s:e]
     starts, ends = word_spans(spaced)
-    breaks = np.flatnonzero(spaced == 10)
+    end = spaced == 10
+    breaks = np.flatnonzero(end)
     row = np.searchsorted(offsets[1:] + np.arange(n), breaks)
     first = np.searchsorted(row, np.arange(n))
-    return span_hashes(spaced, starts, ends) & _ID, np.searchsorted(breaks, starts), row, np.arange(len(breaks)) - first[row]
+    return span_hashes(spaced, starts, ends) & _ID, np.cumsum(end, dtype=np.int32)[starts], row, np.arange(len(breaks)) - first[row]
 
 
 class Lines:
-    """The lines with words of some texts as sets of tokens, each ordered by level and id: rarest first."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray):
-        ids, line, row, number = line_words(data, offsets)
-        key = (levels[(ids >> np.uint64(56 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | ids
-        order = np.lexsort((key, line))
+    """The lines with words of some texts as sets of tokens, each ordered by level and id: rarest first. Without levels,
+    by id."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray | None = None):
+        self.words, line, row, number = line_words(data, offsets)
+        key = self.words if levels is None else (levels[(self.words >> np.uint64(56 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | self.words
+        # Two sorts instead of one by two keys: of 64-bit integers, then a stable one of small integers.
+        order = np.argsort(key)
+        order = order[np.argsort(line[order].astype(np.uint16 if len(row) < 1 << 16 else np.int32), kind="stable")]
         key, line = key[order], line[order]
         new = np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])) if len(key) else np.zeros(0, bool)
         self.key, line = key[new], line[new]
         self.first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
         self.size = np.diff(np.append(self.first, len(line)))
         self.row, self.number = row[line[self.first]], number[line[self.first]]
-        ids = self.key & _ID
-        if len(ids):
-            self.k1, self.k2 = (np.add.reduceat(_spread(ids, s), self.first).view(np.int64) for s in (1, 2))
-            bit = _spread(ids, 3)
-            one = np.uint64(1) << (bit & np.uint64(63))
-            high = (bit >> np.uint64(6) & np.uint64(1)).astype(bool)
-            self.s1, self.s2 = (np.bitwise_xor.reduceat(np.where(w, one, np.uint64(0)), self.first).view(np.int64) for w in (high, ~high))
-        else:
-            self.k1 = self.k2 = self.s1 = self.s2 = np.zeros(0, np.int64)
+        self.k1 = self._sums(1)
+
+    def _sums(self, seed: int) -> np.ndarray:
+        return np.add.reduceat(_spread(self.key & _ID, seed), self.first).view(np.int64) if len(self.key) else np.zeros(0, np.int64)
+
+    @property
+    def k2(self) -> np.ndarray:
+        """With k1, a 128-bit name of the set: sums over its tokens."""
+        return self._sums(2)
+
+    def parities(self, sketches: tuple[int, ...]) -> list[np.ndarray]:
+        """For each sketch of so many 64-bit words, the parities of a line's tokens in 64 classes a word."""
+        out = []
+        for i, words in enumerate(sketches):
+            bit = _spread(self.key & _ID, 11 + i) & np.uint64(64 * words - 1)
+            one, word = np.uint64(1) << (bit & np.uint64(63)), bit >> np.uint64(6)
+            out += [np.bitwise_xor.reduceat(np.where(word == w, one, np.uint64(0)), self.first).view(np.int64) if len(self.key) else np.zeros(0, np.int64) for w in range(words)]
+        return out
 
 
 def _texts(batch: pa.RecordBatch, most: int = 1 << 20):
@@ -68,34 +83,48 @@ def _texts(batch: pa.RecordBatch, most: int = 1 << 20):
         yield ids[first : first + len(offsets) - 1], keys[first : first + len(offsets) - 1], data, offsets
 
 
-def token_levels(rows: DataFrame) -> np.ndarray:
-    """For each bucket of tokens, 0 if at most one word of all texts falls into it, else 1 + 4 log2 of their number.
+def _scan(rows: DataFrame) -> DataFrame:
+    """One pass over all texts, stored: the lines with words (kind 'l': k1, k2, id, line, key) and the words by bucket of
+    tokens (kind 'b': k1 is the bucket, k2 the number), summed by runs of texts."""
 
-    It orders tokens by rarity over the whole corpus in a table whose size is fixed.
-    """
+    def batch(kind, k1, k2, ids, number, keys):
+        return pa.RecordBatch.from_arrays([pa.array([kind] * len(k1)), pa.array(k1), pa.array(k2), pa.array(ids), pa.array(number.astype(np.int32)), pa.array(keys)], names=["kind", "k1", "k2", "id", "line", "key"])
 
     def run(batches):
         held, size = [], 0
-        def flush():  # noqa: E306
-            keys, n = np.unique(np.concatenate(held), return_counts=True)
-            for i in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 100_000].astype(np.int32)), pa.array(n[i : i + 100_000])], names=["bucket", "n"])
+
+        def flush():
+            buckets, n = np.unique(np.concatenate(held), return_counts=True)
+            for i in range(0, len(buckets), 100_000):
+                k, zero = buckets[i : i + 100_000].astype(np.int64), np.zeros(len(buckets[i : i + 100_000]), np.int64)
+                yield batch("b", k, n[i : i + 100_000], zero, zero, zero)
 
         for b in batches:
-            for _, _, data, offsets in _texts(b):
-                held.append((line_words(data, offsets)[0] >> np.uint64(56 - BUCKET_BITS)).astype(np.int32))
-                size += len(held[-1])
+            for ids, keys, data, offsets in _texts(b):
+                x = Lines(data, offsets)
+                if len(x.k1):
+                    yield batch("l", x.k1, x.k2, ids[x.row], x.number, keys[x.row])
+                    held.append((x.words >> np.uint64(56 - BUCKET_BITS)).astype(np.int32))
+                    size += len(held[-1])
                 if size > 8_000_000:
                     yield from flush()
                     held, size = [], 0
         if size:
             yield from flush()
 
-    counts = rows.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 1")
-    table = counts.select("bucket", (F.floor(F.log2("n") * 4) + 1).cast("int").alias("level")).toArrow()
+    return stored(rows.mapInArrow(run, "kind string, k1 long, k2 long, id long, line int, key long"), "lines")
+
+
+def token_levels(scan: DataFrame) -> np.ndarray:
+    """For each bucket of tokens, 0 if at most one word of all texts falls into it, else 1 + 4 log2 of their number.
+
+    It orders tokens by rarity over the whole corpus in a table whose size is fixed.
+    """
+    counts = scan.where("kind = 'b'").groupBy(F.col("k1").cast("int").alias("bucket")).agg(F.sum("k2").alias("n")).where("n > 1")
+    table = counts.select("bucket", (F.floor(F.log2("n") * 4) + 1).cast("tinyint").alias("level")).toArrow()
     levels = np.zeros(1 << BUCKET_BITS, np.uint8)
     if table.num_rows:
-        levels[table["bucket"].to_numpy()] = np.minimum(table["level"].to_numpy(), 255)
+        levels[table["bucket"].to_numpy()] = table["level"].to_numpy()
     return levels
 
 
@@ -103,20 +132,27 @@ def _needed(size: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold * size - 1e-9).astype(np.int64)
 
 
-_ENTRY = "slot long, probe int, k1 long, size int, at int, s1 long, s2 long, id long, line int"
+_ENTRY = ["slot", "k1", "extent", "id", "line"]
+#: Words of each parity sketch of the entries: of all at first, then of those that are left.
+_FEW, _MANY = (2,), (16, 16)
 
 
-def _entries(rows: DataFrame, levels, threshold: float, only=None) -> DataFrame:
+def _entries(rows: DataFrame, levels, threshold: float, sketches: tuple[int, ...], documents=None, only=None) -> DataFrame:
     """An entry for each token of each line's prefix, once for equal lines of a run of texts (the earliest).
 
     A token that is in one line only has no partner and none is made. A list too long for one block is cut: a line is
-    held in one block and asks in all. only: a sorted array of slots to restrict to, as a broadcast value.
+    held in one block and asks in all. slot is the list's number with a lowest bit set for those that only ask, so that
+    they come behind in its order; extent is the set's size and the token's place. documents: marks of the documents to
+    read; only: the lists to fill; both as broadcast values.
     """
+    width = sum(sketches)
 
     def run(batches):
         table, wanted = levels.value, only.value if only is not None else None
         for b in batches:
-            for ids, _, data, offsets in _texts(b, 4 << 20):
+            if documents is not None:
+                b = b.filter(pa.array(_marked(documents.value, _hashes(b.column("__key").to_numpy()))))
+            for ids, _, data, offsets in _texts(b):
                 x = Lines(data, offsets, table)
                 if not len(x.k1):
                     continue
@@ -131,44 +167,51 @@ def _entries(rows: DataFrame, levels, threshold: float, only=None) -> DataFrame:
                 home = (_spread(x.k1[line].view(np.uint64), 5) % blocks.astype(np.uint64)).astype(np.int64)
                 many = np.repeat(np.arange(len(mine)), blocks)
                 block = np.arange(len(many)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-                slot = np.where(blocks[many] == 1, token[many], _spread(token[many], 7) + block.astype(np.uint64)).view(np.int64)
+                slot = np.where(blocks[many] == 1, token[many] << np.uint64(1), _spread(token[many], 7) + (block.astype(np.uint64) << np.uint64(1)) & ~np.uint64(1))
+                slot = (slot | (block != home[many]).astype(np.uint64)).view(np.int64)
                 if wanted is not None:
-                    good = np.isin(slot, wanted)
-                    many, block, slot = many[good], block[good], slot[good]
-                own, probe = line[many], (block != home[many]).astype(np.int32)
+                    good = np.isin(slot & ~1, wanted)
+                    many, slot = many[good], slot[good]
+                own, parity = line[many], x.parities(sketches)
+                extent = (x.size[own] << 32) | at[mine][many]
                 for i in range(0, len(many), 50_000):
                     s = slice(i, i + 50_000)
                     o = own[s]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(slot[s]), pa.array(probe[s]), pa.array(x.k1[o]), pa.array(x.size[o].astype(np.int32)), pa.array(at[mine][many[s]].astype(np.int32)), pa.array(x.s1[o]), pa.array(x.s2[o]), pa.array(ids[x.row[o]]), pa.array(x.number[o].astype(np.int32))],
-                        names=["slot", "probe", "k1", "size", "at", "s1", "s2", "id", "line"],
-                    )
+                    columns = [slot[s], x.k1[o], extent[s], ids[x.row[o]], x.number[o].astype(np.int32), *[p[o] for p in parity]]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*_ENTRY, *[f"p{i}" for i in range(width)]])
 
-    made = rows.mapInArrow(run, _ENTRY)
-    return made.repartition("slot").sortWithinPartitions("slot", "probe")
+    made = rows.mapInArrow(run, "slot long, k1 long, extent long, id long, line int" + "".join(f", p{i} long" for i in range(width)))
+    return made.repartition(F.shiftright("slot", 1)).sortWithinPartitions("slot")
 
 
-def _candidates(entries: DataFrame, threshold: float, first: int | None) -> DataFrame:
+def _candidates(entries: DataFrame, threshold: float, sketches: tuple[int, ...], first: int | None, asking=None) -> DataFrame:
     """x, y (k1 of a line and of an earlier one that may match it), slot, and more: whether x has others in the slot.
 
     For each line and slot, the `first` earliest candidates (None: all) are given: a group of near copies gives a number
-    of rows in proportion to its lines. Length filter: sizes differ by the threshold at most. Positional filter: the
-    tokens after the shared one must suffice. Parity filter: two lines' parities of 128 token classes differ in at most
-    as many bits as their sets in tokens.
+    of rows in proportion to its lines. A list where a line has more also gives its members, as rows with x = y. Length filter: sizes differ by the threshold at most. Positional filter: the
+    tokens after the shared one must suffice. Parity filter: two lines' parities differ in at most as many
+    bits as their sets in tokens. asking: the only x to answer for, sorted, as a broadcast value.
     """
-    names = ["slot", "probe", "k1", "size", "at", "s1", "s2", "id", "line"]
+    names = [*_ENTRY, *[f"p{i}" for i in range(sum(sketches))]]
+    heads = np.cumsum((0, *sketches))
 
     def pairs(cols, left, right):
-        c = {n: (cols[n][left], cols[n][right]) for n in names if n != "slot"}
-        (a, b), later = c["size"], (c["id"][0] > c["id"][1]) | ((c["id"][0] == c["id"][1]) & ((c["line"][0] > c["line"][1]) | ((c["line"][0] == c["line"][1]) & (c["k1"][0] > c["k1"][1]))))
+        (a, b), (u, v) = ((cols[n][left], cols[n][right]) for n in ("size", "at"))
         need = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
-        good = (c["k1"][0] != c["k1"][1]) & (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9)
-        good &= np.minimum(a - c["at"][0], b - c["at"][1]) >= need
-        good &= sum(np.bitwise_count((c[s][0] ^ c[s][1]).view(np.uint64)).astype(np.int64) for s in ("s1", "s2")) <= a + b - 2 * need
-        good &= later | (c["probe"][0] == 0)
+        good = (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9) & (np.minimum(a - u, b - v) >= need)
         at = np.flatnonzero(good)
-        x, y = np.where(later[at], left[at], right[at]), np.where(later[at], right[at], left[at])
-        return x, y
+        left, right, most = left[at], right[at], (a + b - 2 * need)[at]
+        for low, high in zip(heads[:-1], heads[1:]):
+            differ = sum(np.bitwise_count((cols[p][left] ^ cols[p][right]).view(np.uint64)).astype(np.int64) for p in (f"p{i}" for i in range(low, high)))
+            at = np.flatnonzero(differ <= most)
+            left, right, most = left[at], right[at], most[at]
+        c = {n: (cols[n][left], cols[n][right]) for n in ("id", "line", "k1", "probe")}
+        later = (c["id"][0] > c["id"][1]) | ((c["id"][0] == c["id"][1]) & ((c["line"][0] > c["line"][1]) | ((c["line"][0] == c["line"][1]) & (c["k1"][0] > c["k1"][1]))))
+        x, y = np.where(later, left, right), np.where(later, right, left)
+        good = (c["k1"][0] != c["k1"][1]) & (later | (c["probe"][0] == 0))
+        if asking is not None:
+            good &= np.isin(cols["k1"][x], asking.value)
+        return x[good], y[good]
 
     def best(cols, x, y):
         """The first candidates of each x (an entry; one slot)."""
@@ -186,11 +229,13 @@ def _candidates(entries: DataFrame, threshold: float, first: int | None) -> Data
         held = None  # entries of the last slot that may go on
         for b in batches:
             cols = {n: b.column(n).to_numpy().astype(np.int64) for n in names}
+            extent, slot = cols.pop("extent"), cols["slot"]
+            cols |= {"size": extent >> 32, "at": extent & 0xFFFFFFFF, "probe": slot & 1, "slot": slot & ~1}
             carried = 0
             if held is not None and len(held["slot"]):
                 if len(cols["slot"]) and cols["slot"][0] == held["slot"][0]:
                     carried = len(held["slot"])
-                    cols = {n: np.concatenate([held[n], cols[n]]) for n in names}
+                    cols = {n: np.concatenate([held[n], v]) for n, v in cols.items()}
             n = len(cols["slot"])
             if not n:
                 continue
@@ -214,6 +259,9 @@ def _candidates(entries: DataFrame, threshold: float, first: int | None) -> Data
             if first is not None and len(x2):  # a mark of any of x's rows holds for x
                 marked = np.unique(x[more])
                 again |= np.isin(x2, marked)
+            if again.any():
+                own = np.flatnonzero(np.isin(cols["slot"], np.unique(cols["slot"][x2[again]])) & (cols["probe"] == 0))
+                x2, y2, again = np.concatenate([x2, own]), np.concatenate([y2, own]), np.concatenate([again, np.zeros(len(own), bool)])
             for i in range(0, len(x2), 50_000):
                 s = slice(i, i + 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(cols["k1"][x2[s]]), pa.array(cols["k1"][y2[s]]), pa.array(cols["slot"][x2[s]]), pa.array(again[s])], names=["x", "y", "slot", "more"])
@@ -242,24 +290,29 @@ def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def _matched(rows: DataFrame, pairs: DataFrame, levels, threshold: float) -> DataFrame:
+def _hashes(values: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of a long column."""
+    return np.array([xxh64_intdigest(k, 42) for k in values.view("V8").tolist()], np.uint64) if len(values) else np.zeros(0, np.uint64)
+
+
+def _matched(rows: DataFrame, pairs: DataFrame, first: DataFrame, levels, threshold: float) -> DataFrame:
     """x, k1 and k2 of lines with an earlier line among their pairs(x, y) whose Jaccard similarity reaches the threshold.
 
-    Sets of tokens are fetched from the texts for lines in pairs only (by a bitmap of fixed size, then by the join) and
-    compared token by token, so neither filter decides.
+    Sets of tokens are fetched for lines in pairs only: from the documents that hold the first of each (bitmaps of fixed
+    size leave the others out), then by the join. They are compared token by token, so no filter decides.
     """
-    import xxhash
-
     spark = rows.sparkSession
-    wanted = spark.sparkContext.broadcast(_bitmap(pairs.select(F.col("x").alias("k")).union(pairs.select("y"))))
+    named = stored(pairs.select(F.col("x").alias("k")).union(pairs.select("y")).distinct(), "named")
+    held = first.join(named, first.k1 == named.k, "left_semi").select(F.col("place.key").alias("k"))
+    wanted = spark.sparkContext.broadcast((_bitmap(named), _bitmap(held)))
 
     def run(batches):
-        marks, table = wanted.value, levels.value
+        (marks, documents), table = wanted.value, levels.value
         for b in batches:
+            b = b.filter(pa.array(_marked(documents, _hashes(b.column("__key").to_numpy()))))
             for ids, _, data, offsets in _texts(b):
                 x = Lines(data, offsets, table)
-                hashes = np.array([xxhash.xxh64_intdigest(k, 42) for k in x.k1.view("V8").tolist()], np.uint64) if len(x.k1) else np.zeros(0, np.uint64)
-                mine = np.flatnonzero(_marked(marks, hashes))
+                mine = np.flatnonzero(_marked(marks, _hashes(x.k1)))
                 if not len(mine):
                     continue
                 tokens = [(x.key[x.first[i] : x.first[i] + x.size[i]] & _ID).astype(np.int64) for i in mine.tolist()]
@@ -286,59 +339,67 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     empty; n_lines counts lines with words.
 
     Equal sets are one class with its earliest line; classes are joined by their rare tokens (_entries, _candidates,
-    _matched). Tokens are compared by 56 bits of a hash. Null texts stay null. Rows equal in doc_id and text share their
-    result. An empty table gives an empty one. Columns named n_lines, n_removed or removed are replaced. Texts are
-    shuffled only for documents that lose lines.
+    _matched). Tokens are compared by 56 bits of a hash. Lines that have further candidates and no match among the first
+    are asked again with more parities, and then for all candidates; the driver names them if they take BROADCAST_BYTES
+    at most, else all lines are asked again.
+
+    Null texts stay null. Rows equal in doc_id and text share their result. An empty table gives an empty one. Columns
+    named n_lines, n_removed or removed are replaced. Texts are shuffled only for documents that lose lines, and only if
+    what these keep is too much to broadcast.
     """
     spark = docs.sparkSession
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "removed", "__key")]).withColumn("__key", F.xxhash64("doc_id", "text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__key", "text").where(F.col("text").isNotNull())
-    levels = spark.sparkContext.broadcast(token_levels(rows))
-
-    pairs = stored(_candidates(_entries(rows, levels, threshold), threshold, FIRST), "pairs")
-    matched = _matched(rows, pairs.select("x", "y").distinct(), levels, threshold)
-    matched = stored(matched, "matched")
-    rest = pairs.where("more").select("x", "slot").distinct().join(matched.select("x").distinct(), "x", "left_anti")
-    rest = stored(rest, "rest")
-    if rest.limit(1).count():
-        slots = np.unique(rest.select("slot").distinct().toArrow()["slot"].to_numpy())
-        only = spark.sparkContext.broadcast(slots)
-        every = _candidates(_entries(rows, levels, threshold, only), threshold, None).join(rest.select("x").distinct(), "x", "left_semi").select("x", "y").distinct()
-        matched = matched.union(stored(_matched(rows, stored(every, "pairs"), levels, threshold), "matched"))
-
-    def classes(batches):
-        table = levels.value
-        for b in batches:
-            for ids, keys, data, offsets in _texts(b):
-                x = Lines(data, offsets, table)
-                if len(x.k1):
-                    yield pa.RecordBatch.from_arrays([pa.array(x.k1), pa.array(x.k2), pa.array(ids[x.row]), pa.array(x.number.astype(np.int32)), pa.array(keys[x.row])], names=["k1", "k2", "id", "line", "key"])
+    scan = _scan(rows)
+    levels = spark.sparkContext.broadcast(token_levels(scan))
+    first = stored(scan.where("kind = 'l'").groupBy("k1", "k2").agg(F.min(F.struct("id", "line", "key")).alias("place")), "first")
+
+    matched, documents, slots, asking = None, None, None, None
+    for sketches, most in ((_FEW, FIRST), (_MANY, FIRST), (_MANY, None)):  # more parities, then all candidates, for lines that are left
+        pairs = stored(_candidates(_entries(rows, levels, threshold, sketches, documents, slots), threshold, sketches, most, asking), "pairs")
+        found = stored(_matched(rows, pairs.where("x <> y").select("x", "y").distinct(), first, levels, threshold), "matched")
+        matched = found if matched is None else matched.union(found)
+        rest = stored(pairs.where("more").select("x", "slot").distinct().join(found.select("x").distinct(), "x", "left_anti"), "rest")
+        n = rest.count() if most else 0
+        if not n:
+            break
+        if n * 16 <= BROADCAST_BYTES:  # else all lines are asked again
+            members = pairs.where("x = y").join(rest.select("slot").distinct(), "slot", "left_semi").select(F.col("x").alias("k"))
+            held = first.join(members.union(rest.select("x")).distinct(), F.col("k1") == F.col("k"), "left_semi").select(F.col("place.key").alias("k"))
+            table = rest.toArrow()
+            documents, slots, asking = (spark.sparkContext.broadcast(v) for v in (_bitmap(held), np.unique(table["slot"].to_numpy()), np.unique(table["x"].to_numpy())))
 
-    lines = rows.mapInArrow(classes, "k1 long, k2 long, id long, line int, key long")
-    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("id", "line", "key")).alias("place"))
     kept = first.join(matched.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select("place.key", "place.line")
     kept = stored(kept.groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_set("line")).alias("kept")), "kept")
 
-    # A document that keeps all its lines is marked; the others (and the few marked by chance) meet their lists.
-    counted = docs.select("__key", _line_numbers(F.col("text")).alias("all")).select("__key", F.size("all").alias("n")).where("n > 0")
-    whole = counted.join(kept.select("__key", F.size("kept").alias("m")), "__key", "left").where(F.coalesce("m", F.lit(0)) < F.col("n"))
-    lost = spark.sparkContext.broadcast(_bitmap(whole.select(F.col("__key").alias("k"))))
+    # Documents that lose lines, with what they keep; no row for the others.
+    counted = scan.where("kind = 'l'").groupBy(F.col("key").alias("__key")).agg(F.countDistinct("line").alias("n"))
+    lost = counted.join(kept, "__key", "left").where(F.coalesce(F.size("kept"), F.lit(0)) < F.col("n"))
+    lost = stored(lost.select("__key", F.coalesce("kept", F.array().cast("array<int>")).alias("kept")), "lost")
+    size = lost.agg(F.sum(F.size("kept") * 4 + 40)).first()[0] or 0
+
+    def cut(table: DataFrame, small: bool) -> DataFrame:
+        t = table.join(F.broadcast(lost) if small else lost, "__key", "left")
+        t = t.withColumn("removed", F.when(F.col("kept").isNotNull(), F.array_except(_line_numbers(F.col("text")), "kept")).otherwise(F.array().cast("array<int>")))
+        t = t.withColumn("n_lines", _line_count(F.col("text")))
+        left = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("removed", i))
+        t = t.withColumn("text", F.when(F.size("removed") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
+        return t.withColumn("n_removed", F.size("removed").cast("long")).drop("kept", "__key")
+
+    if size <= BROADCAST_BYTES:
+        return cut(docs, True)
+    marks = spark.sparkContext.broadcast(_bitmap(lost.select(F.col("__key").alias("k"))))
 
     @F.pandas_udf("boolean")
-    def changed(hashes):
+    def loses(hashes):
         import pandas as pd
 
-        return pd.Series(_marked(lost.value, hashes.to_numpy()))
+        return pd.Series(_marked(marks.value, hashes.to_numpy()))
 
-    flagged = docs.withColumn("__lost", changed(F.xxhash64("__key")))
-    none = F.expr("array()").cast("array<int>")
-    same = flagged.where(~F.col("__lost")).withColumn("n_lines", F.size(_line_numbers(F.col("text")))).withColumn("removed", none)
-    cut = flagged.where("__lost").join(kept, "__key", "left").withColumn("__all", _line_numbers(F.col("text")))
-    cut = cut.withColumn("n_lines", F.size("__all")).withColumn("removed", F.array_except("__all", F.coalesce("kept", none)))
-    left = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("removed", i))
-    cut = cut.withColumn("text", F.when(F.size("removed") > 0, F.array_join(left, "\n")).otherwise(F.col("text"))).drop("kept", "__all")
-    out = same.unionByName(cut).drop("__key", "__lost")
-    return out.withColumn("n_lines", F.col("n_lines").cast("long")).withColumn("n_removed", F.size("removed").cast("long"))
+    flagged = docs.withColumn("__lost", loses(F.xxhash64("__key")))
+    whole = flagged.where(~F.col("__lost")).drop("__lost").withColumn("n_lines", _line_count(F.col("text")))
+    whole = whole.withColumn("removed", F.array().cast("array<int>")).withColumn("n_removed", F.lit(0).cast("long")).drop("__key")
+    return cut(flagged.where("__lost").drop("__lost"), False).unionByName(whole)
 
 
 def _line_numbers(text):
@@ -346,3 +407,8 @@ def _line_numbers(text):
     parts = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     numbered = F.transform(parts, lambda line, i: F.when(line.rlike(r"[^\x20\x09-\x0D]"), i))
     return F.filter(numbered, lambda i: i.isNotNull())
+
+
+def _line_count(text):
+    """How many lines have words."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D][^\n]*")).cast("long")

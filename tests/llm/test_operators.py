@@ -168,6 +168,7 @@ def test_line_dedup_near_copies_past_the_first_candidates(spark, monkeypatch):
     """A large group of near copies: each line must find its match though most candidates fail."""
     monkeypatch.setattr(linededup, "FIRST", 1)
     monkeypatch.setattr(linededup, "BLOCK", 40)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")  # lists go on over batches
     rng = random.Random(5)
     base = [f"b{i}" for i in range(20)]
     data = []
@@ -177,6 +178,7 @@ def test_line_dedup_near_copies_past_the_first_candidates(spark, monkeypatch):
             own[j] = f"v{rng.randrange(40)}"
         data.append((i, " ".join(own)))
     got = {r.doc_id for r in linededup.line_dedup(spark.createDataFrame(data, "doc_id long, text string")).collect() if r.n_removed}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {where[1] for where, _ in lines_to_remove(data)}
 
 
