@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from .pieces import gather
 from .shared import BROADCAST_BYTES, LOWER_BYTES, mix, span_hashes, stored, text_groups, word_spans
 
 #: Tokens are known by 56 bits of their hash; their counts are kept by 2**BUCKET_BITS buckets of it, as a level of a byte.
@@ -133,17 +134,17 @@ def _needed(size: np.ndarray, threshold: float) -> np.ndarray:
 
 
 _ENTRY = ["slot", "k1", "extent", "id", "line"]
-#: Words of each parity sketch of the entries: of all at first, then of those that are left.
-_FEW, _MANY = (2,), (16, 16)
+#: Words of each parity sketch of the entries.
+_FEW = (2,)
 
 
-def _entries(rows: DataFrame, levels, threshold: float, sketches: tuple[int, ...], documents=None, only=None) -> DataFrame:
+def _entries(rows: DataFrame, levels, threshold: float, sketches: tuple[int, ...], documents=None, only=None, whole: bool = False) -> DataFrame:
     """An entry for each token of each line's prefix, once for equal lines of a run of texts (the earliest).
 
     A token that is in one line only has no partner and none is made. A list too long for one block is cut: a line is
     held in one block and asks in all. slot is the list's number with a lowest bit set for those that only ask, so that
     they come behind in its order; extent is the set's size and the token's place. documents: marks of the documents to
-    read; only: the lists to fill; both as broadcast values.
+    read; only: the lists to fill; both as broadcast values. whole: with all tokens.
     """
     width = sum(sketches)
 
@@ -178,19 +179,39 @@ def _entries(rows: DataFrame, levels, threshold: float, sketches: tuple[int, ...
                     s = slice(i, i + 50_000)
                     o = own[s]
                     columns = [slot[s], x.k1[o], extent[s], ids[x.row[o]], x.number[o].astype(np.int32), *[p[o] for p in parity]]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=[*_ENTRY, *[f"p{i}" for i in range(width)]])
-
-    made = rows.mapInArrow(run, "slot long, k1 long, extent long, id long, line int" + "".join(f", p{i} long" for i in range(width)))
+                    columns, names = [pa.array(c) for c in columns], [*_ENTRY, *[f"p{i}" for i in range(width)]]
+                    if whole:
+                        tokens = gather((x.key & _ID).view(np.int64), x.first[o], x.size[o])
+                        columns += [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(x.size[o])).astype(np.int32)), pa.array(tokens))]
+                        names += ["tokens"]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    made = rows.mapInArrow(run, "slot long, k1 long, extent long, id long, line int" + "".join(f", p{i} long" for i in range(width)) + (", tokens array<long>" if whole else ""))
     return made.repartition(F.shiftright("slot", 1)).sortWithinPartitions("slot")
 
 
-def _candidates(entries: DataFrame, threshold: float, sketches: tuple[int, ...], first: int | None, asking=None) -> DataFrame:
+def _similar(tokens: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether the sets of each pair reach the threshold, token by token."""
+    out, sizes = np.zeros(len(left), bool), np.fromiter(map(len, tokens), np.int64, len(tokens))
+    for at in range(0, len(left), 20_000):
+        a, b = left[at : at + 20_000], right[at : at + 20_000]
+        both = np.concatenate([*tokens[a], *tokens[b]])
+        pair = np.concatenate([np.repeat(np.arange(len(a)), sizes[a]), np.repeat(np.arange(len(b)), sizes[b])])
+        order = np.lexsort((both, pair))
+        both, pair = both[order], pair[order]
+        shared = np.bincount(pair[1:][(both[1:] == both[:-1]) & (pair[1:] == pair[:-1])], minlength=len(a))
+        out[at : at + 20_000] = shared >= threshold * (sizes[a] + sizes[b] - shared) - 1e-9
+    return out
+
+
+def _candidates(entries: DataFrame, threshold: float, sketches: tuple[int, ...], first: int, asking=None, whole: bool = False) -> DataFrame:
     """x, y (k1 of a line and of an earlier one that may match it), slot, and more: whether x has others in the slot.
 
-    For each line and slot, the `first` earliest candidates (None: all) are given: a group of near copies gives a number
+    For each line and slot, the `first` earliest candidates are given: a group of near copies gives a number
     of rows in proportion to its lines. A list where a line has more also gives its members, as rows with x = y. Length filter: sizes differ by the threshold at most. Positional filter: the
     tokens after the shared one must suffice. Parity filter: two lines' parities differ in at most as many
-    bits as their sets in tokens. asking: the only x to answer for, sorted, as a broadcast value.
+    bits as their sets in tokens. asking: the only x to answer for, sorted, as a broadcast value. whole: the
+    entries hold all tokens, pairs are compared by them before the first are taken.
     """
     names = [*_ENTRY, *[f"p{i}" for i in range(sum(sketches))]]
     heads = np.cumsum((0, *sketches))
@@ -211,12 +232,16 @@ def _candidates(entries: DataFrame, threshold: float, sketches: tuple[int, ...],
         good = (c["k1"][0] != c["k1"][1]) & (later | (c["probe"][0] == 0))
         if asking is not None:
             good &= np.isin(cols["k1"][x], asking.value)
-        return x[good], y[good]
+        x, y = x[good], y[good]
+        if whole:
+            good = _similar(cols["tokens"], x, y, threshold)
+            x, y = x[good], y[good]
+        return x, y
 
     def best(cols, x, y):
         """The first candidates of each x (an entry; one slot)."""
-        if first is None or not len(x):
-            return x, y, np.zeros(len(x), bool)
+        if not len(x):
+            return x, y, np.zeros(0, bool)
         order = np.lexsort((cols["line"][y], cols["id"][y], x))
         x, y = x[order], y[order]
         head = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
@@ -230,6 +255,10 @@ def _candidates(entries: DataFrame, threshold: float, sketches: tuple[int, ...],
         for b in batches:
             cols = {n: b.column(n).to_numpy().astype(np.int64) for n in names}
             extent, slot = cols.pop("extent"), cols["slot"]
+            if whole:
+                offsets, values = b.column("tokens").offsets.to_numpy(), b.column("tokens").values.to_numpy()
+                cols["tokens"] = np.empty(len(slot), object)
+                cols["tokens"][:] = [values[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
             cols |= {"size": extent >> 32, "at": extent & 0xFFFFFFFF, "probe": slot & 1, "slot": slot & ~1}
             carried = 0
             if held is not None and len(held["slot"]):
@@ -256,10 +285,10 @@ def _candidates(entries: DataFrame, threshold: float, sketches: tuple[int, ...],
                 low = high
             x, y, more = (np.concatenate(z) for z in zip(*found, strict=True))
             x2, y2, again = best(cols, x, y)
-            if first is not None and len(x2):  # a mark of any of x's rows holds for x
+            if len(x2):  # a mark of any of x's rows holds for x
                 marked = np.unique(x[more])
                 again |= np.isin(x2, marked)
-            if again.any():
+            if again.any() and not whole:
                 own = np.flatnonzero(np.isin(cols["slot"], np.unique(cols["slot"][x2[again]])) & (cols["probe"] == 0))
                 x2, y2, again = np.concatenate([x2, own]), np.concatenate([y2, own]), np.concatenate([again, np.zeros(len(own), bool)])
             for i in range(0, len(x2), 50_000):
@@ -340,8 +369,8 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
     Equal sets are one class with its earliest line; classes are joined by their rare tokens (_entries, _candidates,
     _matched). Tokens are compared by 56 bits of a hash. Lines that have further candidates and no match among the first
-    are asked again with more parities, and then for all candidates; the driver names them if they take BROADCAST_BYTES
-    at most, else all lines are asked again.
+    are asked again, with all candidates compared where their lists are; the driver names them if they take
+    BROADCAST_BYTES at most, else all lines are asked again.
 
     Null texts stay null. Rows equal in doc_id and text share their result. An empty table gives an empty one. Columns
     named n_lines, n_removed or removed are replaced. Texts are shuffled only for documents that lose lines, and only if
@@ -354,20 +383,22 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     levels = spark.sparkContext.broadcast(token_levels(scan))
     first = stored(scan.where("kind = 'l'").groupBy("k1", "k2").agg(F.min(F.struct("id", "line", "key")).alias("place")), "first")
 
-    matched, documents, slots, asking = None, None, None, None
-    for sketches, most in ((_FEW, FIRST), (_MANY, FIRST), (_MANY, None)):  # more parities, then all candidates, for lines that are left
-        pairs = stored(_candidates(_entries(rows, levels, threshold, sketches, documents, slots), threshold, sketches, most, asking), "pairs")
-        found = stored(_matched(rows, pairs.where("x <> y").select("x", "y").distinct(), first, levels, threshold), "matched")
-        matched = found if matched is None else matched.union(found)
-        rest = stored(pairs.where("more").select("x", "slot").distinct().join(found.select("x").distinct(), "x", "left_anti"), "rest")
-        n = rest.count() if most else 0
-        if not n:
-            break
+    pairs = stored(_candidates(_entries(rows, levels, threshold, _FEW), threshold, _FEW, FIRST), "pairs")
+    matched = stored(_matched(rows, pairs.where("x <> y").select("x", "y").distinct(), first, levels, threshold), "matched").select("k1", "k2")
+    rest = stored(pairs.where("more").select("x", "slot").distinct().join(matched.select(F.col("k1").alias("x")).distinct(), "x", "left_anti"), "rest")
+    n = rest.count()
+    if n:
+        documents, slots, asking = None, None, None
         if n * 16 <= BROADCAST_BYTES:  # else all lines are asked again
             members = pairs.where("x = y").join(rest.select("slot").distinct(), "slot", "left_semi").select(F.col("x").alias("k"))
             held = first.join(members.union(rest.select("x")).distinct(), F.col("k1") == F.col("k"), "left_semi").select(F.col("place.key").alias("k"))
             table = rest.toArrow()
             documents, slots, asking = (spark.sparkContext.broadcast(v) for v in (_bitmap(held), np.unique(table["slot"].to_numpy()), np.unique(table["x"].to_numpy())))
+        again = _candidates(_entries(rows, levels, threshold, _FEW, documents, slots, True), threshold, _FEW, 1, asking, True)
+        # A line may stand in a list by a later copy as well; the first places decide. The earliest match suffices for that.
+        fx, fy = (first.select(F.col("k1").alias(s), F.col("k2").alias(f"{s}2"), F.struct("place.id", "place.line", "k1").alias(f"{s}_at")) for s in ("x", "y"))
+        again = stored(again, "again").select("x", "y").distinct().join(fx, "x").join(fy, "y").where("y_at < x_at")
+        matched = matched.union(stored(again.select(F.col("x").alias("k1"), F.col("x2").alias("k2")).distinct(), "matched"))
 
     kept = first.join(matched.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select("place.key", "place.line")
     kept = stored(kept.groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_set("line")).alias("kept")), "kept")
