@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .pieces import Cache, ids_of_spans
+from .pieces import Cache, ids_of_spans, script_cuts
 from .shared import new_path, text_groups, word_spans
 
 #: Head of a chunk: magic, version, plane kind (0 bytes, 1 bits), ids, planes, crc32 of the ids as little-endian uint32.
@@ -56,33 +58,57 @@ def unpack_chunk(block: bytes) -> np.ndarray:
 def word_encoder(tokenizer):
     """(data, offsets) to the ids of each text, exactly as the tokenizer would give for whole texts.
 
-    Texts are cut at ASCII white space, which the tokenizers meant here drop before they merge and which no step of
-    theirs looks across; each distinct run is encoded once. A-Z before another ASCII character is lower-cased first (as
-    these tokenizers do, and no composition can be touched), unless the texts may hold special tokens.
+    Texts are cut where no step of the tokenizers meant here looks across: at ASCII white space, which they drop, and
+    between a letter of ASCII or Latin-1 and an ASCII mark other than the apostrophe, where they start a new piece. Each
+    distinct run is encoded once. A-Z before another ASCII character is lower-cased first (as these tokenizers do, and no
+    composition can be touched). Texts that may hold special tokens are only cut at white space.
     """
-    known = Cache(lambda runs: [np.array(e.ids, np.int32).tobytes() for e in tokenizer.encode_batch_fast([r.decode("utf-8") for r in runs], add_special_tokens=False)])
+    known = Cache(lambda runs: [array("i", e.ids).tobytes() for e in tokenizer.encode_batch_fast([r.decode("utf-8") for r in runs], add_special_tokens=False)], 250_000)
 
     def encode(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        n = len(offsets) - 1
+        spaced = np.full(len(data) + n, 32, np.uint8)  # a blank behind each text
+        for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            spaced[s + i : e + i] = data[s:e]
+        cut = np.zeros(len(spaced), dtype=bool)  # before this byte
         if b"<|" not in data.tobytes():
-            upper = (data >= 65) & (data <= 90)
-            upper[:-1] &= data[1:] < 128
-            data = data + upper.astype(np.uint8) * np.uint8(32)
-        spans, counts = [], []
-        for s, e in zip(offsets[:-1], offsets[1:]):
-            starts, ends = word_spans(data[s:e])
-            spans.append(np.stack([starts + s, ends + s]))
-            counts.append(len(starts))
-        starts, ends = np.concatenate(spans, axis=1) if spans else np.zeros((2, 0), np.int64)
-        # Arrow arrays hold adjoining spans, so the gaps between runs are entries too; they are dropped by taking every other.
-        bounds = np.stack([starts, ends], axis=1).reshape(-1).astype(np.int32)
-        every = pa.Array.from_buffers(pa.binary(), max(0, len(bounds) - 1), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
-        flat, lengths = ids_of_spans(every.take(pa.array(np.arange(0, len(bounds), 2))) if len(bounds) else every, known.ids)
-        last = np.append(0, np.cumsum(lengths))[np.cumsum(counts)]
+            upper = (spaced >= 65) & (spaced <= 90)
+            upper[:-1] &= spaced[1:] < 128
+            spaced = spaced + upper.astype(np.uint8) * np.uint8(32)
+            cut = script_cuts(spaced)
+        starts, ends = word_spans(spaced)
+        inner = np.flatnonzero(cut)
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+        # Arrow arrays hold adjoining spans: the gaps between runs are entries too, and are not taken.
+        bounds = np.sort(np.concatenate([starts, ends]))
+        bounds = bounds[np.append(True, bounds[1:] != bounds[:-1])].astype(np.int32) if len(bounds) else bounds.astype(np.int32)
+        every = pa.Array.from_buffers(pa.binary(), max(0, len(bounds) - 1), [None, pa.py_buffer(bounds), pa.py_buffer(spaced)])
+        flat, lengths = ids_of_spans(every.take(pa.array(np.searchsorted(bounds, starts))) if len(bounds) else every, known.ids)
+        behind = np.searchsorted(starts, offsets[1:] + np.arange(n))  # how many runs the texts so far have
+        last = np.append(0, np.cumsum(lengths))[behind]
         return [flat[a:b] for a, b in zip(np.append(0, last[:-1]), last)]
 
     return encode
 
 
+_encoders: dict[int, object] = {}
+
+
+def _encoder(spec: str):
+    """This worker's encoder for a tokenizer file, with what it has met in earlier tasks; one at a time is kept."""
+    key = zlib.crc32(spec.encode())
+    if key not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks are the parallelism; threads of its own cost memory
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_str(spec)
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        _encoders.clear()
+        _encoders[key] = word_encoder(tokenizer)
+    return _encoders[key]
+
+
 _CHUNKS = "part int, chunk int, first long, n_ids int, lead_start long, doc_starts array<long>, doc_ids array<{0}>, block binary"
 
 
@@ -101,12 +127,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | Non
         spec = file.read()
 
     def run(batches):
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_str(spec)
-        tokenizer.no_truncation()
-        tokenizer.no_padding()
-        encode = word_encoder(tokenizer)
+        encode = _encoder(spec)
         part, chunk, first, lead = TaskContext.get().partitionId(), 0, 0, -1
         held, size, starts, keys, end = [], 0, [], [], np.array([end_id], np.int32)
         position = 0  # of the next document's first id
@@ -127,7 +148,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | Non
         kinds = None
         for b in batches:
             kinds = kinds or [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(b.column(0).type), pa.binary()]
-            for at, data, offsets in text_groups(b.column(1)):
+            for at, data, offsets in text_groups(b.column(1), 4 << 20):
                 names = b.column(0).slice(at, len(offsets) - 1).to_pylist()
                 for name, ids in zip(names, encode(data, offsets), strict=True):
                     starts.append(position)

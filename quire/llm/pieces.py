@@ -10,9 +10,25 @@ import pyarrow as pa
 from .shared import SPACE_BYTES, word_spans
 
 
+_LETTERS = np.zeros(256, dtype=bool)
+_LETTERS[[*range(65, 91), *range(97, 123)]] = True
+_MARKS = np.zeros(256, dtype=bool)
+_MARKS[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) != "'"]] = True
+
+
+def script_cuts(data: np.ndarray) -> np.ndarray:
+    """For each byte, whether a pre-tokenizer surely begins a piece there: a letter of ASCII or Latin-1 and an ASCII mark
+    other than the apostrophe meet."""
+    letter, mark = _LETTERS[data], _MARKS[data]
+    latin, cut = np.zeros(len(data), dtype=bool), np.zeros(len(data), dtype=bool)
+    latin[1:] = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut[1:] = ((letter | latin)[:-1] & mark[1:]) | (mark[:-1] & letter[1:])
+    return cut
+
+
 def spaced_starts(data: np.ndarray) -> np.ndarray:
     """Starts of the units of one text, which together cover it: a run without ASCII white space with the one blank
-    before it, and what else there is of white space. White space before a run leaves its last character to itself, or to
+    before it, cut where letters and marks meet, and what else there is of white space. White space before a run leaves its last character to itself, or to
     the run if it is a blank; white space at the end stays whole.
     """
     starts, ends = word_spans(data)
@@ -22,11 +38,12 @@ def spaced_starts(data: np.ndarray) -> np.ndarray:
     blank[inner] = data[starts[inner] - 1] == 32
     before = np.concatenate(([0], ends[:-1])) if len(starts) else np.zeros(0, np.int64)
     gap = starts - before
-    parts = [starts - blank, before[(gap >= 2) | ((gap == 1) & ~blank)], starts[(gap >= 2) & ~blank] - 1]
+    parts = [starts - blank, np.flatnonzero(script_cuts(data)), before[(gap >= 2) | ((gap == 1) & ~blank)], starts[(gap >= 2) & ~blank] - 1]
     tail = int(ends[-1]) if len(ends) else 0
     if tail < n:
         parts.append(np.array([tail]))
-    return np.unique(np.concatenate(parts)).astype(np.int64)
+    out = np.sort(np.concatenate(parts)).astype(np.int64)
+    return out[np.append(True, out[1:] != out[:-1])] if len(out) else out
 
 
 def binary_array(data: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -42,20 +59,29 @@ def gather(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class Cache:
-    """ids (as int32 bytes) of pieces already met; it is emptied when it holds `most` of them."""
+    """ids (as int32 bytes) of pieces already met, in two generations of at most `most` pieces: what was not asked for
+    during a whole generation goes."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 200_000):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 100_000):
+        self.encode, self.most, self.young, self.old = encode, most, {}, {}
 
     def ids(self, pieces: list[bytes]) -> list[bytes]:
-        known = self.known
-        missing = [p for p in pieces if p not in known]
-        if missing:
-            if len(known) + len(missing) > self.most:
-                known.clear()
-                missing = pieces
-            known.update(zip(missing, self.encode(missing), strict=True))
-        return [known[p] for p in pieces]
+        out = list(map(self.young.get, pieces))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if not missing:
+            return out
+        found = [self.old.get(pieces[i]) for i in missing]
+        unknown = [i for i, x in zip(missing, found, strict=True) if x is None]
+        for i, x in zip(missing, found, strict=True):
+            out[i] = x
+        for at in range(0, len(unknown), 4096):
+            part = unknown[at : at + 4096]
+            for i, x in zip(part, self.encode([pieces[i] for i in part]), strict=True):
+                out[i] = x
+        if len(self.young) + len(missing) > self.most:
+            self.old, self.young = self.young, {}
+        self.young.update((pieces[i], out[i]) for i in missing)
+        return out
 
 
 def ids_of_spans(spans: pa.Array, ids: Callable[[list[bytes]], list[bytes]]) -> tuple[np.ndarray, np.ndarray]:

@@ -115,8 +115,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return np.zeros(0, np.uint64)
     lengths = ends - starts
     heads = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum()), dtype=np.int64) - np.repeat(heads, lengths)
-    values = data[place + np.repeat(starts, lengths)].astype(np.uint64) + np.uint64(1)
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    at = np.arange(int(lengths.sum()), dtype=kind)
+    place = at - np.repeat(heads.astype(kind), lengths)
+    values = data[at + np.repeat((starts - heads).astype(kind), lengths)].astype(np.uint64) + np.uint64(1)
     if int(lengths.max()) > len(_WEIGHTS):
         weights = mix((place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     else:
