@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
-import os
 import tempfile
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import Cache, binary_array, gather, ids_of_spans, spaced_starts
-from .shared import text_groups
+from .shared import stored, text_groups
 
 #: White space of the pre-tokenizer's pattern (fixed values).
 _WIDE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -63,21 +63,19 @@ class Vocabulary:
         parts = [self.single[b] for b in piece]
         if len(parts) > 64:
             return self._merge_long(parts)
-        merges, none = self.merges, (1 << 60, 0)
-        while len(parts) > 1:
-            found = [merges.get(p, none) for p in zip(parts, parts[1:])]
-            rank, new = min(found)
-            if rank == none[0]:
+        get, none = self.merges.get, (1 << 60, 0)
+        found = [get(p, none) for p in zip(parts, parts[1:])]  # (rank, merged id) of each neighbouring pair
+        while found:
+            least = min(found)
+            if least is none:
                 break
-            out, i, last = [], 0, len(parts) - 1
-            while i <= last:
-                if i < last and found[i][0] == rank:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
+            i = found.index(least)
+            parts[i : i + 2] = [least[1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((parts[i - 1], parts[i]), none)
+            if i < len(found):
+                found[i] = get((parts[i], parts[i + 1]), none)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
@@ -197,13 +195,11 @@ class Transducer:
 
 
 def mapped(block: bytes) -> np.ndarray:
-    """The block as a file in this worker's temporary folder, mapped into memory; workers of one executor share it."""
-    path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(block).hexdigest()[:24]}")
-    if not os.path.exists(path):
-        with tempfile.NamedTemporaryFile(dir=tempfile.gettempdir(), delete=False) as file:
-            file.write(block)
-        os.replace(file.name, path)
-    return np.memmap(path, np.uint8, "r")
+    """The block in an unnamed file of this worker, mapped into memory; nothing is left behind."""
+    with tempfile.TemporaryFile() as file:
+        file.write(block)
+        file.flush()
+        return np.memmap(file, np.uint8, "r")
 
 
 class Codec:
@@ -211,9 +207,15 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, block: np.ndarray | bytes):
         self.vocabulary, self.lexicon = vocabulary, Transducer(block)
-        self.unseen = Cache(lambda units: [np.array([i for p in split_pieces(u) for i in vocabulary.merge(p)], np.int32).tobytes() for u in units])
+        self.merged = Cache(lambda pieces: [array("i", vocabulary.merge(p)).tobytes() for p in pieces])
+        self.unseen = Cache(self._merge)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
+    def _merge(self, units: list[bytes]) -> list[bytes]:
+        parts = [split_pieces(u) for u in units]
+        made = iter(self.merged.ids([p for x in parts for p in x]))
+        return [b"".join(islice(made, len(x))) for x in parts]
+
     def ids(self, units: list[bytes]) -> list[bytes]:
         ranks = self.lexicon.ranks(pa.array(units, pa.binary()))
         out: list = [None] * len(units)
@@ -254,15 +256,16 @@ class Codec:
 
 
 def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
-    """The `most` most frequent units of all texts, from counts over the whole corpus.
+    """The most frequent units of all texts, at most `most`, from counts over the whole corpus.
 
-    Counts are summed by runs of texts in the workers, then by Spark; `most` bounds what reaches the driver.
+    Counts are summed by runs of texts in the workers, then by Spark. How many units have counts of each size tells from
+    where on they are few enough, so no more than `most` reach the driver, however many partitions there are.
     """
 
     def run(batches):
         for b in batches:
             tables = []
-            for _, data, offsets in text_groups(b.column(0)):
+            for _, data, offsets in text_groups(b.column(0), 3 << 20):
                 starts = [spaced_starts(data[s:e]) + s for s, e in zip(offsets[:-1], offsets[1:]) if e > s]
                 if starts:
                     found = pc.value_counts(binary_array(data, np.concatenate(starts)))
@@ -274,7 +277,29 @@ def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
                 yield from pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
 
     counts = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r.word) for r in counts.where((F.col("n") > 1) & (F.length("word") <= 64)).orderBy(F.desc("n"), "word").limit(most).collect()]
+    step = F.floor(F.log2("n") * 16)
+    counts = stored(counts.where((F.col("n") > 1) & (F.length("word") <= 64)), "words")
+    steps = sorted(((r.step, r.v) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("v")).collect()), reverse=True)
+    least = None
+    for at, v in steps:
+        most -= v
+        if most < 0:
+            break
+        least = at
+    return [] if least is None else sorted(bytes(r.word) for r in counts.where(step >= least).select("word").collect())
+
+
+_codecs: dict[int, tuple] = {}
+
+
+def _codec(shipped) -> Codec:
+    """This worker's codec for a broadcast, with what it has met in earlier tasks; one at a time is kept."""
+    key = id(shipped.value)
+    if key not in _codecs:
+        _codecs.clear()
+        vocabulary, block = shipped.value
+        _codecs[key] = (shipped.value, Codec(vocabulary, mapped(block)))  # the value too, so that its id stays taken
+    return _codecs[key][1]
 
 
 def bpe_round_trip(docs: DataFrame, path: str, most_words: int = 50_000) -> DataFrame:
@@ -292,10 +317,9 @@ def bpe_round_trip(docs: DataFrame, path: str, most_words: int = 50_000) -> Data
     shipped = spark.sparkContext.broadcast((vocabulary, Transducer.build(words)))
 
     def run(batches):
-        vocabulary, block = shipped.value
-        codec = Codec(vocabulary, mapped(block))
+        vocabulary, codec = shipped.value[0], _codec(shipped)
         for b in batches:
-            for first, data, offsets in text_groups(b.column(1)):
+            for first, data, offsets in text_groups(b.column(1), 3 << 20):
                 ids = codec.encode(data, offsets)
                 decoded = [vocabulary.decode(x).decode("utf-8") for x in ids]
                 packed = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
