@@ -40,12 +40,32 @@ def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return span_hashes(spaced, starts, ends) & _ID, np.cumsum(end, dtype=np.int32)[starts], row, np.arange(len(breaks)) - first[row]
 
 
+def text_shingles(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As line_words, with each text as one line, whatever its line ends, and its shingles of `words` words as tokens.
+    Fewer words: one shingle of them all, also of none."""
+    n, low = len(offsets) - 1, LOWER_BYTES[data]
+    spaced = np.full(len(data) + n, 10, np.uint8)
+    for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        spaced[s + i : e + i] = low[s:e]
+    starts, ends = word_spans(spaced)
+    row = np.searchsorted(offsets[1:] + np.arange(n), starts)
+    count = np.bincount(row, minlength=n)
+    place, left = np.arange(len(row)) - (np.cumsum(count) - count)[row], count[row]
+    hashes, first = np.append(span_hashes(spaced, starts, ends), np.zeros(words, np.uint64)), np.flatnonzero(place <= np.maximum(left - words, 0))
+    total = np.minimum(left[first], words).astype(np.uint64)
+    for j in range(words):
+        total += np.where(place[first] + j < left[first], hashes[first + j], np.uint64(0)) * (_spread(np.array([j + 1], np.uint64), 3)[0] | np.uint64(1))
+    bare = np.flatnonzero(count == 0)
+    tokens = mix(np.append(total, np.zeros(len(bare), np.uint64)))
+    return tokens & _ID, np.append(row[first], bare).astype(np.int32), np.arange(n), np.zeros(n, np.int64)
+
+
 class Lines:
     """The lines with words of some texts as sets of tokens, each ordered by level and id: rarest first. Without levels,
-    by id."""
+    by id. tokens: what tells lines and tokens, line_words or text_shingles."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray | None = None):
-        self.words, line, row, number = line_words(data, offsets)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray | None = None, tokens=line_words):
+        self.words, line, row, number = tokens(data, offsets)
         key = self.words if levels is None else (levels[(self.words >> np.uint64(56 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | self.words
         # Two sorts instead of one by two keys: of 64-bit integers, then a stable one of small integers.
         order = np.argsort(key)
@@ -84,7 +104,7 @@ def _texts(batch: pa.RecordBatch, most: int = 1 << 20):
         yield ids[first : first + len(offsets) - 1], keys[first : first + len(offsets) - 1], data, offsets
 
 
-def _scan(rows: DataFrame) -> DataFrame:
+def _scan(rows: DataFrame, tokens=line_words) -> DataFrame:
     """One pass over all texts, stored: the lines with words (kind 'l': k1, k2, id, line, key) and the words by bucket of
     tokens (kind 'b': k1 is the bucket, k2 the number), summed by runs of texts."""
 
@@ -102,7 +122,7 @@ def _scan(rows: DataFrame) -> DataFrame:
 
         for b in batches:
             for ids, keys, data, offsets in _texts(b):
-                x = Lines(data, offsets)
+                x = Lines(data, offsets, None, tokens)
                 if len(x.k1):
                     yield batch("l", x.k1, x.k2, ids[x.row], x.number, keys[x.row])
                     held.append((x.words >> np.uint64(56 - BUCKET_BITS)).astype(np.int32))
@@ -138,7 +158,7 @@ _ENTRY = ["slot", "k1", "extent", "id", "line"]
 _FEW = (2,)
 
 
-def _entries(rows: DataFrame, levels, threshold: float, sketches: tuple[int, ...], documents=None, only=None, whole: bool = False) -> DataFrame:
+def _entries(rows: DataFrame, levels, threshold: float, sketches: tuple[int, ...], documents=None, only=None, whole: bool = False, tokens=line_words) -> DataFrame:
     """An entry for each token of each line's prefix, once for equal lines of a run of texts (the earliest).
 
     A token that is in one line only has no partner and none is made. A list too long for one block is cut: a line is
@@ -154,7 +174,7 @@ def _entries(rows: DataFrame, levels, threshold: float, sketches: tuple[int, ...
             if documents is not None:
                 b = b.filter(pa.array(_marked(documents.value, _hashes(b.column("__key").to_numpy()))))
             for ids, _, data, offsets in _texts(b):
-                x = Lines(data, offsets, table)
+                x = Lines(data, offsets, table, tokens)
                 if not len(x.k1):
                     continue
                 order = np.lexsort((x.number, ids[x.row], x.k1))
@@ -175,14 +195,17 @@ def _entries(rows: DataFrame, levels, threshold: float, sketches: tuple[int, ...
                     many, slot = many[good], slot[good]
                 own, parity = line[many], x.parities(sketches)
                 extent = (x.size[own] << 32) | at[mine][many]
-                for i in range(0, len(many), 50_000):
-                    s = slice(i, i + 50_000)
+                # Entries with all tokens are many times as long: batches are bounded by them too.
+                weight = np.cumsum(x.size[own]) // 2_000_000 if whole else np.zeros(len(own), np.int64)
+                cuts = np.union1d(np.arange(0, len(many), 50_000), np.flatnonzero(np.diff(weight)) + 1).tolist()
+                for i, j in zip(cuts, [*cuts[1:], len(many)]):
+                    s = slice(i, j)
                     o = own[s]
                     columns = [slot[s], x.k1[o], extent[s], ids[x.row[o]], x.number[o].astype(np.int32), *[p[o] for p in parity]]
                     columns, names = [pa.array(c) for c in columns], [*_ENTRY, *[f"p{i}" for i in range(width)]]
                     if whole:
-                        tokens = gather((x.key & _ID).view(np.int64), x.first[o], x.size[o])
-                        columns += [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(x.size[o])).astype(np.int32)), pa.array(tokens))]
+                        values = gather((x.key & _ID).view(np.int64), x.first[o], x.size[o])
+                        columns += [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(x.size[o])).astype(np.int32)), pa.array(values))]
                         names += ["tokens"]
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -324,7 +347,7 @@ def _hashes(values: np.ndarray) -> np.ndarray:
     return np.array([xxh64_intdigest(k, 42) for k in values.view("V8").tolist()], np.uint64) if len(values) else np.zeros(0, np.uint64)
 
 
-def _matched(rows: DataFrame, pairs: DataFrame, first: DataFrame, levels, threshold: float) -> DataFrame:
+def _matched(rows: DataFrame, pairs: DataFrame, first: DataFrame, levels, threshold: float, tokens=line_words) -> DataFrame:
     """x, k1 and k2 of lines with an earlier line among their pairs(x, y) whose Jaccard similarity reaches the threshold.
 
     Sets of tokens are fetched for lines in pairs only: from the documents that hold the first of each (bitmaps of fixed
@@ -340,12 +363,12 @@ def _matched(rows: DataFrame, pairs: DataFrame, first: DataFrame, levels, thresh
         for b in batches:
             b = b.filter(pa.array(_marked(documents, _hashes(b.column("__key").to_numpy()))))
             for ids, _, data, offsets in _texts(b):
-                x = Lines(data, offsets, table)
+                x = Lines(data, offsets, table, tokens)
                 mine = np.flatnonzero(_marked(marks, _hashes(x.k1)))
                 if not len(mine):
                     continue
-                tokens = [(x.key[x.first[i] : x.first[i] + x.size[i]] & _ID).astype(np.int64) for i in mine.tolist()]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(x.size[mine])).astype(np.int32)), pa.array(np.concatenate(tokens)))
+                values = [(x.key[x.first[i] : x.first[i] + x.size[i]] & _ID).astype(np.int64) for i in mine.tolist()]
+                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(x.size[mine])).astype(np.int32)), pa.array(np.concatenate(values)))
                 yield pa.RecordBatch.from_arrays([pa.array(x.k1[mine]), pa.array(x.k2[mine]), pa.array(ids[x.row[mine]]), pa.array(x.number[mine].astype(np.int32)), lists], names=["k1", "k2", "id", "line", "tokens"])
 
     sets = rows.mapInArrow(run, "k1 long, k2 long, id long, line int, tokens array<long>")
@@ -358,6 +381,45 @@ def _matched(rows: DataFrame, pairs: DataFrame, first: DataFrame, levels, thresh
     return both.where(earlier & similar).select("x", F.col("x_k1").alias("k1"), F.col("x_k2").alias("k2")).distinct()
 
 
+def _earliest(rows: DataFrame, threshold: float, tokens=line_words) -> tuple[DataFrame, DataFrame]:
+    """The scan of rows(doc_id, __key, text), and key and line of each line that no earlier one matches."""
+    spark = rows.sparkSession
+    scan = _scan(rows, tokens)
+    levels = spark.sparkContext.broadcast(token_levels(scan))
+    first = stored(scan.where("kind = 'l'").groupBy("k1", "k2").agg(F.min(F.struct("id", "line", "key")).alias("place")), "first")
+
+    pairs = stored(_candidates(_entries(rows, levels, threshold, _FEW, tokens=tokens), threshold, _FEW, FIRST), "pairs")
+    matched = stored(_matched(rows, pairs.where("x <> y").select("x", "y").distinct(), first, levels, threshold, tokens), "matched").select("k1", "k2")
+    rest = stored(pairs.where("more").select("x", "slot").distinct().join(matched.select(F.col("k1").alias("x")).distinct(), "x", "left_anti"), "rest")
+    n = rest.count()
+    if n:
+        documents, slots, asking = None, None, None
+        if n * 16 <= BROADCAST_BYTES:  # else all lines are asked again
+            members = pairs.where("x = y").join(rest.select("slot").distinct(), "slot", "left_semi").select(F.col("x").alias("k"))
+            held = first.join(members.union(rest.select("x")).distinct(), F.col("k1") == F.col("k"), "left_semi").select(F.col("place.key").alias("k"))
+            table = rest.toArrow()
+            documents, slots, asking = (spark.sparkContext.broadcast(v) for v in (_bitmap(held), np.unique(table["slot"].to_numpy()), np.unique(table["x"].to_numpy())))
+        again = _candidates(_entries(rows, levels, threshold, _FEW, documents, slots, True, tokens), threshold, _FEW, 1, asking, True)
+        # A line may stand in a list by a later copy as well; the first places decide. The earliest match suffices for that.
+        fx, fy = (first.select(F.col("k1").alias(s), F.col("k2").alias(f"{s}2"), F.struct("place.id", "place.line", "k1").alias(f"{s}_at")) for s in ("x", "y"))
+        again = stored(again, "again").select("x", "y").distinct().join(fx, "x").join(fy, "y").where("y_at < x_at")
+        matched = matched.union(stored(again.select(F.col("x").alias("k1"), F.col("x2").alias("k2")).distinct(), "matched"))
+
+    return scan, first.join(matched.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select("place.key", "place.line")
+
+
+def near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """__key of each row of docs(doc_id, __key, text) that repeats an earlier one: the Jaccard similarity of their sets
+    of five-word shingles is `threshold` or more. Earlier means by doc_id, rows without id last, then by the set.
+
+    The join is that of line_dedup, with each text as one line: exact, whatever the texts' line ends. A null text is an
+    empty one, and all of these are copies. Rows of equal __key share their result.
+    """
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).max)).alias("doc_id"), "__key", F.coalesce("text", F.lit("")).alias("text"))
+    scan, kept = _earliest(rows, threshold, text_shingles)
+    return scan.where("kind = 'l'").select(F.col("key").alias("__key")).distinct().join(kept.select(F.col("key").alias("__key")), "__key", "left_anti")
+
+
 def line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """All columns of docs(doc_id, text, ...) with the text without repeated lines, and n_lines, n_removed and removed
     (their numbers from 0).
@@ -379,28 +441,7 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "removed", "__key")]).withColumn("__key", F.xxhash64("doc_id", "text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__key", "text").where(F.col("text").isNotNull())
-    scan = _scan(rows)
-    levels = spark.sparkContext.broadcast(token_levels(scan))
-    first = stored(scan.where("kind = 'l'").groupBy("k1", "k2").agg(F.min(F.struct("id", "line", "key")).alias("place")), "first")
-
-    pairs = stored(_candidates(_entries(rows, levels, threshold, _FEW), threshold, _FEW, FIRST), "pairs")
-    matched = stored(_matched(rows, pairs.where("x <> y").select("x", "y").distinct(), first, levels, threshold), "matched").select("k1", "k2")
-    rest = stored(pairs.where("more").select("x", "slot").distinct().join(matched.select(F.col("k1").alias("x")).distinct(), "x", "left_anti"), "rest")
-    n = rest.count()
-    if n:
-        documents, slots, asking = None, None, None
-        if n * 16 <= BROADCAST_BYTES:  # else all lines are asked again
-            members = pairs.where("x = y").join(rest.select("slot").distinct(), "slot", "left_semi").select(F.col("x").alias("k"))
-            held = first.join(members.union(rest.select("x")).distinct(), F.col("k1") == F.col("k"), "left_semi").select(F.col("place.key").alias("k"))
-            table = rest.toArrow()
-            documents, slots, asking = (spark.sparkContext.broadcast(v) for v in (_bitmap(held), np.unique(table["slot"].to_numpy()), np.unique(table["x"].to_numpy())))
-        again = _candidates(_entries(rows, levels, threshold, _FEW, documents, slots, True), threshold, _FEW, 1, asking, True)
-        # A line may stand in a list by a later copy as well; the first places decide. The earliest match suffices for that.
-        fx, fy = (first.select(F.col("k1").alias(s), F.col("k2").alias(f"{s}2"), F.struct("place.id", "place.line", "k1").alias(f"{s}_at")) for s in ("x", "y"))
-        again = stored(again, "again").select("x", "y").distinct().join(fx, "x").join(fy, "y").where("y_at < x_at")
-        matched = matched.union(stored(again.select(F.col("x").alias("k1"), F.col("x2").alias("k2")).distinct(), "matched"))
-
-    kept = first.join(matched.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select("place.key", "place.line")
+    scan, kept = _earliest(rows, threshold)
     kept = stored(kept.groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_set("line")).alias("kept")), "kept")
 
     # Documents that lose lines, with what they keep; no row for the others.
