@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
@@ -31,6 +32,8 @@ _OUT_WORDS = frozenset(
 )
 _HEAD_WORDS = frozenset({"header"})
 _MAIN_TAGS = frozenset({"article", "main"})
+#: Outside an article, a slot that so many different pages fill with the same words is taken for part of the frame.
+_SEEN = 3
 
 
 def host_of(url):
@@ -117,19 +120,24 @@ def tokens(page: str) -> list[tuple[str, str | None]]:
     return out
 
 
+def _digest(words: str) -> str:
+    return hashlib.blake2b(words.encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
 class Wrapper:
     """A union-free regular expression over the token streams of a host.
 
     A node is an element with its children in groups: a group of one child matches it once, or often where it repeats; a
     group of several is a repeated group of optional children. Children that some page lacks are optional. A text is a
-    slot, with the number of pages that have it, and its words as long as all pages agree.
+    slot, with the number of pages that have it, and, as long as all pages agree, a digest of its words and the least
+    digests of the pages that have it, _SEEN at most: copies of a page count once.
     """
 
-    __slots__ = ("pages", "groups", "children", "repeats", "slot", "fixed")
+    __slots__ = ("pages", "groups", "children", "repeats", "slot", "fixed", "seen")
 
     def __init__(self):
         self.pages, self.groups, self.children = 0, [], {}
-        self.repeats, self.slot, self.fixed = set(), 0, None
+        self.repeats, self.slot, self.fixed, self.seen = set(), 0, None, []
 
     @classmethod
     def of_page(cls, stream: list[tuple[str, str | None]]) -> Wrapper:
@@ -144,9 +152,11 @@ class Wrapper:
             last = path
             if text and not text.isspace():
                 texts.setdefault(path, []).append(text)
-        for path, parts in texts.items():
+        words = {path: " ".join(" ".join(parts).split()) for path, parts in texts.items()}
+        page = _digest("\n".join(x for both in sorted(words.items()) for x in both))
+        for path, own in words.items():
             node = root.node(path)
-            node.slot, node.fixed = 1, " ".join(" ".join(parts).split())[:200]
+            node.slot, node.fixed, node.seen = 1, _digest(own), [page]
         root._count()
         return root
 
@@ -198,6 +208,7 @@ class Wrapper:
                 self.children[sign] = child
         if other.slot:
             self.fixed = other.fixed if not self.slot else self.fixed if self.fixed == other.fixed else None
+            self.seen = sorted({*self.seen, *other.seen})[:_SEEN] if self.fixed else []
         self.slot += other.slot
         self.pages += other.pages
         self.repeats |= other.repeats
@@ -205,7 +216,7 @@ class Wrapper:
 
     def slots(self, path: str = ""):
         if self.slot:
-            yield path, self.slot, self.fixed is not None
+            yield path, len(self.seen) >= _SEEN
         for sign, child in self.children.items():
             yield from child.slots(f"{path}/{sign}")
 
@@ -218,32 +229,32 @@ class Wrapper:
         return "".join(one(g[0], True) if len(g) == 1 else "(" + "".join(one(s, False) for s in g) + ")+" for g in self.groups)
 
     def dump(self) -> list:
-        return [self.pages, self.groups, sorted(self.repeats), self.slot, self.fixed, {s: c.dump() for s, c in self.children.items()}]
+        return [self.pages, self.groups, sorted(self.repeats), self.slot, self.fixed, self.seen, {s: c.dump() for s, c in self.children.items()}]
 
     @classmethod
     def load(cls, data: list) -> Wrapper:
         out = cls()
-        out.pages, out.groups, repeats, out.slot, out.fixed, children = data
+        out.pages, out.groups, repeats, out.slot, out.fixed, out.seen, children = data
         out.repeats, out.children = set(repeats), {s: cls.load(c) for s, c in children.items()}
         return out
 
-    def roles(self, seen: int = 3) -> dict[str, int]:
-        """2 for slots of the article, 1 for slots of a page without one, 0 for the rest.
-
-        Outside an article, a slot that `seen` pages or more fill with the same words is part of the frame.
+    def roles(self) -> dict[str, int]:
+        """2 for slots of the article, 1 for slots of a page without one, 0 for the rest, and -1 for slots of a page without
+        one that _SEEN different pages or more fill with the same words: part of the frame, unless a page has nothing else.
         """
         out = {}
-        for path, pages, fixed in self.slots():
+        for path, agreed in self.slots():
             signs = path.split("/")[1:]
             first = next((i for i, s in enumerate(signs) if _is_main(s)), None)
             out_of = any(_outside(s) for s in signs) or any(_page_head(s) for s in signs[: len(signs) if first is None else first])
-            out[path] = 0 if out_of else 2 if first is not None else int(not (fixed and pages >= seen))
+            out[path] = 0 if out_of else 2 if first is not None else -1 if agreed else 1
         return out
 
 
 def main_text(stream: list[tuple[str, str | None]], roles: dict[str, int]) -> str:
-    """The texts of the article's slots; where the page has none with text, of those of pages without an article."""
-    for role in (2, 1):
+    """The texts of the article's slots; where the page has none with text, of those of pages without an article; where it
+    has none of them either, of those in which pages agree."""
+    for role in (2, 1, -1):
         parts = [" " if text is None else text if roles.get(path) == role else "" for path, text in stream]
         if found := " ".join("".join(parts).split()):
             return found

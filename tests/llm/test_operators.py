@@ -378,6 +378,16 @@ def test_frame_of_pages_without_article(spark):
     assert sorted(got) == [f"Own text {i}" for i in range(4)]
 
 
+def test_texts_that_begin_alike_or_are_copies_stay(spark):
+    lead, bottom = "The same lead of every text. " * 20, "<div class=bottom>All rights</div>"
+    pages = [(i, "http://d.example/", f"<div class=top>Same frame</div><p>{lead}Own end {i}</p>{bottom}") for i in range(4)]
+    pages += [(10 + i, "http://e.example/", f"<div class=top>Frame</div><p>One text</p>{bottom}") for i in range(4)]  # one page, four times
+    pages += [(20 + i, "http://f.example/", f"<nav>{i}</nav><p>Same text</p>{bottom}") for i in range(4)]  # nothing of their own
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3)).collect()}
+    assert all(got[i] == f"{lead}Own end {i}" for i in range(4))
+    assert all(got[10 + i] == "Frame One text All rights" and got[20 + i] == "Same text All rights" for i in range(4))
+
+
 def test_wrapper_is_a_union_free_expression():
     make = lambda x: wrappers.Wrapper.of_page(wrappers.tokens(x))
     w = make("<ul><li>a</li><li>b</li></ul><p>x</p>").merge(make("<ul><li>a</li></ul><h2>y</h2><p>z</p>"))
