@@ -46,10 +46,10 @@ def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.uniform_shards(_read(spark, sf_dir, "documents"), shards=8)
     text = F.coalesce(F.col("text"), F.lit(""))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    out = sharding.uniform_shards(docs, shards=8)
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size, crc = (F.octet_length(text) + 1).cast("long"), F.crc32(text.cast("binary"))
+    return out.select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

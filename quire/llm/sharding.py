@@ -67,21 +67,22 @@ def uniform_shards(df: DataFrame, shards: int = 8, seed: int = 42, bucket_rows:
     """df with shard (0 to shards - 1) and slot (gapless from 0 in each shard): a uniform random permutation, cut into
     shards whose row counts differ by one at most.
 
-    Stages: (1) rows get their partition's number and two random numbers and are written once to the shared folder, so
-    that a recomputation cannot draw anew; (2) the driver draws the communication matrix from the partitions' counts
-    (one row of `shards` integers for each input partition); (3) rows are permuted within their partition and its
-    first a[p, 0] rows go to shard 0, the next a[p, 1] to shard 1, ...; (4) they are exchanged by shard and by range of
-    the second random number, at most about `bucket_rows` together, and ordered there: no task sorts a whole shard.
+    Stages: (1) rows get two random numbers, are permuted within their partition by the first, get its number and their
+    place in it, and are written once to the shared folder, so that a recomputation cannot draw anew; (2) the driver
+    draws the communication matrix from the partitions' counts (one row of `shards` integers for each input partition);
+    (3) a partition's first a[p, 0] rows go to shard 0, the next a[p, 1] to shard 1, ...; (4) they are exchanged by
+    shard and by range of the second random number, at most about `bucket_rows` together, and ordered there: no task
+    sorts a whole shard. So whole rows are exchanged once.
 
     Any rows may repeat or hold nulls; keys play no part, so none is hot. An empty table gives an empty one. Columns of
     df named shard or slot are replaced.
     """
     spark = df.sparkSession
     kept = [c for c in df.columns if c not in ("shard", "slot")]
-    rows = stored(
-        df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.spark_partition_id().alias("part"), F.rand(seed).alias("r1"), F.rand(seed + 1).alias("r2")),
-        "shards",
-    )
+    drawn = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.rand(seed).alias("r1"), F.rand(seed + 1).alias("r2")).sortWithinPartitions("r1", "r2")
+    # In the lower 33 bits, the place in the partition.
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = stored(drawn.select("row", "r1", "r2", F.spark_partition_id().alias("part"), place.alias("at")), "shards")
     found = sorted((r.part, r.n) for r in rows.groupBy("part").agg(F.count("*").alias("n")).collect())
     total = sum(n for _, n in found)
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
@@ -89,8 +90,7 @@ def uniform_shards(df: DataFrame, shards: int = 8, seed: int = 42, bucket_rows:
     ends = [{"part": p, "ends": np.cumsum(row).tolist()} for (p, _), row in zip(found, matrix, strict=True)]
     plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(ends)), "array<struct<part:int,ends:array<bigint>>>")))
 
-    local = Window.partitionBy("part").orderBy("r1", "r2")
-    sent = rows.withColumn("at", F.row_number().over(local) - 1).join(F.broadcast(plan), "part")
+    sent = rows.join(F.broadcast(plan), "part")
     buckets = max(1, math.ceil(total / shards / bucket_rows))
     sent = sent.select("row", "r1", "r2", F.size(F.filter("ends", lambda e: e <= F.col("at"))).alias("shard"), F.floor(F.col("r2") * buckets).alias("bucket"))
 

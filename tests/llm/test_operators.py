@@ -356,6 +356,15 @@ def test_shards_of_equal_rows_and_of_none(spark, table, empty):
     assert sharding.uniform_shards(table, 8).count() == len(rows()) and sharding.uniform_shards(empty).count() == 0
 
 
+def test_sharding_query_shards_the_texts(spark, monkeypatch):
+    """Its digests are those of the rows that the operator gives."""
+    from quire.llm.queries import op6_sharding
+
+    whole = sharding.uniform_shards
+    monkeypatch.setattr(sharding, "uniform_shards", lambda df, **k: whole(df, **k).withColumn("text", F.lit("é")))
+    assert {(r.size, r.text_crc32) for r in op6_sharding(spark, "/root/testdata/sf0.001").collect()} == {(3, zlib.crc32("é".encode()))}
+
+
 # 7 HTML extraction
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p><p>no";</script></head><body><header><a href=/>Site</a></header>
