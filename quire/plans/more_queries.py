@@ -270,6 +270,18 @@ def f26_word_lines(spark, sf_dir):
     return checks.word_lines(t.select("doc_id", F.lit(1).alias("page"), (x + 10).alias("x_min"), (x + 45).alias("x_max"), y.alias("y_min"), (y + 10).alias("y_max"), "text"))
 
 
+@query(
+    """WITH w AS (SELECT conv_id AS doc_id, turn, turn // 8 + 1 AS page, list_filter(string_split(text, ' '), lambda x: x <> '') AS l FROM conversations)
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY turn) - 1 AS line, array_to_string(l, ' ') AS text, 10.0 AS x_min, (len(l) - 1) * 40.0 + 45 AS x_max, 10.0 AS size FROM w WHERE len(l) > 0"""
+)
+def f26_whole_word_lines(spark, sf_dir):
+    """All word boxes of the turns put together as lines, eight turns a page."""
+    t = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("i", "text"))
+    y, x = F.col("turn") * 30.0 + F.col("i") % 2, F.col("i") * 40.0
+    page = (F.floor(F.col("turn") / 8) + 1).cast("long")
+    return checks.word_lines(t.select("doc_id", page.alias("page"), (x + 10).alias("x_min"), (x + 45).alias("x_max"), y.alias("y_min"), (y + 10).alias("y_max"), "text"))
+
+
 @query(
     """WITH f AS (SELECT l_orderkey AS doc_id, min(l_linenumber) AS ord, l_suppkey AS s FROM lineitem GROUP BY l_orderkey, l_suppkey) SELECT doc_id, ord, 'Box of supplier number ' || s AS text FROM f
 WHERE s % 2 = 1 OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = doc_id AND contains('see the boxofsuppliernumber' || l_suppkey || '!', 'boxofsuppliernumber' || s) AND l_suppkey % 2 = 0)"""
