@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import latex, style
+from ..functions import formula, latex, structure, style
 from ..operators import checks, matching
+from ..sources import corpora
 from ..sources.corpora import corpus
-from .queries import _table, query
+from .queries import ORACLE_SQL, _table, query
 
 
 @query(
@@ -305,3 +306,62 @@ def j05_signature_diff(spark, sf_dir):
     names = F.array(F.lit("nation"), F.lit("balance"))
     labels = F.filter(F.zip_with(names, F.arrays_zip("signature", "other"), lambda n, z: F.when(z["signature"] != z["other"], n)), lambda x: x.isNotNull())
     return t.join(after, "id").select("id", F.get(labels, 0).alias("first_difference"))
+
+
+def _for_all_kinds(name: str, columns: str, kinds: str) -> str:
+    """The SQL of a query over some kinds of lines, and these columns for the lines of all others."""
+    source = f"({corpora.FORMULA_TEXT}) t" if name in ("c42_c44_formula_labels", "c55_c59_text_to_latex") else f"({corpora.OUTLINE}) t JOIN orders ON o_orderkey = id"
+    return f"SELECT * FROM ({ORACLE_SQL[name]}) UNION ALL SELECT {columns} FROM {source} WHERE kind NOT IN ({kinds})"
+
+
+@query(_for_all_kinds("c42_c44_formula_labels", "id, sub, text, '', text", "'equation', 'label'"))
+def c42_c44_formula_labels_all(spark, sf_dir):
+    """Equation numbers parted from their equations, and nothing from other lines."""
+    t = formula.trailing_labels("text")
+    return corpus(spark, sf_dir, "FORMULA_TEXT").select("id", "sub", t["body"].alias("body"), F.array_join(t["labels"], "|").alias("labels"), formula.without_labels("text").alias("stripped"))
+
+
+@query(_for_all_kinds("c32_c33_heading_numbers", "id, CASE kind WHEN 19 THEN (o_custkey % 40)::VARCHAR WHEN 21 THEN '12.5' ELSE '' END, CASE kind WHEN 19 THEN '种方案' WHEN 21 THEN 'MWh per day' ELSE trim(text) END", "0, 1, 2, 14, 15"))
+def c32_c33_heading_numbers_all(spark, sf_dir):
+    """Numbers parted from the rest of all lines, where they begin with one."""
+    p = structure.heading_parts("text")
+    return corpus(spark, sf_dir, "OUTLINE").select("id", p["number"].alias("number"), p["title"].alias("title"))
+
+
+@query(_for_all_kinds("d22_c34_captions", "id, 'none', trim(text)", "3, 4, 5, 6, 7"))
+def d22_c34_captions_all(spark, sf_dir):
+    """Captions told from all other lines, and their usual spacing."""
+    return corpus(spark, sf_dir, "OUTLINE").select("id", F.coalesce(structure.caption_kind("text"), F.lit("none")).alias("caption"), structure.spaced_caption("text").alias("spaced"))
+
+
+@query(
+    _for_all_kinds(
+        "c36_c38_contents_keys",
+        "id, CASE kind WHEN 17 THEN 'TODO:ORDER' ELSE upper(regexp_replace(text, '\\s+', '', 'g')) END, CASE kind WHEN 2 THEN o_custkey % 9 + 1 WHEN 19 THEN o_custkey % 40 WHEN 21 THEN 12 END::INT",
+        "0, 1, 14, 15, 20",
+    )
+)
+def c36_c38_contents_keys_all(spark, sf_dir):
+    """Keys and ordinals of all lines as contents lines."""
+    return corpus(spark, sf_dir, "OUTLINE").select("id", structure.toc_key("text").alias("key"), structure.toc_order("text")["ordinal"].alias("ordinal"))
+
+
+_LATEX = """CASE kind WHEN 'citation' THEN text WHEN 'label' THEN text WHEN 'dollar' THEN replace(replace(replace(text, ' ', ''), 'x', '\\mathrm{x}'), 'y', '\\mathrm{y}')
+WHEN 'prose' THEN '\\mathrm{Item}' || split_part(text, ' ', 2) || '\\mathrm{was}\\mathrm{sent}\\mathrm{by}\\mathrm{rail}'
+ELSE '\\text{分析结果表明},\\text{当}\\mathrm{f}(\\mathrm{x})=' || split_part(text, ' ', 4) || '\\text{时系统的收入明显高于成本};\\text{因此选择该模式进行约束优化}.' END"""
+
+
+@query(_for_all_kinds("c55_c59_text_to_latex", f"id, sub, text, '', {_LATEX}", "'equation', 'quantity'"))
+def c55_c59_text_to_latex_all(spark, sf_dir):
+    """All lines with the numbers of formulas apart, as LaTeX."""
+    n = latex.numbered("text")
+    return corpus(spark, sf_dir, "FORMULA_TEXT").select("id", "sub", n["body"].alias("body"), n["label"].alias("label"), latex.expression(n["body"]).alias("latex"))
+
+
+@query(
+    f"""SELECT id, CASE WHEN kind = 15 THEN 2 WHEN kind IN (0, 1, 2, 14) THEN o_custkey % 9 + 1 WHEN kind = 19 THEN o_custkey % 40 WHEN kind = 21 THEN 12 END::INT AS chapter,
+CASE kind WHEN 22 THEN 'A. Writer. On orders.' WHEN 19 THEN '种方案' ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS reference FROM ({corpora.OUTLINE}) t JOIN orders ON o_orderkey = id"""
+)
+def c54_c60_chapters_and_references_all(spark, sf_dir):
+    """Numbers of chapters, and all lines as references without theirs."""
+    return corpus(spark, sf_dir, "OUTLINE").select("id", latex.chapter("text").alias("chapter"), latex.reference("text").alias("reference"))
