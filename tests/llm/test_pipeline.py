@@ -62,3 +62,12 @@ def test_near_stage_goes_by_rows(spark):
 @pytest.mark.parametrize("n", [0, 1])
 def test_near_stage_of_little(spark, n):
     assert len(staged(spark, [(1, "one")][:n])) == n
+
+
+def test_benchmark_stage_goes_by_rows(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(12))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    data = [(None, f"so {item}"), (None, "clean"), (1, item), (1, "also clean"), (2, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], SCHEMA)
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([(None, "clean"), (1, "also clean"), (2, None)], key=str)
