@@ -2,98 +2,132 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from xxhash import xxh64_intdigest
 
 from .pieces import gather
-from .shared import BROADCAST_BYTES, LOWER_BYTES, mix, span_hashes, stored, text_groups, word_spans
+from .shared import BROADCAST_BYTES, LOWER_BYTES, dropped, fresh, mix, released, span_hashes, stored, text_groups, tidy, word_spans
 
 #: Tokens are known by 56 bits of their hash; their counts are kept by 2**BUCKET_BITS buckets of it, as a level of a byte.
 BUCKET_BITS = 24
+_CHUNK = 16  # bits of a bucket within its chunk
 _ID = np.uint64((1 << 56) - 1)
 #: A token in more lines than this has its list cut into blocks of about this many lines.
 BLOCK = 50_000
-#: Candidates of a line that are verified first; lines without a match among them go on to all of theirs.
+#: Candidates of a line and a list that are verified first; lines without a match among them go on to all of theirs.
 FIRST = 4
+#: Bytes of entries that one task holds at a time, about.
+HELD_BYTES = 8 << 20
 _LEAST = np.iinfo(np.int64).min
+_ENTRY = np.dtype([("slot", "<u8"), ("k1", "<i8"), ("id", "<i8"), ("p0", "<u8"), ("p1", "<u8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4")])
 
 
 def _spread(x: np.ndarray, seed: int) -> np.ndarray:
     return mix(x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
-def line_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token ids of all words (lower-cased, cut at ASCII white space), the line of each, and for each line its text's
-    row and its number in the text, from 0. Lines end at newlines only."""
-    n, low = len(offsets) - 1, LOWER_BYTES[data]
-    spaced = np.full(len(data) + n, 10, np.uint8)  # a line end behind each text
-    for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        spaced[s + i : e + i] = low[s:e]
-    starts, ends = word_spans(spaced)
-    end = spaced == 10
-    breaks = np.flatnonzero(end)
-    row = np.searchsorted(offsets[1:] + np.arange(n), breaks)
-    first = np.searchsorted(row, np.arange(n))
-    return span_hashes(spaced, starts, ends) & _ID, np.cumsum(end, dtype=np.int32)[starts], row, np.arange(len(breaks)) - first[row]
-
-
-def text_shingles(data: np.ndarray, offsets: np.ndarray, words: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """As line_words, with each text as one line, whatever its line ends, and its shingles of `words` words as tokens.
-    Fewer words: one shingle of them all, also of none."""
-    n, low = len(offsets) - 1, LOWER_BYTES[data]
-    spaced = np.full(len(data) + n, 10, np.uint8)
-    for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-        spaced[s + i : e + i] = low[s:e]
-    starts, ends = word_spans(spaced)
-    row = np.searchsorted(offsets[1:] + np.arange(n), starts)
-    count = np.bincount(row, minlength=n)
-    place, left = np.arange(len(row)) - (np.cumsum(count) - count)[row], count[row]
-    hashes, first = np.append(span_hashes(spaced, starts, ends), np.zeros(words, np.uint64)), np.flatnonzero(place <= np.maximum(left - words, 0))
-    total = np.minimum(left[first], words).astype(np.uint64)
-    for j in range(words):
-        total += np.where(place[first] + j < left[first], hashes[first + j], np.uint64(0)) * (_spread(np.array([j + 1], np.uint64), 3)[0] | np.uint64(1))
-    bare = np.flatnonzero(count == 0)
-    tokens = mix(np.append(total, np.zeros(len(bare), np.uint64)))
-    return tokens & _ID, np.append(row[first], bare).astype(np.int32), np.arange(n), np.zeros(n, np.int64)
+class LineWords:
+    """What a unit of a text and its tokens are: here its lines, and their words (lower-cased, cut at ASCII white space)."""
+
+    @staticmethod
+    def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Two independent hashes of all words, the line of each, and for each line its text's row and its number in
+        the text, from 0. Lines end at newlines only."""
+        n, low = len(offsets) - 1, LOWER_BYTES[data]
+        spaced = np.full(len(data) + n, 10, np.uint8)  # a line end behind each text
+        for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            spaced[s + i : e + i] = low[s:e]
+        starts, ends = word_spans(spaced)
+        end = spaced == 10
+        breaks = np.flatnonzero(end)
+        row = np.searchsorted(offsets[1:] + np.arange(n), breaks)
+        first = np.searchsorted(row, np.arange(n))
+        one, two = span_hashes(spaced, starts, ends, True)
+        return one & _ID, two, np.cumsum(end, dtype=np.int32)[starts], row, np.arange(len(breaks)) - first[row]
+
+    @staticmethod
+    def units(text: bytes) -> list[bytes]:
+        return text.split(b"\n")
+
+    @staticmethod
+    def words(unit: bytes) -> set:
+        return set(unit.lower().split())
+
+
+class TextShingles:
+    """As LineWords, with each text as one unit, whatever its line ends, and its shingles of five words as tokens. Fewer
+    words: one shingle of them all, also of none."""
+
+    WORDS = 5
+
+    @classmethod
+    def tokens(cls, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n, low, words = len(offsets) - 1, LOWER_BYTES[data], cls.WORDS
+        spaced = np.full(len(data) + n, 10, np.uint8)
+        for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            spaced[s + i : e + i] = low[s:e]
+        starts, ends = word_spans(spaced)
+        row = np.searchsorted(offsets[1:] + np.arange(n), starts)
+        count = np.bincount(row, minlength=n)
+        place, left = np.arange(len(row)) - (np.cumsum(count) - count)[row], count[row]
+        first = np.flatnonzero(place <= np.maximum(left - words, 0))
+        out = []
+        for hashes in span_hashes(spaced, starts, ends, True):
+            hashes = np.append(hashes, np.zeros(words, np.uint64))
+            total = np.minimum(left[first], words).astype(np.uint64)
+            for j in range(words):
+                total += np.where(place[first] + j < left[first], hashes[first + j], np.uint64(0)) * (_spread(np.array([j + 1], np.uint64), 3)[0] | np.uint64(1))
+            out.append(mix(np.append(total, np.zeros(int((count == 0).sum()), np.uint64))))
+        return out[0] & _ID, out[1], np.append(row[first], np.flatnonzero(count == 0)).astype(np.int32), np.arange(n), np.zeros(n, np.int64)
+
+    @staticmethod
+    def units(text: bytes) -> list[bytes]:
+        return [text]
+
+    @classmethod
+    def words(cls, unit: bytes) -> set:
+        w = unit.lower().split()
+        return set(zip(*(w[j:] for j in range(cls.WORDS)))) if len(w) >= cls.WORDS else {tuple(w)}
 
 
 class Lines:
-    """The lines with words of some texts as sets of tokens, each ordered by level and id: rarest first. Without levels,
-    by id. tokens: what tells lines and tokens, line_words or text_shingles."""
+    """The units with tokens of some texts as sets, each ordered by level and id: rarest first. Without levels, by id."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray | None = None, tokens=line_words):
-        self.words, line, row, number = tokens(data, offsets)
-        key = self.words if levels is None else (levels[(self.words >> np.uint64(56 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | self.words
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray | None = None, kind=LineWords):
+        words, other, line, row, number = kind.tokens(data, offsets)
+        key = words if levels is None else (levels[(words >> np.uint64(56 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | words
         # Two sorts instead of one by two keys: of 64-bit integers, then a stable one of small integers.
         order = np.argsort(key)
         order = order[np.argsort(line[order].astype(np.uint16 if len(row) < 1 << 16 else np.int32), kind="stable")]
-        key, line = key[order], line[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])) if len(key) else np.zeros(0, bool)
-        self.key, line = key[new], line[new]
+        key, line, other = key[order], line[order], other[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1]) | (other[1:] != other[:-1])) if len(key) else np.zeros(0, bool)
+        self.key, self.other, line = key[new], other[new], line[new]
         self.first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
         self.size = np.diff(np.append(self.first, len(line)))
         self.row, self.number = row[line[self.first]], number[line[self.first]]
-        self.k1 = self._sums(1)
-
-    def _sums(self, seed: int) -> np.ndarray:
-        return np.add.reduceat(_spread(self.key & _ID, seed), self.first).view(np.int64) if len(self.key) else np.zeros(0, np.int64)
+        self.k1 = np.add.reduceat(_spread(self.key & _ID, 1), self.first).view(np.int64) if len(self.key) else np.zeros(0, np.int64)
 
     @property
     def k2(self) -> np.ndarray:
-        """With k1, a 128-bit name of the set: sums over its tokens."""
-        return self._sums(2)
+        """With k1, the name of the set: sums over its tokens of two independent hashes, of 120 bits together."""
+        return np.add.reduceat(_spread(self.other, 2), self.first).view(np.int64) if len(self.key) else np.zeros(0, np.int64)
 
-    def parities(self, sketches: tuple[int, ...]) -> list[np.ndarray]:
-        """For each sketch of so many 64-bit words, the parities of a line's tokens in 64 classes a word."""
-        out = []
-        for i, words in enumerate(sketches):
-            bit = _spread(self.key & _ID, 11 + i) & np.uint64(64 * words - 1)
-            one, word = np.uint64(1) << (bit & np.uint64(63)), bit >> np.uint64(6)
-            out += [np.bitwise_xor.reduceat(np.where(word == w, one, np.uint64(0)), self.first).view(np.int64) if len(self.key) else np.zeros(0, np.int64) for w in range(words)]
-        return out
+    def distinct(self, ids: np.ndarray) -> np.ndarray:
+        """Whether a line is the earliest of its set here."""
+        keep = np.zeros(len(self.k1), bool)
+        order = np.lexsort((self.number, ids[self.row], self.k1))
+        keep[order[np.append(True, self.k1[order][1:] != self.k1[order][:-1])]] = True
+        return keep
+
+    def parities(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each line, the parities of its tokens in 128 classes."""
+        at = _spread(self.key & _ID, 11) & np.uint64(127)
+        one = np.uint64(1) << (at & np.uint64(63))
+        return tuple(np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == w, one, np.uint64(0)), self.first) if len(self.key) else one for w in (0, 1))
 
 
 def _texts(batch: pa.RecordBatch, most: int = 1 << 20):
@@ -104,84 +138,116 @@ def _texts(batch: pa.RecordBatch, most: int = 1 << 20):
         yield ids[first : first + len(offsets) - 1], keys[first : first + len(offsets) - 1], data, offsets
 
 
-def _scan(rows: DataFrame, tokens=line_words) -> DataFrame:
-    """One pass over all texts, stored: the lines with words (kind 'l': k1, k2, id, line, key) and the words by bucket of
-    tokens (kind 'b': k1 is the bucket, k2 the number), summed by runs of texts."""
+def _needed(size: np.ndarray, threshold: float) -> np.ndarray:
+    return np.ceil(threshold * size - 1e-9).astype(np.int64)
 
-    def batch(kind, k1, k2, ids, number, keys):
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(k1)), pa.array(k1), pa.array(k2), pa.array(ids), pa.array(number.astype(np.int32)), pa.array(keys)], names=["kind", "k1", "k2", "id", "line", "key"])
 
-    def run(batches):
-        held, size = [], 0
+def _scan(rows: DataFrame, threshold: float, kind) -> DataFrame:
+    """One pass over all texts, stored: the lines with words (kind 'l': k1, k2, id, line, key), the tokens of distinct
+    lines of a run of texts by chunk of buckets (kind 'b': k1 is the chunk, packed its buckets and their numbers), each
+    text's number of lines with words (kind 'd': k1 and key), and how many tokens all prefixes have (kind 'n', in k1)."""
+    names = ["kind", "k1", "k2", "id", "line", "key", "packed"]
 
-        def flush():
-            buckets, n = np.unique(np.concatenate(held), return_counts=True)
-            for i in range(0, len(buckets), 100_000):
-                k, zero = buckets[i : i + 100_000].astype(np.int64), np.zeros(len(buckets[i : i + 100_000]), np.int64)
-                yield batch("b", k, n[i : i + 100_000], zero, zero, zero)
+    def batch(mark, k1, k2, ids, number, keys, packed):
+        return pa.RecordBatch.from_arrays([pa.array([mark] * len(k1)), *(pa.array(v) for v in (k1, k2, ids)), pa.array(number.astype(np.int32)), pa.array(keys), pa.array(packed, pa.binary())], names=names)
 
+    def chunks(held):
+        buckets, n = np.unique(np.concatenate(held), return_counts=True)
+        part = buckets >> _CHUNK
+        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
+        zero = np.zeros(len(cuts) - 1, np.int64)
+        packed = [(buckets[i:j] & ((1 << _CHUNK) - 1)).astype("<u2").tobytes() + n[i:j].astype("<u4").tobytes() for i, j in zip(cuts[:-1], cuts[1:])]
+        return batch("b", part[cuts[:-1]].astype(np.int64), zero, zero, zero, zero, packed)
+
+    def run(batches):
+        held, size, prefixes = [], 0, 0
         for b in batches:
             for ids, keys, data, offsets in _texts(b):
-                x = Lines(data, offsets, None, tokens)
-                if len(x.k1):
-                    yield batch("l", x.k1, x.k2, ids[x.row], x.number, keys[x.row])
-                    held.append((x.words >> np.uint64(56 - BUCKET_BITS)).astype(np.int32))
-                    size += len(held[-1])
-                if size > 8_000_000:
-                    yield from flush()
+                x = Lines(data, offsets, None, kind)
+                zero = np.zeros(len(keys), np.int64)
+                yield batch("d", np.bincount(x.row, minlength=len(keys)), zero, zero, zero, keys, [None] * len(keys))
+                if not len(x.k1):
+                    continue
+                yield batch("l", x.k1, x.k2, ids[x.row], x.number, keys[x.row], [None] * len(x.k1))
+                one = x.distinct(ids)
+                prefixes += int((x.size - _needed(x.size, threshold) + 1)[one].sum())
+                held.append((x.key[np.repeat(one, x.size)] >> np.uint64(56 - BUCKET_BITS)).astype(np.int32))
+                size += len(held[-1])
+                if size > 2_000_000:
+                    yield chunks(held)
                     held, size = [], 0
         if size:
-            yield from flush()
+            yield chunks(held)
+        zero = np.zeros(1, np.int64)
+        yield batch("n", zero + prefixes, zero, zero, zero, zero, [None])
 
-    return stored(rows.mapInArrow(run, "kind string, k1 long, k2 long, id long, line int, key long"), "lines")
+    return stored(rows.mapInArrow(tidy(run), "kind string, k1 long, k2 long, id long, line int, key long, packed binary"), "lines")
 
 
 def token_levels(scan: DataFrame) -> np.ndarray:
-    """For each bucket of tokens, 0 if at most one word of all texts falls into it, else 1 + 4 log2 of their number.
+    """For each bucket of tokens, 0 if at most one line has a token of it, else 1 + 4 log2 of their number.
 
     It orders tokens by rarity over the whole corpus in a table whose size is fixed.
     """
-    counts = scan.where("kind = 'b'").groupBy(F.col("k1").cast("int").alias("bucket")).agg(F.sum("k2").alias("n")).where("n > 1")
-    table = counts.select("bucket", (F.floor(F.log2("n") * 4) + 1).cast("tinyint").alias("level")).toArrow()
-    levels = np.zeros(1 << BUCKET_BITS, np.uint8)
-    if table.num_rows:
-        levels[table["bucket"].to_numpy()] = table["level"].to_numpy()
-    return levels
-
-
-def _needed(size: np.ndarray, threshold: float) -> np.ndarray:
-    return np.ceil(threshold * size - 1e-9).astype(np.int64)
-
 
-_ENTRY = ["slot", "k1", "extent", "id", "line"]
-#: Words of each parity sketch of the entries.
-_FEW = (2,)
-
-
-def _entries(rows: DataFrame, levels, threshold: float, sketches: tuple[int, ...], documents=None, only=None, whole: bool = False, tokens=line_words) -> DataFrame:
-    """An entry for each token of each line's prefix, once for equal lines of a run of texts (the earliest).
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, packed in zip(b.column("chunk").to_pylist(), b.column("packed")):
+                raw = packed.as_buffer()
+                n = raw.size // 6
+                at = sums.setdefault(chunk, np.zeros(1 << _CHUNK, np.int64))
+                at[np.frombuffer(raw, "<u2", n)] += np.frombuffer(raw, "<u4", n, 2 * n)
+        for chunk, n in sums.items():
+            level = np.where(n > 1, np.floor(np.log2(np.maximum(n, 1)) * 4) + 1, 0).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([level.tobytes()])], names=["chunk", "level"])
+
+    parts = scan.where("kind = 'b'").select(F.col("k1").cast("int").alias("chunk"), "packed").repartition("chunk")
+    table = parts.mapInArrow(tidy(run), "chunk int, level binary").toArrow()
+    levels = np.zeros((1 << (BUCKET_BITS - _CHUNK), 1 << _CHUNK), np.uint8)
+    for chunk, level in zip(table["chunk"].to_pylist(), table["level"].to_pylist()):
+        levels[chunk] = np.frombuffer(level, np.uint8)
+    return levels.reshape(-1)
+
+
+def _entries(rows: DataFrame, levels, threshold: float, kind, buckets: int, documents=None, lists=None) -> DataFrame:
+    """An entry (_ENTRY) for each token of each line's prefix, once for equal lines of a run of texts (the earliest),
+    packed by bucket of lists.
 
     A token that is in one line only has no partner and none is made. A list too long for one block is cut: a line is
-    held in one block and asks in all. slot is the list's number with a lowest bit set for those that only ask, so that
-    they come behind in its order; extent is the set's size and the token's place. documents: marks of the documents to
-    read; only: the lists to fill; both as broadcast values. whole: with all tokens.
+    held in one block and asks in all. slot is the list's number with the lowest bit set for those that only ask; they
+    have rows of their own, which come behind. documents: marks of the ids to read; lists: of the lists to fill; both as
+    broadcast bitmaps. With these, all tokens are packed beside the entries.
     """
-    width = sum(sketches)
+    whole = lists is not None
+
+    def packed(held):
+        entries = np.concatenate([h[0] for h in held])
+        tokens = np.concatenate([h[1] for h in held]) if whole else None
+        group = _spread(entries["slot"] >> np.uint64(1), 9) % np.uint64(buckets) * np.uint64(2) + (entries["slot"] & np.uint64(1))
+        order = np.argsort(group, kind="stable")
+        group, heads = group[order], np.cumsum(entries["size"]) - entries["size"] if whole else None
+        cuts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+        out, sets = [], []
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            at = order[i:j]
+            out.append(entries[at].tobytes())
+            sets.append(gather(tokens, heads[at], entries["size"][at].astype(np.int64)).tobytes() if whole else None)
+        columns = [pa.array(group[cuts[:-1]].astype(np.int64)), pa.array(out, pa.binary()), pa.array(sets, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "entries", "tokens"])
 
     def run(batches):
-        table, wanted = levels.value, only.value if only is not None else None
+        table = levels.value
+        held, size = [], 0
         for b in batches:
             if documents is not None:
-                b = b.filter(pa.array(_marked(documents.value, _hashes(b.column("__key").to_numpy()))))
+                b = b.filter(pa.array(_marked(documents.value, _mark(b.column("doc_id").fill_null(_LEAST).to_numpy()))))
             for ids, _, data, offsets in _texts(b):
-                x = Lines(data, offsets, table, tokens)
+                x = Lines(data, offsets, table, kind)
                 if not len(x.k1):
                     continue
-                order = np.lexsort((x.number, ids[x.row], x.k1))
-                keep = np.zeros(len(order), bool)
-                keep[order[np.append(True, x.k1[order][1:] != x.k1[order][:-1])]] = True
                 at = np.arange(len(x.key)) - np.repeat(x.first, x.size)
-                mine = np.flatnonzero(np.repeat(keep, x.size) & (at < np.repeat(x.size - _needed(x.size, threshold) + 1, x.size)) & (x.key >> np.uint64(56) > 0))
+                mine = np.flatnonzero(np.repeat(x.distinct(ids), x.size) & (at < np.repeat(x.size - _needed(x.size, threshold) + 1, x.size)) & (x.key >> np.uint64(56) > 0))
                 line = np.repeat(np.arange(len(x.size)), x.size)[mine]
                 token, level = (x.key[mine] & _ID), (x.key[mine] >> np.uint64(56)).astype(np.float64)
                 blocks = np.maximum(1, np.ceil(2 ** (level / 4) / BLOCK)).astype(np.int64)
@@ -189,146 +255,194 @@ def _entries(rows: DataFrame, levels, threshold: float, sketches: tuple[int, ...
                 many = np.repeat(np.arange(len(mine)), blocks)
                 block = np.arange(len(many)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
                 slot = np.where(blocks[many] == 1, token[many] << np.uint64(1), _spread(token[many], 7) + (block.astype(np.uint64) << np.uint64(1)) & ~np.uint64(1))
-                slot = (slot | (block != home[many]).astype(np.uint64)).view(np.int64)
-                if wanted is not None:
-                    good = np.isin(slot & ~1, wanted)
+                slot = slot | (block != home[many]).astype(np.uint64)
+                if whole:
+                    good = _marked(lists.value, _mark((slot & ~np.uint64(1)).view(np.int64)))
                     many, slot = many[good], slot[good]
-                own, parity = line[many], x.parities(sketches)
-                extent = (x.size[own] << 32) | at[mine][many]
-                # Entries with all tokens are many times as long: batches are bounded by them too.
-                weight = np.cumsum(x.size[own]) // 2_000_000 if whole else np.zeros(len(own), np.int64)
-                cuts = np.union1d(np.arange(0, len(many), 50_000), np.flatnonzero(np.diff(weight)) + 1).tolist()
-                for i, j in zip(cuts, [*cuts[1:], len(many)]):
-                    s = slice(i, j)
-                    o = own[s]
-                    columns = [slot[s], x.k1[o], extent[s], ids[x.row[o]], x.number[o].astype(np.int32), *[p[o] for p in parity]]
-                    columns, names = [pa.array(c) for c in columns], [*_ENTRY, *[f"p{i}" for i in range(width)]]
-                    if whole:
-                        values = gather((x.key & _ID).view(np.int64), x.first[o], x.size[o])
-                        columns += [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(x.size[o])).astype(np.int32)), pa.array(values))]
-                        names += ["tokens"]
-                    yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    made = rows.mapInArrow(run, "slot long, k1 long, extent long, id long, line int" + "".join(f", p{i} long" for i in range(width)) + (", tokens array<long>" if whole else ""))
-    return made.repartition(F.shiftright("slot", 1)).sortWithinPartitions("slot")
-
-
-def _similar(tokens: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+                own = line[many]
+                # With all tokens an entry is many times as long.
+                weight = np.cumsum(x.size[own] * 8 + 52 if whole else np.full(len(own), 52))
+                cuts = np.append(np.flatnonzero(np.diff(weight // HELD_BYTES, prepend=-1)), len(own)) if len(own) else [0]
+                p0, p1 = x.parities()
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    o, e = own[i:j], np.zeros(j - i, _ENTRY)
+                    e["slot"], e["k1"], e["id"], e["line"], e["size"], e["at"] = slot[i:j], x.k1[o], ids[x.row[o]], x.number[o], x.size[o], at[mine][many[i:j]]
+                    e["p0"], e["p1"] = p0[o], p1[o]
+                    held.append((e, gather(x.key & _ID, x.first[o], x.size[o]) if whole else None))
+                    size += e.nbytes + (held[-1][1].nbytes if whole else 0)
+                    if size > HELD_BYTES:
+                        yield packed(held)
+                        held, size = [], 0
+        if size:
+            yield packed(held)
+
+    made = rows.mapInArrow(tidy(run), "part long, entries binary, tokens binary")
+    return made.repartition(F.shiftright("part", 1)).sortWithinPartitions("part")
+
+
+def _similar(tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
     """Whether the sets of each pair reach the threshold, token by token."""
     out, sizes = np.zeros(len(left), bool), np.fromiter(map(len, tokens), np.int64, len(tokens))
-    for at in range(0, len(left), 20_000):
-        a, b = left[at : at + 20_000], right[at : at + 20_000]
-        both = np.concatenate([*tokens[a], *tokens[b]])
+    low = 0
+    while low < len(left):
+        high = low + max(1, int(np.searchsorted(np.cumsum((sizes[left] + sizes[right])[low:]), 1_000_000)))
+        a, b = left[low:high], right[low:high]
+        both = np.concatenate([*(tokens[i] for i in a), *(tokens[i] for i in b)])
         pair = np.concatenate([np.repeat(np.arange(len(a)), sizes[a]), np.repeat(np.arange(len(b)), sizes[b])])
         order = np.lexsort((both, pair))
         both, pair = both[order], pair[order]
         shared = np.bincount(pair[1:][(both[1:] == both[:-1]) & (pair[1:] == pair[:-1])], minlength=len(a))
-        out[at : at + 20_000] = shared >= threshold * (sizes[a] + sizes[b] - shared) - 1e-9
+        out[low:high] = shared >= threshold * (sizes[a] + sizes[b] - shared) - 1e-9
+        low = high
     return out
 
 
-def _candidates(entries: DataFrame, threshold: float, sketches: tuple[int, ...], first: int, asking=None, whole: bool = False) -> DataFrame:
-    """x, y (k1 of a line and of an earlier one that may match it), slot, and more: whether x has others in the slot.
+_PAIR = "x long, xid long, xline int, y long, yid long, yline int, slot long, differ int, more boolean"
+
 
-    For each line and slot, the `first` earliest candidates are given: a group of near copies gives a number
-    of rows in proportion to its lines. A list where a line has more also gives its members, as rows with x = y. Length filter: sizes differ by the threshold at most. Positional filter: the
-    tokens after the shared one must suffice. Parity filter: two lines' parities differ in at most as many
-    bits as their sets in tokens. asking: the only x to answer for, sorted, as a broadcast value. whole: the
-    entries hold all tokens, pairs are compared by them before the first are taken.
+def _candidates(entries: DataFrame, threshold: float, first: int, asking=None) -> DataFrame:
+    """Pairs of a line x and an earlier one y that may match it (_PAIR): their k1 and places, the list, in how many of 128
+    parities they differ, and whether x has further candidates in the list.
+
+    For each line and list, the `first` candidates with the fewest different parities are given: a group of near copies
+    gives a number of rows in proportion to its lines. A list where a line has more also gives its members, as rows with
+    x = y. Equal lines of a list are one, the earliest. Length filter: sizes differ by the threshold at most. Positional
+    filter: the tokens after the shared one must suffice. Parity filter: two lines' parities differ in at most as many
+    bits as their sets in tokens. asking: a broadcast bitmap of the only x to answer for; the entries then come with all tokens,
+    pairs are compared by them before the first are taken, and members aren't given. For members, differ is the set's size.
     """
-    names = [*_ENTRY, *[f"p{i}" for i in range(sum(sketches))]]
-    heads = np.cumsum((0, *sketches))
-
-    def pairs(cols, left, right):
-        (a, b), (u, v) = ((cols[n][left], cols[n][right]) for n in ("size", "at"))
-        need = np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9)
-        good = (np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9) & (np.minimum(a - u, b - v) >= need)
-        at = np.flatnonzero(good)
-        left, right, most = left[at], right[at], (a + b - 2 * need)[at]
-        for low, high in zip(heads[:-1], heads[1:]):
-            differ = sum(np.bitwise_count((cols[p][left] ^ cols[p][right]).view(np.uint64)).astype(np.int64) for p in (f"p{i}" for i in range(low, high)))
-            at = np.flatnonzero(differ <= most)
-            left, right, most = left[at], right[at], most[at]
-        c = {n: (cols[n][left], cols[n][right]) for n in ("id", "line", "k1", "probe")}
-        later = (c["id"][0] > c["id"][1]) | ((c["id"][0] == c["id"][1]) & ((c["line"][0] > c["line"][1]) | ((c["line"][0] == c["line"][1]) & (c["k1"][0] > c["k1"][1]))))
-        x, y = np.where(later, left, right), np.where(later, right, left)
-        good = (c["k1"][0] != c["k1"][1]) & (later | (c["probe"][0] == 0))
+
+    def one(e: np.ndarray, tokens) -> tuple[np.ndarray, list | None]:
+        """Entries by list, equal lines of a list once."""
+        order = np.lexsort((e["line"], e["id"], e["k1"], e["slot"]))
+        e = e[order]
+        new = np.flatnonzero(np.append(True, (e["slot"][1:] != e["slot"][:-1]) | (e["k1"][1:] != e["k1"][:-1])))
+        return e[new], [tokens[i] for i in order[new].tolist()] if tokens is not None else None
+
+    def pairs(a: np.ndarray, b: np.ndarray, probing: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the pairs of entries pass all filters, whether the left one is later, and how parities differ."""
+        sa, sb = a["size"].astype(np.int64), b["size"].astype(np.int64)
+        need = np.ceil(threshold / (1 + threshold) * (sa + sb) - 1e-9)
+        good = np.flatnonzero((np.minimum(sa, sb) >= threshold * np.maximum(sa, sb) - 1e-9) & (np.minimum(sa - a["at"], sb - b["at"]) >= need))
+        a, b, most = a[good], b[good], (sa + sb - 2 * need)[good]
+        differ = np.bitwise_count(a["p0"] ^ b["p0"]).astype(np.int32) + np.bitwise_count(a["p1"] ^ b["p1"])
+        later = (a["id"] > b["id"]) | ((a["id"] == b["id"]) & ((a["line"] > b["line"]) | ((a["line"] == b["line"]) & (a["k1"] > b["k1"]))))
+        fine = (differ <= most) & (a["k1"] != b["k1"]) & (later | (not probing))
         if asking is not None:
-            good &= np.isin(cols["k1"][x], asking.value)
-        x, y = x[good], y[good]
-        if whole:
-            good = _similar(cols["tokens"], x, y, threshold)
-            x, y = x[good], y[good]
-        return x, y
-
-    def best(cols, x, y):
-        """The first candidates of each x (an entry; one slot)."""
+            fine &= _marked(asking.value, _mark(np.where(later, a["k1"], b["k1"])))
+        return good[fine], later[fine], differ[fine]
+
+    def best(found: list, held: np.ndarray) -> tuple:
+        """The first candidates of each x among found: (places of x, places of y in held, differ, more)."""
+        x, y, differ, more = (np.concatenate(z) for z in zip(*found, strict=True))
         if not len(x):
-            return x, y, np.zeros(0, bool)
-        order = np.lexsort((cols["line"][y], cols["id"][y], x))
-        x, y = x[order], y[order]
+            return x, y, differ, more
+        order = np.lexsort((held["line"][y], held["id"][y], differ, x))
+        x, y, differ, more = x[order], y[order], differ[order], more[order]
         head = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
         count = np.diff(np.append(head, len(x)))
-        rank = np.arange(len(x)) - np.repeat(head, count)
-        keep = rank < first
-        return x[keep], y[keep], np.repeat(count > first, count)[keep]
+        keep = np.arange(len(x)) - np.repeat(head, count) < first
+        more = np.repeat(np.logical_or.reduceat(more, head) | (count > first), count)
+        return x[keep], y[keep], differ[keep], more[keep]
+
+    def given(asks: np.ndarray, held: np.ndarray, x, y, differ, more) -> Iterator[pa.RecordBatch]:
+        a, b = asks[x], held[y]
+        if more.any() and asking is None:
+            own = held[np.isin(held["slot"], np.unique(a["slot"][more] & ~np.uint64(1)))]
+            a, b = np.concatenate([a, own]), np.concatenate([b, own])
+            differ, more = np.append(differ, own["size"]), np.append(more, np.zeros(len(own), bool))
+        for i in range(0, len(a), 50_000):
+            p, q = a[i : i + 50_000], b[i : i + 50_000]
+            columns = [p["k1"], p["id"], p["line"], q["k1"], q["id"], q["line"], (p["slot"] & ~np.uint64(1)).view(np.int64), differ[i : i + 50_000].astype(np.int32), more[i : i + 50_000]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[c.split()[0] for c in _PAIR.split(", ")])
+
+    def met(asks: np.ndarray, sets, held: np.ndarray, held_sets, probing: bool) -> Iterator[pa.RecordBatch]:
+        """The pairs of asks with held, both by list; held is asks itself if these don't only ask."""
+        if not len(held) or not len(asks):
+            return
+        slots, begin, count = np.unique(held["slot"], return_index=True, return_counts=True)
+        asked = asks["slot"] & ~np.uint64(1)
+        where = np.minimum(np.searchsorted(slots, asked), len(slots) - 1)
+        begins = begin[where]
+        many = np.where(slots[where] == asked, count[where] if probing else np.arange(len(asks)) - begins, 0)
+        ends, low = np.cumsum(many), 0
+        found, rows = [], 0
+        while low < len(asks):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 200_000, side="right")))
+            n = many[low:high]
+            left = np.repeat(np.arange(low, high), n)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins[low:high], n)
+            good, later, differ = pairs(asks[left], held[right], probing)
+            left, right = left[good], right[good]
+            if asking is not None and len(left):
+                same = _similar([*(sets[k] for k in left.tolist()), *(held_sets[k] for k in right.tolist())], np.arange(len(left)), np.arange(len(left)) + len(left), threshold)
+                left, right, later, differ = left[same], right[same], later[same], differ[same]
+            found.append((np.where(later, left, right), np.where(later, right, left), differ, np.zeros(len(left), bool)))
+            rows += len(left)
+            if rows > 200_000:
+                found = [best(found, held)]
+                rows = 0
+            low = high
+        yield from given(asks, held, *best(found, held))
+
+    def read(b: pa.RecordBatch, i: int) -> tuple[np.ndarray, list | None]:
+        e = np.frombuffer(b.column("entries")[i].as_buffer(), _ENTRY)
+        if asking is None:
+            return e, None
+        values, ends = np.frombuffer(b.column("tokens")[i].as_buffer(), np.uint64), np.cumsum(e["size"])
+        return e, np.split(values, ends[:-1])
 
     def run(batches):
-        held = None  # entries of the last slot that may go on
+        now, own, held, held_sets = None, [], None, None
+
+        def begun():
+            e = np.concatenate([o[0] for o in own])
+            return one(e, [t for o in own for t in o[1]] if asking is not None else None)
+
         for b in batches:
-            cols = {n: b.column(n).to_numpy().astype(np.int64) for n in names}
-            extent, slot = cols.pop("extent"), cols["slot"]
-            if whole:
-                offsets, values = b.column("tokens").offsets.to_numpy(), b.column("tokens").values.to_numpy()
-                cols["tokens"] = np.empty(len(slot), object)
-                cols["tokens"][:] = [values[i:j] for i, j in zip(offsets[:-1], offsets[1:])]
-            cols |= {"size": extent >> 32, "at": extent & 0xFFFFFFFF, "probe": slot & 1, "slot": slot & ~1}
-            carried = 0
-            if held is not None and len(held["slot"]):
-                if len(cols["slot"]) and cols["slot"][0] == held["slot"][0]:
-                    carried = len(held["slot"])
-                    cols = {n: np.concatenate([held[n], v]) for n, v in cols.items()}
-            n = len(cols["slot"])
-            if not n:
-                continue
-            start = np.flatnonzero(np.append(True, cols["slot"][1:] != cols["slot"][:-1]))
-            length = np.diff(np.append(start, n))
-            begin = np.repeat(start, length)
-            builds = np.repeat(np.add.reduceat((cols["probe"] == 0).astype(np.int64), start), length)
-            ask = np.minimum(np.arange(n) - begin, builds)
-            ask[:carried] = 0  # their pairs are made
-            ends = np.cumsum(ask)
-            low, found = 0, []
-            while low < n:
-                high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 2_000_000, side="right")))
-                many = ask[low:high]
-                left = np.repeat(np.arange(low, high), many)
-                right = np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(begin[low:high], many)
-                found.append(best(cols, *pairs(cols, left, right)))
-                low = high
-            x, y, more = (np.concatenate(z) for z in zip(*found, strict=True))
-            x2, y2, again = best(cols, x, y)
-            if len(x2):  # a mark of any of x's rows holds for x
-                marked = np.unique(x[more])
-                again |= np.isin(x2, marked)
-            if again.any() and not whole:
-                own = np.flatnonzero(np.isin(cols["slot"], np.unique(cols["slot"][x2[again]])) & (cols["probe"] == 0))
-                x2, y2, again = np.concatenate([x2, own]), np.concatenate([y2, own]), np.concatenate([again, np.zeros(len(own), bool)])
-            for i in range(0, len(x2), 50_000):
-                s = slice(i, i + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(cols["k1"][x2[s]]), pa.array(cols["k1"][y2[s]]), pa.array(cols["slot"][x2[s]]), pa.array(again[s])], names=["x", "y", "slot", "more"])
-            last = np.arange(start[-1], n)
-            last = last[cols["probe"][last] == 0]
-            held = {k: v[last] for k, v in cols.items()}
-
-    return entries.mapInArrow(run, "x long, y long, slot long, more boolean")
+            for i, part in enumerate(b.column("part").to_pylist()):
+                if part >> 1 != now:
+                    if own:
+                        held, held_sets = begun()
+                        yield from met(held, held_sets, held, held_sets, False)
+                    now, own, held, held_sets = part >> 1, [], None, None
+                if part & 1 == 0:
+                    own.append(read(b, i))
+                    continue
+                if own:
+                    held, held_sets = begun()
+                    own = []
+                    yield from met(held, held_sets, held, held_sets, False)
+                if held is not None:
+                    yield from met(*one(*read(b, i)), held, held_sets, True)
+        if own:
+            held, held_sets = begun()
+            yield from met(held, held_sets, held, held_sets, False)
+
+    return entries.mapInArrow(tidy(run), _PAIR)
+
+
+def _mark(*parts: np.ndarray) -> np.ndarray:
+    """A hash of integers, a column each."""
+    h = np.zeros(len(parts[0]), np.uint64)
+    for p in parts:
+        h = mix((h ^ p.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    return h
 
 
 def _bitmap(values: DataFrame, bits: int = 27) -> np.ndarray:
-    """2**bits marks, set at the top bits of the spread of the long column k: false ones are possible, misses aren't."""
-    at = F.shiftrightunsigned(F.xxhash64("k"), 64 - bits)
-    words = values.select(F.shiftright(at, 6).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int")).alias("b"))
-    table = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    """2**bits marks, set at the top bits of the hashes (_mark) of the rows' long columns: false ones are possible, misses aren't.
+
+    Tasks give only the words that they set; the driver holds the bitmap, whose size is fixed.
+    """
+    names = values.columns
+
+    def run(batches):
+        for b in batches:
+            at = _mark(*(b.column(n).to_numpy() for n in names)) >> np.uint64(64 - bits)
+            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["w", "b"])
+
+    table = values.mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     out = np.zeros(1 << (bits - 6), np.int64)
     if table.num_rows:
         out[table["w"].to_numpy()] = table["b"].to_numpy()
@@ -336,76 +450,108 @@ def _bitmap(values: DataFrame, bits: int = 27) -> np.ndarray:
 
 
 def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Whether each hash (of Spark's xxhash64) is marked."""
+    """Whether each hash is marked."""
     bits = int(len(bitmap)).bit_length() - 1 + 6
-    at = (hashes.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    at = (hashes >> np.uint64(64 - bits)).astype(np.int64)
     return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def _hashes(values: np.ndarray) -> np.ndarray:
-    """Spark's xxhash64 of a long column."""
-    return np.array([xxh64_intdigest(k, 42) for k in values.view("V8").tolist()], np.uint64) if len(values) else np.zeros(0, np.uint64)
-
+def _verified(rows: DataFrame, pairs: DataFrame, threshold: float, kind) -> DataFrame:
+    """x, xid and xline of the pairs (x, xid, xline, y, yid, yline) whose sets reach the threshold, compared word by word.
 
-def _matched(rows: DataFrame, pairs: DataFrame, first: DataFrame, levels, threshold: float, tokens=line_words) -> DataFrame:
-    """x, k1 and k2 of lines with an earlier line among their pairs(x, y) whose Jaccard similarity reaches the threshold.
-
-    Sets of tokens are fetched for lines in pairs only: from the documents that hold the first of each (bitmaps of fixed
-    size leave the others out), then by the join. They are compared token by token, so no filter decides.
+    The lines themselves are fetched, from the documents that hold them (bitmaps of fixed size leave the others out),
+    and meet in a join.
     """
     spark = rows.sparkSession
-    named = stored(pairs.select(F.col("x").alias("k")).union(pairs.select("y")).distinct(), "named")
-    held = first.join(named, first.k1 == named.k, "left_semi").select(F.col("place.key").alias("k"))
-    wanted = spark.sparkContext.broadcast((_bitmap(named), _bitmap(held)))
+    named = stored(pairs.select(F.col("x").alias("k"), F.col("xid").alias("id"), F.col("xline").alias("line")).union(pairs.select("y", "yid", "yline")).distinct(), "named")
+    marks = spark.sparkContext.broadcast((_bitmap(named.select("id")), _bitmap(named.select("id", F.col("line").cast("long")))))
 
     def run(batches):
-        (marks, documents), table = wanted.value, levels.value
+        documents, places = marks.value
         for b in batches:
-            b = b.filter(pa.array(_marked(documents, _hashes(b.column("__key").to_numpy()))))
+            b = b.filter(pa.array(_marked(documents, _mark(b.column("doc_id").fill_null(_LEAST).to_numpy()))))
             for ids, _, data, offsets in _texts(b):
-                x = Lines(data, offsets, table, tokens)
-                mine = np.flatnonzero(_marked(marks, _hashes(x.k1)))
+                units = [kind.units(bytes(data[s:e])) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                count = np.fromiter(map(len, units), np.int64, len(units))
+                id_of, number = np.repeat(ids, count), np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+                mine = np.flatnonzero(_marked(places, _mark(id_of, number)))
                 if not len(mine):
                     continue
-                values = [(x.key[x.first[i] : x.first[i] + x.size[i]] & _ID).astype(np.int64) for i in mine.tolist()]
-                lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(x.size[mine])).astype(np.int32)), pa.array(np.concatenate(values)))
-                yield pa.RecordBatch.from_arrays([pa.array(x.k1[mine]), pa.array(x.k2[mine]), pa.array(ids[x.row[mine]]), pa.array(x.number[mine].astype(np.int32)), lists], names=["k1", "k2", "id", "line", "tokens"])
-
-    sets = rows.mapInArrow(run, "k1 long, k2 long, id long, line int, tokens array<long>")
-    sets = stored(sets.groupBy("k1", "k2").agg(F.min(F.struct("id", "line")).alias("place"), F.first("tokens").alias("tokens")), "sets")
-    one, two = (sets.select(*[F.col(c).alias(f"{side}_{c}") for c in sets.columns]) for side in ("x", "y"))
-    both = pairs.select("x", "y").join(one, F.col("x") == F.col("x_k1")).join(two, F.col("y") == F.col("y_k1"))
-    shared = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    earlier = F.struct("y_place.id", "y_place.line", "y_k1") < F.struct("x_place.id", "x_place.line", "x_k1")
-    similar = shared >= F.lit(threshold) * (F.size("x_tokens") + F.size("y_tokens") - shared) - F.lit(1e-9)
-    return both.where(earlier & similar).select("x", F.col("x_k1").alias("k1"), F.col("x_k2").alias("k2")).distinct()
-
-
-def _earliest(rows: DataFrame, threshold: float, tokens=line_words) -> tuple[DataFrame, DataFrame]:
-    """The scan of rows(doc_id, __key, text), and key and line of each line that no earlier one matches."""
+                units = [u for own in units for u in own]
+                units = [units[i] for i in mine.tolist()]
+                joined = np.frombuffer(b"".join(units), np.uint8)
+                x = Lines(joined, np.append(0, np.cumsum([len(u) for u in units])), None, kind)
+                at = mine[x.row]
+                yield pa.RecordBatch.from_arrays([pa.array(x.k1), pa.array(id_of[at]), pa.array(number[at].astype(np.int32)), pa.array([units[r] for r in x.row.tolist()], pa.binary())], names=["k", "id", "line", "unit"])
+
+    units = rows.mapInArrow(tidy(run), "k long, id long, line int, unit binary").join(named, ["k", "id", "line"], "left_semi").dropDuplicates(["k", "id", "line"])
+    units = stored(units, "units")
+    one, two = (units.select(*[F.col(c).alias(f"{side}_{c}") for c in units.columns]) for side in ("x", "y"))
+    both = pairs.select("x", "xid", "xline", "y", "yid", "yline")
+    both = both.join(one, (F.col("x") == F.col("x_k")) & (F.col("xid") == F.col("x_id")) & (F.col("xline") == F.col("x_line")))
+    both = both.join(two, (F.col("y") == F.col("y_k")) & (F.col("yid") == F.col("y_id")) & (F.col("yline") == F.col("y_line")))
+
+    def compared(batches):
+        for b in batches:
+            good = []
+            for p, q in zip(b.column("x_unit"), b.column("y_unit")):
+                p, q = kind.words(p.as_py()), kind.words(q.as_py())
+                shared = len(p & q)
+                good.append(shared >= threshold * (len(p) + len(q) - shared) - 1e-9)
+            yield b.filter(pa.array(good, pa.bool_())).select(["x", "xid", "xline"])
+
+    out = stored(both.select("x", "xid", "xline", "x_unit", "y_unit").mapInArrow(compared, "x long, xid long, xline int").distinct(), "verified")
+    dropped(named, units)
+    return out
+
+
+def _earliest(rows: DataFrame, threshold: float, kind=LineWords) -> tuple[DataFrame, DataFrame]:
+    """Of rows(doc_id, __key, text): key and line of each line that no earlier one matches, and each row's key and number
+    of lines."""
     spark = rows.sparkSession
-    scan = _scan(rows, tokens)
+    scan = _scan(rows, threshold, kind)
     levels = spark.sparkContext.broadcast(token_levels(scan))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    prefixes = scan.where("kind = 'n'").agg(F.sum("k1")).first()[0] or 0
     first = stored(scan.where("kind = 'l'").groupBy("k1", "k2").agg(F.min(F.struct("id", "line", "key")).alias("place")), "first")
-
-    pairs = stored(_candidates(_entries(rows, levels, threshold, _FEW, tokens=tokens), threshold, _FEW, FIRST), "pairs")
-    matched = stored(_matched(rows, pairs.where("x <> y").select("x", "y").distinct(), first, levels, threshold, tokens), "matched").select("k1", "k2")
-    rest = stored(pairs.where("more").select("x", "slot").distinct().join(matched.select(F.col("k1").alias("x")).distinct(), "x", "left_anti"), "rest")
-    n = rest.count()
-    if n:
-        documents, slots, asking = None, None, None
-        if n * 16 <= BROADCAST_BYTES:  # else all lines are asked again
-            members = pairs.where("x = y").join(rest.select("slot").distinct(), "slot", "left_semi").select(F.col("x").alias("k"))
-            held = first.join(members.union(rest.select("x")).distinct(), F.col("k1") == F.col("k"), "left_semi").select(F.col("place.key").alias("k"))
-            table = rest.toArrow()
-            documents, slots, asking = (spark.sparkContext.broadcast(v) for v in (_bitmap(held), np.unique(table["slot"].to_numpy()), np.unique(table["x"].to_numpy())))
-        again = _candidates(_entries(rows, levels, threshold, _FEW, documents, slots, True, tokens), threshold, _FEW, 1, asking, True)
-        # A line may stand in a list by a later copy as well; the first places decide. The earliest match suffices for that.
-        fx, fy = (first.select(F.col("k1").alias(s), F.col("k2").alias(f"{s}2"), F.struct("place.id", "place.line", "k1").alias(f"{s}_at")) for s in ("x", "y"))
-        again = stored(again, "again").select("x", "y").distinct().join(fx, "x").join(fy, "y").where("y_at < x_at")
-        matched = matched.union(stored(again.select(F.col("x").alias("k1"), F.col("x2").alias("k2")).distinct(), "matched"))
-
-    return scan, first.join(matched.select("k1", "k2").distinct(), ["k1", "k2"], "left_anti").select("place.key", "place.line")
+    counts = stored(scan.where("kind = 'd'").groupBy("key").agg(F.max("k1").alias("n")), "counts")
+    dropped(scan)
+
+    def held(size: int) -> int:
+        return max(parts, -(-size // HELD_BYTES))
+
+    pairs = stored(_candidates(_entries(rows, levels, threshold, kind, held(prefixes * _ENTRY.itemsize)), threshold, FIRST), "pairs")
+    released(spark)
+    line, ends = ["x", "xid", "xline"], ["x", "xid", "xline", "y", "yid", "yline"]
+    near = stored(pairs.where("x <> y").groupBy(*ends).agg(F.min("differ").alias("differ")), "near")
+    closest = stored(near.groupBy(*line).agg(F.min(F.struct("differ", "y", "yid", "yline")).alias("c")).select(*line, "c.y", "c.yid", "c.yline"), "closest")
+    matched = _verified(rows, closest, threshold, kind)
+    others = stored(near.join(matched, line, "left_anti").join(closest, ends, "left_anti"), "others")
+    if others.limit(1).count():
+        matched = matched.union(_verified(rows, others, threshold, kind))
+
+    # Lines with more candidates than were given, and no match among these.
+    rest = stored(pairs.where("more").select(*line, "slot").distinct().join(matched, line, "left_anti"), "rest")
+    most = FIRST
+    while rest.limit(1).count():
+        members = stored(pairs.where("x = y").join(rest.select("slot").distinct(), "slot", "left_semi").select(F.col("xid").alias("id"), "differ"), "members")
+        size = members.agg(F.sum(F.col("differ") * F.lit(8).cast("long") + _ENTRY.itemsize)).first()[0] or 0
+        documents, lists, asking = (spark.sparkContext.broadcast(_bitmap(t)) for t in (members.select("id").union(rest.select("xid")).distinct(), rest.select("slot").distinct(), rest.select("x").distinct()))
+        again = stored(_candidates(_entries(rows, levels, threshold, kind, held(size), documents, lists), threshold, most, asking), "again")
+        matched = matched.union(_verified(rows, again.select(*ends).distinct(), threshold, kind))
+        dropped(rest, members)
+        rest, most = stored(again.where("more").select(*line, "slot").distinct().join(matched, line, "left_anti"), "rest"), most * 8
+    gone = matched.select(F.col("x").alias("k1"), F.struct(F.col("xid").alias("id"), F.col("xline").alias("line")).alias("at")).distinct()
+    kept = first.withColumn("at", F.struct("place.id", "place.line")).join(gone, ["k1", "at"], "left_anti")
+    kept = stored(kept.select("place.key", "place.line"), "kept")
+    dropped(first, pairs, near, closest, others, rest)
+    return kept, counts
+
+
+def _row_ids(docs: DataFrame):
+    """doc_id as a long; ids that aren't integers are ordered by their hash."""
+    whole = docs.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.col("doc_id").cast("long") if whole else F.xxhash64(F.col("doc_id").cast("string"))
 
 
 def near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -415,9 +561,9 @@ def near_copies(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     The join is that of line_dedup, with each text as one line: exact, whatever the texts' line ends. A null text is an
     empty one, and all of these are copies. Rows of equal __key share their result.
     """
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(np.iinfo(np.int64).max)).alias("doc_id"), "__key", F.coalesce("text", F.lit("")).alias("text"))
-    scan, kept = _earliest(rows, threshold, text_shingles)
-    return scan.where("kind = 'l'").select(F.col("key").alias("__key")).distinct().join(kept.select(F.col("key").alias("__key")), "__key", "left_anti")
+    rows = docs.select(F.when(F.col("doc_id").isNull(), F.lit(np.iinfo(np.int64).max)).otherwise(_row_ids(docs)).alias("doc_id"), "__key", F.coalesce("text", F.lit("")).alias("text"))
+    kept, counts = _earliest(rows, threshold, TextShingles)
+    return counts.select(F.col("key").alias("__key")).join(kept.select(F.col("key").alias("__key")), "__key", "left_anti")
 
 
 def line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -425,53 +571,56 @@ def line_dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     (their numbers from 0).
 
     A line is removed if an earlier line of any document, kept or not, has a set of words whose Jaccard similarity with
-    its own is `threshold` or more; earlier means by (doc_id, number of the line), null ids first. Words are cut at ASCII
-    white space and lower-cased (A-Z). Lines without words count for nothing and stay. A text left without any line is
-    empty; n_lines counts lines with words.
-
-    Equal sets are one class with its earliest line; classes are joined by their rare tokens (_entries, _candidates,
-    _matched). Tokens are compared by 56 bits of a hash. Lines that have further candidates and no match among the first
-    are asked again, with all candidates compared where their lists are; the driver names them if they take
-    BROADCAST_BYTES at most, else all lines are asked again.
-
-    Null texts stay null. Rows equal in doc_id and text share their result. An empty table gives an empty one. Columns
-    named n_lines, n_removed or removed are replaced. Texts are shuffled only for documents that lose lines, and only if
-    what these keep is too much to broadcast.
+    its own is `threshold` or more; earlier means by (doc_id, number of the line), null ids first; ids that aren't integers
+    are ordered by their hash. Words are cut at ASCII white space and lower-cased (A-Z). Lines without words count for
+    nothing and stay. A text left without any line is empty; n_lines counts lines with words.
+
+    Equal sets are one class with its earliest line, named by two independent hashes of its words (120 bits); classes are
+    joined by their rare tokens (_entries, _candidates), and each match is confirmed on the lines' words (_verified). Lines
+    that have further candidates and no match among the first are asked again, with all candidates compared where
+    their lists are.
+
+    Null texts stay null. Rows equal in doc_id and text share their result. An empty table gives an empty one. Long texts
+    and long lines are read whole; one line's tokens must fit in memory. Columns named n_lines, n_removed or removed are
+    replaced, all others stay, whatever their names. Texts are shuffled only for lines in pairs, and for documents that
+    lose lines if what these keep is too much to broadcast.
     """
     spark = docs.sparkSession
-    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_removed", "removed", "__key")]).withColumn("__key", F.xxhash64("doc_id", "text"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "__key", "text").where(F.col("text").isNotNull())
-    scan, kept = _earliest(rows, threshold)
-    kept = stored(kept.groupBy(F.col("key").alias("__key")).agg(F.sort_array(F.collect_set("line")).alias("kept")), "kept")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_removed", "removed")])
+    key, kept_lines, lost_mark = (fresh(docs, c) for c in ("__key", "__kept", "__lost"))
+    docs = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    rows = docs.select(_row_ids(docs).alias("doc_id"), F.col(key).alias("__key"), "text").where(F.col("text").isNotNull())
+    kept, counted = _earliest(rows, threshold)
+    kept = stored(kept.groupBy(F.col("key").alias(key)).agg(F.sort_array(F.collect_set("line")).alias(kept_lines)), "kept")
 
     # Documents that lose lines, with what they keep; no row for the others.
-    counted = scan.where("kind = 'l'").groupBy(F.col("key").alias("__key")).agg(F.countDistinct("line").alias("n"))
-    lost = counted.join(kept, "__key", "left").where(F.coalesce(F.size("kept"), F.lit(0)) < F.col("n"))
-    lost = stored(lost.select("__key", F.coalesce("kept", F.array().cast("array<int>")).alias("kept")), "lost")
-    size = lost.agg(F.sum(F.size("kept") * 4 + 40)).first()[0] or 0
+    lost = counted.withColumnRenamed("key", key).join(kept, key, "left").where(F.coalesce(F.size(kept_lines), F.lit(0)) < F.col("n"))
+    lost = stored(lost.select(key, F.coalesce(kept_lines, F.array().cast("array<int>")).alias(kept_lines)), "lost")
+    size = lost.agg(F.sum(F.size(kept_lines) * 4 + 40)).first()[0] or 0
+    dropped(kept)
 
     def cut(table: DataFrame, small: bool) -> DataFrame:
-        t = table.join(F.broadcast(lost) if small else lost, "__key", "left")
-        t = t.withColumn("removed", F.when(F.col("kept").isNotNull(), F.array_except(_line_numbers(F.col("text")), "kept")).otherwise(F.array().cast("array<int>")))
+        t = table.join(F.broadcast(lost) if small else lost, key, "left")
+        t = t.withColumn("removed", F.when(F.col(kept_lines).isNotNull(), F.array_except(_line_numbers(F.col("text")), kept_lines)).otherwise(F.array().cast("array<int>")))
         t = t.withColumn("n_lines", _line_count(F.col("text")))
         left = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("removed", i))
         t = t.withColumn("text", F.when(F.size("removed") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
-        return t.withColumn("n_removed", F.size("removed").cast("long")).drop("kept", "__key")
+        return t.withColumn("n_removed", F.size("removed").cast("long")).drop(kept_lines, key)
 
     if size <= BROADCAST_BYTES:
         return cut(docs, True)
-    marks = spark.sparkContext.broadcast(_bitmap(lost.select(F.col("__key").alias("k"))))
+    marks = spark.sparkContext.broadcast(_bitmap(lost.select(key)))
 
     @F.pandas_udf("boolean")
-    def loses(hashes):
+    def loses(keys):
         import pandas as pd
 
-        return pd.Series(_marked(marks.value, hashes.to_numpy()))
+        return pd.Series(_marked(marks.value, _mark(keys.to_numpy())))
 
-    flagged = docs.withColumn("__lost", loses(F.xxhash64("__key")))
-    whole = flagged.where(~F.col("__lost")).drop("__lost").withColumn("n_lines", _line_count(F.col("text")))
-    whole = whole.withColumn("removed", F.array().cast("array<int>")).withColumn("n_removed", F.lit(0).cast("long")).drop("__key")
-    return cut(flagged.where("__lost").drop("__lost"), False).unionByName(whole)
+    flagged = docs.withColumn(lost_mark, loses(key))
+    whole = flagged.where(~F.col(lost_mark)).drop(lost_mark).withColumn("n_lines", _line_count(F.col("text")))
+    whole = whole.withColumn("removed", F.array().cast("array<int>")).withColumn("n_removed", F.lit(0).cast("long")).drop(key)
+    return cut(flagged.where(lost_mark).drop(lost_mark), False).unionByName(whole)
 
 
 def _line_numbers(text):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -25,17 +28,39 @@ SPACE_BYTES[[9, 10, 11, 12, 13, 32]] = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (one machine)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all run on
+    this machine (local mode); else an error, since executors would write where nobody reads."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Paths written by this process and not deleted yet.
+_WRITTEN: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _clean() -> None:
+    """Intermediate tables go with the session, if it still runs."""
+    for path, spark in _WRITTEN.items():
+        with contextlib.suppress(Exception):
+            _delete(spark, path)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other call gets."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no other call gets; it is deleted when the process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN[path] = spark
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +68,44 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._stored_at)
+        _WRITTEN.pop(t._stored_at, None)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are gone: it does so when the driver collects its garbage."""
+    import gc
+
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def tidy(run):
+    """run(batches), which gives the memory it used back to the system at its end: Python workers live on between tasks."""
+
+    def out(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return out
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one if df has a column of that name already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
@@ -109,10 +171,10 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit multilinear hashes of non-empty byte spans: equal spans get equal hashes."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, two: bool = False):
+    """64-bit multilinear hashes of non-empty byte spans: equal spans get equal hashes. two: a pair of independent ones."""
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return (np.zeros(0, np.uint64),) * 2 if two else np.zeros(0, np.uint64)
     lengths = ends - starts
     heads = np.cumsum(lengths) - lengths
     kind = np.int32 if len(data) < 1 << 31 else np.int64
@@ -123,4 +185,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         weights = mix((place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
     else:
         weights = _WEIGHTS[place]
-    return mix(np.add.reduceat(values * weights, heads) + lengths.astype(np.uint64))
+    out = mix(np.add.reduceat(values * weights, heads) + lengths.astype(np.uint64))
+    if not two:
+        return out
+    values *= np.uint64(0xD6E8FEB86659FD93)
+    values ^= values >> np.uint64(32)
+    return out, mix(np.add.reduceat(values * weights, heads) ^ lengths.astype(np.uint64))

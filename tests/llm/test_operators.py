@@ -188,6 +188,29 @@ def test_line_dedup_without_broadcast(spark, table, monkeypatch):
     assert sorted((str(r.doc_id), str(r.text), r.n_removed, r.n_lines) for r in linededup.line_dedup(table).collect()) == expected
 
 
+def test_line_dedup_when_words_share_a_hash(spark, monkeypatch):
+    """With 6 bits of a token most lists and sets in them collide; the words themselves decide."""
+    monkeypatch.setattr(linededup, "_ID", np.uint64(63))
+    data = [(i, " ".join(f"t{i}x{j}" for j in range(4)), "en", "s", 0) for i in range(60)]
+    data += [(60, data[3][1].upper(), "en", "s", 0), (61, data[4][1], "en", "s", 0)]
+    got = {r.doc_id for r in linededup.line_dedup(spark.createDataFrame(data, SCHEMA).repartition(3)).collect() if r.n_removed}
+    assert got == {60, 61}
+
+
+def test_line_dedup_with_clashing_columns_and_string_ids(spark):
+    data = [(f"d{i}", "a b c d e\n" + f"own{i} line{i}", 7, 8, 9, "z") for i in range(4)]
+    docs = spark.createDataFrame(data, "doc_id string, text string, kept int, __key int, __kept int, N_removed string")
+    got = linededup.line_dedup(docs).collect()
+    assert len(got) == 4 and sum(r.n_removed for r in got) == 3 and all((r["kept"], r["__key"], r["__kept"]) == (7, 8, 9) for r in got)
+    assert all(r.text.endswith(f"own{r.doc_id[1:]} line{r.doc_id[1:]}") for r in got)
+
+
+def test_line_dedup_of_a_very_long_text(spark):
+    long = " ".join(f"w{i}" for i in range(300_000))
+    got = {r.doc_id: r for r in linededup.line_dedup(spark.createDataFrame([(0, long), (1, "x\n" + long + " more"), (2, None), (3, "")], "doc_id long, text string")).collect()}
+    assert got[1].text == "x" and got[0].text == long and got[2].text is None and got[3].text == ""
+
+
 def test_line_dedup_empty(empty):
     assert linededup.line_dedup(empty).count() == 0
 
