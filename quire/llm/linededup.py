@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import gather
-from .shared import BROADCAST_BYTES, LOWER_BYTES, dropped, fresh, mix, released, span_hashes, stored, text_groups, tidy, word_spans
+from .shared import BROADCAST_BYTES, dropped, fresh, mix, released, span_hashes, stored, text_groups, tidy, word_spans
 
 #: Tokens are known by 56 bits of their hash; their counts are kept by 2**BUCKET_BITS buckets of it, as a level of a byte.
 BUCKET_BITS = 24
@@ -30,6 +30,12 @@ def _spread(x: np.ndarray, seed: int) -> np.ndarray:
     return mix(x * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
 
 
+def _spaced(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The texts, lower-cased (A-Z), with a line end behind each."""
+    low = bytes(data).lower()
+    return np.frombuffer(b"\n".join([low[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]) + b"\n", np.uint8)
+
+
 class LineWords:
     """What a unit of a text and its tokens are: here its lines, and their words (lower-cased, cut at ASCII white space)."""
 
@@ -37,17 +43,14 @@ class LineWords:
     def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Two independent hashes of all words, the line of each, and for each line its text's row and its number in
         the text, from 0. Lines end at newlines only."""
-        n, low = len(offsets) - 1, LOWER_BYTES[data]
-        spaced = np.full(len(data) + n, 10, np.uint8)  # a line end behind each text
-        for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            spaced[s + i : e + i] = low[s:e]
+        n, spaced = len(offsets) - 1, _spaced(data, offsets)
         starts, ends = word_spans(spaced)
         end = spaced == 10
         breaks = np.flatnonzero(end)
         row = np.searchsorted(offsets[1:] + np.arange(n), breaks)
         first = np.searchsorted(row, np.arange(n))
         one, two = span_hashes(spaced, starts, ends, True)
-        return one & _ID, two, np.cumsum(end, dtype=np.int32)[starts], row, np.arange(len(breaks)) - first[row]
+        return one & _ID, two, np.repeat(np.arange(len(breaks), dtype=np.int32), np.diff(np.searchsorted(starts, breaks), prepend=0)), row, np.arange(len(breaks)) - first[row]
 
     @staticmethod
     def units(text: bytes) -> list[bytes]:
@@ -66,10 +69,7 @@ class TextShingles:
 
     @classmethod
     def tokens(cls, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        n, low, words = len(offsets) - 1, LOWER_BYTES[data], cls.WORDS
-        spaced = np.full(len(data) + n, 10, np.uint8)
-        for i, (s, e) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
-            spaced[s + i : e + i] = low[s:e]
+        n, spaced, words = len(offsets) - 1, _spaced(data, offsets), cls.WORDS
         starts, ends = word_spans(spaced)
         row = np.searchsorted(offsets[1:] + np.arange(n), starts)
         count = np.bincount(row, minlength=n)
@@ -130,7 +130,7 @@ class Lines:
         return tuple(np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == w, one, np.uint64(0)), self.first) if len(self.key) else one for w in (0, 1))
 
 
-def _texts(batch: pa.RecordBatch, most: int = 1 << 20):
+def _texts(batch: pa.RecordBatch, most: int = 1 << 19):
     """Runs of texts of batch(doc_id, __key, text): ids (least for null), keys, bytes and offsets."""
     ids = batch.column("doc_id").fill_null(_LEAST).to_numpy().astype(np.int64)
     keys = batch.column("__key").to_numpy()
@@ -312,27 +312,35 @@ def _candidates(entries: DataFrame, threshold: float, first: int, asking=None) -
     pairs are compared by them before the first are taken, and members aren't given. For members, differ is the set's size.
     """
 
-    def one(e: np.ndarray, tokens) -> tuple[np.ndarray, list | None]:
-        """Entries by list, equal lines of a list once."""
-        order = np.lexsort((e["line"], e["id"], e["k1"], e["slot"]))
+    def one(e: np.ndarray, tokens) -> dict:
+        """Columns of entries by list and size, equal lines of a list once."""
+        order = np.lexsort((e["line"], e["id"], e["k1"], e["size"], e["slot"] & ~np.uint64(1)))
         e = e[order]
-        new = np.flatnonzero(np.append(True, (e["slot"][1:] != e["slot"][:-1]) | (e["k1"][1:] != e["k1"][:-1])))
-        return e[new], [tokens[i] for i in order[new].tolist()] if tokens is not None else None
-
-    def pairs(a: np.ndarray, b: np.ndarray, probing: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which of the pairs of entries pass all filters, whether the left one is later, and how parities differ."""
-        sa, sb = a["size"].astype(np.int64), b["size"].astype(np.int64)
-        need = np.ceil(threshold / (1 + threshold) * (sa + sb) - 1e-9)
-        good = np.flatnonzero((np.minimum(sa, sb) >= threshold * np.maximum(sa, sb) - 1e-9) & (np.minimum(sa - a["at"], sb - b["at"]) >= need))
-        a, b, most = a[good], b[good], (sa + sb - 2 * need)[good]
-        differ = np.bitwise_count(a["p0"] ^ b["p0"]).astype(np.int32) + np.bitwise_count(a["p1"] ^ b["p1"])
-        later = (a["id"] > b["id"]) | ((a["id"] == b["id"]) & ((a["line"] > b["line"]) | ((a["line"] == b["line"]) & (a["k1"] > b["k1"]))))
-        fine = (differ <= most) & (a["k1"] != b["k1"]) & (later | (not probing))
+        slot = e["slot"] & ~np.uint64(1)
+        new = np.flatnonzero(np.append(True, (slot[1:] != slot[:-1]) | (e["k1"][1:] != e["k1"][:-1])))
+        out = {n: np.ascontiguousarray(e[n][new]) for n in _ENTRY.names}
+        out["slot"] = slot[new]
+        if tokens is not None:
+            out["tokens"] = [tokens[k] for k in order[new].tolist()]
+        return out
+
+    def pairs(a: dict, left: np.ndarray, b: dict, right: np.ndarray, probing: bool) -> tuple[np.ndarray, ...]:
+        """Of the pairs of entries, those that pass all filters: left, right, whether left is later, and how parities differ."""
+        sa, sb = a["size"][left], b["size"][right]
+        need = np.ceil(threshold / (1 + threshold) * (sa + sb) - 1e-9).astype(np.int32)
+        good = np.flatnonzero(np.minimum(sa - a["at"][left], sb - b["at"][right]) >= need)
+        left, right, most = left[good], right[good], (sa + sb - 2 * need)[good]
+        differ = np.bitwise_count(a["p0"][left] ^ b["p0"][right]).astype(np.int32) + np.bitwise_count(a["p1"][left] ^ b["p1"][right])
+        good = np.flatnonzero(differ <= most)
+        left, right, differ = left[good], right[good], differ[good]
+        (ia, ib), (la, lb), (ka, kb) = ((a[n][left], b[n][right]) for n in ("id", "line", "k1"))
+        later = (ia > ib) | ((ia == ib) & ((la > lb) | ((la == lb) & (ka > kb))))
+        good = (ka != kb) & (later | (not probing))
         if asking is not None:
-            fine &= _marked(asking.value, _mark(np.where(later, a["k1"], b["k1"])))
-        return good[fine], later[fine], differ[fine]
+            good &= _marked(asking.value, _mark(np.where(later, ka, kb)))
+        return left[good], right[good], later[good], differ[good]
 
-    def best(found: list, held: np.ndarray) -> tuple:
+    def best(found: list, held: dict) -> tuple:
         """The first candidates of each x among found: (places of x, places of y in held, differ, more)."""
         x, y, differ, more = (np.concatenate(z) for z in zip(*found, strict=True))
         if not len(x):
@@ -345,43 +353,47 @@ def _candidates(entries: DataFrame, threshold: float, first: int, asking=None) -
         more = np.repeat(np.logical_or.reduceat(more, head) | (count > first), count)
         return x[keep], y[keep], differ[keep], more[keep]
 
-    def given(asks: np.ndarray, held: np.ndarray, x, y, differ, more) -> Iterator[pa.RecordBatch]:
-        a, b = asks[x], held[y]
+    def given(asks: dict, held: dict, x, y, differ, more) -> Iterator[pa.RecordBatch]:
+        columns = [asks["k1"][x], asks["id"][x], asks["line"][x], held["k1"][y], held["id"][y], held["line"][y], asks["slot"][x].view(np.int64), differ.astype(np.int32), more]
         if more.any() and asking is None:
-            own = held[np.isin(held["slot"], np.unique(a["slot"][more] & ~np.uint64(1)))]
-            a, b = np.concatenate([a, own]), np.concatenate([b, own])
-            differ, more = np.append(differ, own["size"]), np.append(more, np.zeros(len(own), bool))
-        for i in range(0, len(a), 50_000):
-            p, q = a[i : i + 50_000], b[i : i + 50_000]
-            columns = [p["k1"], p["id"], p["line"], q["k1"], q["id"], q["line"], (p["slot"] & ~np.uint64(1)).view(np.int64), differ[i : i + 50_000].astype(np.int32), more[i : i + 50_000]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=[c.split()[0] for c in _PAIR.split(", ")])
-
-    def met(asks: np.ndarray, sets, held: np.ndarray, held_sets, probing: bool) -> Iterator[pa.RecordBatch]:
-        """The pairs of asks with held, both by list; held is asks itself if these don't only ask."""
-        if not len(held) or not len(asks):
+            own = np.flatnonzero(np.isin(held["slot"], np.unique(asks["slot"][x[more]])))
+            k, i, n = held["k1"][own], held["id"][own], held["line"][own]
+            columns = [np.concatenate(c) for c in zip(columns, [k, i, n, k, i, n, held["slot"][own].view(np.int64), held["size"][own], np.zeros(len(own), bool)])]
+        for i in range(0, len(columns[0]), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[i : i + 50_000]) for c in columns], names=[c.split()[0] for c in _PAIR.split(", ")])
+
+    def met(asks: dict, held: dict, probing: bool) -> Iterator[pa.RecordBatch]:
+        """The pairs of asks with held, both by list and size; held is asks itself if these don't only ask."""
+        n = len(asks["slot"])
+        if not n or not len(held["slot"]):
             return
-        slots, begin, count = np.unique(held["slot"], return_index=True, return_counts=True)
-        asked = asks["slot"] & ~np.uint64(1)
-        where = np.minimum(np.searchsorted(slots, asked), len(slots) - 1)
-        begins = begin[where]
-        many = np.where(slots[where] == asked, count[where] if probing else np.arange(len(asks)) - begins, 0)
-        ends, low = np.cumsum(many), 0
+        slots, number = np.unique(held["slot"], return_inverse=True)
+        place = number.astype(np.int64) << 32 | held["size"]
+        if probing:
+            mine = np.minimum(np.searchsorted(slots, asks["slot"]), len(slots) - 1)
+            there = slots[mine] == asks["slot"]
+        else:
+            mine, there = number, np.ones(n, bool)
+        mine = mine.astype(np.int64) << 32
+        begins = np.searchsorted(place, mine | _needed(asks["size"], threshold))
+        ends = np.searchsorted(place, mine | np.floor(asks["size"] / threshold + 1e-9).astype(np.int64), side="right") if probing else np.arange(n)
+        many = np.where(there, np.maximum(ends - begins, 0), 0)
+        total, low = np.cumsum(many), 0
         found, rows = [], 0
-        while low < len(asks):
-            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + 200_000, side="right")))
-            n = many[low:high]
-            left = np.repeat(np.arange(low, high), n)
-            right = np.arange(len(left)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begins[low:high], n)
-            good, later, differ = pairs(asks[left], held[right], probing)
-            left, right = left[good], right[good]
+        while low < n:
+            high = max(low + 1, int(np.searchsorted(total, (total[low - 1] if low else 0) + 200_000, side="right")))
+            k = many[low:high]
+            left = np.repeat(np.arange(low, high), k)
+            right = np.arange(len(left)) - np.repeat(np.cumsum(k) - k, k) + np.repeat(begins[low:high], k)
+            left, right, later, differ = pairs(asks, left, held, right, probing)
             if asking is not None and len(left):
-                same = _similar([*(sets[k] for k in left.tolist()), *(held_sets[k] for k in right.tolist())], np.arange(len(left)), np.arange(len(left)) + len(left), threshold)
+                both = [*(asks["tokens"][i] for i in left.tolist()), *(held["tokens"][i] for i in right.tolist())]
+                same = _similar(both, np.arange(len(left)), np.arange(len(left)) + len(left), threshold)
                 left, right, later, differ = left[same], right[same], later[same], differ[same]
             found.append((np.where(later, left, right), np.where(later, right, left), differ, np.zeros(len(left), bool)))
             rows += len(left)
             if rows > 200_000:
-                found = [best(found, held)]
-                rows = 0
+                found, rows = [best(found, held)], 0
             low = high
         yield from given(asks, held, *best(found, held))
 
@@ -393,31 +405,29 @@ def _candidates(entries: DataFrame, threshold: float, first: int, asking=None) -
         return e, np.split(values, ends[:-1])
 
     def run(batches):
-        now, own, held, held_sets = None, [], None, None
+        now, own, held = None, [], None
 
         def begun():
-            e = np.concatenate([o[0] for o in own])
-            return one(e, [t for o in own for t in o[1]] if asking is not None else None)
+            return one(np.concatenate([o[0] for o in own]), [t for o in own for t in o[1]] if asking is not None else None)
 
         for b in batches:
             for i, part in enumerate(b.column("part").to_pylist()):
                 if part >> 1 != now:
                     if own:
-                        held, held_sets = begun()
-                        yield from met(held, held_sets, held, held_sets, False)
-                    now, own, held, held_sets = part >> 1, [], None, None
+                        held = begun()
+                        yield from met(held, held, False)
+                    now, own, held = part >> 1, [], None
                 if part & 1 == 0:
                     own.append(read(b, i))
                     continue
                 if own:
-                    held, held_sets = begun()
-                    own = []
-                    yield from met(held, held_sets, held, held_sets, False)
+                    held, own = begun(), []
+                    yield from met(held, held, False)
                 if held is not None:
-                    yield from met(*one(*read(b, i)), held, held_sets, True)
+                    yield from met(one(*read(b, i)), held, True)
         if own:
-            held, held_sets = begun()
-            yield from met(held, held_sets, held, held_sets, False)
+            held = begun()
+            yield from met(held, held, False)
 
     return entries.mapInArrow(tidy(run), _PAIR)
 
@@ -431,9 +441,10 @@ def _mark(*parts: np.ndarray) -> np.ndarray:
 
 
 def _bitmap(values: DataFrame, bits: int = 27) -> np.ndarray:
-    """2**bits marks, set at the top bits of the hashes (_mark) of the rows' long columns: false ones are possible, misses aren't.
+    """At most 2**bits marks, about 64 or more for each 64 bits that are set, at the top bits of the hashes (_mark) of the rows' long
+    columns: false ones are possible, misses aren't.
 
-    Tasks give only the words that they set; the driver holds the bitmap, whose size is fixed.
+    Tasks give only the words that they set; the driver holds the bitmap, whose size is bounded.
     """
     names = values.columns
 
@@ -443,10 +454,16 @@ def _bitmap(values: DataFrame, bits: int = 27) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int32)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["w", "b"])
 
     table = values.mapInArrow(run, "w int, b long").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
+    full = np.zeros(1 << (bits - 6), np.uint64)
     if table.num_rows:
-        out[table["w"].to_numpy()] = table["b"].to_numpy()
-    return out
+        full[table["w"].to_numpy()] = table["b"].to_numpy().view(np.uint64)
+    own = min(bits, max(10, int(table.num_rows).bit_length() + 6))
+    if own < bits:  # few marks: a smaller map tells them apart as well
+        at = np.flatnonzero(np.unpackbits(full.view(np.uint8), bitorder="little")) >> (bits - own)
+        small = np.zeros(1 << own, np.uint8)
+        small[at] = 1
+        return np.packbits(small, bitorder="little").view(np.int64)
+    return full.view(np.int64)
 
 
 def _marked(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -502,6 +519,7 @@ def _verified(rows: DataFrame, pairs: DataFrame, threshold: float, kind) -> Data
 
     out = stored(both.select("x", "xid", "xline", "x_unit", "y_unit").mapInArrow(compared, "x long, xid long, xline int").distinct(), "verified")
     dropped(named, units)
+    marks.destroy()
     return out
 
 
@@ -540,11 +558,14 @@ def _earliest(rows: DataFrame, threshold: float, kind=LineWords) -> tuple[DataFr
         again = stored(_candidates(_entries(rows, levels, threshold, kind, held(size), documents, lists), threshold, most, asking), "again")
         matched = matched.union(_verified(rows, again.select(*ends).distinct(), threshold, kind))
         dropped(rest, members)
+        for b in (documents, lists, asking):
+            b.destroy()
         rest, most = stored(again.where("more").select(*line, "slot").distinct().join(matched, line, "left_anti"), "rest"), most * 8
     gone = matched.select(F.col("x").alias("k1"), F.struct(F.col("xid").alias("id"), F.col("xline").alias("line")).alias("at")).distinct()
     kept = first.withColumn("at", F.struct("place.id", "place.line")).join(gone, ["k1", "at"], "left_anti")
     kept = stored(kept.select("place.key", "place.line"), "kept")
     dropped(first, pairs, near, closest, others, rest)
+    levels.destroy()
     return kept, counts
 
 
