@@ -40,17 +40,17 @@ class LineWords:
     """What a unit of a text and its tokens are: here its lines, and their words (lower-cased, cut at ASCII white space)."""
 
     @staticmethod
-    def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Two independent hashes of all words, the line of each, and for each line its text's row and its number in
-        the text, from 0. Lines end at newlines only."""
+    def tokens(data: np.ndarray, offsets: np.ndarray, two: bool = True) -> tuple:
+        """Two independent hashes of all words (or None for the second), the line of each, and for each line its text's
+        row and its number in the text, from 0. Lines end at newlines only."""
         n, spaced = len(offsets) - 1, _spaced(data, offsets)
         starts, ends = word_spans(spaced)
         end = spaced == 10
         breaks = np.flatnonzero(end)
         row = np.searchsorted(offsets[1:] + np.arange(n), breaks)
         first = np.searchsorted(row, np.arange(n))
-        one, two = span_hashes(spaced, starts, ends, True)
-        return one & _ID, two, np.repeat(np.arange(len(breaks), dtype=np.int32), np.diff(np.searchsorted(starts, breaks), prepend=0)), row, np.arange(len(breaks)) - first[row]
+        one, other = span_hashes(spaced, starts, ends, True) if two else (span_hashes(spaced, starts, ends), None)
+        return one & _ID, other, np.repeat(np.arange(len(breaks), dtype=np.int32), np.diff(np.searchsorted(starts, breaks), prepend=0)), row, np.arange(len(breaks)) - first[row]
 
     @staticmethod
     def units(text: bytes) -> list[bytes]:
@@ -68,7 +68,7 @@ class TextShingles:
     WORDS = 5
 
     @classmethod
-    def tokens(cls, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def tokens(cls, data: np.ndarray, offsets: np.ndarray, two: bool = True) -> tuple:
         n, spaced, words = len(offsets) - 1, _spaced(data, offsets), cls.WORDS
         starts, ends = word_spans(spaced)
         row = np.searchsorted(offsets[1:] + np.arange(n), starts)
@@ -76,13 +76,13 @@ class TextShingles:
         place, left = np.arange(len(row)) - (np.cumsum(count) - count)[row], count[row]
         first = np.flatnonzero(place <= np.maximum(left - words, 0))
         out = []
-        for hashes in span_hashes(spaced, starts, ends, True):
+        for hashes in span_hashes(spaced, starts, ends, True) if two else (span_hashes(spaced, starts, ends),):
             hashes = np.append(hashes, np.zeros(words, np.uint64))
             total = np.minimum(left[first], words).astype(np.uint64)
             for j in range(words):
                 total += np.where(place[first] + j < left[first], hashes[first + j], np.uint64(0)) * (_spread(np.array([j + 1], np.uint64), 3)[0] | np.uint64(1))
             out.append(mix(np.append(total, np.zeros(int((count == 0).sum()), np.uint64))))
-        return out[0] & _ID, out[1], np.append(row[first], np.flatnonzero(count == 0)).astype(np.int32), np.arange(n), np.zeros(n, np.int64)
+        return out[0] & _ID, out[1] if two else None, np.append(row[first], np.flatnonzero(count == 0)).astype(np.int32), np.arange(n), np.zeros(n, np.int64)
 
     @staticmethod
     def units(text: bytes) -> list[bytes]:
@@ -95,17 +95,18 @@ class TextShingles:
 
 
 class Lines:
-    """The units with tokens of some texts as sets, each ordered by level and id: rarest first. Without levels, by id."""
+    """The units with tokens of some texts as sets, each ordered by level and id: rarest first. Without levels, by id, and
+    with the second hashes."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, levels: np.ndarray | None = None, kind=LineWords):
-        words, other, line, row, number = kind.tokens(data, offsets)
+        words, other, line, row, number = kind.tokens(data, offsets, levels is None)
         key = words if levels is None else (levels[(words >> np.uint64(56 - BUCKET_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | words
         # Two sorts instead of one by two keys: of 64-bit integers, then a stable one of small integers.
         order = np.argsort(key)
         order = order[np.argsort(line[order].astype(np.uint16 if len(row) < 1 << 16 else np.int32), kind="stable")]
-        key, line, other = key[order], line[order], other[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1]) | (other[1:] != other[:-1])) if len(key) else np.zeros(0, bool)
-        self.key, self.other, line = key[new], other[new], line[new]
+        key, line = key[order], line[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (line[1:] != line[:-1])) if len(key) else np.zeros(0, bool)
+        self.key, self.other, line = key[new], other[order][new] if other is not None else None, line[new]
         self.first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(line) else np.zeros(0, np.int64)
         self.size = np.diff(np.append(self.first, len(line)))
         self.row, self.number = row[line[self.first]], number[line[self.first]]
@@ -210,6 +211,15 @@ def token_levels(scan: DataFrame) -> np.ndarray:
     return levels.reshape(-1)
 
 
+def _held_by(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, object]:
+    """The rows that may have one of the ids(id), least for null: a join with them if they take BROADCAST_BYTES at most, else all rows and a broadcast
+    bitmap of the ids."""
+    ids = stored(ids.distinct(), "ids")
+    if ids.count() * 16 > BROADCAST_BYTES:
+        return rows, rows.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    return rows.join(F.broadcast(ids), F.coalesce("doc_id", F.lit(_LEAST)) == F.col("id"), "left_semi"), None
+
+
 def _entries(rows: DataFrame, levels, threshold: float, kind, buckets: int, documents=None, lists=None) -> DataFrame:
     """An entry (_ENTRY) for each token of each line's prefix, once for equal lines of a run of texts (the earliest),
     packed by bucket of lists.
@@ -481,17 +491,18 @@ def _verified(rows: DataFrame, pairs: DataFrame, threshold: float, kind) -> Data
     """
     spark = rows.sparkSession
     named = stored(pairs.select(F.col("x").alias("k"), F.col("xid").alias("id"), F.col("xline").alias("line")).union(pairs.select("y", "yid", "yline")).distinct(), "named")
-    marks = spark.sparkContext.broadcast((_bitmap(named.select("id")), _bitmap(named.select("id", F.col("line").cast("long")))))
+    places = spark.sparkContext.broadcast(_bitmap(named.select("id", F.col("line").cast("long"))))
+    rows, documents = _held_by(rows, named.select("id"))
 
     def run(batches):
-        documents, places = marks.value
         for b in batches:
-            b = b.filter(pa.array(_marked(documents, _mark(b.column("doc_id").fill_null(_LEAST).to_numpy()))))
+            if documents is not None:
+                b = b.filter(pa.array(_marked(documents.value, _mark(b.column("doc_id").fill_null(_LEAST).to_numpy()))))
             for ids, _, data, offsets in _texts(b):
                 units = [kind.units(bytes(data[s:e])) for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 count = np.fromiter(map(len, units), np.int64, len(units))
                 id_of, number = np.repeat(ids, count), np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-                mine = np.flatnonzero(_marked(places, _mark(id_of, number)))
+                mine = np.flatnonzero(_marked(places.value, _mark(id_of, number)))
                 if not len(mine):
                     continue
                 units = [u for own in units for u in own]
@@ -519,7 +530,9 @@ def _verified(rows: DataFrame, pairs: DataFrame, threshold: float, kind) -> Data
 
     out = stored(both.select("x", "xid", "xline", "x_unit", "y_unit").mapInArrow(compared, "x long, xid long, xline int").distinct(), "verified")
     dropped(named, units)
-    marks.destroy()
+    for b in (places, documents):
+        if b is not None:
+            b.destroy()
     return out
 
 
@@ -554,12 +567,14 @@ def _earliest(rows: DataFrame, threshold: float, kind=LineWords) -> tuple[DataFr
     while rest.limit(1).count():
         members = stored(pairs.where("x = y").join(rest.select("slot").distinct(), "slot", "left_semi").select(F.col("xid").alias("id"), "differ"), "members")
         size = members.agg(F.sum(F.col("differ") * F.lit(8).cast("long") + _ENTRY.itemsize)).first()[0] or 0
-        documents, lists, asking = (spark.sparkContext.broadcast(_bitmap(t)) for t in (members.select("id").union(rest.select("xid")).distinct(), rest.select("slot").distinct(), rest.select("x").distinct()))
-        again = stored(_candidates(_entries(rows, levels, threshold, kind, held(size), documents, lists), threshold, most, asking), "again")
+        lists, asking = (spark.sparkContext.broadcast(_bitmap(t)) for t in (rest.select("slot").distinct(), rest.select("x").distinct()))
+        some, documents = _held_by(rows, members.select("id").union(rest.select("xid")))
+        again = stored(_candidates(_entries(some, levels, threshold, kind, held(size), documents, lists), threshold, most, asking), "again")
         matched = matched.union(_verified(rows, again.select(*ends).distinct(), threshold, kind))
         dropped(rest, members)
         for b in (documents, lists, asking):
-            b.destroy()
+            if b is not None:
+                b.destroy()
         rest, most = stored(again.where("more").select(*line, "slot").distinct().join(matched, line, "left_anti"), "rest"), most * 8
     gone = matched.select(F.col("x").alias("k1"), F.struct(F.col("xid").alias("id"), F.col("xline").alias("line")).alias("at")).distinct()
     kept = first.withColumn("at", F.struct("place.id", "place.line")).join(gone, ["k1", "at"], "left_anti")
