@@ -83,19 +83,21 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _OP1 = f"""
-WITH t AS (SELECT doc_id, {_WORDS} AS w, string_split(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(10)) AS lines FROM documents),
+WITH t AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 phrase(p, label) AS (VALUES {", ".join(f"({p.split()!r}, '{label}')" for p, label in licenses.PHRASES.items())}),
 spot AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1 : i + len(p)] = p)) AS i FROM t, phrase),
 base AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list_distinct(list(label)) AS labels FROM spot GROUP BY doc_id),
-template(label, words) AS (VALUES {", ".join(f"('{label}', {sorted(set(x.split()))!r})" for label, x in licenses.TEMPLATES)}),
-line AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS block FROM t),
-met AS (SELECT doc_id, block, label, t.words AS words, len(list_intersect(l.words, t.words)) / len(t.words) AS c FROM (SELECT doc_id, block, list_distinct(regexp_extract_all(line, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) AS words FROM line) l, template t WHERE len(list_intersect(l.words, t.words)) >= ceil({licenses.CONTAINMENT} * len(t.words) - 1e-9)),
-narrow AS (SELECT * FROM met a WHERE NOT EXISTS (SELECT 1 FROM met b WHERE a.doc_id = b.doc_id AND a.block = b.block AND len(a.words) < len(b.words) AND list_has_all(b.words, a.words))),
-own AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(c) AS best FROM narrow GROUP BY doc_id)
+template(id, label, words, wide) AS (VALUES {", ".join(f"({i}, '{label}', {sorted(set(x.split()))!r}, {licenses.block_words(x)})" for i, (label, x) in enumerate(licenses.TEMPLATES))}),
+sized AS (SELECT *, ceil({licenses.CONTAINMENT} * len(words) - 1e-9) AS need FROM template),
+met AS (SELECT doc_id, w, id, label, words, wide, need FROM t, sized WHERE len(list_intersect(list_distinct(w), words)) >= need),
+block AS (SELECT doc_id, id, label, words, wide, s, len(list_intersect(list_distinct(w[s + 1 : s + wide]), words)) AS n, need FROM (SELECT *, unnest(list_filter(range(len(w)), lambda i: list_contains(words, w[i + 1]))) AS s FROM met) m),
+good AS (SELECT * FROM block WHERE n >= need),
+narrow AS (SELECT * FROM good a WHERE NOT EXISTS (SELECT 1 FROM good b WHERE a.doc_id = b.doc_id AND len(a.words) < len(b.words) AND list_has_all(b.words, a.words) AND b.s < a.s + a.wide AND a.s < b.s + b.wide)),
+own AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(n / len(words)) AS best FROM narrow GROUP BY doc_id)
 SELECT t.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ','), '') AS labels,
-  (CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(best, 0) END)::DOUBLE AS score
+  coalesce(best, 0)::DOUBLE AS score
 FROM t LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
