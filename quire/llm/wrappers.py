@@ -6,12 +6,13 @@ import hashlib
 import html as entities
 import json
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import BROADCAST_BYTES, stored
+from .shared import BROADCAST_BYTES, stored, tidy
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|object|svg|math|select|button)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"""
@@ -47,11 +48,21 @@ def _sign(name: str, attributes: str) -> str:
     return ".".join([name, *marks])
 
 
-def _outside(sign: str) -> bool:
+def _outside(sign: str) -> int:
+    """2 for an element that is surely no part of an article: by its tag, or a class, id or role that is one such word; 1 if
+    such a word is a part of a longer name (`share-price`), which the text it holds may outweigh; else 0."""
     name, *marks = sign.split(".")
     if name in _OUT_TAGS:
-        return True
-    return name not in ("html", "body", "article", "main") and any(w.lower() in _OUT_WORDS for m in marks for w in _PARTS.findall(m))
+        return 2
+    if name in ("html", "body", "article", "main"):
+        return 0
+    found = 0
+    for mark in marks:
+        if mark.lower() in _OUT_WORDS:
+            return 2
+        if any(w.lower() in _OUT_WORDS for w in _PARTS.findall(mark)):
+            found = 1
+    return found
 
 
 def _page_head(sign: str) -> bool:
@@ -64,21 +75,33 @@ def _is_main(sign: str) -> bool:
     return name in _MAIN_TAGS or name not in ("html", "body") and "main" in marks
 
 
-def tokens(page: str) -> list[tuple[str, str | None]]:
-    """(path, text) of each text of a page in order, and (path, None) where a block or line ends.
+def tokens(page: str) -> tuple[list[tuple[int, str | None]], list[tuple[int, str]]]:
+    """(place, text) of each text of a page in order, and (place, None) where a block or line ends; and the places' parents
+    and signs.
 
-    A path is the signs of the open elements, without inline ones (unless they mark a region); elements that are left
-    open end where HTML ends them. Comments, scripts, styles and the like give nothing; character references are decoded.
+    A place is the open elements, without inline ones (unless they mark a region), numbered as they are met: 0 is none
+    open. Elements that are left open end where HTML ends them. Comments, scripts, styles and the like give nothing;
+    character references are decoded.
     """
-    out: list[tuple[str, str | None]] = []
-    stack: list[tuple[str, str]] = []  # (name, path up to here)
+    out: list[tuple[int, str | None]] = []
+    places: list[tuple[int, str]] = [(-1, "")]
+    number: dict[tuple[int, str], int] = {}
+    stack: list[tuple[str, int]] = []  # (name, place up to here)
+    opened: Counter[str] = Counter()
     signs: dict[tuple[str, str], str] = {}
-    path, at = "", 0
+    path, at = 0, 0
 
     def text(part: str) -> None:
         if part:
             out.append((path, entities.unescape(part) if "&" in part else part))
 
+    def close_to(name: str) -> None:
+        while True:
+            last = stack.pop()[0]
+            opened[last] -= 1
+            if last == name:
+                return
+
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
@@ -90,33 +113,46 @@ def tokens(page: str) -> list[tuple[str, str | None]]:
         name, attributes, closing = name.lower(), (m[4] or m[7] or ""), bool(m[2] or m[5])
         inline = name in _INLINE
         if closing:
-            if any(x == name for x, _ in stack):
-                while stack.pop()[0] != name:
-                    pass
-                path = stack[-1][1] if stack else ""
+            if opened[name] > 0:
+                close_to(name)
+                path = stack[-1][1] if stack else 0
         elif name not in _VOID:
             if name == "body":
                 while stack and stack[-1][0] != "html":
-                    stack.pop()
-            elif not inline and any(x == "p" for x, _ in stack):
-                while stack.pop()[0] != "p":
-                    pass
-            elif name in _ENDS:
+                    opened[stack.pop()[0]] -= 1
+            elif not inline and opened["p"] > 0:
+                close_to("p")
+            elif name in _ENDS and any(opened[x] > 0 for x in _ENDS[name]):
                 for i in range(len(stack) - 1, -1, -1):
                     if stack[i][0] in _ENDS[name]:
+                        for x, _ in stack[i:]:
+                            opened[x] -= 1
                         del stack[i:]
                         break
                     if stack[i][0] in _SCOPES:
                         break
-            path = stack[-1][1] if stack else ""
+            path = stack[-1][1] if stack else 0
             sign = signs.get((name, attributes)) or signs.setdefault((name, attributes), _sign(name, attributes))
             if not inline or _outside(sign):
-                path = f"{path}/{sign}"
+                key = (path, sign)
+                if key not in number:
+                    number[key] = len(places)
+                    places.append(key)
+                path = number[key]
             if not attributes.endswith("/"):
                 stack.append((name, path))
+                opened[name] += 1
         if not inline:
             out.append((path, None))
     text(page[at:])
+    return out, places
+
+
+def path_names(places: list[tuple[int, str]]) -> list[str]:
+    """A short name for each place: a digest of its parent's and its sign."""
+    out = [""]
+    for parent, sign in places[1:]:
+        out.append(hashlib.blake2b(f"{out[parent]}/{sign}".encode("utf-8", "surrogatepass"), digest_size=9).hexdigest())
     return out
 
 
@@ -129,69 +165,86 @@ class Wrapper:
 
     A node is an element with its children in groups: a group of one child matches it once, or often where it repeats; a
     group of several is a repeated group of optional children. Children that some page lacks are optional. A text is a
-    slot, with the number of pages that have it, and, as long as all pages agree, a digest of its words and the least
-    digests of the pages that have it, _SEEN at most: copies of a page count once.
+    slot, with the number of pages that have it, their characters in it, and, as long as all pages agree, a digest of its
+    words and the least digests of the pages that have it, _SEEN at most: copies of a page count once.
     """
 
-    __slots__ = ("pages", "groups", "children", "repeats", "slot", "fixed", "seen")
+    __slots__ = ("pages", "groups", "children", "repeats", "slot", "mass", "fixed", "seen")
 
-    def __init__(self):
-        self.pages, self.groups, self.children = 0, [], {}
-        self.repeats, self.slot, self.fixed, self.seen = set(), 0, None, []
+    def __init__(self, pages: int = 0):
+        self.pages, self.groups, self.children = pages, [], {}
+        self.repeats, self.slot, self.mass, self.fixed, self.seen = set(), 0, 0, None, []
 
     @classmethod
-    def of_page(cls, stream: list[tuple[str, str | None]]) -> Wrapper:
+    def of_page(cls, page: tuple[list[tuple[int, str | None]], list[tuple[int, str]]]) -> Wrapper:
         """The expression that one page's stream is aligned as: a child met again after others pulls all between into one
         repeated group."""
-        root = cls()
-        texts: dict[str, list[str]] = {}
-        last = ""
-        for path, text in stream:
-            if path != last and path:
-                root._open(path, last)
-            last = path
+        stream, places = page
+        nodes, depth = [cls(1)], [0]
+        for parent, sign in places[1:]:
+            node = nodes[parent].children[sign] = cls(1)
+            nodes.append(node)
+            depth.append(depth[parent] + 1)
+        texts: dict[int, list[str]] = {}
+        last = 0
+        for place, text in stream:
+            if place != last and place:
+                # Elements from the one both are in down to this one begin anew.
+                a, b, begun = place, last, []
+                while depth[a] > depth[b]:
+                    begun.append(a)
+                    a = places[a][0]
+                while depth[b] > depth[a]:
+                    b = places[b][0]
+                while a != b:
+                    begun.append(a)
+                    a, b = places[a][0], places[b][0]
+                for x in reversed(begun):
+                    nodes[places[x][0]]._meet(places[x][1])
+            last = place
             if text and not text.isspace():
-                texts.setdefault(path, []).append(text)
-        words = {path: " ".join(" ".join(parts).split()) for path, parts in texts.items()}
-        page = _digest("\n".join(x for both in sorted(words.items()) for x in both))
-        for path, own in words.items():
-            node = root.node(path)
-            node.slot, node.fixed, node.seen = 1, _digest(own), [page]
-        root._count()
-        return root
-
-    def node(self, path: str) -> Wrapper:
-        here = self
-        for sign in path.split("/")[1:]:
-            here = here.children[sign]
-        return here
-
-    def _open(self, path: str, last: str) -> None:
-        here, old, new = self, last.split("/")[1:], path.split("/")[1:]
-        for depth, sign in enumerate(new):
-            if old[: depth + 1] != new[: depth + 1]:
-                here._meet(sign)
-            here = here.children[sign]
+                texts.setdefault(place, []).append(text)
+        words = {place: " ".join(" ".join(parts).split()) for place, parts in texts.items()}
+        names = path_names(places)
+        page_name = _digest("\n".join(x for both in sorted((names[place], own) for place, own in words.items()) for x in both))
+        for place, own in words.items():
+            node = nodes[place]
+            node.slot, node.mass, node.fixed, node.seen = 1, len(own), _digest(own), [page_name]
+        return nodes[0]
 
     def _meet(self, sign: str) -> None:
-        if sign not in self.children:
-            self.children[sign] = Wrapper()
+        i = next((i for i, g in enumerate(self.groups) if sign in g), None)
+        if i is None:
             self.groups.append([sign])
             return
-        i = next(i for i, g in enumerate(self.groups) if sign in g)
         self.repeats.add(sign)
-        self.groups[i:] = [[s for g in self.groups[i:] for s in g]]
-
-    def _count(self) -> None:
-        self.pages = 1
-        for child in self.children.values():
-            child._count()
+        if i < len(self.groups) - 1:
+            self.groups[i:] = [[s for g in self.groups[i:] for s in g]]
 
     def merge(self, other: Wrapper) -> Wrapper:
-        """Aligns another expression with this one. A group of the other that isn't here is inserted after the last match
-        as optional; one that comes earlier here than the last match closes all between into a repeated group."""
+        """Aligns another expression with this one, node by node. A group of the other that isn't here is inserted after the
+        last match as optional; one that comes earlier here than the last match closes all between into a repeated group."""
+        pairs = [(self, other)]
+        while pairs:
+            here, there = pairs.pop()
+            here._align(there.groups)
+            for sign, child in there.children.items():
+                if sign in here.children:
+                    pairs.append((here.children[sign], child))
+                else:
+                    here.children[sign] = child
+            if there.slot:
+                here.fixed = there.fixed if not here.slot else here.fixed if here.fixed == there.fixed else None
+                here.seen = sorted({*here.seen, *there.seen})[:_SEEN] if here.fixed else []
+            here.slot += there.slot
+            here.mass += there.mass
+            here.pages += there.pages
+            here.repeats |= there.repeats
+        return self
+
+    def _align(self, groups: list[list[str]]) -> None:
         at = -1
-        for group in other.groups:
+        for group in groups:
             found = [i for i, g in enumerate(self.groups) if set(g) & set(group)]
             fresh = [s for s in group if s not in self.children]
             if not found:
@@ -201,61 +254,81 @@ class Wrapper:
             low, high = min(found), max(*found, at) if min(found) < at else max(found)
             self.groups[low : high + 1] = [[s for g in self.groups[low : high + 1] for s in g] + fresh]
             at = low
-        for sign, child in other.children.items():
-            if sign in self.children:
-                self.children[sign].merge(child)
-            else:
-                self.children[sign] = child
-        if other.slot:
-            self.fixed = other.fixed if not self.slot else self.fixed if self.fixed == other.fixed else None
-            self.seen = sorted({*self.seen, *other.seen})[:_SEEN] if self.fixed else []
-        self.slot += other.slot
-        self.pages += other.pages
-        self.repeats |= other.repeats
-        return self
 
-    def slots(self, path: str = ""):
-        if self.slot:
-            yield path, len(self.seen) >= _SEEN
-        for sign, child in self.children.items():
-            yield from child.slots(f"{path}/{sign}")
+    def nodes(self) -> list[tuple[int, str, Wrapper]]:
+        """(parent's number, sign, node) of all nodes, parents first; the root is number 0."""
+        out = [(-1, "", self)]
+        for i, (_, _, node) in enumerate(out):
+            out.extend((i, sign, child) for sign, child in node.children.items())
+        return out
 
     def __str__(self) -> str:
-        def one(sign: str, alone: bool) -> str:
-            child = self.children[sign]
-            body = f"<{sign}>{'#text' if child.slot else ''}{child}</{sign.split('.')[0]}>"
-            return f"({body})+" if alone and sign in self.repeats else f"({body})?" if not alone or child.pages < self.pages else body
+        bodies: list[str] = []
+        every = self.nodes()
+        numbers = {id(node): i for i, (_, _, node) in enumerate(every)}
+        bodies = [""] * len(every)
+
+        def one(node: Wrapper, sign: str, alone: bool) -> str:
+            child = node.children[sign]
+            body = f"<{sign}>{'#text' if child.slot else ''}{bodies[numbers[id(child)]]}</{sign.split('.')[0]}>"
+            return f"({body})+" if alone and sign in node.repeats else f"({body})?" if not alone or child.pages < node.pages else body
 
-        return "".join(one(g[0], True) if len(g) == 1 else "(" + "".join(one(s, False) for s in g) + ")+" for g in self.groups)
+        for i in range(len(every) - 1, -1, -1):
+            node = every[i][2]
+            bodies[i] = "".join(one(node, g[0], True) if len(g) == 1 else "(" + "".join(one(node, s, False) for s in g) + ")+" for g in node.groups)
+        return bodies[0]
 
     def dump(self) -> list:
-        return [self.pages, self.groups, sorted(self.repeats), self.slot, self.fixed, self.seen, {s: c.dump() for s, c in self.children.items()}]
+        return [[parent, sign, n.pages, n.groups, sorted(n.repeats), n.slot, n.mass, n.fixed, n.seen] for parent, sign, n in self.nodes()]
 
     @classmethod
     def load(cls, data: list) -> Wrapper:
-        out = cls()
-        out.pages, out.groups, repeats, out.slot, out.fixed, out.seen, children = data
-        out.repeats, out.children = set(repeats), {s: cls.load(c) for s, c in children.items()}
-        return out
+        made: list[Wrapper] = []
+        for parent, sign, pages, groups, repeats, slot, mass, fixed, seen in data:
+            node = cls(pages)
+            node.groups, node.repeats, node.slot, node.mass, node.fixed, node.seen = groups, set(repeats), slot, mass, fixed, seen
+            if parent >= 0:
+                made[parent].children[sign] = node
+            made.append(node)
+        return made[0]
 
     def roles(self) -> dict[str, int]:
-        """2 for slots of the article, 1 for slots of a page without one, 0 for the rest, and -1 for slots of a page without
-        one that _SEEN different pages or more fill with the same words: part of the frame, unless a page has nothing else.
-        """
-        out = {}
-        for path, agreed in self.slots():
-            signs = path.split("/")[1:]
-            first = next((i for i, s in enumerate(signs) if _is_main(s)), None)
-            out_of = any(_outside(s) for s in signs) or any(_page_head(s) for s in signs[: len(signs) if first is None else first])
-            out[path] = 0 if out_of else 2 if first is not None else -1 if agreed else 1
-        return out
-
+        """For each slot, by its path's name: 2 in the article, 1 on a page without one, 0 outside, and -1 for slots without
+        an article that _SEEN different pages or more fill with the same words: part of the frame, unless a page has
+        nothing else.
 
-def main_text(stream: list[tuple[str, str | None]], roles: dict[str, int]) -> str:
+        Elements with an article's tag or name hold it. Tags and names of regions (_outside) are out. Where such a word
+        is only part of a name, the slots decide: if the element holds half or more of the host's text that varies over
+        pages and isn't surely out, it is no region. On one or two pages all text counts as varying.
+        """
+        every = self.nodes()
+        main, out, weak = [False] * len(every), [False] * len(every), [False] * len(every)
+        for i, (parent, sign, _) in enumerate(every[1:], 1):
+            main[i] = main[parent] or _is_main(sign)
+            outside = _outside(sign)
+            out[i] = out[parent] or outside == 2 or (_page_head(sign) and not main[parent] and not _is_main(sign))
+            weak[i] = outside == 1
+        own = [0 if out[i] or (n.fixed and len(n.seen) >= _SEEN) else n.mass for i, (_, _, n) in enumerate(every)]
+        under = list(own)
+        for i in range(len(every) - 1, 0, -1):
+            under[every[i][0]] += under[i]
+        names, roles = path_names([(parent, sign) for parent, sign, _ in every]), {}
+        for i, (parent, _, node) in enumerate(every):
+            if i:
+                out[i] = out[i] or out[parent] or (weak[i] and 2 * under[i] < max(under[0], 1))
+            if node.slot:
+                agreed = bool(node.fixed) and len(node.seen) >= _SEEN
+                roles[names[i]] = 0 if out[i] else 2 if main[i] else -1 if agreed else 1
+        return roles
+
+
+def main_text(page: tuple[list[tuple[int, str | None]], list[tuple[int, str]]], roles: dict[str, int]) -> str:
     """The texts of the article's slots; where the page has none with text, of those of pages without an article; where it
     has none of them either, of those in which pages agree."""
+    stream, places = page
+    role_of = [roles.get(name) for name in path_names(places)]
     for role in (2, 1, -1):
-        parts = [" " if text is None else text if roles.get(path) == role else "" for path, text in stream]
+        parts = [" " if text is None else text if role_of[place] == role else "" for place, text in stream]
         if found := " ".join("".join(parts).split()):
             return found
     return ""
@@ -293,7 +366,7 @@ def infer(pages: DataFrame) -> DataFrame:
             whole = part if whole is None else whole.merge(part)
         return pa.table({"host": [table["host"][0].as_py()], "salt": pa.array([table["salt"][0].as_py()], pa.int32()), "wrapper": [json.dumps(whole.dump(), ensure_ascii=False)]})
 
-    parts = pages.select("host", "html").mapInArrow(fold, kinds)
+    parts = pages.select("host", "html").mapInArrow(tidy(fold), kinds)
     salted = parts.groupBy("host", "salt").applyInArrow(merge, kinds)
     return salted.groupBy("host").applyInArrow(merge, kinds).select("host", "wrapper")
 
@@ -303,7 +376,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     White space within a block becomes one blank, blocks are joined by one blank, inline elements part nothing. Null or
     empty html gives the empty text; a null url belongs to the empty host. Repeated rows each get their result; an empty
-    table gives an empty one; other columns are ignored. The slots' roles are broadcast if all hosts' take
+    table gives an empty one; other columns are ignored, whatever their names. Pages of any length and markup of any depth
+    are read whole. The slots' roles are broadcast if all hosts' take
     BROADCAST_BYTES at most, and joined by host otherwise (where adaptive execution splits a hot host).
     """
     rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
@@ -329,4 +403,4 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
     joined = rows.join(F.broadcast(roles) if size <= BROADCAST_BYTES else roles, "host", "left").select("page_id", "url", "html", "roles")
-    return joined.mapInArrow(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
+    return joined.mapInArrow(tidy(run), f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string")
