@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .pieces import Cache, ids_of_spans, script_cuts
-from .shared import new_path, text_groups, word_spans
+from .shared import BROADCAST_BYTES, new_path, stored, text_groups, tidy, word_spans
 
 #: Head of a chunk: magic, version, plane kind (0 bytes, 1 bits), ids, planes, crc32 of the ids as little-endian uint32.
 _HEAD = struct.Struct("<4sBBIHI")
@@ -119,7 +119,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | Non
     chunks of `chunk_ids` ids, which run across documents. A row of the Parquet files is one chunk: `block` holds the
     planes (pack_chunk); the other columns are the chunk index: the partition, the chunk's number in it, the place of its
     first id in the partition, and where documents start. Columns are read apart, so the index costs no read of blocks.
-    Memory: one chunk and the longest text. Null texts have the end id alone; an empty table writes no chunks.
+    Blocks are compressed already, so the files are written without page compression. Memory: one chunk and the longest text. Null texts have the end id alone; an empty table writes no chunks.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "ids")
@@ -148,7 +148,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | Non
         kinds = None
         for b in batches:
             kinds = kinds or [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(b.column(0).type), pa.binary()]
-            for at, data, offsets in text_groups(b.column(1), 4 << 20):
+            for at, data, offsets in text_groups(b.column(1), 1 << 20):
                 names = b.column(0).slice(at, len(offsets) - 1).to_pylist()
                 for name, ids in zip(names, encode(data, offsets), strict=True):
                     starts.append(position)
@@ -171,7 +171,7 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int, path: str | Non
     keys = [F.col("doc_id").asc_nulls_first(), F.col("h")]
     rows = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
     rows = rows.sortWithinPartitions(*keys).select("doc_id", "text")
-    rows.mapInArrow(run, _CHUNKS.format(docs.schema["doc_id"].dataType.simpleString())).write.parquet(path)
+    rows.mapInArrow(tidy(run), _CHUNKS.format(docs.schema["doc_id"].dataType.simpleString())).write.option("compression", "none").parquet(path)
     return path
 
 
@@ -196,7 +196,8 @@ def read_documents(spark: SparkSession, path: str, id_type: str = "bigint") -> D
     """doc_id, start (ids of all documents before it), n_tokens and ids_crc32 of every document in files of write_ids.
 
     Each chunk is unpacked by itself; a document that runs over chunks is put together from its segments' lengths and
-    checksums, which are a few bytes each. Partition sums, one row for each file partition, give the places.
+    checksums, which are a few bytes each. Partition sums, one row for each file partition, give the places; they are
+    broadcast if they take BROADCAST_BYTES at most.
     """
     chunks = _chunks(spark, path, id_type)
 
@@ -227,8 +228,9 @@ def read_documents(spark: SparkSession, path: str, id_type: str = "bigint") -> D
         F.max("doc_id").alias("doc_id"), F.sum("n").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("chunk", "n", "crc"))).alias("parts")
     )
     sizes = chunks.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return docs.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", combined("parts").alias("ids_crc32"))
+    before = stored(sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before")), "before")
+    small = before.count() * 16 <= BROADCAST_BYTES
+    return docs.join(F.broadcast(before) if small else before, "part").select("doc_id", (F.col("before") + F.col("begin")).alias("start"), "n_tokens", combined("parts").alias("ids_crc32"))
 
 
 def read_ids(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pieces import Cache, binary_array, gather, ids_of_spans, spaced_starts
-from .shared import stored, text_groups
+from .shared import dropped, stored, text_groups, tidy
 
 #: White space of the pre-tokenizer's pattern (fixed values).
 _WIDE = "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
@@ -265,18 +265,18 @@ def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
     def run(batches):
         for b in batches:
             tables = []
-            for _, data, offsets in text_groups(b.column(0), 3 << 20):
+            for _, data, offsets in text_groups(b.column(0), 1 << 20):
                 starts = [spaced_starts(data[s:e]) + s for s, e in zip(offsets[:-1], offsets[1:]) if e > s]
                 if starts:
                     found = pc.value_counts(binary_array(data, np.concatenate(starts)))
                     tables.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
-                    if sum(t.num_rows for t in tables) > 500_000:
+                    if sum(t.num_rows for t in tables) > 200_000:
                         yield from pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
                         tables = []
             if tables:
                 yield from pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
 
-    counts = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     step = F.floor(F.log2("n") * 16)
     counts = stored(counts.where((F.col("n") > 1) & (F.length("word") <= 64)), "words")
     steps = sorted(((r.step, r.v) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("v")).collect()), reverse=True)
@@ -286,7 +286,9 @@ def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
         if most < 0:
             break
         least = at
-    return [] if least is None else sorted(bytes(r.word) for r in counts.where(step >= least).select("word").collect())
+    found = [] if least is None else sorted(bytes(r.word) for r in counts.where(step >= least).select("word").collect())
+    dropped(counts)
+    return found
 
 
 _codecs: dict[int, tuple] = {}
@@ -319,13 +321,13 @@ def bpe_round_trip(docs: DataFrame, path: str, most_words: int = 50_000) -> Data
     def run(batches):
         vocabulary, codec = shipped.value[0], _codec(shipped)
         for b in batches:
-            for first, data, offsets in text_groups(b.column(1), 3 << 20):
+            for first, data, offsets in text_groups(b.column(1), 1 << 20):
                 ids = codec.encode(data, offsets)
                 decoded = [vocabulary.decode(x).decode("utf-8") for x in ids]
                 packed = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(ids)), packed, pa.array(decoded, pa.string())], names=["doc_id", "ids", "decoded"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids binary, decoded string")
 
 
 def _utf8(word: bytes) -> bool:

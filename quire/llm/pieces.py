@@ -59,11 +59,13 @@ def gather(flat: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndar
 
 
 class Cache:
-    """ids (as int32 bytes) of pieces already met, in two generations of at most `most` pieces: what was not asked for
-    during a whole generation goes."""
+    """ids (as int32 bytes) of pieces already met, in two generations of at most `most` pieces and about `most_bytes`:
+    what was not asked for during a whole generation goes. Pieces over LONG bytes aren't kept."""
 
-    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 100_000):
-        self.encode, self.most, self.young, self.old = encode, most, {}, {}
+    LONG = 1024
+
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], most: int = 100_000, most_bytes: int = 16 << 20):
+        self.encode, self.most, self.most_bytes, self.young, self.old, self.held = encode, most, most_bytes, {}, {}, 0
 
     def ids(self, pieces: list[bytes]) -> list[bytes]:
         out = list(map(self.young.get, pieces))
@@ -78,9 +80,12 @@ class Cache:
             part = unknown[at : at + 4096]
             for i, x in zip(part, self.encode([pieces[i] for i in part]), strict=True):
                 out[i] = x
-        if len(self.young) + len(missing) > self.most:
-            self.old, self.young = self.young, {}
-        self.young.update((pieces[i], out[i]) for i in missing)
+        kept = [i for i in missing if len(pieces[i]) <= self.LONG]
+        size = sum(len(pieces[i]) + len(out[i]) for i in kept)
+        if len(self.young) + len(kept) > self.most or self.held + size > self.most_bytes:
+            self.old, self.young, self.held = self.young, {}, 0
+        self.young.update((pieces[i], out[i]) for i in kept)
+        self.held += size
         return out
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import LOWER_BYTES, span_hashes, stored, text_groups, word_spans
+from .shared import LOWER_BYTES, span_hashes, stored, text_groups, tidy, word_spans
 
 #: Bytes of context of the longest order, and the symbol that ends a text (no byte of UTF-8).
 ORDER = 5
@@ -96,7 +96,7 @@ def learn(texts: DataFrame) -> DataFrame:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(["text"]), pa.array([0], pa.int64()), pa.array([total], pa.int64())], names=["kind", "key", "n"])
 
-    counts = texts.select("text").mapInArrow(run, "kind string, key long, n long")
+    counts = texts.select("text").mapInArrow(tidy(run), "kind string, key long, n long")
     return stored(counts.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
 
 
@@ -302,8 +302,8 @@ def score_texts(docs: DataFrame, held_out) -> DataFrame:
                     )
 
         if with_words:
-            return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, __key long, n_tokens long, known long, log_sum double, left array<long>, score double")
-        return source.select("text", "__key").dropDuplicates(["__key"]).mapInArrow(run, "__key long, score double")
+            return source.mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, __key long, n_tokens long, known long, log_sum double, left array<long>, score double")
+        return source.select("text", "__key").dropDuplicates(["__key"]).mapInArrow(tidy(run), "__key long, score double")
 
     source = rows.withColumn("__key", F.xxhash64("doc_id", "text"))
     first = stored(scored(source, *pieces[0], True).withColumn("row", F.monotonically_increasing_id()), "scored")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACE_BYTES, mix, span_hashes, stored, text_buffer, word_spans
+from .shared import SPACE_BYTES, dropped, mix, span_hashes, stored, text_buffer, tidy, word_spans
 
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -76,7 +76,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(rows[:, i]) for i in range(len(COUNTS))]], names=["doc_id", *COUNTS])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def features(counts: dict[str, np.ndarray]) -> np.ndarray:
@@ -202,7 +202,9 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, mos
     Statistics of the labelled sample train the trees; then each row is decided where it is read, so no text is shuffled.
     """
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    model = train(stored(document_statistics(docs.join(F.broadcast(chosen), "doc_id", "left_semi")), "statistics"), labels, most_rows)
+    sample = stored(document_statistics(docs.join(F.broadcast(chosen), "doc_id", "left_semi")), "statistics")
+    model = train(sample, labels, most_rows)
+    dropped(sample)
 
     def run(batches):
         for b in batches:
@@ -212,4 +214,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, mos
             failed = (c["n_words"] < 50) | (100 * c["n_repeat_words"] > 50 * c["n_words"])
             yield b.filter(pa.array(~failed & (model.score(features(c)) >= threshold)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import BROADCAST_BYTES, stored, written
 
 #: numpy draws hypergeometric variates of populations below this size only.
 _NUMPY_LIMIT = 10**9
@@ -69,7 +69,8 @@ def uniform_shards(df: DataFrame, shards: int = 8, seed: int = 42, bucket_rows:
 
     Stages: (1) rows get two random numbers, are permuted within their partition by the first, get its number and their
     place in it, and are written once to the shared folder, so that a recomputation cannot draw anew; (2) the driver
-    draws the communication matrix from the partitions' counts (one row of `shards` integers for each input partition);
+    draws the communication matrix from the partitions' counts (one row of `shards` integers for each input partition),
+    which is broadcast within BROADCAST_BYTES and written to the shared folder and joined beyond;
     (3) a partition's first a[p, 0] rows go to shard 0, the next a[p, 1] to shard 1, ...; (4) they are exchanged by
     shard and by range of the second random number, at most about `bucket_rows` together, and ordered there: no task
     sorts a whole shard. So whole rows are exchanged once.
@@ -88,9 +89,13 @@ def uniform_shards(df: DataFrame, shards: int = 8, seed: int = 42, bucket_rows:
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     matrix = communication_matrix([n for _, n in found], sizes, seed)
     ends = [{"part": p, "ends": np.cumsum(row).tolist()} for (p, _), row in zip(found, matrix, strict=True)]
-    plan = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(ends)), "array<struct<part:int,ends:array<bigint>>>")))
+    small = len(found) * (shards + 4) * 8 <= BROADCAST_BYTES
+    if small:
+        plan = F.broadcast(spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(ends)), "array<struct<part:int,ends:array<bigint>>>"))))
+    else:
+        plan = spark.read.schema("part int, ends array<bigint>").json(written(spark, "matrix", "\n".join(map(json.dumps, ends))))
 
-    sent = rows.join(F.broadcast(plan), "part")
+    sent = rows.join(plan, "part")
     buckets = max(1, math.ceil(total / shards / bucket_rows))
     sent = sent.select("row", "r1", "r2", F.size(F.filter("ends", lambda e: e <= F.col("at"))).alias("shard"), F.floor(F.col("r2") * buckets).alias("bucket"))
 

@@ -73,6 +73,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written(spark: SparkSession, name: str, text: str) -> str:
+    """The path of a new text file in the shared folder."""
+    path = new_path(spark, name)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+    return path
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes stored tables that nothing reads any more."""
     for t in tables:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .shared import stored
+from .shared import dropped, stored, tidy
 
 _CHUNK = 1 << 16
 
@@ -40,7 +40,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
             made = [fingerprint(t.as_py(), words, seed) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.int64())], names=["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def ball(column, radius: int):
@@ -73,8 +73,9 @@ def close_edges(values: DataFrame, radius: int = 2) -> DataFrame:
     Values that meet but are more than radius apart (odd radius) are joined pair by pair instead.
     """
     half = (radius + 1) // 2
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = (
-        values.select("fp").distinct().select("fp", F.explode(ball(F.col("fp"), half)).alias("variant"))
+        values.select("fp").distinct().repartition(parts, "fp").select("fp", F.explode(ball(F.col("fp"), half)).alias("variant"))
         .groupBy("variant").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
     )
     if 2 * half == radius:
@@ -93,14 +94,16 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = stored(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        hooked = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
+        now = labels.select("node", "label")
+        near = both.join(now.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
+        hooked = now.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("m"))
         made = stored(hooked.join(jump, "label").select("node", "old", F.least("label", "m").alias("label")), "labels")
-        changed = made.where("label <> old").limit(1).count()
-        labels = made.select("node", "label")
-        if not changed:
-            return labels
+        dropped(labels)
+        labels = made
+        if not made.where("label <> old").limit(1).count():
+            dropped(both)
+            return labels.select("node", "label")
     raise RuntimeError("components: not converged")
 
 

@@ -63,7 +63,7 @@ def test_span_hashes_tell_spans_apart():
 
 def test_license_places_and_labels(spark):
     texts = ["Released under the MIT License.\nMIT License mit license", "nothing", None, "Licensed under CC BY-NC 4.0.", "GNU  General\nPublic\tLicense apache license,", "the apache", "Unter der MIT-License"]
-    got = licenses.license_scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").withColumn("labels", F.lit(1)))
+    got = licenses.license_scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id int, text string").withColumn("labels", F.lit(1)).withColumn("hits", F.lit(1)))
     got = {r.doc_id: r for r in got.collect()}
     assert (got[0].n_words, got[0].n_base, got[0].first_word, got[0].last_word, got[0].base_labels, got[0].score) == (9, 3, 3, 7, "mit", 1.0)
     assert (got[1].n_base, got[1].first_word, got[1].labels, got[1].score) == (0, None, "", 0.0) and got[2].n_words == 0
@@ -71,24 +71,44 @@ def test_license_places_and_labels(spark):
     assert got[4].base_labels == "apache,gpl" and got[4].n_base == 2 and got[5].n_base == 0 and got[6].n_base == 1
 
 
+def test_license_notices_over_lines_and_words_far_apart(spark):
+    mit = next(t for label, t in licenses.TEMPLATES if label == "mit" and len(t) > 500)
+    words = mit.split()
+    texts = [
+        "some code\n\n" + "\n// ".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)) + "\nmore code",
+        "Permission is hereby granted, free of charge, to any person\n obtaining a copy of this software and associated\n documentation files",
+        "The work released last year was sold under a name; the firm at MIT never held a license.",
+        "Licensed under CC BY 4.0. " + "x " * 30 + "Licensed under CC BY-NC 4.0.",
+        "x " * 300_000 + "released under the MIT license",
+    ]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert [got[i].labels for i in range(5)] == ["mit", "mit", "", "cc-by,cc-by-4.0,cc-by-nc-4.0", "mit"]
+    assert [got[i].score for i in (0, 1, 2)] == [1.0, 1.0, 0.0] and got[4].n_words == 300_005
+
+
 def test_license_join_equals_all_pairs(spark):
     rng = random.Random(3)
     words = sorted({w for _, t in licenses.TEMPLATES for w in t.split()})
     texts = []
-    for i in range(200):
+    for i in range(150):
         own = rng.choice(licenses.TEMPLATES)[1].split()
-        rng.shuffle(own)
-        texts.append("\n".join([" ".join(own[: rng.randint(max(1, len(own) - 3), len(own))] + rng.sample(words, rng.randint(0, 6))), " ".join(rng.sample(words, 4))]))
-    docs = spark.createDataFrame(list(enumerate(texts)), "__key long, text string")
-    got = {(r["__key"], r.block, r.template): r.containment for r in licenses.template_matches(docs).collect()}
+        for _ in range(rng.randint(0, 3)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(" ".join([*rng.sample(words, rng.randint(0, 9)), *own[rng.randint(0, 2) :], *rng.sample(words, rng.randint(0, 40))]))
+    docs = spark.createDataFrame([(i, t.split()) for i, t in enumerate(texts)], "__key long, words array<string>")
+    ranks = licenses.token_ranks(docs, licenses.TEMPLATES)
+    hits = docs.select("__key", licenses.known_places(F.col("words"), ranks, licenses.TEMPLATES, licenses.CONTAINMENT).alias("hits"))
+    got = {(r["__key"], r.template, r.s): r.found for r in licenses.template_matches(hits, ranks).collect()}
     expected = {}
     for i, t in enumerate(texts):
-        for b, line in enumerate(t.split("\n")):
-            for j, (_, x) in enumerate(licenses.TEMPLATES):
-                share = len(set(line.split()) & set(x.split())) / len(set(x.split()))
-                if share >= licenses.CONTAINMENT - 1e-9:
-                    expected[i, b, j] = pytest.approx(share)
-    assert got == expected and len(expected) > 50
+        own = t.split()
+        for j, (_, x) in enumerate(licenses.TEMPLATES):
+            tokens, wide = set(x.split()), licenses.block_words(x)
+            for s in range(len(own)):
+                shared = len(tokens & set(own[s : s + wide]))
+                if own[s] in tokens and shared >= licenses.CONTAINMENT * len(tokens) - 1e-9:
+                    expected[i, j, s] = shared
+    assert got == expected and len(expected) > 100
 
 
 def test_license_empty(empty):
@@ -420,6 +440,22 @@ def test_texts_that_begin_alike_or_are_copies_stay(spark):
     assert all(got[10 + i] == "Frame One text All rights" and got[20 + i] == "Same text All rights" for i in range(4))
 
 
+def test_names_that_only_contain_a_word_of_a_region(spark):
+    frame = "<nav>Home</nav><div class='share-buttons'>Share it now</div>"
+    pages = [(i, "http://g.example/", f"{frame}<div class='share-price'><p>The price of share {i} rose by {i} points on this long day of trading.</p></div><footer>x</footer>") for i in range(4)]
+    pages += [(10 + i, "http://h.example/", f"<article><div class='ad-week-report'><p>Report {i} of the week, with all its many words.</p></div><div class='ad-box'>Buy</div></article>") for i in range(2)]
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(2)).collect()}
+    assert all(got[i] == f"The price of share {i} rose by {i} points on this long day of trading." for i in range(4))
+    assert all(got[10 + i] == f"Report {i} of the week, with all its many words." for i in range(2))
+
+
+def test_deep_markup_and_clashing_columns(spark):
+    deep = "<div>" * 5000 + "<p>deep text</p>" + "</div>" * 5000
+    pages = spark.createDataFrame([(1, "http://a.example/", deep, 1, 2, 3), (2, "http://a.example/", "<p>a " + "word " * 200_000 + "</p>", 1, 2, 3)], "page_id long, url string, html string, host int, roles int, text int")
+    got = {r.page_id: r.text for r in wrappers.extract_main_text(pages).collect()}
+    assert got[1] == "deep text" and len(got[2]) == 1_000_001
+
+
 def test_wrapper_is_a_union_free_expression():
     make = lambda x: wrappers.Wrapper.of_page(wrappers.tokens(x))
     w = make("<ul><li>a</li><li>b</li></ul><p>x</p>").merge(make("<ul><li>a</li></ul><h2>y</h2><p>z</p>"))
