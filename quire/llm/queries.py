@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bitplanes, decontamination, lexicon, licenses, linededup, ppm, quality, sharding, simhash, wrappers
+from .shared import tuned
 
 
 def tokenizer_path(name: str) -> str:
@@ -16,7 +17,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return tuned(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,18 @@ SPACE_BYTES = np.zeros(256, dtype=bool)
 SPACE_BYTES[[9, 10, 11, 12, 13, 32]] = True
 
 
+#: Rows and bytes of the batches that workers get, where the session has Spark's own values: a row may hold a whole text.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "8388608b")}
+
+
+def tuned(spark: SparkSession) -> SparkSession:
+    """The session with batches of a size that fits texts (BATCHES); what its owner has set stays."""
+    for key, (usual, own) in BATCHES.items():
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, own)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one if all run on
     this machine (local mode); else an error, since executors would write where nobody reads."""
