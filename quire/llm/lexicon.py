@@ -24,6 +24,9 @@ _SPACE = r"\t-\r " + _WIDE
 _PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 #: Texts with white space beyond ASCII aren't cut at blanks first.
 _WIDE_SPACE = regex.compile(f"[{_WIDE}]")
+#: Bits of an id within a pair of integers kept as one.
+_BITS = 24
+_LOW = (1 << _BITS) - 1
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -52,30 +55,31 @@ class Vocabulary:
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.single = [ids[bytes([b])] for b in range(256)]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # Pairs of ids, and rank and merged id, each as one integer: a small part of what tuples take.
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             a, b = (bytes(alphabet[c] for c in x) for x in (left, right))
-            self.merges.setdefault((ids[a], ids[b]), (rank, ids[a + b]))
+            self.merges.setdefault(ids[a] << _BITS | ids[b], rank << _BITS | ids[a + b])
 
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one piece: the pair of lowest rank is merged, leftmost first, until none is left."""
         parts = [self.single[b] for b in piece]
         if len(parts) > 64:
             return self._merge_long(parts)
-        get, none = self.merges.get, (1 << 60, 0)
-        found = [get(p, none) for p in zip(parts, parts[1:])]  # (rank, merged id) of each neighbouring pair
+        get, none = self.merges.get, 1 << 62
+        found = [get(a << _BITS | b, none) for a, b in zip(parts, parts[1:])]  # rank and merged id of each neighbouring pair
         while found:
             least = min(found)
-            if least is none:
+            if least == none:
                 break
             i = found.index(least)
-            parts[i : i + 2] = [least[1]]
+            parts[i : i + 2] = [least & _LOW]
             del found[i]
             if i:
-                found[i - 1] = get((parts[i - 1], parts[i]), none)
+                found[i - 1] = get(parts[i - 1] << _BITS | parts[i], none)
             if i < len(found):
-                found[i] = get((parts[i], parts[i + 1]), none)
+                found[i] = get(parts[i] << _BITS | parts[i + 1], none)
         return parts
 
     def _merge_long(self, parts: list[int]) -> list[int]:
@@ -85,8 +89,8 @@ class Vocabulary:
 
         def offer(i: int) -> None:
             j = after[i]
-            if j >= 0 and (found := self.merges.get((parts[i], parts[j]))):
-                heapq.heappush(heap, (found[0], i, parts[i], parts[j], found[1]))
+            if j >= 0 and (found := self.merges.get(parts[i] << _BITS | parts[j])) is not None:
+                heapq.heappush(heap, (found >> _BITS, i, parts[i], parts[j], found & _LOW))
 
         for i in range(n):
             offer(i)
@@ -207,8 +211,8 @@ class Codec:
 
     def __init__(self, vocabulary: Vocabulary, block: np.ndarray | bytes):
         self.vocabulary, self.lexicon = vocabulary, Transducer(block)
-        self.merged = Cache(lambda pieces: [array("i", vocabulary.merge(p)).tobytes() for p in pieces])
-        self.unseen = Cache(self._merge)
+        self.merged = Cache(lambda pieces: [array("i", vocabulary.merge(p)).tobytes() for p in pieces], 50_000)
+        self.unseen = Cache(self._merge, 50_000)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
     def _merge(self, units: list[bytes]) -> list[bytes]:
@@ -265,12 +269,12 @@ def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
     def run(batches):
         for b in batches:
             tables = []
-            for _, data, offsets in text_groups(b.column(0), 1 << 20):
+            for _, data, offsets in text_groups(b.column(0), 1 << 19):
                 starts = [spaced_starts(data[s:e]) + s for s, e in zip(offsets[:-1], offsets[1:]) if e > s]
                 if starts:
                     found = pc.value_counts(binary_array(data, np.concatenate(starts)))
                     tables.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
-                    if sum(t.num_rows for t in tables) > 200_000:
+                    if sum(t.num_rows for t in tables) > 100_000:
                         yield from pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
                         tables = []
             if tables:
@@ -321,7 +325,7 @@ def bpe_round_trip(docs: DataFrame, path: str, most_words: int = 50_000) -> Data
     def run(batches):
         vocabulary, codec = shipped.value[0], _codec(shipped)
         for b in batches:
-            for first, data, offsets in text_groups(b.column(1), 1 << 20):
+            for first, data, offsets in text_groups(b.column(1), 1 << 19):
                 ids = codec.encode(data, offsets)
                 decoded = [vocabulary.decode(x).decode("utf-8") for x in ids]
                 packed = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())
