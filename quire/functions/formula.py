@@ -103,13 +103,13 @@ def classify(x) -> Column:
     def rules(t: Column) -> Column:
         return (
             F.when(t == "", made("TEXT", 1.0, "empty"))
-            .when(t.rlike(CITATION), made("CITATION", 0.98, "citation marker"))
-            .when(t.rlike(LABEL), made("FORMULA_LABEL", 0.98, "standalone formula label"))
-            .when(_contaminated(t), made("CONTAMINATED", 0.92, "narrative text mixed with math operators"))
-            .when(_quantity(t), made("QUANTITY_TEXT", 0.86, "quantity/unit expression without equation relation"))
-            .when(strip(x).rlike(DELIMITED), made("DISPLAY_MATH", 0.96, "latex delimiter", _numbered(t)))
-            .when(_formula(t, strip(x)), made("DISPLAY_MATH", 0.88, "standalone equation", _numbered(t)))
-            .otherwise(made("TEXT", 0.74, "plain text"))
+            .when(t.rlike(CITATION), made("CITATION", 0.98, "citation"))
+            .when(t.rlike(LABEL), made("FORMULA_LABEL", 0.98, "label"))
+            .when(_contaminated(t), made("CONTAMINATED", 0.92, "prose with signs"))
+            .when(_quantity(t), made("QUANTITY_TEXT", 0.86, "number and unit"))
+            .when(strip(x).rlike(DELIMITED), made("DISPLAY_MATH", 0.96, "dollars", _numbered(t)))
+            .when(_formula(t, strip(x)), made("DISPLAY_MATH", 0.88, "equation", _numbered(t)))
+            .otherwise(made("TEXT", 0.74, "text"))
         )
 
     return let(normalize(x), rules)

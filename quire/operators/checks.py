@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from statistics import median
+from bisect import insort
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import template
+
 #: code, severity, predicate, detail
 Rule = tuple[str, str, Column, Column]
 
@@ -40,33 +42,34 @@ def sorted_where_numbered(sections: DataFrame) -> DataFrame:
 
 
 def word_lines(words: DataFrame, most: int = 320) -> DataFrame:
-    """doc_id, page, line, text, x_min, x_max and size of words(doc_id, page, x_min, x_max, y_min, y_max, text).
+    """doc_id, page, line, text, x_min, x_max, y_min, y_max and size of words(doc_id, page, x_min, x_max, y_min, y_max, text).
 
-    From the top, a word joins the line whose median centre is nearest within max(3, 0.45 x median height); else it opens
-    a line. The medians move as words join, so a page is one group.
+    Words of a page come by their centre, then from the left. Each joins the line before it if its centre is within
+    max(3, 0.45 x the median height) of that line's median centre, else it opens a line: the medians move as words join, so a
+    page is one group. The first `most` lines of a document count; those without text are left out.
     """
     kind = words.schema["doc_id"].dataType.simpleString()
 
     def run(key, page: pd.DataFrame) -> pd.DataFrame:
-        lines: list[list[tuple]] = []
-        for w in page.sort_values(["y_min", "x_min"]).itertuples(index=False):
-            centre, best = (w.y_min + w.y_max) / 2, None
-            for line in lines:
-                gap = abs(median(x[0] for x in line) - centre)
-                if gap <= max(3.0, 0.45 * median(x[1] for x in line)) and (best is None or gap < best[0]):
-                    best = (gap, line)
-            if best is None:
-                lines.append(best_line := [])
-            else:
-                best_line = best[1]
-            best_line.append((centre, w.y_max - w.y_min, w.x_min, w.x_max, w.text))
-        out = []
-        for i, line in enumerate(sorted(lines, key=lambda x: median(w[0] for w in x))[:most]):
-            line.sort(key=lambda w: w[2])
-            out.append((key[0], key[1], i, " ".join(w[4] for w in line), line[0][2], max(w[3] for w in line), median(w[1] for w in line)))
-        return pd.DataFrame(out, columns=["doc_id", "page", "line", "text", "x_min", "x_max", "size"])
-
-    return words.groupBy("doc_id", "page").applyInPandas(run, f"doc_id {kind}, page long, line long, text string, x_min double, x_max double, size double")
+        page = page.assign(centre=(page.y_min + page.y_max) / 2, height=page.y_max - page.y_min).sort_values(["centre", "x_min"])
+        number, line, centres, heights = [], -1, [], []
+        middle = lambda v: (v[(len(v) - 1) // 2] + v[len(v) // 2]) / 2
+        for centre, height in zip(page.centre, page.height, strict=True):
+            if line < 0 or abs(centre - middle(centres)) > max(3.0, 0.45 * middle(heights)):
+                line, centres, heights = line + 1, [], []
+            insort(centres, centre)
+            insort(heights, height)
+            number.append(line)
+        return page.assign(line=number)[["doc_id", "page", "line", "x_min", "x_max", "y_min", "y_max", "text"]]
+
+    laid = words.groupBy("doc_id", "page").applyInPandas(run, f"doc_id {kind}, page long, line long, x_min double, x_max double, y_min double, y_max double, text string")
+    parts = F.array_sort(F.collect_list(F.struct("x_min", "text")))
+    t = laid.groupBy("doc_id", "page", "line").agg(
+        F.array_join(F.transform(parts, lambda w: w["text"]), " ").alias("text"), F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"),
+        F.median(F.col("y_max") - F.col("y_min")).alias("size"),
+    )
+    t = t.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line"))).where(F.col("__n") <= most).drop("__n")
+    return t.withColumn("text", template.line("text")).where("text <> ''")
 
 
 def recovered(found: DataFrame, known: DataFrame) -> DataFrame:

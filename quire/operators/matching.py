@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formula as R
+from ..functions import template
 
 
 def _compact(text: str | None) -> str:
@@ -47,75 +50,95 @@ def match_in_order(expected: DataFrame, rendered: DataFrame) -> DataFrame:
     return _apart(expected, "ord").groupBy("doc_id").cogroup(_apart(rendered, "ord").groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, ord long, match long")
 
 
-def forward_pages(entries: DataFrame, pages: DataFrame) -> DataFrame:
+def forward_pages(entries: DataFrame, pages: DataFrame, contents: str = "目录", loose: int = 16) -> DataFrame:
     """doc_id, ord and page: each entry(doc_id, ord, text) in order on the first page(doc_id, page, text), not before its
-    predecessor's, that contains it. A running lower bound, so a document is one group."""
+    predecessor's, that contains it, counted from the page where the body starts.
+
+    The body starts behind the last page that contains `contents` (behind the first page if none does), on the first page
+    with the first entry; without one there are no pages. An entry that isn't found is sought once more by its letters and
+    digits, the first `loose` of them. White space and case don't count. The lower bound runs along, so a document is one group.
+    """
     kind = entries.schema["doc_id"].dataType.simpleString()
 
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        texts, low, out = [(p, _compact(t)) for p, t in right.sort_values("page")[["page", "text"]].itertuples(index=False)], None, []
-        for o, t in left.sort_values("ord")[["ord", "text"]].itertuples(index=False):
-            page = next((p for p, x in texts if (low is None or p >= low) and _compact(t) and _compact(t) in x), None)
-            low = page if page is not None else low
-            out.append((key[0], o, page))
+        right = right.sort_values("page")
+        texts, keys = [_compact(t) for t in right["text"]], [_compact(t) for t in left.sort_values("ord")["text"]]
+        find = lambda k, low: next((i for i in range(low, len(texts)) if k and k in texts[i]), None)
+        behind = max((i for i, t in enumerate(texts) if contents in t), default=0) + 1
+        body = find(keys[0], behind) if keys else None
+        at, out = body, []
+        for o, k in zip(left.sort_values("ord")["ord"], keys, strict=True):
+            found = None
+            if body is not None and k:
+                found = find(k, at)
+                found = find(re.sub("[^0-9a-zA-Z一-鿿]+", "", k)[:loose], at) if found is None else found
+                at = at if found is None else found
+            out.append((key[0], o, None if found is None else found - body + 1))
         return pd.DataFrame(out, columns=["doc_id", "ord", "page"]).astype({"page": "Int64"})
 
     return _apart(entries, "ord").groupBy("doc_id").cogroup(_apart(pages, "page").groupBy("doc_id")).applyInPandas(run, f"doc_id {kind}, ord long, page long")
 
 
-_DOLLAR = re.compile(r"(?<!\$)\$(?!\$)([^$\n]{1,120})(?<!\$)\$(?!\$)")
-_EQUATION = re.compile(
-    rf"(?<![A-Za-z0-9_])([{R.LETTER}][A-Za-z0-9_Ͱ-Ͽ]*(?:\s*\([^,;\n。，；：]{{0,40}}\))?\s*(?:<=|>=|=|<|>|≤|≥|≈|≠)\s*[^,;\n。，；：]{{1,100}})"
-)
+class Grammar(NamedTuple):
+    """One sort of inline math: where it may stand, and what its text, made plain, must match and must not match."""
+
+    kind: str
+    pattern: re.Pattern
+    longest: int
+    wants: tuple[re.Pattern, ...]
+    not_raw: re.Pattern | None = None
+    mixed: bool = False  # narrative text is refused
+    brackets: bool = False  # closing brackets too many at the end are no part of it
+
+
+_SIGN = "<=|>=|[=<>≤≥≈≠]"
+#: In order of precedence (fixed values: patterns and bounds).
+GRAMMARS = (
+    Grammar(
+        "dollar", re.compile(r"(?<!\$)\$(?!\$)(?P<math>[^$\n]{1,120})(?<!\$)\$(?!\$)"), 120,
+        (re.compile(rf"\\[A-Za-z]+|[_^]|[=<>]|≤|≥|≈|≠|[+\-*/%]|∑|∫|√|^[{R.LETTER}][A-Za-z0-9Ͱ-Ͽ]*(?:\([A-Za-z0-9]+\))?$"),),
+    ),
+    Grammar(
+        "equation", re.compile(rf"(?<![A-Za-z0-9_])(?P<math>[{R.LETTER}][A-Za-z0-9_Ͱ-Ͽ]*(?:\s*\([^,;\n。，；：]{{0,40}}\))?\s*(?:{_SIGN})\s*[^,;\n。，；：]{{1,100}})"), 140,
+        (re.compile(R.RELATION), re.compile(rf"{R.OPERATOR}|\d|^[^=<>≤≥≈≠]*[{R.LETTER}][^=<>≤≥≈≠]*(?:{_SIGN}).*[{R.LETTER}]")),
+        re.compile(r"[。，；：,;]"), True, True,
+    ),
+)
 _WIDE = str.maketrans(R.WIDE, R.PLAIN)
-
-
-def _flat(text: str) -> str:
-    return re.sub(r"\s+", " ", text.translate(_WIDE)).strip()
-
-
-def _plain_kind(t: str) -> bool:
-    unit = bool(re.search(r"\d", t)) and not re.search(R.RELATION, t) and (not re.search(R.OPERATOR, t) or re.search(r"\d\s*-\s*\d", t)) and re.search(R.UNIT, t)
-    return bool(re.match(R.CITATION, t) or re.match(R.LABEL, t) or unit)
-
-
-def _balanced(t: str) -> bool:
-    return all(t.count(a) == t.count(b) for a, b in ("()", "{}", "[]"))
-
-
-def _dollar_ok(text: str) -> bool:
-    t = _flat(text)
-    if not t or len(t) > 120 or _plain_kind(t) or re.search("[一-鿿]", t) or not _balanced(t):
-        return False
-    return bool(re.search(r"\\[A-Za-z]+|[_^]|[=<>]|≤|≥|≈|≠|[+\-*/%]|∑|∫|√", t) or re.fullmatch(rf"[{R.LETTER}][A-Za-z0-9Ͱ-Ͽ]*(?:\([A-Za-z0-9]+\))?", t))
-
-
-def _equation_ok(text: str) -> bool:
-    t = _flat(text)
-    if not t or len(t) > 140 or _plain_kind(t) or re.search("[一-鿿]", t) or not _balanced(t) or re.search(r"[。，；：,;]", text) or not re.search(R.RELATION, t):
-        return False
-    sides = re.split(r"<=|>=|=|<|>|≤|≥|≈|≠", t, maxsplit=1)
-    return bool(re.search(R.OPERATOR, t) or re.search(r"\d", t) or (len(sides) == 2 and all(re.search(f"[{R.LETTER}]", s) for s in sides)))
-
-
-def math_spans(text: str | None) -> list[tuple[int, int, str, str]]:
-    """(start, end, text, kind) of inline math in prose of at most 1,200 characters: dollar spans, then equations that
-    overlap none; unbalanced brackets at an equation's end are left out."""
-    raw, spans = text or "", []
-    if not raw or len(raw) > 1200 or re.match(r"^\s*\$\$.+\$\$\s*$", raw, re.S):
-        return []
-    free = lambda a, b: all(b <= s or a >= e for s, e, _, _ in spans)
-    for m in _DOLLAR.finditer(raw):
-        if m[1].strip() and free(*m.span()) and _dollar_ok(m[1].strip()):
-            spans.append((*m.span(), m[1].strip(), "dollar"))
-    for m in _EQUATION.finditer(raw):
-        part = m[1].strip()
-        while part and part[-1] in ")]）］" and (_flat(part).count(")") > _flat(part).count("(") or _flat(part).count("]") > _flat(part).count("[")):
-            part = part[:-1].rstrip()
-        start = m.start(1) + len(m[1]) - len(m[1].lstrip())
-        if free(start, start + len(part)) and _equation_ok(part):
-            spans.append((start, start + len(part), part, "equation"))
-    return sorted(spans)
+_APART = re.compile(f"{R.CITATION}|{R.LABEL}|[一-鿿]")
+_QUANTITY = re.compile(rf"(?=.*\d)(?!.*(?:{R.RELATION}))(?:(?!.*(?:{R.OPERATOR}))|(?=.*\d\s*-\s*\d))(?=.*(?:{R.UNIT.replace('(?i)', '')}))", re.I | re.S)
+
+
+def _surplus(text: str) -> dict[str, int]:
+    """How many more closing than opening brackets there are, by sort."""
+    n = Counter(text.translate(_WIDE))
+    return {b: n[b] - n[a] for a, b in ("()", "[]", "{}")}
+
+
+def _is_math(text: str, g: Grammar) -> bool:
+    """The columns' rules (valid_dollar_span, valid_equation_span) on one text. Narrative text has CJK characters, which no
+    sort may have, so `mixed` asks for nothing more."""
+    plain = " ".join(text.translate(_WIDE).split())
+    refused = not plain or len(plain) > g.longest or any(_surplus(plain).values()) or _APART.search(plain) or _QUANTITY.match(plain) or (g.not_raw and g.not_raw.search(text))
+    return not refused and all(w.search(plain) for w in g.wants)
+
+
+def math_spans(text: str | None, longest: int = 1200) -> list[tuple[int, int, str, str]]:
+    """(start, end, text, kind) of inline math in prose of at most `longest` characters (a whole displayed formula is none):
+    each grammar in turn takes what those before it left free."""
+    raw, taken = text or "", []
+    if len(raw) > longest or re.match(r"(?s)\s*\$\$.+\$\$\s*$", raw):
+        return taken
+    for g in GRAMMARS:
+        for m in g.pattern.finditer(raw):
+            inner = m["math"].rstrip()
+            while g.brackets and inner and inner.translate(_WIDE)[-1] in ")]］" and max(_surplus(inner)[b] for b in ")]") > 0:
+                inner = inner[:-1].rstrip()
+            start, end = m.span() if not g.brackets else (m.start("math"), m.start("math") + len(inner))
+            start += 0 if not g.brackets else len(inner) - len(inner.lstrip())
+            if _is_math(inner.strip(), g) and all(end <= a or b <= start for a, b, _, _ in taken):
+                taken.append((start, end, inner.strip(), g.kind))
+    return sorted(taken)
 
 
 def explode_spans(df: DataFrame, text: str = "text") -> DataFrame:
@@ -150,6 +173,46 @@ def distinct_merges(merges: DataFrame) -> DataFrame:
     return merges.groupBy("doc_id", "row", "col", "rowspan", "colspan").agg(F.min("ord").alias("ord"))
 
 
-def first_pages(pages: DataFrame, pattern: str) -> DataFrame:
-    """doc_id and the first page whose text, as it is or without white space, matches."""
-    return pages.where(F.col("text").rlike(pattern) | F.regexp_replace("text", r"\s+", "").rlike(pattern)).groupBy("doc_id").agg(F.min("page").alias("page"))
+def _on_page(patterns: tuple[str, ...]):
+    """Whether a page's text, as it is or without white space, matches one of the patterns, whatever the case."""
+    either = "(?i)" + "|".join(f"(?:{p})" for p in patterns)
+    return F.col("text").rlike(either) | F.regexp_replace("text", r"\s+", "").rlike(either)
+
+
+def first_pages(pages: DataFrame, *patterns: str) -> DataFrame:
+    """doc_id and the first page of pages(doc_id, page, text) that matches a pattern."""
+    return matching_pages(pages, *patterns).groupBy("doc_id").agg(F.min("page").alias("page"))
+
+
+def matching_pages(pages: DataFrame, *patterns: str) -> DataFrame:
+    """doc_id and page of all pages that match a pattern."""
+    return pages.where(_on_page(patterns)).select("doc_id", "page")
+
+
+#: Pages worth a look: contents, start of the body, figures, tables, formulas (fixed values).
+CONTENTS_PAGE = ("目录", "contents")
+BODY_PAGE = (r"第\d+章", r"chapter\s*1", r"1\.\s*[A-Za-z]")
+RISK_PAGES = ((r"图\s*\d+", r"\bfig\.?\s*\d+", r"\bfigure\s*\d+", "插图"), (r"表\s*\d+", r"\btable\s*\d+", "三线表"), ("公式", "方程", r"\bequation\b", r"\beq\.?\s*\(?\d+"))
+
+
+def sample_pages(pages: DataFrame, most: int = 8) -> DataFrame:
+    """doc_id and pages (ascending) of a sample of at most `most` pages of pages(doc_id, page, text; page from 1).
+
+    In order: the first, the contents, the body's start; of pages that are no lists, the first with a figure, the first
+    with a table, the first with a formula not chosen yet; pages behind those with tables; the third, the middle one of
+    eight or more, the last.
+    """
+    figure, table, formula = (F.when(_on_page(p) & ~template.is_list_page("text"), F.col("page")) for p in RISK_PAGES)
+    on = lambda p: F.when(_on_page(p), F.col("page"))
+    t = pages.groupBy("doc_id").agg(
+        F.max("page").alias("n"), F.min(on(CONTENTS_PAGE)).alias("toc"), F.min(on(BODY_PAGE)).alias("body"), F.array_sort(F.collect_set(figure)).alias("figures"), F.array_sort(F.collect_set(table)).alias("tables"),
+        F.array_sort(F.collect_set(formula)).alias("formulas"),
+    )
+    one = lambda c: F.array_compact(F.array(c))
+    chosen = F.array_distinct(F.array_compact(F.array(F.lit(1).cast("long"), F.col("toc"), F.col("body"))))
+    t = t.withColumn("c", chosen)
+    fresh = lambda found: F.slice(F.array_except(found, F.col("c")), 1, 1)
+    t = t.withColumn("c", F.concat("c", fresh(F.col("figures")))).withColumn("c", F.array_distinct(F.concat("c", F.slice("tables", 1, 1)))).withColumn("c", F.concat("c", fresh(F.col("formulas"))))
+    rest = F.concat(F.transform("tables", lambda p: p + 1), one(F.when(F.col("n") >= 3, F.lit(3).cast("long"))), one(F.when(F.col("n") >= 8, F.floor(F.col("n") / 2))), one(F.col("n")))
+    chosen = F.slice(F.filter(F.array_distinct(F.concat("c", rest)), lambda p: p <= F.col("n")), 1, most)
+    return t.select("doc_id", F.array_join(F.array_sort(chosen).cast("array<string>"), ",").alias("pages"))

@@ -9,7 +9,7 @@ from ..functions import formula, latex, structure, style
 from ..operators import checks, matching
 from ..sources import corpora
 from ..sources.corpora import corpus
-from .queries import ORACLE_SQL, _table, query
+from .queries import ORACLE_SQL, QUERIES, _table, query
 
 
 @query(
@@ -98,16 +98,17 @@ def e01_match_in_order(spark, sf_dir):
 
 
 @query(
-    """WITH p AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS page, l_returnflag AS f FROM lineitem), m AS (SELECT doc_id, f, min(page) AS page FROM p GROUP BY ALL), a AS (SELECT doc_id, min(page) FILTER (f = 'A') AS a FROM p GROUP BY 1),
-n AS (SELECT a.doc_id, a, (SELECT min(page) FROM p WHERE p.doc_id = a.doc_id AND f = 'N' AND page >= coalesce(a, 0)) AS n FROM a), r AS (SELECT n.*, (SELECT min(page) FROM p WHERE p.doc_id = n.doc_id AND f = 'R' AND page >= coalesce(n, a, 0)) AS r FROM n)
-SELECT doc_id, 1 AS ord, a AS page FROM r UNION ALL SELECT doc_id, 2, n FROM r UNION ALL SELECT doc_id, 3, r FROM r"""
+    """WITH p AS (SELECT DISTINCT l_orderkey AS doc_id, dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS page, l_returnflag AS f FROM lineitem), a AS (SELECT doc_id, min(page) FILTER (f = 'A') AS a FROM p GROUP BY 1),
+n AS (SELECT a.doc_id, a, (SELECT min(page) FROM p WHERE p.doc_id = a.doc_id AND f = 'N' AND page >= a) AS n FROM a), r AS (SELECT n.*, (SELECT min(page) FROM p WHERE p.doc_id = n.doc_id AND f = 'R' AND page >= coalesce(n, a)) AS r FROM n)
+SELECT doc_id, 1 AS ord, a - a + 1 AS page FROM r UNION ALL SELECT doc_id, 2, n - a + 1 FROM r UNION ALL SELECT doc_id, 3, r - a + 1 FROM r"""
 )
 def e21_forward_pages(spark, sf_dir):
-    """Contents entries on pages, each not before the one ahead of it."""
-    t = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page"), F.concat(F.lit("flag "), "l_returnflag", F.lit("; ")).alias("text"))
+    """Contents entries on pages behind the contents, each not before the one ahead of it; the last by its letters only."""
+    t = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("long").alias("page"), F.concat(F.lit("flag "), "l_returnflag", F.lit("; ")).alias("text"))
     pages = t.distinct().groupBy("doc_id", "page").agg(F.array_join(F.array_sort(F.collect_list("text")), "").alias("text"))
-    entries = t.select("doc_id").distinct().select("doc_id", F.inline(F.expr("array(struct(1 AS ord, 'Flag A' AS text), struct(2 AS ord, 'Flag N' AS text), struct(3 AS ord, 'Flag R' AS text))")))
-    return matching.forward_pages(entries, pages)
+    contents = t.select("doc_id").distinct().select("doc_id", F.lit(-1).cast("long").alias("page"), F.lit("目 录 Flag A; Flag N; Flag R").alias("text"))
+    entries = t.select("doc_id").distinct().select("doc_id", F.inline(F.expr("array(struct(1 AS ord, 'Flag A' AS text), struct(2 AS ord, 'FLAG N' AS text), struct(3 AS ord, 'Flag: R!' AS text))")))
+    return matching.forward_pages(entries, pages.unionByName(contents))
 
 
 _CELLS = """SELECT l_orderkey AS doc_id, l_suppkey % 3 AS table_id, l_linenumber AS row, l_partkey * 1000 + l_suppkey % 1000 AS cell, CASE WHEN l_partkey % 4 = 0 THEN 3 ELSE 1 END AS span, CASE l_partkey % 3 WHEN 0 THEN 'restart' WHEN 1 THEN 'continue' ELSE '' END AS merge FROM lineitem"""
@@ -262,30 +263,22 @@ def i02_section_order(spark, sf_dir):
 
 
 @query(
-    """WITH w AS (SELECT conv_id AS doc_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '')[1:5] AS l FROM conversations) SELECT doc_id, 1 AS page, turn AS line, array_to_string(l, ' ') AS text, 10.0 AS x_min, (len(l) - 1) * 40.0 + 45 AS x_max, 10.0 AS size FROM w WHERE len(l) > 0"""
+    r"""WITH w AS (SELECT conv_id AS doc_id, turn, turn // 8 + 1 AS page, list_filter(string_split(text, ' '), lambda x: x <> '') AS l FROM conversations),
+x AS (SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY turn) - 1 AS line, row_number() OVER (PARTITION BY doc_id ORDER BY turn) AS n, trim(regexp_replace(array_to_string(l, ' '), '\s+', ' ', 'g')) AS t, len(l) AS k FROM w WHERE len(l) > 0)
+SELECT doc_id, page, line, regexp_replace(regexp_replace(t, '\s+([,.;:!?，。；：！？）\]\}])', '\1', 'g'), '([（\[\{])\s+', '\1', 'g') AS text, 10.0 AS x_min, (k - 1) * 40.0 + 45 AS x_max, 10.0 AS size FROM x WHERE n <= 320 AND t <> ''"""
 )
 def f26_word_lines(spark, sf_dir):
-    """Word boxes put together as lines."""
-    t = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.posexplode(F.slice(F.filter(F.split("text", " "), lambda x: x != ""), 1, 5)).alias("i", "text"))
-    y, x = F.col("turn") * 30.0 + F.col("i") % 2, F.col("i") * 40.0
-    return checks.word_lines(t.select("doc_id", F.lit(1).alias("page"), (x + 10).alias("x_min"), (x + 45).alias("x_max"), y.alias("y_min"), (y + 10).alias("y_max"), "text"))
-
-
-@query(
-    """WITH w AS (SELECT conv_id AS doc_id, turn, turn // 8 + 1 AS page, list_filter(string_split(text, ' '), lambda x: x <> '') AS l FROM conversations)
-SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY turn) - 1 AS line, array_to_string(l, ' ') AS text, 10.0 AS x_min, (len(l) - 1) * 40.0 + 45 AS x_max, 10.0 AS size FROM w WHERE len(l) > 0"""
-)
-def f26_whole_word_lines(spark, sf_dir):
-    """All word boxes of the turns put together as lines, eight turns a page."""
+    """All word boxes of the turns put together as lines, eight turns a page; the words of a turn stand a little apart in height."""
     t = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.posexplode(F.filter(F.split("text", " "), lambda x: x != "")).alias("i", "text"))
     y, x = F.col("turn") * 30.0 + F.col("i") % 2, F.col("i") * 40.0
     page = (F.floor(F.col("turn") / 8) + 1).cast("long")
-    return checks.word_lines(t.select("doc_id", page.alias("page"), (x + 10).alias("x_min"), (x + 45).alias("x_max"), y.alias("y_min"), (y + 10).alias("y_max"), "text"))
+    out = checks.word_lines(t.select("doc_id", page.alias("page"), (x + 10).alias("x_min"), (x + 45).alias("x_max"), y.alias("y_min"), (y + 10).alias("y_max"), "text"))
+    return out.select("doc_id", "page", "line", "text", "x_min", "x_max", "size")
 
 
 @query(
     """WITH f AS (SELECT l_orderkey AS doc_id, min(l_linenumber) AS ord, l_suppkey AS s FROM lineitem GROUP BY l_orderkey, l_suppkey) SELECT doc_id, ord, 'Box of supplier number ' || s AS text FROM f
-WHERE s % 2 = 1 OR NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = doc_id AND contains('see the boxofsuppliernumber' || l_suppkey || '!', 'boxofsuppliernumber' || s) AND l_suppkey % 2 = 0)"""
+WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = doc_id AND contains('see the boxofsuppliernumber' || l_suppkey || '!', 'boxofsuppliernumber' || s) AND l_suppkey % 2 = 0)"""
 )
 def e04_recovered_texts(spark, sf_dir):
     """Texts of boxes that the body doesn't have."""
@@ -365,3 +358,8 @@ CASE kind WHEN 22 THEN 'A. Writer. On orders.' WHEN 19 THEN '种方案' ELSE tri
 def c54_c60_chapters_and_references_all(spark, sf_dir):
     """Numbers of chapters, and all lines as references without theirs."""
     return corpus(spark, sf_dir, "OUTLINE").select("id", latex.chapter("text").alias("chapter"), latex.reference("text").alias("reference"))
+
+
+# The queries over all kinds of lines take the places of those over some.
+for _name in [n for n in QUERIES if n.endswith("_all")]:
+    QUERIES[_name.removesuffix("_all")], ORACLE_SQL[_name.removesuffix("_all")] = QUERIES.pop(_name), ORACLE_SQL.pop(_name)

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import quire.plans.case_queries  # noqa: F401
 import quire.plans.more_queries  # noqa: F401
 from quire.plans.queries import ORACLE_SQL, QUERIES
 
