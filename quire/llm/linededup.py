@@ -37,7 +37,10 @@ def _spaced(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class LineWords:
-    """What a unit of a text and its tokens are: here its lines, and their words (lower-cased, cut at ASCII white space)."""
+    """What a unit of a text and its tokens are: here its lines, and their words (lower-cased, cut at ASCII white space).
+    SINGLE: whether tokens that seem to be in one unit only are sent as well."""
+
+    SINGLE = False
 
     @staticmethod
     def tokens(data: np.ndarray, offsets: np.ndarray, two: bool = True) -> tuple:
@@ -63,9 +66,10 @@ class LineWords:
 
 class TextShingles:
     """As LineWords, with each text as one unit, whatever its line ends, and its shingles of five words as tokens. Fewer
-    words: one shingle of them all, also of none."""
+    words: one shingle of them all, also of none. There are more shingles than a table of fixed size can tell apart, so
+    all of a prefix are sent: what is sent is in proportion to the texts at every size."""
 
-    WORDS = 5
+    SINGLE, WORDS = True, 5
 
     @classmethod
     def tokens(cls, data: np.ndarray, offsets: np.ndarray, two: bool = True) -> tuple:
@@ -224,7 +228,7 @@ def _entries(rows: DataFrame, levels, threshold: float, kind, buckets: int, docu
     """An entry (_ENTRY) for each token of each line's prefix, once for equal lines of a run of texts (the earliest),
     packed by bucket of lists.
 
-    A token that is in one line only has no partner and none is made. A list too long for one block is cut: a line is
+    A token that is in one line only has no partner and none is made (unless kind.SINGLE). A list too long for one block is cut: a line is
     held in one block and asks in all. slot is the list's number with the lowest bit set for those that only ask; they
     have rows of their own, which come behind. documents: marks of the ids to read; lists: of the lists to fill; both as
     broadcast bitmaps. With these, all tokens are packed beside the entries.
@@ -257,7 +261,7 @@ def _entries(rows: DataFrame, levels, threshold: float, kind, buckets: int, docu
                 if not len(x.k1):
                     continue
                 at = np.arange(len(x.key)) - np.repeat(x.first, x.size)
-                mine = np.flatnonzero(np.repeat(x.distinct(ids), x.size) & (at < np.repeat(x.size - _needed(x.size, threshold) + 1, x.size)) & (x.key >> np.uint64(56) > 0))
+                mine = np.flatnonzero(np.repeat(x.distinct(ids), x.size) & (at < np.repeat(x.size - _needed(x.size, threshold) + 1, x.size)) & ((x.key >> np.uint64(56) > 0) | kind.SINGLE))
                 line = np.repeat(np.arange(len(x.size)), x.size)[mine]
                 token, level = (x.key[mine] & _ID), (x.key[mine] >> np.uint64(56)).astype(np.float64)
                 blocks = np.maximum(1, np.ceil(2 ** (level / 4) / BLOCK)).astype(np.int64)
