@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quire.llm import bitplanes, decontamination, lexicon, licenses, linededup, ppm, quality, sharding, simhash, wrappers
+from quire.llm import bitplanes, decontamination, lexicon, licenses, linededup, ppm, quality, queries, sharding, simhash, wrappers
 from quire.llm.shared import span_hashes, text_buffer, word_spans
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
@@ -590,6 +590,45 @@ def test_contamination_empty(spark, table, empty):
 # All of them
 
 
+def walked(trees, row):
+    """The score of one row, node by node."""
+    total = trees.base
+    for at in trees.roots.tolist():
+        while trees.left[at] != at:
+            at = trees.left[at] if row[trees.feature[at]] <= trees.threshold[at] else trees.right[at]
+        total += trees.value[at]
+    return 1 / (1 + np.exp(-total))
+
+
+def test_quality_scores_equal_a_walk_through_the_trees(spark):
+    rng = random.Random(8)
+    data = [(i, " ".join(f"w{rng.randrange(9 if i % 2 else 500)}" for _ in range(60 + i % 7)) + ("!" * (i % 5) if i % 2 else "."), "en", "s", 0) for i in range(120)]
+    docs = spark.createDataFrame(data, SCHEMA)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(120)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.quality(docs, labels).collect()}
+    counts = quality.document_statistics(docs).toPandas().sort_values("doc_id")
+    model = quality.train(quality.document_statistics(docs), labels)
+    x = quality.features({c: counts[c].to_numpy().astype(float) for c in quality.COUNTS})
+    assert len(model.roots) > 10
+    for i, row in zip(counts["doc_id"], x, strict=True):
+        score = walked(model, row)
+        assert got[i].score == pytest.approx(score) and got[i].kept == (not got[i].base_failed and score >= 0.5)
+
+
+def test_extra_columns_with_names_of_outputs(spark):
+    names = "fp component_id label node variant held_out n_tokens n_known score key n ids decoded base_failed kept n_words hit_words hit_starts item_ids contaminated words places __key __kept h p".split()
+    data = [(1, "one two three four five six seven eight nine ten eleven"), (2, "one two three four five six seven eight nine ten eleven"), (3, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    wide = docs.select("*", *[F.lit("x").alias(n) for n in names])
+    items = spark.createDataFrame([(1, "two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    for run in (
+        simhash.near_duplicates, lambda d: ppm.score_texts(d, F.lit(False)), lambda d: lexicon.bpe_round_trip(d, path), lambda d: quality.quality(d, labels), lambda d: decontamination.contamination(d, items),
+    ):
+        assert sorted(map(str, run(wide).collect())) == sorted(map(str, run(docs).collect()))
+
+
 def test_digests(spark):
     """The queries' columns and types on the smallest tables."""
     from quire.llm.queries import QUERIES
