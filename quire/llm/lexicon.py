@@ -269,7 +269,7 @@ def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
     def run(batches):
         for b in batches:
             tables = []
-            for _, data, offsets in text_groups(b.column(0), 1 << 19):
+            for _, data, offsets in text_groups(b.column(0), 1 << 18):
                 starts = [spaced_starts(data[s:e]) + s for s, e in zip(offsets[:-1], offsets[1:]) if e > s]
                 if starts:
                     found = pc.value_counts(binary_array(data, np.concatenate(starts)))
@@ -325,7 +325,7 @@ def bpe_round_trip(docs: DataFrame, path: str, most_words: int = 50_000) -> Data
     def run(batches):
         vocabulary, codec = shipped.value[0], _codec(shipped)
         for b in batches:
-            for first, data, offsets in text_groups(b.column(1), 1 << 19):
+            for first, data, offsets in text_groups(b.column(1), 1 << 18):
                 ids = codec.encode(data, offsets)
                 decoded = [vocabulary.decode(x).decode("utf-8") for x in ids]
                 packed = pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())

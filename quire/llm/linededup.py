@@ -21,7 +21,7 @@ BLOCK = 50_000
 #: Candidates of a line and a list that are verified first; lines without a match among them go on to all of theirs.
 FIRST = 4
 #: Bytes of entries that one task holds at a time, about.
-HELD_BYTES = 8 << 20
+HELD_BYTES = 4 << 20
 _LEAST = np.iinfo(np.int64).min
 _ENTRY = np.dtype([("slot", "<u8"), ("k1", "<i8"), ("id", "<i8"), ("p0", "<u8"), ("p1", "<u8"), ("line", "<i4"), ("size", "<i4"), ("at", "<i4")])
 
@@ -135,7 +135,7 @@ class Lines:
         return tuple(np.bitwise_xor.reduceat(np.where(at >> np.uint64(6) == w, one, np.uint64(0)), self.first) if len(self.key) else one for w in (0, 1))
 
 
-def _texts(batch: pa.RecordBatch, most: int = 1 << 19):
+def _texts(batch: pa.RecordBatch, most: int = 1 << 18):
     """Runs of texts of batch(doc_id, __key, text): ids (least for null), keys, bytes and offsets."""
     ids = batch.column("doc_id").fill_null(_LEAST).to_numpy().astype(np.int64)
     keys = batch.column("__key").to_numpy()
