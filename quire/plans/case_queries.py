@@ -194,7 +194,7 @@ def d08_formula_problems(spark, sf_dir):
 # Front and back matter ------------------------------------------------------------------------------------------------
 
 _HEADS = [
-    "References", "参考文献 ({k})", "1 Introduction to plant {k}", "2.3方法", "第三章", "（二）目标", "Figure 3 shows load", "Fig. 3: Load of {k}", "表 2-1 成本", "表 2 汇总了成本", "摘 要：", "Key Words", "致  谢", "Appendix A", "① first", "- item {k}", "(iv) item", "[3] item", "12. item",
+    "References", "参考文献 ({k})", "1 Introduction to plant {k}", "2.3方法", "第三章", "（二）目标", "Figure 3 shows load", "Fig. 3: Load of {k}", "表 2-1 成本", "表 2 汇总了成本", "摘 要：", "Key Words", "致  谢", "Appendix A", "① first", "- item", "(iv) item", "[3] item", "12. item",
     "Abstract", "Reference books", "A study of the load of plant number {k}", "某某大学经济管理学院论文封面", "2024年 5月 3日", "年度报告关于系统负荷的研究", "", "[Ref]", "图3",
 ]
 _N = len(_HEADS)
@@ -212,7 +212,7 @@ def _pick(other, **named) -> list:
     answers(
         "orders", "o_orderkey", reference=(B, _on(0, 1, 20)), numbered=(B, _on(2, 3, 4, 5, 18)), caption=(S, _pick("", n7="figure_caption", n8="table_caption")),
         front=(S, _pick("", n10="cn_abstract", n11="en_keywords", n19="en_abstract")), back=(S, _pick("", n0="references", n1="references", n12="acknowledgement", n13="appendix")),
-        list_line=(B, _on(14, 15, 16, 17, 18)), heading=(B, _on(0, 2, 4, 19)), title=(B, _on(6, 7, 20, 21)), date=(B, _on(23)),
+        list_line=(B, _on(14, 15, 16, 17, 18)), heading=(B, _on(0, 2, 4, 19)), title=(B, _on(6, 7, 20, 21, 23)), date=(B, _on(23)),
         names=(I, _pick(1, n0=4, n1=4, n12=6, n13=4, n25=0)),
     )
 )
