@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, decontamination, lexicon, licenses, linededup, ppm, quality, sharding, simhash, wrappers
+from . import bitplanes, decontamination, lexicon, licenses, linededup, merkle, ppm, quality, sharding, simhash, wrappers
 from .shared import tuned
 
 
@@ -74,10 +74,17 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = merkle.manifest(_read(spark, sf_dir, "documents"), fanout=2)
+    out = merkle.verified(table, F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False)))
+    hexed = [merkle.as_text(F.col(c)).alias(c) for c in ("leaf", "subroot", "root")]
+    return out.select("doc_id", *hexed, "proof_sha256", merkle.as_text(F.col("folded_root")).alias("folded_root"), "verified")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_license_scan, op2_token_output, op3_line_dedup, op4_simhash, op5_lm_score, op6_sharding, op7_main_text, op8_bpe_round_trip, op9_quality, op10_decontamination,
+        op1_license_scan, op2_token_output, op3_line_dedup, op4_simhash, op5_lm_score, op6_sharding, op7_main_text, op8_bpe_round_trip, op9_quality, op10_decontamination, op13_merkle_manifest,
     )
 }
 
@@ -115,4 +122,30 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_license_scan": _OP1, "op10_decontamination": _OP10}
+#: CRC-32 of a whole number's decimal digits, bit by bit: each byte enters before the first of its eight steps.
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c), 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))),
+  lambda acc, x: xor(xor(acc, x) >> 1, (xor(acc, x) & 1) * 3988292384)), 4294967295)"""
+
+_HASHED = "sha256(concat(" + ", ".join(f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "#", "text")) + "))"
+
+_OP13 = f"""
+WITH RECURSIVE row AS (SELECT doc_id, coalesce('+' || lang, '') AS lang, {_HASHED.replace("#", "n_chars")} AS leaf, {_HASHED.replace("#", "(n_chars + 1)")} AS changed, crc FROM (SELECT *, {_CRC} AS crc FROM documents)),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS n FROM row),
+low AS (SELECT lang, 0 AS k, idx, n, leaf AS h FROM leaves
+  UNION ALL SELECT lang, k + 1, idx // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM low WHERE n > 1 GROUP BY lang, k, idx // 2),
+subs AS (SELECT lang, h, k, row_number() OVER (ORDER BY lang) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1),
+high AS (SELECT 0 AS k, idx, n, h FROM subs UNION ALL SELECT k + 1, idx // 2, (max(n) + 1) // 2, sha256(string_agg(h, '' ORDER BY idx)) FROM high WHERE n > 1 GROUP BY k, idx // 2),
+top AS (SELECT h AS root FROM high WHERE n = 1),
+-- Each leaf upward: acc is the hash so far, sides the siblings met.
+walk AS (SELECT l.doc_id, l.lang, s.h AS subroot, s.k AS height, s.idx AS at, l.leaf, 0 AS k, l.idx, (CASE WHEN crc % 7 = 0 THEN changed ELSE leaf END) AS acc, '' AS sides, false AS done, row_number() OVER () AS r FROM leaves l JOIN subs s USING (lang)
+  UNION ALL
+  SELECT w.doc_id, w.lang, w.subroot, w.height, w.at, w.leaf, w.k + 1, (CASE WHEN w.k = w.height THEN w.at ELSE w.idx END) // 2,
+    CASE WHEN s.h IS NULL THEN sha256(w.acc) WHEN (CASE WHEN w.k = w.height THEN w.at ELSE w.idx END) % 2 = 0 THEN sha256(w.acc || s.h) ELSE sha256(s.h || w.acc) END,
+    w.sides || coalesce(s.h, ''), false, w.r
+  FROM walk w LEFT JOIN (SELECT lang, k, idx, h FROM low WHERE n > 1 UNION ALL SELECT NULL, k, idx, h FROM high WHERE n > 1) s
+    ON s.lang IS NOT DISTINCT FROM (CASE WHEN w.k < w.height THEN w.lang END) AND s.k = (CASE WHEN w.k < w.height THEN w.k ELSE w.k - w.height END) AND s.idx = xor((CASE WHEN w.k = w.height THEN w.at ELSE w.idx END), 1)
+  WHERE w.k < w.height + (SELECT max(k) FROM high))
+SELECT doc_id, leaf, subroot, root, sha256(sides) AS proof_sha256, acc AS folded_root, acc = root AS verified FROM walk, top WHERE k = height + (SELECT max(k) FROM high)
+"""
+
+ORACLE_SQL = {"op1_license_scan": _OP1, "op10_decontamination": _OP10, "op13_merkle_manifest": _OP13}
