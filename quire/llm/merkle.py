@@ -77,7 +77,9 @@ def build(leaves: DataFrame, fanout: int, name: str) -> Levels:
     more than one."""
     own = ["tree", "idx", "n", "hash"]
     nodes = [stored(leaves.select(*own, F.lit(None).cast("array<binary>").alias("kids")), f"{name}-0")]
-    while nodes[-1].where("n > 1").limit(1).count():
+    most = nodes[0].agg(F.max("n")).first()[0] or 0
+    while most > 1:
+        most = -(-most // fanout)
         child = F.struct("idx", "hash")
         made = nodes[-1].where("n > 1").groupBy("tree", F.expr(f"idx div {fanout}").alias("idx")).agg(F.first("n").alias("n"), F.sort_array(F.collect_list(child)).alias("kids"))
         made = made.select("tree", "idx", F.expr(f"(n + {fanout - 1}) div {fanout}").alias("n"), F.col("kids.hash").alias("kids"))
