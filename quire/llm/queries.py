@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, decontamination, lexicon, licenses, linededup, merkle, ppm, quality, sharding, simhash, wrappers
+from . import bitplanes, decontamination, lexicon, licenses, linededup, merkle, negatives, ppm, quality, sharding, simhash, wrappers
 from .shared import tuned
 
 
@@ -74,6 +74,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = merkle.manifest(_read(spark, sf_dir, "documents"), fanout=2)
     out = merkle.verified(table, F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False)))
@@ -84,7 +90,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_license_scan, op2_token_output, op3_line_dedup, op4_simhash, op5_lm_score, op6_sharding, op7_main_text, op8_bpe_round_trip, op9_quality, op10_decontamination, op13_merkle_manifest,
+        op1_license_scan, op2_token_output, op3_line_dedup, op4_simhash, op5_lm_score, op6_sharding, op7_main_text, op8_bpe_round_trip, op9_quality, op10_decontamination, op11_hard_negatives, op13_merkle_manifest,
     )
 }
 
@@ -122,6 +128,16 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+_OP11 = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pair AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.v, b.v)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positive AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM pair WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM positive JOIN pair USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 #: CRC-32 of a whole number's decimal digits, bit by bit: each byte enters before the first of its eight steps.
 _CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: [ord(c), 0, 0, 0, 0, 0, 0, 0]::BIGINT[]))),
   lambda acc, x: xor(xor(acc, x) >> 1, (xor(acc, x) & 1) * 3988292384)), 4294967295)"""
@@ -148,4 +164,4 @@ walk AS (SELECT l.doc_id, l.lang, s.h AS subroot, s.k AS height, s.idx AS at, l.
 SELECT doc_id, leaf, subroot, root, sha256(sides) AS proof_sha256, acc AS folded_root, acc = root AS verified FROM walk, top WHERE k = height + (SELECT max(k) FROM high)
 """
 
-ORACLE_SQL = {"op1_license_scan": _OP1, "op10_decontamination": _OP10, "op13_merkle_manifest": _OP13}
+ORACLE_SQL = {"op1_license_scan": _OP1, "op10_decontamination": _OP10, "op11_hard_negatives": _OP11, "op13_merkle_manifest": _OP13}
