@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bitplanes, decontamination, lexicon, licenses, linededup, merkle, negatives, ppm, quality, sharding, simhash, wrappers
+from . import bitplanes, bwt, decontamination, lexicon, licenses, linededup, merkle, negatives, ppm, quality, sharding, simhash, wrappers
 from .shared import tuned
 
 
@@ -80,6 +80,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = bwt.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    return out.select("doc_id", size.alias("n_bytes"), (size - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = merkle.manifest(_read(spark, sf_dir, "documents"), fanout=2)
     out = merkle.verified(table, F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0, F.lit(False)))
@@ -90,7 +96,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_license_scan, op2_token_output, op3_line_dedup, op4_simhash, op5_lm_score, op6_sharding, op7_main_text, op8_bpe_round_trip, op9_quality, op10_decontamination, op11_hard_negatives, op13_merkle_manifest,
+        op1_license_scan, op2_token_output, op3_line_dedup, op4_simhash, op5_lm_score, op6_sharding, op7_main_text, op8_bpe_round_trip, op9_quality, op10_decontamination, op11_hard_negatives, op12_suffix_dedup, op13_merkle_manifest,
     )
 }
 
