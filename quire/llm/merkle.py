@@ -132,7 +132,7 @@ def fold(path: Column, hash: Column) -> Column:
 
 
 def manifest(docs: DataFrame, fanout: int = 2) -> DataFrame:
-    """doc_id, lang, n_chars, leaf, used, subroot, root (digests as bytes) and path of every row of docs(doc_id, source,
+    """doc_id, leaf, used, subroot, root (digests as bytes) and path of every row of docs(doc_id, source,
     lang, n_chars, text).
 
     One tree for each lang, its leaves ascending by doc_id; the trees' tops, ascending by lang, are the leaves of the
