@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import front, structure, text
 from ..functions.text import let, strip
 from . import scans
+from .state import settled
 
 
 def contents_blocks(paragraphs: DataFrame, most: int | None = 160) -> DataFrame:
@@ -23,7 +24,7 @@ def contents_blocks(paragraphs: DataFrame, most: int | None = 160) -> DataFrame:
     title = structure.is_toc_title("t")
     p = p.withColumn("title", title).withColumn("shown", F.col("t") != "").withColumn("paged", F.col("shown") & structure.is_toc_entry("t") & ~title)
     p = p.withColumn("entry", F.col("shown") & (F.col("paged") | structure.is_bare_toc_entry("t") | (F.col("style") & (F.length("t") <= 80) & ~structure.is_placeholder("t") & ~F.col("t").rlike(r"[。！？!?；;]\s*$"))))
-    p = p.withColumn("key", structure.toc_key("t")).withColumn("order", structure.toc_order("t"))
+    p = settled(p.withColumn("key", structure.toc_key("t")).withColumn("order", structure.toc_order("t")))
     titles = p.where("title").select("doc_id", F.col("n").alias("at"), F.col("style").alias("styled"))
     if most is None:
         ends = p.groupBy("doc_id").agg(F.max("n").alias("end"))
@@ -86,32 +87,33 @@ def dispatch(elements: DataFrame, most: int | None = 160) -> DataFrame:
     t = strip("text")
     e = elements.withColumn("t", t).withColumn("paragraph", F.col("kind") == "paragraph")
     e = e.withColumn("placeholder", F.col("paragraph") & (structure.is_placeholder("t") | structure.is_instruction("t")))
+    # What the lines say is found once; the scans below read these tables more than once.
+    level, back = F.coalesce("level", F.lit(0)), strip(F.split("t", "[:：]", 2)[0])
+    closing = let(structure.spaced_heading(back), lambda h: F.struct(h.alias("heading"), F.lit("").alias("rest"), structure.section_role(h, F.greatest(level, F.lit(1))).alias("role")))
+    refs = front.is_reference_heading("t")
+    e = settled(e.select("*", refs.alias("refs"), (~refs & structure.is_backmatter("t")).alias("back"), F.when(structure.is_backmatter("t"), closing).alias("closing"), F.when(level > 0, section_heading("t", level)).alias("opening"), (text.clean("t") == "").alias("blank")))
     # Paragraphs are counted for the contents' lists: all of them to find a list, those that aren't placeholders to skip it.
     e = scans.sum_upto(e, ["doc_id"], "ord", F.col("paragraph") & ~F.coalesce("wrapped", F.lit(False)), "plain")
-    e = scans.sum_upto(e, ["doc_id"], "ord", F.col("paragraph") & ~F.col("placeholder"), "counted")
+    e = settled(scans.sum_upto(settled(e), ["doc_id"], "ord", F.col("paragraph") & ~F.col("placeholder"), "counted"))
     source = e.where("paragraph AND NOT coalesce(wrapped, false)").select("doc_id", (F.col("plain") - 1).alias("n"), "text", "heading_style", "boundary")
-    blocks = contents_blocks(source, most).where("skip > 0")
+    blocks = settled(contents_blocks(source, most).where("skip > 0"))
     spans = e.where("paragraph AND NOT placeholder AND NOT coalesce(wrapped, false)").select("doc_id", (F.col("plain") - 1).alias("n"), F.col("counted").alias("start")).join(blocks, ["doc_id", "n"])
-    spans = scans.taken_in_order(spans.select("doc_id", "start", (F.col("start") + F.col("skip")).alias("end")), ["doc_id"])
+    spans = scans.taken_in_order(settled(spans.select("doc_id", "start", (F.col("start") + F.col("skip")).alias("end"))), ["doc_id"])
     skipped = spans.select("doc_id", F.explode(F.sequence("start", "end")).alias("counted")).withColumn("skipped", F.lit(True))
     e = e.join(skipped, ["doc_id", "counted"], "left").withColumn("skipped", F.when(F.col("paragraph"), F.col("skipped")))
     free = F.col("paragraph") & ~F.col("placeholder") & F.col("skipped").isNull()
-    opens, closes = free & front.is_reference_heading("t"), free & structure.is_backmatter("t") & ~front.is_reference_heading("t")
-    e = e.withColumn("free", free).withColumn("event", F.when(opens, "opens").when(closes, "closes"))
+    e = settled(e.withColumn("free", free).withColumn("event", F.when(free & F.col("refs"), "opens").when(free & F.col("back"), "closes")))
     e = scans.last_before(e, ["doc_id"], "ord", F.col("event"), "state")
     listing = F.coalesce(F.col("state") == "opens", F.lit(False))
-    back = strip(F.split("t", "[:：]", 2)[0])
-    level = F.coalesce("level", F.lit(0))
-    named = F.when(listing & (F.col("event") == "closes"), let(structure.spaced_heading(back), lambda h: F.struct(h.alias("heading"), F.lit("").alias("rest"), structure.section_role(h, F.greatest(level, F.lit(1))).alias("role"))))
-    named = F.coalesce(named, F.when(~listing & (level > 0), section_heading("t", level)))
-    e = e.withColumn("listing", listing).withColumn("named", F.when(free & ~F.coalesce(F.col("event") == "opens", F.lit(False)), named))
+    named = F.coalesce(F.when(listing & (F.col("event") == "closes"), F.col("closing")), F.when(~listing, F.col("opening")))
+    e = e.withColumn("listing", listing).withColumn("named", F.when(F.col("free") & ~F.coalesce(F.col("event") == "opens", F.lit(False)), named))
     fate = (
         F.when(F.col("placeholder"), "placeholder").when(F.col("skipped"), "contents").when(F.col("event") == "opens", "references").when(F.col("named").isNotNull(), "section")
-        .when(F.col("listing"), F.when(F.col("paragraph") & (text.clean("t") == ""), "dropped").otherwise("entry")).when(F.col("paragraph") & (level > 0), "dropped").otherwise("item")
+        .when(F.col("listing"), F.when(F.col("paragraph") & F.col("blank"), "dropped").otherwise("entry")).when(F.col("paragraph") & (level > 0), "dropped").otherwise("item")
     )
-    e = e.withColumn("fate", fate)
+    e = settled(e.withColumn("fate", fate))
     e = scans.sum_upto(e, ["doc_id"], "ord", F.col("fate") == "section", "section")
     # The event behind an entry tells whether its list is closed: the last before it in the reverse order.
-    e = scans.last_before(e.withColumn("back", -F.col("ord")), ["doc_id"], "back", F.when(F.col("event") == "opens", "opens").when((F.col("event") == "closes") & F.col("listing"), "closes"), "behind")
+    e = scans.last_before(settled(e).withColumn("reverse", -F.col("ord")), ["doc_id"], "reverse", F.when(F.col("event") == "opens", "opens").when((F.col("event") == "closes") & F.col("listing"), "closes"), "behind")
     fate = F.when((F.col("fate") == "entry") & (F.col("behind") == "opens"), "lost").otherwise(F.col("fate"))
     return e.select(*elements.columns, fate.alias("fate"), F.when(F.col("fate").isin("section", "item", "dropped"), F.col("section")).alias("section"), "named.heading", "named.rest", "named.role")

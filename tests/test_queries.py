@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import quire.plans.body_queries  # noqa: F401
 import quire.plans.case_queries  # noqa: F401
 import quire.plans.more_queries  # noqa: F401
 import quire.plans.table_queries  # noqa: F401
