@@ -6,9 +6,9 @@
 2. Equal pieces are one, at its first place; their later places are covered whole. This is done before any exchange of
    what follows, so a passage that a third of all documents hold is one piece.
 3. Names with more than one piece are dealt into buckets of bounded bytes. Each task makes the transform of its pieces of
-   a bucket, a shard; a bucket's task merges the shards' transforms by refining their interleaving symbol by symbol. A
-   place where the order splits after h symbols has a common prefix of h; what isn't split after `length` rounds are the
-   repeated intervals. No suffix of another shard is sorted again.
+   a bucket, a shard; a bucket's task merges the shards' transforms by refining their interleaving symbol by symbol. What
+   is apart after h rounds had a common prefix of h - 1; what isn't after `length` rounds are the repeated intervals. No
+   suffix is sorted again.
 4. A name whose pieces are more than a bucket holds is cut anew by longer grams, at last by the whole window, by which
    equal windows are equal pieces.
 """
@@ -22,29 +22,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_128_digest
 
-from .shared import BROADCAST_BYTES, dropped, fresh, mix, stored, text_groups, tidy
+from .shared import BROADCAST_BYTES, dropped, fresh, stored, text_groups, tidy
 
 #: Shares of a window's length that name it, one after the other.
 GRAMS = (0.32, 0.8, 1.0)
 #: Windows of a piece at most; bytes of a name's pieces that a bucket takes, and of a shard.
-PIECE, BUCKET, SHARD = 1024, 1 << 20, 1 << 18
+PIECE, BUCKET, SHARD = 1024, 1 << 19, 1 << 18
+#: Bytes of texts hashed at a time, so that their arrays stay in a cache.
+GROUP = 1 << 17
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+_powers: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(max(n, 1), base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+    """base ** 0 to base ** (n - 1), modulo 2 ** 64; those of usual sizes are kept."""
+    kept = _powers.get(int(base))
+    if kept is None or len(kept) < n:
+        kept = np.full(max(n, 1 << 21), base, np.uint64)
+        kept[0] = 1
+        np.multiply.accumulate(kept, out=kept)
+        if n <= 1 << 21:
+            _powers[int(base)] = kept
+    return kept[:n]
 
 
 def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k bytes from each place on; equal grams hash alike."""
     n = len(data)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_STEP, n), out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * powers(_BACK, n - k + 1))
+    terms = data.astype(np.uint64)
+    terms += np.uint64(1)
+    terms *= powers(_STEP, n)
+    np.cumsum(terms, out=sums[1:])
+    out = sums[k:] - sums[:-k]
+    out *= powers(_BACK, n - k + 1)
+    out ^= out >> np.uint64(32)
+    out *= _STEP
+    out ^= out >> np.uint64(29)
+    return out
 
 
 def slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -102,7 +121,7 @@ def _names(docs: DataFrame, length: int, k: int) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            for _, data, offsets in text_groups(b.column(0)):
+            for _, data, offsets in text_groups(b.column(0), GROUP):
                 name, _, _, often = runs(data, offsets, length, k)
                 names, at = np.unique(name, return_inverse=True)
                 n = np.bincount(at, 1.0 + often, len(names)).astype(np.int64)
@@ -119,7 +138,7 @@ def _cut(rows: DataFrame, text: str, at: str | None, own: list[str], length: int
     def run(batches):
         for b in batches:
             base = b[at].to_numpy() if at else None
-            for first, data, offsets in text_groups(b[text].cast(pa.large_binary())):
+            for first, data, offsets in text_groups(b[text].cast(pa.large_binary()), GROUP):
                 name, start, n, often = runs(data, offsets, length, k)
                 if given is not None and len(name):
                     place = np.minimum(np.searchsorted(given.value, name), len(given.value) - 1)
@@ -142,33 +161,64 @@ def _cut(rows: DataFrame, text: str, at: str | None, own: list[str], length: int
 
 
 def transform(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The Burrows-Wheeler transform of several strings, each with an end of its own that is less than any byte, earlier
-    strings' ends being less: the symbols (0: an end, else byte + 1) that stand before the sorted suffixes."""
-    sizes = np.array([len(p) + 1 for p in pieces])
-    ends = np.cumsum(sizes) - 1
-    text = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8).astype(np.int64) + 256
+    """The Burrows-Wheeler transform of several strings of UTF-8, and their sizes. Each string has an end of its own that
+    is less than any byte, earlier strings' ends being less. Symbols that stand before the sorted suffixes: 0 for an end,
+    else byte + 1 (no byte of UTF-8 is 255).
+
+    Suffixes are sorted by their first seven symbols, then by prefix doubling; each round sorts only what isn't apart yet.
+    """
+    sizes = np.array([len(p) for p in pieces])
+    n = int(sizes.sum()) + len(pieces)
+    text = np.zeros(n + 7, np.int64)
+    text[:n] = np.frombuffer(b"\0".join(pieces) + b"\0", np.uint8)
+    text[:n] += 1
+    ends = np.cumsum(sizes + 1) - 1
     text[ends] = 0
-    rank = text + len(pieces)
-    rank[ends] = np.arange(len(pieces))
-    span, n = 1, len(text)
-    rank = np.unique(rank, return_inverse=True)[1]
-    while rank.max() + 1 < n:
-        # What follows a string's end never matters, since ends differ.
-        key = rank * np.int64(n + 1)
-        key[:-span] += rank[span:] + 1
-        rank = np.unique(key, return_inverse=True)[1]
+    key, live = np.zeros(n, np.int64), np.ones(n, bool)
+    for j in range(7):  # nothing counts behind an end
+        symbol = np.where(live, text[j : n + j], 0)
+        key = key << 9 | symbol
+        live &= symbol > 0
+    order = np.argsort(key)
+    key, ended = key[order], ~live[order]
+    new = np.ones(n, bool)
+    new[1:] = key[1:] != key[:-1]
+    # Suffixes that end within the seven symbols are in the order of their strings.
+    group = np.cumsum(new)[ended]
+    order[ended] = np.sort(group * np.int64(n) + order[ended]) % n
+    new |= ended
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    span = 7
+    while True:
+        single = new.copy()
+        single[:-1] &= new[1:]
+        at = np.flatnonzero(~single)
+        if not len(at):
+            break
+        # A group lies together in `order`; its rank is its first place.
+        part = order[at]
+        base, key = rank[part], rank[np.minimum(part + span, n - 1)]
+        moved = np.argsort(base * np.int64(n) + key)
+        part, base, key = part[moved], base[moved], key[moved]
+        order[at] = part
+        split = np.ones(len(at), bool)
+        split[1:] = (base[1:] != base[:-1]) | (key[1:] != key[:-1])
+        new[at] = split
+        rank[part] = np.maximum.accumulate(np.where(split, at, 0))
         span *= 2
-    order = np.empty(n, np.int64)
-    order[rank] = np.arange(n)
-    before = text[order - 1]
-    before[np.isin(order, ends[:-1] + 1) | (order == 0)] = 0
-    return np.where(before == 0, 0, before - 255).astype(np.uint16), sizes - 1
+    return text[order - 1].astype(np.uint8) * (order > 0), sizes
 
 
-def places(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def backwards(symbols: np.ndarray) -> np.ndarray:
+    """For each sorted suffix, the row of the one that is longer by the symbol before it."""
+    out = np.empty(len(symbols), np.int32)
+    out[np.argsort(symbols, kind="stable")] = np.arange(len(symbols), dtype=np.int32)
+    return out
+
+
+def places(symbols: np.ndarray, sizes: np.ndarray, back: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """String and place in it of every sorted suffix, read backwards from the ends, all strings at a time."""
-    back = np.empty(len(symbols), np.int64)
-    back[np.argsort(symbols, kind="stable")] = np.arange(len(symbols))
     string, place = np.empty(len(symbols), np.int32), np.empty(len(symbols), np.int32)
     at, own, left = np.arange(len(sizes)), np.arange(len(sizes)), sizes.copy()
     while len(at):
@@ -178,33 +228,42 @@ def places(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return string, place
 
 
-def merge(shards: list[np.ndarray], rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which shard each suffix of the merged order is from, and the common prefix of each with the one before it.
+def merge(shards: list[np.ndarray], rounds: int, backs: list[np.ndarray] | None = None, rows: np.ndarray | None = None, step: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """common, rows and interval of the merged transforms; a row is a suffix's place in the shards laid end to end.
 
-    The interleaving starts unordered. A round deals it out by the symbols before the suffixes, which orders it by one
-    more symbol; where two neighbours differ for the first time in round h, they share h - 1 symbols. Prefixes of
-    `rounds` symbols and more, which no end interrupts, have the value `rounds`.
+    The interleaving of the shards begins as one block. A round deals the suffixes out by the `step` symbols (1 or 2) before
+    them, which refines the blocks by as many: those of a block share `step` symbols for each round. A block of one suffix is
+    settled, as are all longer suffixes that end in it; it leaves the interleaving. common is the length that a row shares
+    with any other, `rounds` at most, in steps; rows are those that share `rounds`, in order, and interval is their block.
+
+    Given rows begin the interleaving in place of all: those with `rounds` symbols before them are enough for the
+    intervals, as others reach their string's start too soon; common is then that among what is left.
     """
-    n, m = sum(map(len, shards)), [int((s == 0).sum()) for s in shards]
-    symbols = np.concatenate(shards)
-    source = np.repeat(np.arange(len(shards), dtype=np.uint16), [len(s) for s in shards])
-    ends = np.repeat(np.arange(len(shards), dtype=np.uint16), m)
-    block, common = np.zeros(n, np.int64), np.full(n, rounds, np.int32)
-    common[0] = 0
-    for h in range(rounds):
-        own = np.empty(n, np.uint16)
-        own[np.argsort(source, kind="stable")] = symbols
+    backs = backs or [backwards(s) for s in shards]
+    start = np.cumsum([0, *map(len, shards)])
+    symbols, back = np.concatenate(shards), np.concatenate([b + np.int32(o) for b, o in zip(backs, start)])
+    common = np.zeros(len(symbols), np.int32)
+    rows = np.arange(len(symbols), dtype=np.int32) if rows is None else rows
+    block = np.zeros(len(rows), np.int32)
+    by_one = symbols, back
+    by_two = (np.where((symbols > 0) & (symbols[back] > 0), symbols[back].astype(np.uint16) << np.uint16(8) | symbols, 0).astype(np.uint16), back[back]) if step == 2 else None
+    h = 0
+    while h < rounds and len(rows):
+        before, next_ = by_two if step == 2 and h + 2 <= rounds else by_one
+        h += 1 if before is symbols else 2
+        own = before[rows]
         order = np.argsort(own, kind="stable")
-        source, block, own = source[order], block[order], own[order]
-        # The ends keep their order: shard by shard. Each is a block of its own.
-        source[: len(ends)] = ends
-        new = np.ones(n, bool)
-        new[1:] = (own[1:] != own[:-1]) | (block[1:] != block[:-1]) | (own[1:] == 0)
-        common[new & (common == rounds)] = h
-        block = np.cumsum(new)
-        if new.all():
-            break
-    return source, common
+        own = own[order]
+        ends = np.searchsorted(own, 1)  # ends stand alone
+        own, order = own[ends:], order[ends:]
+        block, rows = block[order], next_[rows[order]]
+        new = np.ones(len(rows) + 1, bool)
+        np.not_equal(block[1:], block[:-1], out=new[1:-1])
+        new[1:-1] |= own[1:] != own[:-1]
+        kept = ~(new[:-1] & new[1:])
+        rows, block = rows[kept], np.cumsum(new[:-1], dtype=np.int32)[kept]
+        common[rows] = h
+    return common, rows, block
 
 
 def covered(shards: list[dict], length: int) -> pa.Table | None:
@@ -212,20 +271,18 @@ def covered(shards: list[dict], length: int) -> pa.Table | None:
 
     A shard has its transform and, by piece, doc_id, key, start and n. Earlier is by doc_id (null last), key, place.
     """
-    found, offset = [], 0
+    string, place, backs, offset = [], [], [], 0
     for s in shards:
-        string, place = places(s["symbols"], s["sizes"])
-        found.append((string + offset, place))
+        backs.append(backwards(s["symbols"]))
+        own = places(s["symbols"], s["sizes"], backs[-1])
+        string.append(own[0] + offset)
+        place.append(own[1])
         offset += len(s["sizes"])
-    source, common = merge([s["symbols"] for s in shards], length)
-    order = np.argsort(source, kind="stable")
-    string, place = np.empty(len(source), np.int64), np.empty(len(source), np.int64)
-    string[order], place[order] = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-    # Intervals of suffixes with a common prefix of `length`.
-    interval = np.cumsum(common < length) - 1
-    repeated = np.bincount(interval)[interval] > 1
-    if not repeated.any():
+    string, place = np.concatenate(string), np.concatenate(place)
+    _, suffixes, interval = merge([s["symbols"] for s in shards], length, backs, np.flatnonzero(place >= length).astype(np.int32), step=2)
+    if not len(suffixes):
         return None
+    string, place = string[suffixes].astype(np.int64), place[suffixes].astype(np.int64)
     rows = pa.concat_tables([s["rows"] for s in shards])
     ranked = pc.sort_indices(rows.append_column("none", pc.is_null(rows["doc_id"])), [("none", "ascending"), ("doc_id", "ascending"), ("key", "ascending")]).to_numpy()
     keys = rows["key"].combine_chunks()
@@ -235,7 +292,6 @@ def covered(shards: list[dict], length: int) -> pa.Table | None:
     doc = np.empty(len(ranked), np.int64)
     doc[ranked] = np.cumsum(changes)
     starts = rows["start"].to_numpy()
-    string, place, interval = string[repeated], place[repeated], interval[repeated]
     address = (doc[string] << 36) | (starts[string] + place)
     least = np.full(interval.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, interval, address)
@@ -259,7 +315,7 @@ def _shards(pieces: DataFrame, length: int) -> DataFrame:
     def pack(bucket, held):
         t = pa.concat_tables(held)
         symbols, sizes = transform(t["piece"].to_pylist())
-        out = {"bucket": pa.array([bucket], pa.int64()), "ends": pa.array([np.flatnonzero(symbols == 0).astype(np.int32).tobytes()]), "bytes": pa.array([np.maximum(symbols, 1).__sub__(1).astype(np.uint8).tobytes()])}
+        out = {"bucket": pa.array([bucket], pa.int64()), "symbols": pa.array([symbols.tobytes()])}
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, t.select(own).schema) as f:
             f.write_table(t.select(own))
@@ -284,16 +340,14 @@ def _shards(pieces: DataFrame, length: int) -> DataFrame:
         if held:
             yield pack(now, held)
 
-    return pieces.sortWithinPartitions("bucket").mapInArrow(tidy(run), "bucket long, ends binary, bytes binary, rows binary, sizes binary")
+    return pieces.sortWithinPartitions("bucket").mapInArrow(tidy(run), "bucket long, symbols binary, rows binary, sizes binary")
 
 
 def _merged(shards: DataFrame, length: int, parts: int) -> DataFrame:
     """key, from and to of what the buckets' merges find."""
 
     def opened(x: dict) -> dict:
-        symbols = np.frombuffer(x["bytes"], np.uint8).astype(np.uint16) + np.uint16(1)
-        symbols[np.frombuffer(x["ends"], np.int32)] = 0
-        return {"symbols": symbols, "sizes": np.frombuffer(x["sizes"], np.int32), "rows": pa.ipc.open_stream(x["rows"]).read_all()}
+        return {"symbols": np.frombuffer(x["symbols"], np.uint8), "sizes": np.frombuffer(x["sizes"], np.int32), "rows": pa.ipc.open_stream(x["rows"]).read_all()}
 
     def run(batches):
         held, now = [], None
@@ -364,18 +418,22 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     equal in both are one document, and each has its result. An empty table gives an empty one. Columns named spans or
     kept are replaced; all others stay.
     """
-    key = fresh(docs, "key")
+    key, held, found_, whole_ = (fresh(docs, c) for c in ("__key", "__held", "__spans", "__text"))
     text = F.coalesce(F.col("text"), F.lit(""))
     named = docs.withColumn(key, F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), text))))
     spans = repeated_spans(named.where(F.octet_length("text") >= length).select("doc_id", F.col(key).alias("key"), "text"), length)
-    listed = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("__spans")).withColumnRenamed("key", "__key")
+    listed = spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias(found_)).withColumnRenamed("key", held)
 
     def run(batches):
         for b in batches:
-            spans, kept = [], []
-            for text, found in zip(b["__text"], b["__spans"].to_pylist()):
-                text, runs_ = text.as_py(), []
-                for x in found or ():
+            spans, kept, whole = [], [], b[found_].is_null()
+            for row, found in enumerate(b[found_].to_pylist()):
+                if found is None:
+                    spans.append([])
+                    kept.append(None)
+                    continue
+                text, runs_ = b[whole_][row].as_py(), []
+                for x in found:
                     if runs_ and x["from"] <= runs_[-1]["to"]:
                         runs_[-1]["to"] = max(runs_[-1]["to"], x["to"])
                     else:
@@ -383,11 +441,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
                 edges = [0, *[e for x in runs_ for e in (x["from"], x["to"])], len(text)]
                 spans.append(runs_)
                 kept.append(b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2])))
-            rest = [c for c in b.schema.names if c not in ("__text", "__spans")]
-            yield pa.RecordBatch.from_arrays([*[b[c] for c in rest], pa.array(spans, SPANS), pa.array(kept, pa.binary())], names=[*rest, "spans", "kept"])
+            rest = [c for c in b.schema.names if c not in (whole_, found_)]
+            yield pa.RecordBatch.from_arrays([*[b[c] for c in rest], pa.array(spans, SPANS), pc.if_else(whole, b[whole_], pa.array(kept, b[whole_].type))], names=[*rest, "spans", "kept"])
 
     rest = [c for c in docs.columns if c.lower() not in ("spans", "kept")]
-    joined = named.join(listed, named[key] == listed["__key"], "left").select(*rest, text.cast("binary").alias("__text"), "__spans")
+    joined = named.join(listed, named[key] == listed[held], "left").select(*[F.col(f"`{c}`") for c in rest], text.cast("binary").alias(whole_), found_)
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
     return joined.mapInArrow(tidy(run), f"{kinds}, spans array<struct<from:long,to:long>>, kept binary")
 

@@ -114,13 +114,13 @@ def test_repeats_go(spark, monkeypatch, bucket, most, parts):
     monkeypatch.setattr(bwt, "BUCKET", bucket)
     monkeypatch.setattr(bwt, "BROADCAST_BYTES", most)
     rows = passages()
-    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("name", F.lit(2)).repartition(parts)
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("name", F.lit(2)).withColumn("__key", F.lit(3)).withColumn("__spans", F.lit(4)).repartition(parts)
     got = bwt.remove_repeats(table, 30).collect()
     expected = without_repeats(rows, 30)
     assert len(got) == len(rows)
     for r in got:
         kept, spans = expected[(r.doc_id, (r.text or "").encode())]
-        assert (bytes(r.kept), [tuple(s) for s in r.spans]) == (kept, spans) and (r.key, r.name) == (1, 2)
+        assert (bytes(r.kept), [tuple(s) for s in r.spans]) == (kept, spans) and (r.key, r.name, r["__key"], r["__spans"]) == (1, 2, 3, 4)
     assert sum(len(s) for _, s in expected.values()) > 60
 
 
@@ -144,16 +144,28 @@ def test_no_texts(spark):
 def test_merged_transforms_are_those_of_all_strings():
     rng = random.Random(6)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 40))) for _ in range(30)]
+    strings += [strings[3], strings[0] * 3, b"a" * 300, b"a" * 200]
     parts = [strings[:7], strings[7:8], strings[8:]]
     shards = [bwt.transform(p) for p in parts]
-    source, common = bwt.merge([s for s, _ in shards], 60)
-    suffixes = [[p[j][at:] for j, at in zip(*bwt.places(s, n))] for p, (s, n) in zip(parts, shards)]
-    assert [sorted(x) for x in suffixes] == [list(x) for x in suffixes]
-    order = [iter(x) for x in suffixes]
-    merged = [next(order[s]) for s in source]
-    assert merged == sorted(merged)
+    for p, (s, n) in zip(parts, shards):
+        order = sorted([(x[at:], j) for j, x in enumerate(p) for at in range(len(x) + 1)])
+        assert [(p[j][at:], j) for j, at in zip(*bwt.places(s, n, bwt.backwards(s)))] == order
+    suffixes = [p[j][at:] for p, (s, n) in zip(parts, shards) for j, at in zip(*bwt.places(s, n, bwt.backwards(s)))]
+    common, rows, interval = bwt.merge([s for s, _ in shards], 12)
     shared = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-    assert common[1:].tolist() == [shared(a, b) for a, b in zip(merged, merged[1:])]
+    assert common.tolist() == [min(12, max(shared(a, b) for j, b in enumerate(suffixes) if i != j)) for i, a in enumerate(suffixes)]
+    by_two = bwt.merge([s for s, _ in shards], 12, step=2)
+    assert by_two[0].tolist() == [c // 2 * 2 for c in common] and sorted(by_two[1].tolist()) == sorted(rows.tolist())
+    assert bwt.merge([s for s, _ in shards], 11, step=2)[0].tolist() == [min(c // 2 * 2 + (c >= 11) if c >= 10 else c // 2 * 2, 11) for c in common]
+    blocks = {}
+    for row, i in zip(rows.tolist(), interval.tolist()):
+        blocks.setdefault(i, []).append(row)
+    groups = {}
+    for row, x in enumerate(suffixes):
+        if len(x) >= 12:
+            groups.setdefault(x[:12], []).append(row)
+    assert sorted(map(sorted, blocks.values())) == sorted(g for g in groups.values() if len(g) > 1) and len(blocks) > 3
+    assert [suffixes[b[0]][:12] for _, b in sorted(blocks.items())] == sorted(k for k, g in groups.items() if len(g) > 1)
 
 
 # 13 Merkle manifests
