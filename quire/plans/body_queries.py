@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import structure
-from ..operators import body
+from ..operators import body, splits
 from ..sources import corpora
 from ..sources.corpora import corpus
-from .queries import _table, query
+from .queries import _ORD, _table, query
 
 
 def _lines(spark, sf_dir):
@@ -67,3 +69,50 @@ def h06_body_dispatch(spark, sf_dir):
     """Lines of documents as sections, items, references, contents lists and placeholders."""
     t = _lines(spark, sf_dir).withColumn("level", structure.heading_level("text")).withColumn("kind", F.lit("paragraph")).withColumn("wrapped", F.lit(False)).withColumnRenamed("n", "ord")
     return body.dispatch(t).select("doc_id", "ord", "fate", "section", "role", "rest")
+
+
+#: Formulas as a layout splits them, by sort: the items, then what they are together. Q: terms, S: a start.
+_SPLIT = (
+    (("max", "x", "Q", "R(t)·3", "t=1"), (("formula", "max x ∑_{t=1}^{Q} R(t)·3", r"\max_{x} \sum_{t=1}^{Q}R(t)\cdot 3", False),)),
+    (("E =", "a1", "b2", "Q", "t=1", "P(t)-Q0]", "(3-S)"), (("formula", "E=a1/b2 ∑_{t=1}^{Q} [P(t)-Q0]", r"E=\frac{a_{\mathrm{1}}}{b_{\mathrm{2}}}\sum_{t=1}^{Q}[P(t)-Q_{\mathrm{0}}]", True),)),
+    (("Q", "A = ∑ P(t) (2-S)", "t = S"), (("formula", "A = ∑ P(t)", r"A = \sum_{t=S}^{Q} P(t)", True),)),
+    (("Q", "E(t)+2P", "i = S"), (("formula", "∑_{i=S}^{Q} E(t)+2P", r"\sum_{i=S}^{Q}E(t)+2P", False),)),
+    (("∑Q", "P(t)+λab 其中"), (("formula", "∑_{t=1}^{Q} P(t)+λab", r"\sum_{t=1}^{Q}P(t)+\lambda_{\mathrm{ab}}", False), ("text", "其中", None, False))),
+    (("i = S", "rself", "=m/n×100%", "Etotal", "rgreen", "=kS×100%", "Ebuy"), (("formula", "rself=(m/n)/(Etotal)×100%", r"r_{\mathrm{self}}=\frac{m/n}{E_{\mathrm{total}}}\times100\%", False), ("formula", "rgreen=(kS)/(Ebuy)×100%", r"r_{\mathrm{green}}=\frac{k_{\mathrm{S}}}{E_{\mathrm{buy}}}\times100\%", False))),
+    (("成本 C = ∑ Q", "P(t)+Q0"), (("text", "成本", None, False), ("formula", "C=∑_{t=1}^{Q} P(t)+Q0", r"C=\sum_{t=1}^{Q}P(t)+Q_{\mathrm{0}}", False))),
+    (("D=∑S", "P+Q0"), (("formula_problem", "D=∑S P+Q0", None, False),)),
+    (("H=∑Q P(t) 其中",), (("formula", "H=∑_{t=1}^{Q} P(t)", r"H=\sum_{t=1}^{Q}P(t)", False), ("text", "其中", None, False))),
+)
+_TERM, _START = "(40 + l_partkey % 50)", "(2 + l_suppkey % 7)"
+
+
+def _worded(text: str | None) -> str:
+    """SQL of a text with its terms and starts."""
+    if text is None:
+        return "NULL"
+    own = {"Q": _TERM, "S": _START}
+    parts = re.split("(Q(?![0_])|S)", text.replace("'", "''"))
+    return " || ".join(f"CAST({own[x]} AS STRING)" if x in own else f"'{x}'" for x in parts if x)
+
+
+def _split_sql() -> str:
+    parts = ["SELECT l_orderkey AS doc_id, line, 0 AS place, 'item' AS role, 'Part ' || l_partkey || ' was sent by rail' AS text, NULL AS latex, false AS numbered FROM placed"]
+    for k, (_, made) in enumerate(_SPLIT):
+        for place, (role, text, latex, numbered) in enumerate(made):
+            parts.append(f"SELECT l_orderkey, line, {place + 1}, '{role}', {_worded(text)}, {_worded(latex)}, {str(numbered).lower()} FROM placed WHERE l_partkey % {len(_SPLIT)} = {k}")
+    placed = f"WITH placed AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORD}) AS line FROM lineitem)"
+    return f"{placed} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY line, place))::BIGINT AS n, role, text, latex, numbered FROM ({' UNION ALL '.join(parts)}) x"
+
+
+@query(_split_sql())
+def h09_h18_split_formulas(spark, sf_dir):
+    """Formulas split over items, put together."""
+    t = _table(spark, sf_dir, "lineitem")
+    items = F.array(F.concat(F.lit("Part "), F.col("l_partkey"), F.lit(" was sent by rail")))
+    for k, (own, _) in enumerate(_SPLIT):
+        items = F.when(F.col("l_partkey") % len(_SPLIT) == k, F.concat(F.array(F.concat(F.lit("Part "), F.col("l_partkey"), F.lit(" was sent by rail"))), F.array(*[F.expr(_worded(x)) for x in own]))).otherwise(items)
+    t = t.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.expr(_ORD))).alias("line"), F.posexplode(items).alias("k", "text"))
+    t = t.select("doc_id", (F.col("line") * 16 + F.col("k")).alias("ord"), "text", (F.col("text").startswith("=")).alias("formula"), F.lit(False).alias("numbered"))
+    out = splits.repaired(t)
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "place")).cast("long")
+    return out.select("doc_id", n.alias("n"), "role", "text", "latex", "numbered")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import grids
+from ..operators import containment, grids
 from .queries import _ORD, _table, query
 
 #: The same for DuckDB: row, sort (k), whether the first cell breaks its merge, how the last pair goes on (s), free columns.
@@ -98,3 +98,19 @@ def g14_wide_in_landscape(spark, sf_dir):
     wide = grids.widest(_cells(spark, sf_dir)).where("n_columns > 6").select(F.col("doc_id").alias("table_id"))
     wide = wide.join(orders.select(F.col("o_orderkey").alias("table_id"), F.col("o_custkey").alias("doc_id")), "table_id")
     return grids.wide_in_landscape(flow, wide)
+
+
+@query(
+    """WITH e AS (SELECT l_orderkey AS doc_id, l_linenumber AS table_id, list(DISTINCT l_partkey || 'x' || l_linenumber % 3) AS keys FROM lineitem GROUP BY 1, 2),
+r AS (SELECT l_orderkey AS doc_id, l_linenumber AS ord, string_agg('part' || l_partkey || 'x' || l_suppkey % 3 || 'kg', '') AS text FROM lineitem GROUP BY 1, 2)
+SELECT e.doc_id, e.table_id, min(r.ord) AS found FROM e LEFT JOIN r ON r.doc_id = e.doc_id AND len(list_filter(e.keys, lambda k: NOT contains(r.text, k))) = 0 GROUP BY 1, 2"""
+)
+def e03_tables_with_samples(spark, sf_dir):
+    """The first rendered table that holds what a table says."""
+    t = _table(spark, sf_dir, "lineitem")
+    cell = F.concat(F.col("l_partkey").cast("string"), F.lit(" x "), (F.col("l_linenumber") % 3).cast("string"))
+    col = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(F.expr(_ORD))) - 1
+    expected = t.select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("table_id"), F.lit(0).alias("row"), col.alias("col"), cell.alias("text"))
+    text = F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.lit("x"), (F.col("l_suppkey") % 3).cast("string"), F.lit(" kg"))
+    rendered = t.groupBy(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ord")).agg(F.array_join(F.collect_list(text), "").alias("text"))
+    return containment.tables_with_samples(expected, rendered)
