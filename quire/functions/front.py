@@ -92,14 +92,33 @@ def cover_field(x, refused: Column) -> Column:
     return F.struct(F.when(good, key).otherwise("").alias("key"), F.when(good, value).otherwise("").alias("value"))
 
 
-def without_instructions(x, depth: int = 4) -> Column:
-    """Text without bracketed guidance of a template, from the inmost brackets on, `depth` of them at most."""
-    t = col(x)
-    for _ in range(depth):
-        parts = F.regexp_extract_all(t, F.lit("[（(][^（）()]{1,120}[）)]|[^（(]+|[（(]"), F.lit(0))
-        note = lambda s: s.rlike("^[（(][^（）()]{1,120}[）)]$") & is_instruction(F.substring(s, F.lit(2), F.length(s) - 2))
-        t = F.array_join(F.filter(parts, lambda s: ~note(s)), "")
-    return strip(F.regexp_replace(t, rf"{SPACE}{{2,}}", " "))
+#: Characters of a note in brackets at most (fixed value).
+LONGEST_NOTE = 120
+
+
+def without_instructions(x) -> Column:
+    """Text without bracketed guidance of a template, however deep: a bracket goes if what it holds, once the guidance in
+    it is gone, has no brackets left and is guidance.
+
+    One pass over brackets and what stands between them keeps the open ones on a stack; each knows whether a bracket
+    inside it stays. What is never closed stays, as does a bracket that closes nothing.
+    """
+    parts = F.regexp_extract_all(col(x), F.lit(r"([（(]|[）)]|[^（）()]+)"), F.lit(1))
+    level = lambda text, kept: F.struct(text.alias("text"), kept.alias("kept"))
+    base = F.array(level(F.lit(""), F.lit(False)))
+
+    def step(stack: Column, part: Column) -> Column:
+        top, rest = F.element_at(stack, -1), F.slice(stack, 1, F.size(stack) - 1)
+        under = F.element_at(rest, -1)
+        onto = lambda text, kept: F.concat(rest, F.array(level(F.concat(top["text"], text), kept)))
+        content = F.substring(top["text"], 2, LONGEST_NOTE + 1)
+        note = ~top["kept"] & F.length(content).between(1, LONGEST_NOTE) & is_instruction(content)
+        joined = F.concat(F.slice(rest, 1, F.size(rest) - 1), F.array(level(F.concat(under["text"], top["text"], part), F.lit(True))))
+        closed = F.when(note, rest).otherwise(joined)
+        return F.when(part.rlike("^[（(]$"), F.concat(stack, F.array(level(part, F.lit(False))))).when(part.rlike("^[）)]$") & (F.size(stack) > 1), closed).otherwise(onto(part, top["kept"]))
+
+    left = F.aggregate(parts, base, step, lambda stack: F.array_join(F.transform(stack, lambda s: s["text"]), ""))
+    return strip(F.regexp_replace(left, rf"{SPACE}{{2,}}", " "))
 
 
 def _caption(t: Column, label: str) -> Column:

@@ -42,12 +42,12 @@ def sorted_where_numbered(sections: DataFrame) -> DataFrame:
     return t.select("doc_id", "chapter", "ord", F.row_number().over(Window.partitionBy("doc_id", "chapter").orderBy("key", "ord")).alias("place"))
 
 
-def word_lines(words: DataFrame, most: int = 320) -> DataFrame:
+def word_lines(words: DataFrame, most: int | None = 320) -> DataFrame:
     """doc_id, page, line, text, x_min, x_max, y_min, y_max and size of words(doc_id, page, x_min, x_max, y_min, y_max, text).
 
     Words of a page come by their centre, then from the left. Each joins the line before it if its centre is within
     max(3, 0.45 x the median height) of that line's median centre, else it opens a line: the medians move as words join, so a
-    page is one group. The first `most` lines of a document count; those without text are left out.
+    page is one group. The first `most` lines of a document count (None: all); those without text are left out.
     """
     kind = words.schema["doc_id"].dataType.simpleString()
 
@@ -69,7 +69,8 @@ def word_lines(words: DataFrame, most: int = 320) -> DataFrame:
         F.array_join(F.transform(parts, lambda w: w["text"]), " ").alias("text"), F.min("x_min").alias("x_min"), F.max("x_max").alias("x_max"), F.min("y_min").alias("y_min"), F.max("y_max").alias("y_max"),
         F.median(F.col("y_max") - F.col("y_min")).alias("size"),
     )
-    t = t.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line"))).where(F.col("__n") <= most).drop("__n")
+    if most is not None:
+        t = t.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "line"))).where(F.col("__n") <= most).drop("__n")
     return t.withColumn("text", template.line("text")).where("text <> ''")
 
 

@@ -84,8 +84,9 @@ def _rows(df: DataFrame, keys: list[str], json: str, of_object, not_object: str)
     return t.select(*keys, F.inline(issues))
 
 
-def validate(df: DataFrame, keys: list[str], json: str, contract: tuple) -> DataFrame:
-    """keys, code, path and severity of each breach of a contract (CONTENT or FORMAT) by the JSON texts of a column."""
+def validate(df: DataFrame, keys: list[str], json: str, contract: tuple, whole: bool = False) -> DataFrame:
+    """keys, code, path and severity of each breach of a contract (CONTENT or FORMAT) by the JSON texts of a column. whole:
+    all items of a list are looked at, not the contract's first ones."""
     not_object, rules, (listed, empty), lists = contract
 
     def of_items(group: Items):
@@ -100,7 +101,8 @@ def validate(df: DataFrame, keys: list[str], json: str, contract: tuple) -> Data
     def found(v: Column) -> Column:
         out = F.array(*[_broken(_at(v, r.path), r) for r in rules], F.when(F.coalesce(F.size(F.try_variant_get(v, listed, "array<variant>")), F.lit(0)) <= 0, _issue(empty, listed)))
         for group in lists:
-            items = F.slice(F.coalesce(F.try_variant_get(v, group.path, "array<variant>"), F.array().cast("array<variant>")), 1, group.most)
+            items = F.coalesce(F.try_variant_get(v, group.path, "array<variant>"), F.array().cast("array<variant>"))
+            items = items if whole else F.slice(items, 1, group.most)
             out = F.concat(out, F.flatten(F.transform(items, of_items(group))))
         return out
 
@@ -119,8 +121,8 @@ def validate_manifest(df: DataFrame, keys: list[str], json: str) -> DataFrame:
     return _rows(df, keys, json, found, "MANIFEST_NOT_OBJECT")
 
 
-def validate_report(df: DataFrame, keys: list[str], json: str, most: int = 100) -> DataFrame:
-    """The same for a report: passed, status, label, counts and issues must be there and agree; issues (the first `most`) must
+def validate_report(df: DataFrame, keys: list[str], json: str, most: int | None = 100) -> DataFrame:
+    """The same for a report: passed, status, label, counts and issues must be there and agree; issues (the first `most`, None: all) must
     have a code, a severity and a message."""
 
     def found(v: Column) -> Column:
@@ -148,7 +150,7 @@ def validate_report(df: DataFrame, keys: list[str], json: str, most: int = 100)
             fields = [F.when(F.coalesce(F.trim(F.try_variant_get(x, f"$.{f}", "string")), F.lit("")) == "", _issue(f"QA_REPORT_ISSUE_{f.upper()}_MISSING", F.concat(place, F.lit(f".{f}")))) for f in ("code", "severity", "message")]
             return F.when(F.coalesce(kind(x) != "object", F.lit(True)), F.array(_issue("QA_REPORT_ISSUE_NOT_OBJECT", place))).otherwise(F.array(*fields))
 
-        return F.concat(whole, F.flatten(F.transform(F.slice(items, 1, most), of_item)))
+        return F.concat(whole, F.flatten(F.transform(items if most is None else F.slice(items, 1, most), of_item)))
 
     return _rows(df, keys, json, found, "QA_REPORT_NOT_OBJECT")
 

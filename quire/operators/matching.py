@@ -123,11 +123,11 @@ def _is_math(text: str, g: Grammar) -> bool:
     return not refused and all(w.search(plain) for w in g.wants)
 
 
-def math_spans(text: str | None, longest: int = 1200) -> list[tuple[int, int, str, str]]:
-    """(start, end, text, kind) of inline math in prose of at most `longest` characters (a whole displayed formula is none):
+def math_spans(text: str | None, longest: int | None = 1200) -> list[tuple[int, int, str, str]]:
+    """(start, end, text, kind) of inline math in prose of at most `longest` characters (None: any; a whole displayed formula is none):
     each grammar in turn takes what those before it left free."""
     raw, taken = text or "", []
-    if len(raw) > longest or re.match(r"(?s)\s*\$\$.+\$\$\s*$", raw):
+    if (longest is not None and len(raw) > longest) or re.match(r"(?s)\s*\$\$.+\$\$\s*$", raw):
         return taken
     for g in GRAMMARS:
         for m in g.pattern.finditer(raw):
