@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from .shared import BROADCAST_BYTES, stored, tidy
 
+#: Comments; elements whose content is no markup, to their end; other tags, quotes in attributes closed or not; the rest.
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|object|svg|math|select|button)\b(?:[^>"']|"[^"]*"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"""
+    r"""<!--.*?(?:-->|\Z)|<(script|style)\b(?:[^>"']|"[^"]*"|'[^']*')*+(?<!/)>.*?(?:</\1\s*>|\Z)|<(iframe|textarea)\b(?:[^>"']|"[^"]*"|'[^']*')*+(?<!/)>.*?</\2\s*>"""
     r"""|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
     re.S | re.I,
 )
+#: Elements that show no text of the article, to the place where they or what holds them ends.
+_HIDDEN = frozenset("svg select button noscript template script style iframe textarea".split())
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -33,8 +36,9 @@ _OUT_WORDS = frozenset(
 )
 _HEAD_WORDS = frozenset({"header"})
 _MAIN_TAGS = frozenset({"article", "main"})
-#: Outside an article, a slot that so many different pages fill with the same words is taken for part of the frame.
-_SEEN = 3
+#: A slot varies or stays the same only over different pages, two at least: one that stays, outside an article, is taken
+#: for part of the frame.
+_SEEN = 2
 
 
 def host_of(url):
@@ -80,8 +84,8 @@ def tokens(page: str) -> tuple[list[tuple[int, str | None]], list[tuple[int, str
     and signs.
 
     A place is the open elements, without inline ones (unless they mark a region), numbered as they are met: 0 is none
-    open. Elements that are left open end where HTML ends them. Comments, scripts, styles and the like give nothing;
-    character references are decoded.
+    open. Elements that are left open end where HTML ends them; one that closes itself holds nothing. Comments, scripts, styles,
+    drawings, buttons and the like give nothing; math and what objects hold is text. Character references are decoded.
     """
     out: list[tuple[int, str | None]] = []
     places: list[tuple[int, str]] = [(-1, "")]
@@ -92,7 +96,7 @@ def tokens(page: str) -> tuple[list[tuple[int, str | None]], list[tuple[int, str
     path, at = 0, 0
 
     def text(part: str) -> None:
-        if part:
+        if part and not any(opened[x] > 0 for x in _HIDDEN):
             out.append((path, entities.unescape(part) if "&" in part else part))
 
     def close_to(name: str) -> None:
@@ -105,13 +109,20 @@ def tokens(page: str) -> tuple[list[tuple[int, str | None]], list[tuple[int, str
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
-        name = m[3] or m[6]
+        name = m[4] or m[7]
         if not name:
-            if m[1]:
+            if m[1] or m[2]:
                 out.append((path, None))
             continue
-        name, attributes, closing = name.lower(), (m[4] or m[7] or ""), bool(m[2] or m[5])
+        name, attributes, closing = name.lower(), (m[5] or m[8] or ""), bool(m[3] or m[6])
         inline = name in _INLINE
+        if not closing and (name in _HIDDEN or any(opened[x] > 0 for x in _HIDDEN)):
+            if not attributes.endswith("/") and name not in _VOID:
+                stack.append((name, path))
+                opened[name] += 1
+            if name in _HIDDEN:
+                out.append((path, None))
+            continue
         if closing:
             if opened[name] > 0:
                 close_to(name)

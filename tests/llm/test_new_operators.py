@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import bwt, merkle, negatives
+from quire.llm import bwt, merkle, negatives, wrappers
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string"
 
@@ -112,6 +112,7 @@ def passages(seed=4, n=50):
 @pytest.mark.parametrize("bucket, most, parts", [(1 << 20, 1 << 26, 1), (300, 1 << 26, 6), (1 << 20, 0, 6), (3000, 0, 3)])
 def test_repeats_go(spark, monkeypatch, bucket, most, parts):
     monkeypatch.setattr(bwt, "BUCKET", bucket)
+    monkeypatch.setattr(bwt, "NAME", bucket)
     monkeypatch.setattr(bwt, "BROADCAST_BYTES", most)
     rows = passages()
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("name", F.lit(2)).withColumn("__key", F.lit(3)).withColumn("__spans", F.lit(4)).repartition(parts)
@@ -127,6 +128,7 @@ def test_repeats_go(spark, monkeypatch, bucket, most, parts):
 def test_one_passage_in_many_contexts(spark, monkeypatch):
     """Its first gram names a piece in every document, more than a bucket holds."""
     monkeypatch.setattr(bwt, "BUCKET", 2000)
+    monkeypatch.setattr(bwt, "NAME", 2000)
     rng = random.Random(5)
     text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
     passage = text(34)
@@ -230,3 +232,41 @@ def test_small_manifests(spark):
     assert one.leaf == one.root and one.verified and one.proof_sha256 == h("")
     with pytest.raises(ValueError):
         merkle.manifest(spark.createDataFrame([], DOCS), 1)
+
+
+# 7 Main text: elements that hold none, left open or closed by themselves
+
+
+def main_texts(*pages):
+    streams = [wrappers.tokens(p) for p in pages]
+    whole = None
+    for s in streams:
+        made = wrappers.Wrapper.of_page(s)
+        whole = made if whole is None else whole.merge(made)
+    roles = whole.roles()
+    return [wrappers.main_text(s, roles) for s in streams]
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>a</p><svg/><p>b</p></article>", "a b"),
+        ("<article><p>a</p><svg><title>t</title><g>q</g></svg><p>b</p></article>", "a b"),
+        ("<article><p>Let <math><mi>x</mi></math> be</p></article>", "Let x be"),
+        ("<article><p>a <button>go</p><p>b</p></article>", "a b"),
+        ("<article><p>a</p><select><option>1<option>2</select><p>b</p><object data=x>instead</object></article>", "a b instead"),
+        ("<article>a<script>x<y</script>b<iframe src='x'/>c<iframe>d</iframe>e</article>", "a b c e"),
+        ("<article><p>a</p><noscript><p>n</p></noscript><template><p>t</p></template><p>b</p></article>", "a b"),
+    ],
+)
+def test_elements_without_text(page, text):
+    assert main_texts(page) == [text]
+
+
+def test_equal_pages_behave_alike_whatever_their_number():
+    page = "<body><div class=a><p>Welcome to the site</p></div><div class=b><p>the same words</p></div></body>"
+    for n in (1, 2, 3, 10):
+        assert main_texts(*[page] * n) == ["Welcome to the site the same words"] * n
+    for n in (2, 3, 10):  # pages that differ: what stays the same is the frame
+        pages = [page.replace("the same words", f"words of page {i}") for i in range(n)]
+        assert main_texts(*pages) == [f"words of page {i}" for i in range(n)]
