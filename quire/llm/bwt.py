@@ -26,8 +26,8 @@ from .shared import BROADCAST_BYTES, dropped, fresh, stored, text_groups, tidy
 
 #: Shares of a window's length that name it, one after the other.
 GRAMS = (0.32, 0.8, 1.0)
-#: Windows of a piece at most; bytes of a name's pieces that a bucket takes, and of a shard.
-PIECE, BUCKET, SHARD = 1024, 1 << 19, 1 << 18
+#: Windows of a piece at most; bytes that a bucket holds on average, and those of one name that it takes; bytes of a shard.
+PIECE, BUCKET, NAME, SHARD = 1024, 1 << 19, 1 << 20, 1 << 18
 #: Bytes of texts hashed at a time, so that their arrays stay in a cache.
 GROUP = 1 << 17
 
@@ -116,7 +116,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, k: int):
     return name, start, count, often
 
 
-def _names(docs: DataFrame, length: int, k: int) -> DataFrame:
+def _names(rows: DataFrame, text: str, length: int, k: int) -> DataFrame:
     """name and how many pieces have it (a piece that may repeat a window counts twice), for names of more than one."""
 
     def run(batches):
@@ -127,7 +127,7 @@ def _names(docs: DataFrame, length: int, k: int) -> DataFrame:
                 n = np.bincount(at, 1.0 + often, len(names)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], names=["name", "n"])
 
-    return docs.select("text").mapInArrow(tidy(run), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name")
+    return rows.select(text).mapInArrow(tidy(run), "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name")
 
 
 def _cut(rows: DataFrame, text: str, at: str | None, own: list[str], length: int, k: int, wanted: np.ndarray | None) -> DataFrame:
@@ -157,6 +157,19 @@ def _cut(rows: DataFrame, text: str, at: str | None, own: list[str], length: int
     return rows.select(*own, text, *([at] if at else [])).mapInArrow(tidy(run), f"{kinds}, start long, n long, name long, often boolean, id binary, piece binary")
 
 
+def _pieces(rows: DataFrame, text: str, at: str | None, own: list[str], length: int, k: int) -> DataFrame:
+    """The pieces whose names occur more than once, stored. The names are broadcast if they take BROADCAST_BYTES at most, and
+    joined otherwise."""
+    names = stored(_names(rows, text, length, k), "names")
+    if names.count() * 8 <= BROADCAST_BYTES:
+        found = _cut(rows, text, at, own, length, k, np.sort(names.toArrow()["name"].to_numpy()))
+    else:
+        found = _cut(rows, text, at, own, length, k, None).join(names, "name", "left_semi")
+    found = stored(found, "pieces", compression="zstd")
+    dropped(names)
+    return found
+
+
 # Transforms
 
 
@@ -371,13 +384,7 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     grams = sorted({max(1, round(g * length)) for g in GRAMS})
     own = ["doc_id", "key"]
-    names = stored(_names(docs, length, grams[0]), "names")
-    if names.count() * 8 <= BROADCAST_BYTES:
-        found = _cut(docs, "text", None, own, length, grams[0], np.sort(names.toArrow()["name"].to_numpy()))
-    else:
-        found = _cut(docs, "text", None, own, length, grams[0], None).join(names, "name", "left_semi")
-    found, spans = stored(found, "pieces", compression="zstd"), []
-    dropped(names)
+    found, spans = _pieces(docs, "text", None, own, length, grams[0]), []
     address = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "start")
     for k in grams[1:] + [0]:
         firsts = found.groupBy("id").agg(F.min(address).alias("a"), F.first("piece").alias("piece"), F.first("name").alias("name"), F.first("n").alias("n"), F.first("often").alias("often"))
@@ -388,16 +395,16 @@ def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
         weight = F.sum(F.octet_length("piece") + 1)
         by_name = firsts.groupBy("name").agg(weight.alias("weight"), F.count("*").alias("pieces"), F.max("often").alias("any")).where("pieces > 1 OR any").select("name", "weight")
         hard = stored(firsts.join(by_name, "name"), "hard", compression="zstd")
-        total, hot = hard.agg(F.coalesce(F.sum(F.when(F.col("weight") <= BUCKET, F.octet_length("piece"))), F.lit(0)), F.count(F.when(F.col("weight") > BUCKET, 1))).first()
+        total, hot = hard.agg(F.coalesce(F.sum(F.when(F.col("weight") <= NAME, F.octet_length("piece"))), F.lit(0)), F.count(F.when(F.col("weight") > NAME, 1))).first()
         buckets = max(1, -(-total // BUCKET))
         # At the last length a window is its own name: what is left there are other windows of one hash.
-        cool = hard.where(F.col("weight") <= BUCKET) if k else hard
+        cool = hard.where(F.col("weight") <= NAME) if k else hard
         cool = cool.withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)))
         spans.append(stored(_merged(_shards(cool, length), length, max(1, min(buckets, 4 * parts))), "spans"))
         if not (k and hot):
             dropped(found, firsts, hard)
             break
-        cut = stored(_cut(hard.where(F.col("weight") > BUCKET), "piece", "start", own, length, k, None), "pieces", compression="zstd")
+        cut = _pieces(hard.where(F.col("weight") > NAME), "piece", "start", own, length, k)
         dropped(found, firsts, hard)
         found = cut
     out = spans[0]

@@ -133,10 +133,11 @@ def fresh(df: DataFrame, name: str) -> str:
 def without(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """df without the rows whose column is among ids(column), null being a value; ids are broadcast if they take
     BROADCAST_BYTES at most, else both sides are shuffled."""
-    ids = stored(ids.select(F.col(column).alias("__id")).distinct(), "ids")
+    name = fresh(df, "__id")
+    ids = stored(ids.select(F.col(column).alias(name)).distinct(), "ids")
     if ids.count() * 32 <= BROADCAST_BYTES:
         ids = F.broadcast(ids)
-    return df.join(ids, df[column].eqNullSafe(F.col("__id")), "left_anti")
+    return df.join(ids, df[column].eqNullSafe(F.col(name)), "left_anti")
 
 
 def lower_ascii(column):

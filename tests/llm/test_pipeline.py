@@ -71,3 +71,20 @@ def test_benchmark_stage_goes_by_rows(spark, tmp_path):
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in data], SCHEMA)
     got = [(r.doc_id, r.text) for r in corpus_pipeline.benchmark_stage(spark, docs, str(tmp_path)).collect()]
     assert sorted(got, key=str) == sorted([(None, "clean"), (1, "also clean"), (2, None)], key=str)
+
+
+def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
+    """Columns with the names that operators use, nulls, empty texts, repeated rows, an empty table."""
+    text = " ".join(f"word{i} of a line" for i in range(30))
+    spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "some words that nobody else has written down here so far at all")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, text, "k1", 7, 5), (2, None, "k2", 7, 5), (3, "", "k3", 7, 5), (None, text + "\nmore " + text[::-1], "k4", 7, 5), (5, "a\nb", "k5", 7, 5)]
+    docs = spark.createDataFrame([(*r[:2], "en", "s", 0, *r[2:]) for r in rows], SCHEMA + ", __key string, n_lines int, __id int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert {r["__key"] for r in got} <= {"k1", "k2", "k3", "k4", "k5"} and all((r.n_lines, r["__id"]) == (7, 5) for r in got), name
+        assert name == "quality rules" or "k1" in {r["__key"] for r in got}
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    assert len(corpus_pipeline.token_stage(spark, docs, str(tmp_path)).collect()) == 5
