@@ -8,6 +8,7 @@ import pytest
 import quire.plans.body_queries  # noqa: F401
 import quire.plans.case_queries  # noqa: F401
 import quire.plans.more_queries  # noqa: F401
+import quire.plans.package_queries  # noqa: F401
 import quire.plans.table_queries  # noqa: F401
 from quire.plans.queries import ORACLE_SQL, QUERIES
 
