@@ -132,7 +132,7 @@ def _names(rows: DataFrame, text: str, length: int, k: int) -> DataFrame:
 
 def _cut(rows: DataFrame, text: str, at: str | None, own: list[str], length: int, k: int, wanted: np.ndarray | None) -> DataFrame:
     """The pieces of a text or binary column: own columns, start (counted from column `at`), n, name, often, id and
-    bytes. wanted: sorted names, broadcast; other pieces are left out."""
+    bytes. wanted: sorted names, broadcast; other pieces are left out. None: all pieces, without id and bytes."""
     given = rows.sparkSession.sparkContext.broadcast(wanted) if wanted is not None else None
 
     def run(batches):
@@ -148,15 +148,35 @@ def _cut(rows: DataFrame, text: str, at: str | None, own: list[str], length: int
                     continue
                 row = np.searchsorted(offsets, start, side="right") - 1
                 whole = data.tobytes()
-                piece = [whole[s:e] for s, e in zip(start.tolist(), (start + n + length - 1).tolist())]
+                piece = [whole[s:e] for s, e in zip(start.tolist(), (start + n + length - 1).tolist())] if given is not None else []
                 place = start - offsets[row] + (base[first + row] if base is not None else 0)
-                made = [pa.array(place), pa.array(n), pa.array(name), pa.array(often), pa.array([xxh3_128_digest(p) for p in piece], pa.binary()), pa.array(piece, pa.binary())]
+                made = [pa.array(place), pa.array(n), pa.array(name), pa.array(often), *([pa.array([xxh3_128_digest(p) for p in piece], pa.binary()), pa.array(piece, pa.binary())] if given is not None else [pa.nulls(len(n), pa.binary())] * 2)]
                 yield pa.RecordBatch.from_arrays([*[b[c].take(pa.array(first + row)) for c in own], *made], names=[*own, "start", "n", "name", "often", "id", "piece"])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own)
     return rows.select(*own, text, *([at] if at else [])).mapInArrow(tidy(run), f"{kinds}, start long, n long, name long, often boolean, id binary, piece binary")
 
 
+def _taken(rows: DataFrame, text: str, own: list[str], length: int) -> DataFrame:
+    """The pieces that rows(own, text, __base, asked) ask for, as _cut gives them."""
+
+    def run(batches):
+        for b in batches:
+            texts, out = b[text].cast(pa.large_binary()), []
+            for row, (base, asked) in enumerate(zip(b["__base"].to_pylist(), b["asked"].to_pylist())):
+                whole = texts[row].as_py()
+                for x in asked:
+                    piece = whole[x["start"] - base : x["start"] - base + x["n"] + length - 1]
+                    out.append((row, x["start"], x["n"], x["name"], x["often"], xxh3_128_digest(piece), piece))
+            if out:
+                row, *made = zip(*out)
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([*[b[c].take(pa.array(row)) for c in own], *[pa.array(m, k) for m, k in zip(made, kinds)]], names=[*own, "start", "n", "name", "often", "id", "piece"])
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in own)
+    return rows.select(*own, text, "__base", "asked").mapInArrow(tidy(run), f"{kinds}, start long, n long, name long, often boolean, id binary, piece binary")
+
+
 def _pieces(rows: DataFrame, text: str, at: str | None, own: list[str], length: int, k: int) -> DataFrame:
     """The pieces whose names occur more than once, stored. The names are broadcast if they take BROADCAST_BYTES at most, and
     joined otherwise."""
@@ -164,7 +184,11 @@ def _pieces(rows: DataFrame, text: str, at: str | None, own: list[str], length:
     if names.count() * 8 <= BROADCAST_BYTES:
         found = _cut(rows, text, at, own, length, k, np.sort(names.toArrow()["name"].to_numpy()))
     else:
-        found = _cut(rows, text, at, own, length, k, None).join(names, "name", "left_semi")
+        # Places are joined with the names; only then are bytes cut from the texts that they stand in.
+        base = F.col(at) if at else F.lit(0).cast("long")
+        places = _cut(rows.withColumn("__base", base), text, at, [*own, "__base"], length, k, None).join(names, "name", "left_semi")
+        asked = places.groupBy("key", "__base").agg(F.collect_set(F.struct("start", "n", "name", "often")).alias("asked"))
+        found = _taken(rows.withColumn("__base", base).join(asked, ["key", "__base"]), text, own, length)
     found = stored(found, "pieces", compression="zstd")
     dropped(names)
     return found
