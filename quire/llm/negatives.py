@@ -257,7 +257,7 @@ def mine(table: DataFrame, anchors: Column, id: str = "vec_id", label: str = "la
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last(), "row"))
     near = stored(near.withColumn("w", place).select("q", "w", F.col("score").alias("positive_score"), F.col("id").alias("positive_id")), "positives")
     # At a negative score, low percent of it is above high percent: nothing fits.
-    window = F.struct("w", F.expr(f"({low} * positive_score + 99) div 100").alias("lo"), F.expr(f"({high} * positive_score) div 100").alias("hi"), F.lit(None).cast("long").alias("kth"))
+    window = F.struct("w", F.expr(f"(CAST(positive_score AS DECIMAL(20, 0)) * {low} + 99) div 100").alias("lo"), F.expr(f"(CAST(positive_score AS DECIMAL(20, 0)) * {high}) div 100").alias("hi"), F.lit(None).cast("long").alias("kth"))
     windows = near.where("positive_score >= 0").groupBy("q").agg(F.collect_list(window).alias("windows"))
     hard = search(lists, asked.join(windows, "q"), negatives, False)
     rank = F.row_number().over(Window.partitionBy("q", "w").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last(), "row")).cast("int")

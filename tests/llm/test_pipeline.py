@@ -85,6 +85,7 @@ def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
         assert out.columns == docs.columns, name
         got = out.collect()
         assert {r["__key"] for r in got} <= {"k1", "k2", "k3", "k4", "k5"} and all((r.n_lines, r["__id"]) == (7, 5) for r in got), name
-        assert name == "quality rules" or "k1" in {r["__key"] for r in got}
+        # The line that two rows share stays in one of them.
+        assert name == "quality rules" or {"k1", "k4"} & {r["__key"] for r in got}
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert len(corpus_pipeline.token_stage(spark, docs, str(tmp_path)).collect()) == 5
