@@ -93,10 +93,13 @@ def tokens(page: str) -> tuple[list[tuple[int, str | None]], list[tuple[int, str
     stack: list[tuple[str, int]] = []  # (name, place up to here)
     opened: Counter[str] = Counter()
     signs: dict[tuple[str, str], str] = {}
-    path, at = 0, 0
+    path, at, met = 0, 0, False
+
+    def hidden() -> bool:
+        return met and any(opened[x] > 0 for x in _HIDDEN)
 
     def text(part: str) -> None:
-        if part and not any(opened[x] > 0 for x in _HIDDEN):
+        if part and not hidden():
             out.append((path, entities.unescape(part) if "&" in part else part))
 
     def close_to(name: str) -> None:
@@ -116,7 +119,8 @@ def tokens(page: str) -> tuple[list[tuple[int, str | None]], list[tuple[int, str
             continue
         name, attributes, closing = name.lower(), (m[5] or m[8] or ""), bool(m[3] or m[6])
         inline = name in _INLINE
-        if not closing and (name in _HIDDEN or any(opened[x] > 0 for x in _HIDDEN)):
+        if not closing and (name in _HIDDEN or hidden()):
+            met = True
             if not attributes.endswith("/") and name not in _VOID:
                 stack.append((name, path))
                 opened[name] += 1
