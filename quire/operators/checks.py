@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import template
-from .containment import holders
+from .containment import unheld
 
 #: code, severity, predicate, detail
 Rule = tuple[str, str, Column, Column]
@@ -80,8 +80,5 @@ def recovered(found: DataFrame, known: DataFrame) -> DataFrame:
     key = lambda x: F.lower(F.regexp_replace(F.coalesce(F.col(x), F.lit("")), r"\s+", ""))
     f = found.withColumn("__k", key("text")).where("__k <> ''")
     first = f.groupBy("doc_id", "__k").agg(F.min_by(F.struct("ord", "text"), "ord").alias("m"))
-    k = known.select(F.col("doc_id").alias("__d"), key("text").alias("__t"))
-    left = first.join(k.distinct(), (first.doc_id == F.col("__d")) & (F.col("__k") == F.col("__t")), "left_anti")
-    held = holders(left.where(F.length("__k") >= 16).select("doc_id", F.col("__k").alias("key")), k.select(F.col("__d").alias("doc_id"), F.md5("__t").alias("text_id"), F.col("__t").alias("text")))
-    left = left.join(held.select("doc_id", F.col("key").alias("__k")).distinct(), ["doc_id", "__k"], "left_anti")
+    left = unheld(first.withColumnRenamed("__k", "key"), known.select("doc_id", key("text").alias("text")), 16)
     return left.select("doc_id", "m.ord", "m.text")

@@ -130,8 +130,8 @@ def body_start(paragraphs: DataFrame, expected: DataFrame) -> DataFrame:
     e = expected.select("doc_id", "ord", F.coalesce(F.col("role"), F.lit("")).startswith("h").alias("head"), F.lower(compact("text")).alias("e"))
     e = e.withColumn("before", F.coalesce(F.max(F.col("head").cast("int")).over(order), F.lit(0)) == 0).where("e <> ''")
     heads = e.where("head").withColumn("k", F.row_number().over(order)).where("k <= 5")
-    met = holders(e.where("before").select("doc_id", F.col("e").alias("key")), p.select("doc_id", F.col("at").alias("text_id"), F.col("p").alias("text")))
-    early = e.where("before").join(met.select("doc_id", F.col("key").alias("e"), F.col("text_id").alias("at")), ["doc_id", "e"]).groupBy("doc_id").agg(F.min(F.struct("ord", "at")).alias("m")).select("doc_id", F.col("m.at").alias("early"))
+    met = holders(e.where("before").select("doc_id", "ord", F.col("e").alias("key")), p.select("doc_id", F.col("at").alias("text_id"), F.col("p").alias("text")))
+    early = met.groupBy("doc_id").agg(F.min(F.struct("ord", F.col("text_id").alias("at"))).alias("m")).select("doc_id", F.col("m.at").alias("early"))
     late = p.join(heads, (p.doc_id == heads.doc_id) & (p.p == heads.e)).groupBy(p.doc_id, "k").agg(F.max("at").alias("at")).groupBy("doc_id").agg(F.min_by("at", "k").alias("late"))
     toc = p.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.when(F.col("p").isin("目录", "contents"), F.col("at"))).alias("toc"))
     t = toc.join(early, "doc_id", "left").join(late, "doc_id", "left")
