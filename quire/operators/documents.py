@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import markdown as M
 from ..functions import structure as S
 from ..functions.text import col, strip
-from .containment import holders
+from .containment import unheld
 
 
 def lines(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -131,10 +131,9 @@ def missing(expected: DataFrame, rendered: DataFrame, limit: int = 6) -> DataFra
     """The first `limit` rows of expected(doc_id, ord, text) of each document that no text of rendered(doc_id, text)
     contains, white space and case apart."""
     key = lambda x: F.lower(F.regexp_replace(col(x), r"\s+", ""))
-    e = expected.withColumn("__k", key("text"))
-    held = holders(e.select("doc_id", F.col("__k").alias("key")), rendered.select("doc_id", F.md5(key("text")).alias("text_id"), key("text").alias("text")))
-    left = e.join(held.select("doc_id", F.col("key").alias("__k")).distinct(), ["doc_id", "__k"], "left_anti")
-    return left.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where(F.col("__n") <= limit).drop("__k", "__n")
+    e = expected.select(F.struct(*expected.columns).alias("__row"), "doc_id", key("text").alias("key"))
+    left = unheld(e, rendered.select("doc_id", key("text").alias("text"))).select("__row.*")
+    return left.withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("ord"))).where(F.col("__n") <= limit).drop("__n")
 
 
 def toc_pollution(headings: DataFrame) -> DataFrame:
