@@ -1,5 +1,6 @@
 """Word packages made here with the standard library, read back as rows."""
 
+import random
 import zipfile
 
 import pytest
@@ -59,3 +60,24 @@ def test_match_uses_each_row_once(spark):
     r = spark.createDataFrame([(1, 10, "xab y"), (1, 11, "AB"), (1, 12, "c\t4"), (2, 1, "c")], "doc_id long, ord long, text string")
     got = {x.ord: x.match for x in matching.match_in_order(e, r).where("doc_id = 1").collect()}
     assert got == {1: 11, 2: 10, 3: None}
+
+
+def test_match_against_a_walk_over_all_pairs(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abA ") for _ in range(n))
+    docs = [1, 2, 3, 4, 5, None]
+    right = {d: [(i, None if i == 7 else word(rng.randint(0, 6)) + ("\t" if i % 9 == 0 else "")) for i in range(rng.randint(0, 40))] for d in docs}
+    left = {d: [(i, None if i == 5 else word(rng.randint(0, 3))) for i in range(rng.randint(10, 40))] for d in docs}
+    expected = []
+    for d in docs:
+        places, used = [(i, "".join((t or "").split()).lower()) for i, t in right[d] if "\t" not in (t or "")], set()
+        for i, t in left[d]:
+            key = "".join((t or "").split()).lower()
+            free = [(p, x) for p, x in places if key and p not in used]
+            found = next((p for p, x in free if x == key), next((p for p, x in free if key in x), None))
+            used.add(found)
+            expected.append((d, i, found))
+    table = lambda of: spark.createDataFrame([(d, i, t) for d in docs for i, t in of[d]], "doc_id long, ord long, text string").repartition(3)
+    got = matching.match_in_order(table(left), table(right))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str) and sum(m is not None for _, _, m in expected) > 50
+    assert "FlatMapCoGroups" not in got._jdf.queryExecution().toString()
