@@ -109,9 +109,11 @@ def _sized(widths: Column, n: Column) -> Column:
     return F.slice(F.concat(F.transform(widths, lambda w: F.coalesce(w, F.lit(0)).cast("long")), F.array_repeat(F.lit(0).cast("long"), F.greatest(n, F.lit(0)))), 1, F.greatest(n, F.lit(0)))
 
 
-def fitted_widths(widths: Column, n: Column, most: Column) -> Column:
+def fitted_widths(widths: Column, n: Column, most: Column, least: int | None = None) -> Column:
     """`n` column widths within `most` together: missing ones get the mean (120 at least), a sum over `most` is scaled with a
-    least width, and what is still over comes off the widest, the first of equals; none if no width is positive."""
+    least width, and what is still over comes off the widest, the first of equals; none if no width is positive.
+
+    least: that width, whatever the number of columns; None: 120, or an equal share where 120 is too much for so many."""
     none = F.expr("array()").cast("array<long>")
 
     def shaved(w: Column) -> Column:
@@ -121,9 +123,10 @@ def fitted_widths(widths: Column, n: Column, most: Column) -> Column:
         return F.transform(w, lambda x, i: x - F.least(F.greatest(over - before(x, i), F.lit(0).cast("long")), F.greatest(x - 1, F.lit(0).cast("long"))))
 
     def scaled(w: Column) -> Column:
-        least = F.when(n * LEAST_WIDTH > most, F.greatest(F.lit(1).cast("long"), F.floor(most / n))).otherwise(F.lit(LEAST_WIDTH).cast("long"))
+        usual = F.when(n * LEAST_WIDTH > most, F.greatest(F.lit(1).cast("long"), F.floor(most / n))).otherwise(F.lit(LEAST_WIDTH).cast("long"))
+        floor = usual if least is None else F.lit(least).cast("long")
         share = most / _sum(w)
-        return F.when((most <= 0) | (_sum(w) <= most), w).otherwise(let(F.transform(w, lambda x: F.greatest(least, F.floor(x * share))), shaved))
+        return F.when((most <= 0) | (_sum(w) <= most), w).otherwise(let(F.transform(w, lambda x: F.greatest(floor, F.floor(x * share))), shaved))
 
     def filled(w: Column) -> Column:
         given = F.filter(w, lambda x: x > 0)

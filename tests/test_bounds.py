@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from quire.functions import front, structure
+from quire.functions import front, rows, structure
 from quire.operators import checks, contracts, matching
 
 
@@ -59,3 +59,14 @@ def test_guidance_in_brackets_of_any_depth(spark):
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", front.without_instructions("t").alias("x")).orderBy("i").collect()
     assert [r.x for r in got] == [walked(t or "") for t in texts]
     assert spark.range(1).select(front.without_instructions(F.lit("a（b（宋体小四居中））")).alias("x")).first().x == "a（b）"
+
+
+def test_one_least_width_for_many_columns(spark):
+    t = spark.createDataFrame([([800] + [100] * 17,)], "w array<int>")
+    of = lambda *more: t.select(rows.fitted_widths(F.col("w"), F.size("w"), F.lit(2000), *more).alias("x")).first().x
+    assert sum(of()) == 2000 and min(of()[1:]) == 111
+    # Each column has 120 before what is over comes off the widest.
+    wide = [max(120, 800 * 2000 // 2500)] + [120] * 17
+    over = sum(wide) - 2000
+    first = wide[0] - min(over, wide[0] - 1)
+    assert of(rows.LEAST_WIDTH)[0] == first and of(rows.LEAST_WIDTH)[1:] == [120 - max(0, over - wide[0] + 1)] + [120] * 16
