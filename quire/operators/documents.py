@@ -79,19 +79,22 @@ def modes(table: DataFrame, order: str, marker: Column, start: str) -> DataFrame
     return table.withColumn("mode", F.coalesce(F.last(marker, ignorenulls=True).over(upto), F.lit(start)))
 
 
-def pair_figures(items: DataFrame) -> DataFrame:
+def pair_figures(items: DataFrame, near: bool = True) -> DataFrame:
     """doc_id, ord, image and caption of every picture of items(doc_id, ord, role, text, image).
 
-    The k-th picture of an unbroken run of n gets the k-th figure caption after it, among the next max(8, 3n + 3) items
-    and before another picture or a table caption.
+    The k-th picture of an unbroken run of n gets the k-th figure caption after it, before another picture or a table
+    caption; near: among the next max(8, 3n + 3) items only.
     """
     order = Window.partitionBy("doc_id").orderBy("ord")
     t = items.withColumn("at", F.row_number().over(order)).withColumn("picture", F.col("role") == "image")
     t = t.withColumn("starts", (F.col("picture") & ~F.coalesce(F.lag("picture").over(order), F.lit(False))).cast("int")).withColumn("run", F.sum("starts").over(order))
-    whole = Window.partitionBy("doc_id", "run")
-    t = t.withColumn("n", F.sum(F.col("picture").cast("int")).over(whole)).withColumn("head", F.min("at").over(whole))
+    if near:
+        whole = Window.partitionBy("doc_id", "run")
+        t = t.withColumn("n", F.sum(F.col("picture").cast("int")).over(whole)).withColumn("head", F.min("at").over(whole))
     past = t.where("run > 0 AND NOT picture").withColumn("stopped", F.sum((F.col("role") == "table_caption").cast("int")).over(Window.partitionBy("doc_id", "run").orderBy("ord")))
-    captions = past.where((F.col("stopped") == 0) & (F.col("role") == "figure_caption") & (F.col("at") < F.col("head") + F.col("n") + F.greatest(F.lit(8), 3 * F.col("n") + 3)))
+    captions = past.where((F.col("stopped") == 0) & (F.col("role") == "figure_caption"))
+    if near:
+        captions = captions.where(F.col("at") < F.col("head") + F.col("n") + F.greatest(F.lit(8), 3 * F.col("n") + 3))
     rank = F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("ord"))
     captions = captions.select("doc_id", "run", strip("text").alias("caption"), rank.alias("k"))
     pictures = t.where("picture").select("doc_id", "ord", "image", "run", rank.alias("k"))

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from quire.functions import front, rows, structure
-from quire.operators import checks, contracts, matching
+from quire.operators import checks, contracts, documents, matching
 
 
 def test_bounds_can_be_turned_off(spark):
@@ -61,6 +61,13 @@ def test_guidance_in_brackets_of_any_depth(spark):
     assert spark.range(1).select(front.without_instructions(F.lit("a（b（宋体小四居中））")).alias("x")).first().x == "a（b）"
 
 
+def test_captions_however_far(spark):
+    items = [(1, 0, "image", "", "a.png")] + [(1, i, "text", "x", "") for i in range(1, 12)] + [(1, 12, "figure_caption", " Figure 1 ", "")]
+    t = spark.createDataFrame(items, "doc_id int, ord int, role string, text string, image string")
+    assert [r.caption for r in documents.pair_figures(t).collect()] == [None]
+    assert [r.caption for r in documents.pair_figures(t, near=False).collect()] == ["Figure 1"]
+
+
 def test_one_least_width_for_many_columns(spark):
     t = spark.createDataFrame([([800] + [100] * 17,)], "w array<int>")
     of = lambda *more: t.select(rows.fitted_widths(F.col("w"), F.size("w"), F.lit(2000), *more).alias("x")).first().x
