@@ -30,6 +30,8 @@ SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 4_000_000
 FIRST, FACTOR = 4, 4
 #: Scores beyond any that 64 bits hold.
 ENDLESS = (1 << 63) - 1
+#: Distances that one step of the search for centers holds (8 MB).
+STEP_VALUES = 1 << 20
 
 
 def whole_vectors(table: DataFrame, anchors: Column, id: str, label: str, vector: str, scale: int) -> DataFrame:
@@ -52,8 +54,9 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
-    """The index of the nearest center, the first among equals."""
-    return np.argmin((centers**2).sum(axis=1) - 2 * (x @ centers.T), axis=1)
+    """The index of the nearest center, the first among equals; rows are taken in steps, whose distances are bounded."""
+    norms, step = (centers**2).sum(axis=1), max(1, STEP_VALUES // max(len(centers), 1))
+    return np.concatenate([np.zeros(0, np.intp), *[np.argmin(norms - 2 * (x[at : at + step] @ centers.T), axis=1) for at in range(0, len(x), step)]])
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -225,7 +228,8 @@ def search(lists: Lists, queries: DataFrame, k: int, same_label: bool) -> DataFr
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if j == 1 else pa.int64()) for j, c in enumerate(zip(*out))], names=["q", "w", "score", "id", "row"])
 
-        met = turned.mapInArrow(tidy(chunks), "list int, chunk binary").join(lists.blocks, "list").drop("list", "block")
+        # A chunk holds its queries once for each list, far more than its stored table: never through the driver.
+        met = turned.mapInArrow(tidy(chunks), "list int, chunk binary").hint("merge").join(lists.blocks, "list").drop("list", "block")
         first = Window.partitionBy("q", "w").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last(), "row")
         now = stored(found.unionByName(met.mapInArrow(tidy(scored), FOUND)).withColumn("r", F.row_number().over(first)).where(F.col("r") <= k).drop("r"), "found")
         kth = now.groupBy("q", "w").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth")).groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("w", "kth"))).alias("kths"))

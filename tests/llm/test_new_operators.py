@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -60,6 +61,27 @@ def test_hard_negatives_beyond_exact_doubles(spark):
     assert sorted(map(tuple, got.collect())) == sorted(mined(data)) and len(mined(data)) > 40
 
 
+def test_centers_are_fitted_in_bounded_steps():
+    """The driver holds a step of the distances, not those of all sampled rows to all centers (here 131 MB)."""
+    x = np.floor(np.random.default_rng(4).normal(size=(4000, 4)) * 256)
+    whole = lambda c: np.argmin((c**2).sum(axis=1) - 2 * (x @ c.T), axis=1)
+    tracemalloc.start()
+    centers = negatives.kmeans(x, 4096, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(centers) > 3000 and peak < 40 << 20
+    assert (negatives.nearest(x, centers) == whole(centers)).all() and len(negatives.nearest(x[:0], centers)) == 0
+
+
+def test_chunks_of_queries_are_not_broadcast(spark, monkeypatch):
+    plans = []
+    stored = negatives.stored
+    monkeypatch.setattr(negatives, "stored", lambda df, name, **more: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), stored(df, name, **more))[1])
+    negatives.mine(spark.createDataFrame(vectors(), "vec_id long, embedding array<float>, label int"), F.col("vec_id") % 4 == 0)
+    found = [plan for name, plan in plans if name == "found"]
+    assert found and all("SortMergeJoin [list" in plan and "BroadcastHashJoin [list" not in plan for plan in found)
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert negatives.mine(none, F.lit(True)).count() == 0
