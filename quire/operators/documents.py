@@ -23,6 +23,11 @@ def fenced(table: DataFrame) -> DataFrame:
     return table.withColumn("in_fence", ((F.sum(mark).over(upto) % 2) == 1) | (mark == 1))
 
 
+def _asked(table: DataFrame, mark: str) -> DataFrame:
+    """The lines of a table that can be fences or contain `mark`: what stands in fences is told by these as well."""
+    return table.where(F.col("line").contains("```") | F.col("line").contains("~~~") | F.col("line").contains(mark))
+
+
 def sections(table: DataFrame) -> DataFrame:
     """doc_id, sec_no, heading, level, role and n_lines of a line table; headings in fences count for nothing and lines
     before the first heading belong to no section."""
@@ -55,7 +60,7 @@ def tables(table: DataFrame) -> DataFrame:
 
 def definitions(table: DataFrame) -> DataFrame:
     """doc_id, label and target of reference definitions outside fences; the last of a label counts."""
-    found = fenced(table).where("NOT in_fence").select("doc_id", "line_no", M.reference_definition("line").alias("d")).where("d IS NOT NULL")
+    found = fenced(_asked(table, "]:")).where("NOT in_fence").select("doc_id", "line_no", M.reference_definition("line").alias("d")).where("d IS NOT NULL")
     return found.groupBy("doc_id", F.col("d.label").alias("label")).agg(F.max_by("d.target", "line_no").alias("target"))
 
 
@@ -63,7 +68,7 @@ def images(table: DataFrame) -> DataFrame:
     """doc_id, line_no, ord, alt, source and reason of the pictures in a line table: `![alt](path)` and `![alt][label]`
     with the label's target; reason tells why there is no file to read."""
     whole = r"!\[([^\]]*)\](?:\(((?:[^()]|\([^()]*\))*)\)|\[([^\]]*)\])"
-    tokens = fenced(table).where("NOT in_fence").select("doc_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(whole), F.lit(0))).alias("ord", "token"))
+    tokens = fenced(_asked(table, "![")).where("NOT in_fence").select("doc_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(whole), F.lit(0))).alias("ord", "token"))
     alt, inline = F.regexp_extract("token", whole, 1), F.regexp_extract("token", whole, 2)
     label = F.when(~F.col("token").rlike(r"\)$"), M.reference_label(F.when(F.regexp_extract("token", whole, 3) != "", F.regexp_extract("token", whole, 3)).otherwise(alt)))
     tokens = tokens.select("doc_id", "line_no", "ord", alt.alias("alt"), M.image_destination(inline).alias("inline"), label.alias("label"))

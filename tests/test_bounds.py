@@ -77,3 +77,13 @@ def test_one_least_width_for_many_columns(spark):
     over = sum(wide) - 2000
     first = wide[0] - min(over, wide[0] - 1)
     assert of(rows.LEAST_WIDTH)[0] == first and of(rows.LEAST_WIDTH)[1:] == [120 - max(0, over - wide[0] + 1)] + [120] * 16
+
+
+def test_only_lines_that_count_are_shuffled(spark):
+    text = "![a][x]\n~~~\n[x]: no.png\n![b](c.png)\n ```\n [X]: y.png\nplain\n![d](e.png)"
+    t = spark.createDataFrame([(1, i, line) for i, line in enumerate(text.split("\n"))] + [(2, 0, None)], "doc_id int, line_no int, line string")
+    assert [tuple(r) for r in documents.definitions(t).collect()] == [(1, "x", "y.png")]
+    assert sorted((r.line_no, r.source) for r in documents.images(t).collect()) == [(0, "y.png"), (7, "e.png")]
+    for out in (documents.definitions(t), documents.images(t)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "Contains(line" in plan
