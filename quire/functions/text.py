@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space as Unicode has it, for Java patterns.
-SPACE = r"[\s\x1c-\x1f" + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))) + "]"
+#: White space as Unicode has it, and as a class of Java patterns. Single signs below 256 are one table there, and ranges few:
+#: a class of many parts asks each part at each character.
+SPACES = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+SPACE = r"[\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Labels that clipboards leave behind (fixed values).
 NOISE = ("复制", "Copy", "Plain Text", "纯文本")
 
@@ -23,7 +25,7 @@ def let(value: Column, f) -> Column:
 
 
 def strip(x) -> Column:
-    return F.regexp_replace(col(x), rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(col(x), F.lit(SPACES))
 
 
 def squeeze(x, by: str = " ") -> Column:

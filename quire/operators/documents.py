@@ -19,7 +19,8 @@ def lines(docs: DataFrame, text: str = "text") -> DataFrame:
 def fenced(table: DataFrame) -> DataFrame:
     """A line table with in_fence: the fence lines and what stands between."""
     upto = Window.partitionBy("doc_id").orderBy("line_no")
-    mark = strip("line").rlike("^(?:```|~~~)").cast("int")
+    bare = strip("line")
+    mark = (bare.startswith("```") | bare.startswith("~~~")).cast("int")
     return table.withColumn("in_fence", ((F.sum(mark).over(upto) % 2) == 1) | (mark == 1))
 
 
