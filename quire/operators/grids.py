@@ -8,6 +8,8 @@ another; nothing gathers a table in one task.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -151,46 +153,61 @@ def grid(cells: DataFrame) -> DataFrame:
 
 
 
+def _against_above(batches):
+    """Cells in the order of their tables with `bad`: a vertical continuation that doesn't go on what stands above it. Of the
+    row above, what each column expects is held: (width, need), which a continuation passes on and any other cell begins."""
+    table, at, above, here, seen = 0, None, {}, {}, 0
+    for batch in batches:
+        bad = np.zeros(batch.num_rows, dtype=bool)
+        tables = seen + np.cumsum(batch.column("starts").to_numpy(zero_copy_only=False))
+        seen = int(tables[-1]) if len(tables) else seen
+        asked = np.flatnonzero(batch.column("marked").to_numpy(zero_copy_only=False))
+        part = batch.take(pa.array(asked)).select(["row", "col", "span", "own", "down"])
+        for i, no, row, col, span, own, down in zip(asked, tables[asked].tolist(), *(c.to_pylist() for c in part.columns), strict=True):
+            if no != table:
+                table, at, above, here = no, row, {}, {}
+            elif row != at:
+                at, above, here = row, here if row == at + 1 else {}, {}
+            on = above.get(col) if down == "continue" else None
+            wide, need = on or (span, own if down == "restart" else span)
+            bad[i] = down == "continue" and (on is None or wide != span or (need > wide and own != need))
+            here.update(dict.fromkeys(range(col, col + span), (wide, need)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _COUNTED), pa.array(bad)], names=[*_COUNTED, "bad"])
+
+
+#: What is counted of a cell once it was held against the row above.
+_COUNTED = [*TABLE, "end", "flagged", "repeat", "filled", "goes_on"]
+
+
 def irregularities(cells: DataFrame, columns: DataFrame) -> DataFrame:
     """By doc_id: tables with irregular merges, and how many merges of each sort are irregular or continue visibly.
 
     columns(doc_id, table_id, grid_columns) is a table's declared grid, 0 for none. A horizontal merge is irregular if cells
     repeat what its restart spans; a span, if it leaves the grid; a vertical continuation, if nothing goes on above it, or
     something of another width. What a continuation expects comes down from the restart, row by row, whichever of the
-    columns above it lies under: pointers to the row above are followed by jumping, written to the shared folder each time.
+    columns above it lies under: cells pass their task in order, which holds one row. Cells are shuffled once, by table;
+    declared grids meet the counts of each table's right edges, not its cells.
     """
-    t = _with_widths(merge_widths(cells)).join(columns, TABLE, "left")
-    repeat, shown = repeats(), F.col("filled")
+    # The window over whole tables comes first, so that those over rows find their tables in one task.
+    start = F.lag("row").over(Window.partitionBy(*TABLE).orderBy("row", "cell")).isNull()
+    t = _with_widths(merge_widths(cells.select(*ROW, "cell", "span", "across", "down", "filled", "before").withColumn("starts", start)))
+    repeat = repeats()
     first = Window.partitionBy(*ROW, "run").orderBy("cell")
     t = t.withColumn("repeat", repeat).withColumn("flagged", repeat & (F.sum(repeat.cast("int")).over(first) == 1))
-    t = t.withColumn("own", F.coalesce(_width_at("plain_col"), F.col("span")))
-    t = t.withColumn("outside", ~F.col("repeat") & (F.coalesce("grid_columns", F.lit(0)) > 0) & (F.col("plain_col") + F.col("span") > F.col("grid_columns")))
-    t = settled(t.select(*ROW, "cell", "span", "own", "down", "filled", "repeat", "flagged", "outside", F.col("plain_col").alias("col")))
-    down = t.where("down <> '' AND NOT repeat")
-    # The last cell that covers a column counts for the row below.
-    cover = down.select(*TABLE, (F.col("row") + 1).alias("row"), F.explode(F.sequence(F.col("col"), F.col("col") + F.col("span") - 1)).alias("col"), F.col("cell").alias("up"))
-    above = cover.groupBy(*ROW, "col").agg(F.max("up").alias("up"))
-    node = lambda row, cell: F.struct(row.alias("row"), cell.alias("cell"))
-    links = down.join(above, [*ROW, "col"], "left").select(*ROW, "cell", "span", "own", "down", F.when((F.col("down") == "continue") & F.col("up").isNotNull(), node(F.col("row") - 1, F.col("up"))).alias("up"))
-    at = settled(links.select(*TABLE, node(F.col("row"), F.col("cell")).alias("node"), F.coalesce("up", node(F.col("row"), F.col("cell"))).alias("root")))
-    while True:
-        far = at.select(*TABLE, F.col("node").alias("root"), F.col("root").alias("next"))
-        moved = settled(at.join(far, [*TABLE, "root"]).select(*TABLE, "node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")))
-        at = moved.drop("moved")
-        if not moved.where("moved").limit(1).count():
-            break
-    roots = links.select(*TABLE, node(F.col("row"), F.col("cell")).alias("root"), F.col("span").alias("wide"), F.when(F.col("down") == "restart", F.col("own")).otherwise(F.col("span")).alias("need"))
-    expected = at.join(roots, [*TABLE, "root"]).select(*TABLE, "node", "wide", "need")
-    # What a continuation expects is what the cell above it does.
-    asked = links.where("down = 'continue'").select(*ROW, "cell", "span", "own", F.col("up").alias("node")).join(expected, [*TABLE, "node"], "left")
-    bad = F.col("wide").isNull() | (F.col("wide") != F.col("span")) | ((F.col("need") > F.col("wide")) & (F.col("own") != F.col("need")))
-    t = t.join(asked.select(*ROW, "cell", F.coalesce(bad, F.lit(True)).alias("bad")), [*ROW, "cell"], "left").fillna(False, ["bad"])
+    t = t.select(
+        *ROW, "cell", "starts", F.col("plain_col").cast("long").alias("col"), F.col("span").cast("long").alias("span"), F.coalesce(_width_at("plain_col"), F.col("span")).cast("long").alias("own"), "down", ((F.col("down") != "") & ~F.col("repeat")).alias("marked"),
+        F.when(~F.col("repeat"), F.col("plain_col") + F.col("span")).cast("long").alias("end"), "flagged", "repeat", "filled", (F.col("down") == "continue").alias("goes_on"),
+    ).sortWithinPartitions(*ROW, "cell")
+    kinds = {f.name: f.dataType.simpleString() for f in t.schema}
+    t = t.mapInArrow(_against_above, ", ".join(f"{c} {kinds[c]}" for c in _COUNTED) + ", bad boolean")
     n = lambda c: F.sum(c.cast("long"))
-    by_table = t.groupBy(*TABLE).agg(
-        n(F.col("flagged")).alias("irregular_across"), n(F.col("outside")).alias("irregular_spans"), n(F.col("bad")).alias("irregular_down"), n(F.col("repeat") & shown).alias("visible_across"),
-        n((F.col("down") == "continue") & ~F.col("repeat") & shown).alias("visible_down"),
+    t = t.groupBy(*TABLE, "end").agg(
+        n(F.col("flagged")).alias("irregular_across"), F.count("*").alias("n"), n(F.col("bad")).alias("irregular_down"), n(F.col("repeat") & F.col("filled")).alias("visible_across"),
+        n(F.col("goes_on") & ~F.col("repeat") & F.col("filled")).alias("visible_down"),
     )
+    t = t.join(columns, TABLE, "left").withColumn("irregular_spans", F.when((F.coalesce("grid_columns", F.lit(0)) > 0) & (F.col("end") > F.col("grid_columns")), F.col("n")).otherwise(0))
     counts = ["irregular_across", "irregular_spans", "irregular_down", "visible_across", "visible_down"]
+    by_table = t.groupBy(*TABLE).agg(*[F.sum(c).alias(c) for c in counts])
     some = sum((F.col(c) for c in counts[1:]), F.col(counts[0])) > 0
     return by_table.groupBy("doc_id").agg(n(some).alias("irregular_tables"), *[F.sum(c).alias(c) for c in counts])
 

@@ -22,9 +22,9 @@ l AS (SELECT *, min(CASE WHEN row % 4 = 0 OR (s < 2 AND place = head) THEN 1 ELS
 
 def _cells(spark, sf_dir):
     """The cells of every order's table."""
-    t = _table(spark, sf_dir, "lineitem")
-    row = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.expr(_ORD))) - 1).cast("int")
-    t = t.select(F.col("l_orderkey").alias("doc_id"), row.alias("row"), (F.col("l_partkey") % 5).alias("k"), (F.col("l_suppkey") % 10 == 0).alias("broken"), (F.col("l_suppkey") % 3).alias("s"), (F.col("l_linenumber") % 3).cast("int").alias("after"))
+    t = _table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc_id")  # renamed first: what is dealt by it stays so
+    row = (F.row_number().over(Window.partitionBy("doc_id").orderBy(F.expr(_ORD))) - 1).cast("int")
+    t = t.select("doc_id", row.alias("row"), (F.col("l_partkey") % 5).alias("k"), (F.col("l_suppkey") % 10 == 0).alias("broken"), (F.col("l_suppkey") % 3).alias("s"), (F.col("l_linenumber") % 3).cast("int").alias("after"))
     cell = lambda span, across, down, text: F.struct(F.lit(span).alias("span"), F.lit(across).alias("across"), (down if not isinstance(down, str) else F.lit(down)).alias("down"), (text if not isinstance(text, str) else F.lit(text)).alias("text"))
     first = F.when(F.col("row") % 3 == 0, F.array(cell(1, "", "restart", "a"))).otherwise(F.array(cell(1, "", "continue", F.when(F.col("broken"), "b").otherwise(""))))
     sorts = ([cell(2, "", "", "c")], [cell(1, "restart", "", "c"), cell(1, "continue", "", "")], [cell(2, "restart", "", "c"), cell(1, "continue", "", "")], [cell(2, "restart", "", "c"), cell(1, "continue", "", "d")])

@@ -3,6 +3,7 @@
 import re
 
 from quire.functions import text
+from quire.operators import grids
 
 PLAN = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -16,3 +17,22 @@ def test_strip_without_patterns(spark):
     assert [r.y for r in got] == ["b" if ord(c) in space else f"{c} {c}b" for c in signs]
     assert "regexp" not in PLAN(t.select(text.strip("x")))
     assert len(re.findall(r"\\u|-", text.SPACE)) < 12
+
+
+def _cells(spark, n=3):
+    rows = [(d, 0, r, c, 1, "", "restart" if r == 0 else "continue", False, 0, 0, "") for d in range(n) for r in range(4) for c in range(2)]
+    return spark.createDataFrame(rows, "doc_id long, table_id int, row int, cell int, span int, across string, down string, filled boolean, before int, after int, text string")
+
+
+def _written(*_):
+    raise AssertionError("a table was written")
+
+
+def test_irregular_merges_shuffle_cells_once(spark, monkeypatch):
+    monkeypatch.setattr(grids, "settled", _written)
+    columns = spark.createDataFrame([(d, 0, 1) for d in range(3)], "doc_id long, table_id int, grid_columns int")
+    out = grids.irregularities(_cells(spark), columns)
+    assert sorted((r.doc_id, r.irregular_tables, r.irregular_spans, r.irregular_down) for r in out.collect()) == [(d, 1, 4, 0) for d in range(3)]
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    below = plan[plan.index("MapInArrow") :]
+    assert "Join" not in below
