@@ -1,19 +1,23 @@
 """Repair of formulas that a layout has split over several items: row patterns that don't overlap.
 
-Each item is asked whether a pattern begins there; what a pattern needs of the next items comes from windows, a cluster
-of ratios of any length from the run that it lies in. The matches are then taken from the left (scans.taken_in_order).
-Sums of 24 terms without an index look back at what was put out before them: a fold over these sums only.
+Each item is asked whether a pattern begins there; what a pattern needs of the next items comes from windows. Then documents
+pass their task in order (_walk): matches are taken from the left, clusters of ratios of any length put together from the run
+that they lie in, and sums of 24 terms without an index look back at what was put out before them. Items are dealt by document
+once and nothing is written.
 """
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import formula, repair
 from ..functions.text import col, let, strip
-from . import scans
-from .state import settled
 
 #: Shapes of items (fixed values).
 NUMBER, BOUND, INDEXED = r"^\d+$", r"^[A-Za-z]\s*=\s*\d+$", r"[A-Za-z][A-Za-z0-9]*\s*\(\s*[A-Za-z]\s*\)"
@@ -69,56 +73,29 @@ def _facts(items: DataFrame) -> DataFrame:
     parted = F.when(F.size(labels["labels"]) > 0, labels["body"]).otherwise(formula.without_labels("t"))
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
     ratio = F.col("like") & F.col("t").startswith("=") & F.col("t").contains("100")
-    return settled(t.select(
+    return t.select(
         "doc_id", "ord", n.cast("long").alias("n"), "t", "text", "like", "numbered", repair.is_piece("t").alias("piece"), repair.is_variable("t").alias("variable"), ratio.alias("ratio"), (F.size(labels["labels"]) > 0).alias("labelled"),
         labels["body"].alias("body"), parted.alias("parted"), F.col("t").rlike(NUMBER).alias("number"), F.col("t").rlike(BOUND).alias("bound"), formula.is_label("t").alias("label"),
-    ))
+    )
 
 
-def _ratios(t: DataFrame, names: DataFrame) -> DataFrame:
-    """doc_id, n, length and parts of clusters of ratios: a name, a right side with 100, then pieces with a divisor and the
-    next name, and so on; pieces behind the last right side are its divisor. n is the first name's place.
+#: A side of a cluster of ratios as _walk puts it together.
+SIDE = "array<struct<name:string,body:string,percent:boolean,divisor:string,numbered:boolean>>"
+#: Patterns that go before a cluster of ratios.
+EARLY = ("max_sum_layout", "fraction_sum_layout", "sum_bounds", "missing_sum_symbol", "sum_prefix")
 
-    A cluster reaches to the end of the unbroken run of right sides and pieces that it lies in, so all that follows a name
-    is told by its run.
-    """
-    order = Window.partitionBy("doc_id").orderBy("n")
-    t = t.withColumn("scrap", F.col("piece") & ~F.col("like"))
-    t = t.withColumn("run", F.sum((~(F.col("ratio") | F.col("scrap"))).cast("int")).over(order)).where("ratio OR scrap")
-    run = Window.partitionBy("doc_id", "run").orderBy("n")
-    t = t.withColumn("k", F.sum(F.col("ratio").cast("int")).over(run)).where("k > 0")
-    # A right side with the pieces behind it; of these, the first name is the next one's.
-    g = t.groupBy("doc_id", "run", "k").agg(
-        F.min(F.when(F.col("ratio"), F.struct("n", "t", "numbered"))).alias("side"), F.max("n").alias("end"),
-        F.array_sort(F.collect_list(F.when(F.col("scrap"), F.struct("n", "t", "variable")))).alias("pieces"),
-    )
-    name = F.get(F.filter("pieces", lambda p: p["variable"]), 0)
-    g = g.withColumn("name", name).withColumn("last", F.col("k") == F.max("k").over(Window.partitionBy("doc_id", "run")))
-    rest = F.filter("pieces", lambda p: F.col("last") | (p["n"] != F.col("name.n")))
-    g = g.withColumn("divisor", F.array_join(F.transform(rest, lambda p: p["t"]), ""))
-    sound = F.col("last") & (F.size("pieces") > 0) | ~F.col("last") & F.col("name").isNotNull() & (F.size("pieces") > 1)
-    rows = Window.partitionBy("doc_id", "run").orderBy(F.col("k").desc())
-    g = g.withColumn("fits", F.min(sound.cast("int")).over(rows) == 1).withColumn("left", F.count("*").over(rows)).withColumn("to", F.max("end").over(rows))
-    # Each place of a run where a cluster could begin has the right sides from there on.
-    sides = F.collect_list(F.struct("side", "name", "divisor")).over(Window.partitionBy("doc_id", "run").orderBy("k").rowsBetween(0, Window.unboundedFollowing))
-    heads = g.withColumn("sides", sides).where("fits AND left > 1").select("doc_id", (F.col("side.n") - 1).alias("n"), (F.col("to") - F.col("side.n") + 2).alias("length"), "sides")
-
-    def part(x: Column, name: Column) -> Column:
-        body = repair.percentage(formula.without_labels(strip(F.regexp_replace(x["side"]["t"], "^=+", ""))))
-        hundred = lambda mark: F.when(body["percent"], mark).otherwise("")
-        text = F.concat(name, F.lit("=("), body["body"], F.lit(")/("), x["divisor"], F.lit(")"), hundred("×100%"))
-        latex = F.concat(repair.identifier(name), F.lit(r"=\frac{"), tex(body["body"]), F.lit("}{"), repair.identifier(x["divisor"]), F.lit("}"), hundred(r"\times100\%"))
-        return _part("formula", "repaired_ratio_cluster", text, latex, x["side"]["numbered"])
-
-    # The first name may be a formula of its own, hence no part of the run.
-    names = names.where("piece AND variable").select("doc_id", "n", F.col("t").alias("first"))
-    place = F.transform("sides", lambda x, i: part(x, F.when(i == 0, F.col("first")).otherwise(F.get("sides", i - 1)["name"]["t"])))
-    return heads.join(names, ["doc_id", "n"]).select("doc_id", "n", "length", place.alias("parts"))
+
+def _ratio(x: Column) -> Column:
+    """A side of a cluster as a part."""
+    hundred = lambda mark: F.when(x["percent"], mark).otherwise("")
+    text = F.concat(x["name"], F.lit("=("), x["body"], F.lit(")/("), x["divisor"], F.lit(")"), hundred("×100%"))
+    latex = F.concat(repair.identifier(x["name"]), F.lit(r"=\frac{"), tex(x["body"]), F.lit("}{"), repair.identifier(x["divisor"]), F.lit("}"), hundred(r"\times100\%"))
+    return _part("formula", "repaired_ratio_cluster", text, latex, x["numbered"])
 
 
 def _matches(t: DataFrame) -> DataFrame:
     """t with m: struct(kind, length, parts, and for sums that look back: lead, expr, tail and upper), the first pattern
-    that begins at an item; null for none."""
+    that begins at an item, clusters of ratios apart; null for none."""
     order = Window.partitionBy("doc_id").orderBy("n")
     ahead = lambda c, k: F.lead(c, k).over(order)
     kept = {c: [ahead(c, k) for k in range(REACH)] for c in ("t", "bound")}
@@ -171,8 +148,6 @@ def _matches(t: DataFrame) -> DataFrame:
     prefix = let(F.struct(cut["formula"].alias("f"), cut["tail"].alias("tail"), repair.sum_start(cut["formula"]).alias("low")), lambda c: F.when(
         (upper != "") & (c["f"] != ""), made("sum_prefix", 2, F.concat(F.array(F.when(c["low"].isNotNull(), _sum("sum_prefix", F.lit(""), c["low"], upper, c["f"], none)).otherwise(_problem(F.concat("t", F.lit(" "), c["f"])))), _tail(c["tail"])))))
 
-    ratio = F.when(F.col("ratio_parts").isNotNull(), made("ratio_cluster", F.col("ratio_length"), F.col("ratio_parts")))
-
     # a name with = and an open sum, the summand; the index may come from before
     g = lambda k: F.regexp_extract("t", OPEN_SUM, k)
     before = F.filter(F.array(_part("text", "", strip(g(1)), F.lit(None), none)), lambda p: p["text"] != "")
@@ -186,56 +161,173 @@ def _matches(t: DataFrame) -> DataFrame:
     inline = let(F.struct(own["formula"].alias("f"), own["tail"].alias("tail"), repair.sum_start(own["formula"]).alias("low")), lambda c: F.when(
         F.col("t").rlike(CLOSED_SUM) & (c["f"] != "") & (c["low"].isNotNull() | (q(2) == TERMS)), made("inline_sum_missing_lower", 1, F.concat(F.array(F.when(c["low"].isNotNull(), _sum("inline_sum_missing_lower", bare(q(1)), c["low"], q(2), c["f"], F.col("numbered"))).otherwise(_part("item", "", F.col("text"), F.lit(None), F.col("numbered")))), _tail(c["tail"])),
         lead=bare(q(1)), expr=c["f"], tail=c["tail"], upper=F.when(c["low"].isNull(), q(2)))))
-    return t.withColumn("m", F.coalesce(F.when(F.col("piece"), F.coalesce(most, fraction, summed, missing, prefix, ratio)), opened, inline))
+    return t.withColumn("m", F.coalesce(F.when(F.col("piece"), F.coalesce(most, fraction, summed, missing, prefix)), opened, inline))
+
+
+def _told(text: Column) -> Column:
+    """The index that a text tells of a sum over TERMS, else null."""
+    told = F.regexp_replace(F.regexp_extract(text, rf"∑_\{{\s*([A-Za-z]\s*=\s*1)\s*\}}\^\{{\s*{TERMS}\s*\}}", 1), r"\s+", "")
+    return F.when(told != "", told).when(text.contains("∑") & text.contains(TERMS), repair.sum_start(text))
+
+
+_BOUNDED = re.compile(rf"∑_\{{\s*([A-Za-z]\s*=\s*1)\s*\}}\^\{{\s*{TERMS}\s*\}}", re.A)
+_INDEXES = [re.compile(p, re.A) for p in (r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9]*\s*\(\s*([A-Za-z])\s*\)", r"(?<![A-Za-z0-9_])[A-Za-z][A-Za-z0-9]*\s*_\s*([A-Za-z])(?![A-Za-z0-9_])")]
+
+
+def _told_by(side: dict) -> str | None:
+    """_told of a side of a cluster."""
+    text = f"{side['name']}=({side['body']})/({side['divisor']})" + "×100%" * side["percent"]
+    if "∑" not in text or TERMS not in text:
+        return None
+    found = _BOUNDED.search(text)
+    letters = {x for p in _INDEXES for x in p.findall(text)}
+    return re.sub(r"\s+", "", found[1]) if found else letters.pop() + "=1" if len(letters) == 1 else None
+
+
+def _clusters(buf, until: int) -> dict[int, tuple[int, list[dict]]]:
+    """Length and sides of the clusters of ratios by the place of their first name, of runs that end before `until`: a name,
+    a right side with 100, then pieces with a divisor and the next name, and so on; pieces behind the last right side are its
+    divisor. A cluster reaches to the end of the unbroken run of right sides and pieces that it lies in."""
+    flag = lambda c: buf.column(c).to_numpy(zero_copy_only=False)
+    ratio, starts, found = flag("ratio"), flag("n") == 0, {}
+    places = np.flatnonzero(ratio[:until])
+    if not len(places):
+        return found
+    inside, named = ratio | flag("scrap"), flag("named")
+    breaks = np.flatnonzero(~inside | starts)
+    ends = np.append(breaks, until)[np.searchsorted(breaks, places, side="right")]
+    text, k = buf.column("t"), len(places) - 1
+    while k >= 0:  # run by run from the last, in a run from its last side on
+        end = to = int(ends[k])
+        sides: list[dict] = []
+        fits = True
+        while k >= 0 and ends[k] == end:
+            at = int(places[k])
+            pieces = [(i, text[i].as_py()) for i in range(at + 1, to)] if fits else []
+            name = next((p for p in pieces if buf.column("variable")[p[0]].as_py()), None) if to < end else None
+            fits = fits and (len(pieces) > 0 if to == end else name is not None and len(pieces) > 1)
+            if fits:
+                body = buf.column("side")[at].as_py()
+                divisor = "".join(p[1] for p in pieces if p is not name)
+                sides.append({"next": name and name[1], **{c: body[c] for c in ("body", "percent")}, "divisor": divisor, "numbered": buf.column("numbered")[at].as_py()})
+                if len(sides) > 1 and at > 0 and not starts[at] and named[at - 1]:
+                    found[at - 1] = (end - at + 1, len(sides), sides)
+            to, k = at, k - 1
+    return found
+
+
+def _walk(batches):
+    """Items in the order of their documents with `put` (0: gone, 1: as it is, 2: its match is taken, 3: a cluster of ratios
+    is), `sides` of the cluster, and whether its sum has found its index (`resolved`). What is held back is the last run."""
+    s = {}
+
+    def reset():
+        s.update(end=-1, n=0, at=0, last=-LOOK_BACK - 1, told="", shift=0)
+
+    def happened(at, first, asks, told, spare):
+        found = asks and first - s["shift"] - s["last"] <= LOOK_BACK and s["told"] == INDEX
+        told = INDEX if found else told
+        if told is not None:
+            s.update(last=at - s["shift"], told=told)
+        if asks and not found:
+            s["shift"] += spare
+        return found
+
+    def walked(buf, stop, until):
+        flag = lambda c: buf.column(c).to_numpy(zero_copy_only=False)
+        n, heads = flag("n"), _clusters(buf, until)
+        docs = np.cumsum(n == 0)
+        put, resolved, sides = np.ones(stop, dtype=np.int32), np.zeros(stop, dtype=bool), [None] * stop
+        if stop and docs[0] == 0 and s["end"] >= n[0]:
+            put[: min(s["end"] - n[0] + 1, int(np.argmax(docs[:stop] > 0)) if docs[stop - 1] else stop)] = 0
+        kinds, tolds, bounds = buf.column("kind"), buf.column("told"), flag("bounded")
+        asked = np.asarray(kinds.is_valid()) | np.asarray(tolds.is_valid()) | bounds
+        asked[list(heads)] = True
+        doc = 0
+        for i in np.flatnonzero(asked[:stop]).tolist():
+            if docs[i] != doc:
+                doc = docs[i]
+                reset()
+            here = int(n[i])
+            if here <= s["end"]:
+                continue
+            kind, first = kinds[i].as_py(), s["at"] + here - s["n"] + 1
+            if i in heads and kind not in EARLY:
+                length, known, whole = heads[i]
+                name, own = buf.column("t")[i].as_py(), []
+                for side in reversed(whole[:known]):  # they were put together from the last one on
+                    own.append({c: name if c == "name" else side[c] for c in ("name", "body", "percent", "divisor", "numbered")})
+                    name = side["next"]
+                events = [(False, _told_by(x)) for x in own]
+                put[i], sides[i], spare = 3, own, 0
+            elif kind is not None:
+                length, spare = buf.column("length")[i].as_py(), buf.column("spare")[i].as_py()
+                events = [(e["asks"], e["told"]) for e in buf.column("events")[i].as_py()]
+                put[i] = 2
+            elif bounds[i] and i + 1 in heads and docs[i + 1] == docs[i] and kinds[i + 1].as_py() not in EARLY:
+                put[i] = 0
+                s.update(at=first - 1, n=here + 1)
+                continue
+            else:
+                happened(first, first, False, tolds[i].as_py(), 0)
+                continue
+            for k, (asks, told) in enumerate(events):
+                resolved[i] |= happened(first + k, first, asks, told, spare)
+            s.update(at=first + len(events) - 1, n=here + length, end=here + length - 1)
+            put[i + 1 : i + length] = 0
+        if stop and docs[stop - 1] != doc:
+            reset()
+        cut = buf.slice(0, stop)
+        return pa.RecordBatch.from_arrays([*(cut.column(c) for c in _KEPT), pa.array(put), pa.array(sides, _SIDES), pa.array(resolved)], names=[*_KEPT, "put", "sides", "resolved"])
+
+    reset()
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        buf = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        first = buf.column("n").to_numpy() == 0
+        breaks = np.flatnonzero(first | ~(buf.column("ratio").to_numpy(zero_copy_only=False) | buf.column("scrap").to_numpy(zero_copy_only=False)))
+        until = int(breaks[-1]) if len(breaks) else 0
+        # The row before the run's first name may be a bound that goes with it.
+        stop = until if first[until] else max(until - 1, 0)
+        if stop:
+            yield walked(buf, stop, until)
+        held = buf.slice(stop)
+    if held is not None and held.num_rows:
+        yield walked(held, held.num_rows, held.num_rows)
+
+
+_KEPT = ["doc_id", "ord", "text", "numbered", "m"]
+_SIDES = pa.list_(pa.struct([("name", pa.string()), ("body", pa.string()), ("percent", pa.bool_()), ("divisor", pa.string()), ("numbered", pa.bool_())]))
 
 
 def repaired(items: DataFrame) -> DataFrame:
     """doc_id, ord, place, role, source, text, latex and numbered of items(doc_id, ord, text, formula, numbered) with split
     formulas put together; formula: whether an item is one. role is item for those left as they are.
 
-    Patterns are tried in the order of _matches; a match takes its items, and the next begins behind it. A cluster of
-    ratios takes a bound right before it (`i = 1`) along. A sum over 24 terms without an index takes t=1 if of the 12 rows
-    put out before it the last that tells the index of such a sum tells that one.
+    Patterns are tried in the order of _matches, a cluster of ratios behind EARLY; a match takes its items, and the next
+    begins behind it. A cluster of ratios takes a bound right before it (`i = 1`) along. A sum over 24 terms without an index
+    takes t=1 if of the 12 rows put out before it the last that tells the index of such a sum tells that one.
     """
-    t = _facts(items)
-    ratios = _ratios(t, t).select("doc_id", "n", F.col("length").alias("ratio_length"), F.col("parts").alias("ratio_parts"))
-    t = settled(_matches(t.join(ratios, ["doc_id", "n"], "left")).select("doc_id", "ord", "n", "text", "numbered", "m"))
-    spans = settled(t.where("m IS NOT NULL").select("doc_id", F.col("n").alias("start"), (F.col("n") + F.col("m.length") - 1).alias("end")))
-    spans = settled(scans.taken_in_order(spans, ["doc_id"]))
-    gone = spans.select("doc_id", F.explode(F.sequence("start", "end")).alias("n"), "start")
-    t = t.join(gone, ["doc_id", "n"], "left").where("start IS NULL OR start = n")
-    single = F.array(_part("item", "", F.col("text"), F.lit(None), F.col("numbered")).cast(PART))
-    t = t.withColumn("m", F.when(F.col("start").isNotNull(), F.col("m")))
-    rows = t.select("doc_id", "ord", "n", F.col("m.kind").alias("kind"), "m", F.posexplode(F.when(F.col("m").isNotNull(), F.col("m.parts")).otherwise(single)).alias("place", "part"))
-    order = Window.partitionBy("doc_id").orderBy("n", "place")
-    takes = F.coalesce((F.lead("kind").over(order) == "ratio_cluster") & (F.lead("place").over(order) == 0), F.lit(False)) & strip("part.text").rlike(BOUND)
-    rows = rows.withColumn("taken", takes).where("NOT taken").withColumn("at", F.row_number().over(order))
-    rows = settled(rows.drop("taken"))
-
-    # The sums that look back, and the rows that tell an index, in order.
-    text = col("part.text")
-    told = F.regexp_replace(F.regexp_extract(text, rf"∑_\{{\s*([A-Za-z]\s*=\s*1)\s*\}}\^\{{\s*{TERMS}\s*\}}", 1), r"\s+", "")
-    told = F.when(told != "", told).when(text.contains("∑") & text.contains(TERMS), repair.sum_start(text))
-    asks = F.coalesce(F.col("m.upper") == TERMS, F.lit(False)) & F.col("part.role").isin("formula_problem", "item")
-    start = F.min("at").over(Window.partitionBy("doc_id", "n"))
-    spare = F.when(F.col("kind") == "inline_sum_missing_lower", F.least(F.length("m.tail"), F.lit(1))).otherwise(0)
-    events = rows.select("doc_id", "n", "at", start.alias("from"), asks.alias("asks"), told.alias("told"), spare.alias("spare")).where("asks OR told IS NOT NULL")
-    events = events.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("at", "from", "n", "asks", "told", "spare"))).alias("events"))
-    empty = F.struct(F.lit(-LOOK_BACK - 1).cast("long").alias("last"), F.lit("").alias("told"), F.lit(0).cast("long").alias("shift"), F.array().cast("array<long>").alias("found"))
-
-    def step(acc: Column, e: Column) -> Column:
-        found = e["asks"] & (e["from"] - acc["shift"] - acc["last"] <= LOOK_BACK) & (acc["told"] == INDEX)
-        tells = F.when(found, INDEX).otherwise(e["told"])
-        return F.struct(
-            F.when(tells.isNotNull(), e["at"] - acc["shift"]).otherwise(acc["last"]).cast("long").alias("last"), F.coalesce(tells, acc["told"]).alias("told"),
-            (acc["shift"] + F.when(e["asks"] & ~found, e["spare"]).otherwise(0)).cast("long").alias("shift"), F.when(found, F.concat(acc["found"], F.array(e["n"]))).otherwise(acc["found"]).alias("found"),
-        )
-
-    found = events.select("doc_id", F.explode(F.aggregate("events", empty, step, lambda acc: acc["found"])).alias("n"), F.lit(True).alias("resolved"))
-    rows = rows.join(found, ["doc_id", "n"], "left").withColumn("resolved", F.coalesce("resolved", F.lit(False)))
+    t = _matches(_facts(items))
     late = F.coalesce(F.col("m.upper") == TERMS, F.lit(False))
     kinds = ("labeled_sum_continuation", "inline_sum_missing_lower")
-    sums = F.coalesce(*[F.when(F.col("kind") == k, _sum(k, F.col("m.lead"), F.lit(INDEX), F.lit(TERMS), F.col("m.expr"), F.col("part.numbered"))) for k in kinds]).cast(PART)
-    part = F.when(late & F.col("resolved") & F.col("part.role").isin("formula_problem", "item"), sums).otherwise(F.col("part"))
-    whole = ~(late & ~F.col("resolved") & (F.col("kind") == kinds[1]) & (F.col("part.role") == "text"))
+    events = F.transform("m.parts", lambda p: F.struct((late & p["role"].isin("formula_problem", "item")).alias("asks"), _told(col(p["text"])).alias("told")))
+    body = let(strip(F.regexp_replace(F.col("t"), "^=+", "")), lambda x: repair.percentage(formula.without_labels(x)))
+    t = t.select(
+        "doc_id", "ord", "n", "t", "text", "numbered", "m", F.col("m.kind").alias("kind"), F.col("m.length").alias("length"), events.alias("events"), _told(col("text")).alias("told"), strip("text").rlike(BOUND).alias("bounded"),
+        F.when(F.col("m.kind") == kinds[1], F.least(F.length("m.tail"), F.lit(1))).otherwise(0).alias("spare"), "ratio", (F.col("piece") & ~F.col("like")).alias("scrap"), "variable", (F.col("piece") & F.col("variable")).alias("named"),
+        F.when(F.col("ratio"), body).alias("side"),
+    ).sortWithinPartitions("doc_id", "n")
+    extra = T.StructType.fromDDL(f"put int, sides {SIDE}, resolved boolean")
+    t = t.mapInArrow(_walk, T.StructType([t.schema[c] for c in _KEPT] + extra.fields)).where("put > 0")
+
+    single = F.array(_part("item", "", F.col("text"), F.lit(None), F.col("numbered")).cast(PART))
+    t = t.withColumn("m", F.when(F.col("put") == 2, F.col("m")))
+    made = F.when(F.col("put") == 2, F.col("m.parts")).when(F.col("put") == 3, F.transform("sides", _ratio).cast(f"array<{PART}>")).otherwise(single)
+    rows = t.select("doc_id", "ord", "m.kind", "m.lead", "m.expr", late.alias("late"), "resolved", F.posexplode(made).alias("place", "part"))
+    sums = F.coalesce(*[F.when(F.col("kind") == k, _sum(k, F.col("lead"), F.lit(INDEX), F.lit(TERMS), F.col("expr"), F.col("part.numbered"))) for k in kinds]).cast(PART)
+    part = F.when(F.col("late") & F.col("resolved") & F.col("part.role").isin("formula_problem", "item"), sums).otherwise(F.col("part"))
+    whole = ~(F.col("late") & ~F.col("resolved") & F.coalesce(F.col("kind") == kinds[1], F.lit(False)) & (F.col("part.role") == "text"))
     return rows.where(whole).select("doc_id", "ord", "place", part.alias("p")).select("doc_id", "ord", "place", "p.*")

@@ -107,11 +107,11 @@ def _split_sql() -> str:
 @query(_split_sql())
 def h09_h18_split_formulas(spark, sf_dir):
     """Formulas split over items, put together."""
-    t = _table(spark, sf_dir, "lineitem")
+    t = _table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "doc_id")  # renamed first: what is dealt by it stays so
     items = F.array(F.concat(F.lit("Part "), F.col("l_partkey"), F.lit(" was sent by rail")))
     for k, (own, _) in enumerate(_SPLIT):
         items = F.when(F.col("l_partkey") % len(_SPLIT) == k, F.concat(F.array(F.concat(F.lit("Part "), F.col("l_partkey"), F.lit(" was sent by rail"))), F.array(*[F.expr(_worded(x)) for x in own]))).otherwise(items)
-    t = t.select(F.col("l_orderkey").alias("doc_id"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy(F.expr(_ORD))).alias("line"), F.posexplode(items).alias("k", "text"))
+    t = t.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.expr(_ORD))).alias("line"), F.posexplode(items).alias("k", "text"))
     t = t.select("doc_id", (F.col("line") * 16 + F.col("k")).alias("ord"), "text", (F.col("text").startswith("=")).alias("formula"), F.lit(False).alias("numbered"))
     out = splits.repaired(t)
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord", "place")).cast("long")

@@ -169,3 +169,27 @@ def test_repairs(spark, docs):
     sources = [r[1] for e in expected.values() for r in e]
     assert all(sources.count("repaired_" + k) > 8 for k in ("max_sum_layout", "fraction_sum_layout", "sum_bounds", "missing_sum_symbol", "sum_prefix", "ratio_cluster", "labeled_sum_continuation", "inline_sum_missing_lower"))
     assert splits.repaired(table.limit(0)).count() == 0
+
+
+def test_documents_pass_in_small_batches_and_nothing_is_written(spark, monkeypatch):
+    """Clusters of several ratios, bounds before them and sums that look back, cut by batches at every place."""
+    from quire.operators import state
+
+    def written(*_):
+        raise AssertionError("a table was written")
+
+    monkeypatch.setattr(state, "new_path", written)
+    cluster = ["i = 1", "ra", "=m/n×100%", "Ea", "rb", "=k/l×100%", "Eb", "rc", "=o×100%", "Ec"]
+    texts = ["text", *cluster, "plain words", "E = ∑24", "P(t)+Q", "G=∑24 P+Q 其中", *cluster, "这是正文", *cluster[1:], "x"]
+    rows = [(d, i, x, x.startswith("="), False) for d in range(4) for i, x in enumerate(texts[d:])]
+    t = spark.createDataFrame(rows, "doc_id long, ord long, text string, formula boolean, numbered boolean")
+    run = lambda: sorted(map(tuple, splits.repaired(t).select("doc_id", "ord", "place", "role", "source", "text", "numbered").collect()))
+    whole = run()
+    names = [r[5].split("=")[0] for r in whole if r[0] == 0 and r[4] == "repaired_ratio_cluster"]
+    assert names == ["ra", "rb", "rc"] * 3 and not any(r[5] == "i = 1" for r in whole if r[0] == 0)
+    try:
+        for n in (1, 2, 3, 7):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+            assert run() == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
