@@ -2,8 +2,10 @@
 
 import re
 
-from quire.functions import text
-from quire.operators import grids
+from quire.functions import formula, latex, text
+from quire.operators import grids, matching
+from quire.plans import more_queries  # noqa: F401  (it registers its queries)
+from quire.plans.queries import QUERIES
 
 PLAN = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
 
@@ -36,3 +38,23 @@ def test_irregular_merges_shuffle_cells_once(spark, monkeypatch):
     plan = out._jdf.queryExecution().sparkPlan().toString()
     below = plan[plan.index("MapInArrow") :]
     assert "Join" not in below
+
+
+def test_texts_are_made_plain_once(spark):
+    folder = "/root/testdata/sf0.001"
+    for name in ("d01_formula_class", "d02_d11_formula_predicates"):
+        assert PLAN(QUERIES[name](spark, folder)).count("translate(") == 1
+    t = spark.createDataFrame([("E1 = 2 × 3 (1-2)",), ("[3]",), ("(2020)",), ("12 kW",), ("$x_1 + y$",), ("f(x)",), ("x = 3，y",), ("分析结果表明，当 f(x) = 7 时系统的收入明显高于成本; 因此选择该模式进行约束优化。",), ("",), (None,)], "x string")
+    one = t.select(formula.is_quantity("x"), formula.is_contaminated("x"), formula.looks_like_formula("x"), formula.valid_equation_span("x"), formula.valid_dollar_span("x")).collect()
+    assert [tuple(r) for r in t.select(formula.tests("x").alias("t")).select("t.*").collect()] == [tuple(r) for r in one]
+    apart = PLAN(t.select(latex.numbered("x").alias("n"))).count("regexp_extract(")
+    assert PLAN(QUERIES["c55_c59_text_to_latex"](spark, folder)).count("regexp_extract(") == apart
+
+
+def test_merges_without_groups(spark):
+    marks = ["continue", "restart", "continue", "continue", "", "continue", "restart", None, "restart", "continue"]
+    rows = [(1, 0, 0, i, m) for i, m in enumerate(marks)] + [(1, 0, 1, 5, "restart"), (1, 0, 1, 5, "continue"), (1, 0, 1, 7, "continue"), (2, 0, 0, 0, "continue")]
+    t = spark.createDataFrame(rows, "doc_id int, table_id int, row int, cell int, merge string")
+    out = matching.horizontal_merges(t)
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 0, 0, 1, 3), (1, 0, 0, 8, 2), (1, 0, 1, 5, 3)]
+    assert "Aggregate" not in PLAN(out)
