@@ -30,12 +30,13 @@ def written(spark, sf_dir):
     boxed = lambda x, i: F.when(i % 5 == 4, F.concat(F.lit("<w:sdt><w:sdtContent>"), line(x, i), F.lit("</w:sdtContent></w:sdt>"))).otherwise(line(x, i))
     body = F.array_join(F.transform(F.split(_escaped(F.coalesce("text", F.lit(""))), "\n", -1), boxed), "")
     notes = F.concat(F.lit('<w:footnotes xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:footnote w:id="2"><w:p><w:r><w:t>Note '), F.col("doc_id").cast("string"), F.lit("</w:t></w:r></w:p></w:footnote></w:footnotes>"))
-    rows = _table(spark, sf_dir, "documents").select(
+    # Dealt out by key: a file of one row group would be one task's, and rows of one name meet.
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id").select(
         F.concat(F.lit("d"), "doc_id").alias("name"), F.concat(F.lit(_HEAD), body, F.lit("</w:body></w:document>")).alias("document"), F.lit('<Relationships><Relationship Id="i1" Target="media/p.png"/></Relationships>').alias("relations"),
         F.create_map(F.lit("word/footnotes.xml"), notes.cast("binary")).alias("media"),
     )
     path = new_path(packages.registered(spark), "packages")
-    rows.write.format("packages").mode("append").save(path)
+    rows.write.format("packages").mode("append").option("folders", "true").save(path)
     return path
 
 

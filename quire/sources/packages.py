@@ -2,12 +2,15 @@
 
     spark.dataSource.register(Packages)
     spark.read.format("packages").load(folder)
-    rows.write.format("packages").mode("append").save(folder)
+    rows.write.format("packages").mode("append").option("folders", "true").save(folder)
 
 Reading: one partition for each run of files, filters on path and kind are pushed into the reader (where
 spark.sql.python.filterPushdown.enabled is on), so files that no row is asked of aren't opened. Writing: one package for
 each row, under a hidden name until the job commits; then they get their names and a manifest is written. A job that
 fails leaves nothing that is read; its hidden files are deleted, but for those of tasks that were still at work then.
+With the option folders, for many packages: each task fills folders of its own, so the driver renames and lists folders
+and never sees their files, and a folder is a partition when it is read. A name must then be the only one in its task;
+rows with one name must stand in one partition for the second to be refused.
 Paths are those that pyarrow's file systems open.
 """
 
@@ -16,6 +19,7 @@ from __future__ import annotations
 import io
 import json
 import posixpath
+import re
 import uuid
 import xml.etree.ElementTree as ET
 import zipfile
@@ -36,8 +40,21 @@ GONE = frozenset("del moveFrom delText delInstrText instrText".split())
 KINDS = ("text", "picture", "math", "formula", "footnote", "endnote")
 
 
+class _Names(dict):
+    """Local names by tag, each told once."""
+
+    def __missing__(self, tag: str) -> str:
+        if len(self) > 4096:
+            self.clear()
+        name = self[tag] = tag.rpartition("}")[2]
+        return name
+
+
+_NAMES = _Names()
+
+
 def local(element) -> str:
-    return element.tag.rpartition("}")[2]
+    return _NAMES[element.tag]
 
 
 def visible(element) -> str:
@@ -55,44 +72,49 @@ def visible(element) -> str:
 def stream(paragraph, notes: dict[str, dict[str, str]], targets: dict[str, str]) -> Iterator[tuple[str, str, str]]:
     """(kind, text, ref) of a paragraph's items in order. Text runs up to the next item of another kind are one; blank ones
     are none. A picture's ref is its file, the first place of each counts; a note's text is that of its body."""
+    out: list[tuple[str, str, str]] = []
     held: list[str] = []
     seen: set[str] = set()
 
     def text():
         whole = "".join(held)
         held.clear()
-        return [("text", whole, "")] if whole.strip() else []
+        if whole.strip():
+            out.append(("text", whole, ""))
 
     def walk(parent, in_run: bool):
         for x in parent:
-            name = local(x)
+            name = _NAMES[x.tag]
             if name in GONE:
                 continue
-            if name in ("oMath", "oMathPara"):
-                yield from text()
-                yield ("formula" if name == "oMathPara" else "math", "".join(t.text or "" for t in x.iter(_M + "t")), "")
+            if name == "r":
+                walk(x, True)
+            elif in_run and name in ("t", "tab", "br", "cr"):
+                held.append(visible(x))
+            elif name in ("oMath", "oMathPara"):
+                text()
+                out.append(("formula" if name == "oMathPara" else "math", "".join(t.text or "" for t in x.iter(_M + "t")), ""))
             elif in_run and name in ("drawing", "pict"):
-                yield from text()
+                text()
                 for part in x.iter():
                     ref = part.get(_R + "embed") or part.get(_R + "id") or ""
                     if local(part) in ("blip", "imagedata") and ref in targets and ref not in seen:
                         seen.add(ref)
-                        yield "picture", "", targets[ref]
+                        out.append(("picture", "", targets[ref]))
             elif in_run and name in ("footnoteReference", "endnoteReference"):
-                yield from text()
+                text()
                 kind, ref = name[: -len("Reference")], (x.get(_W + "id") or "").strip()
-                yield kind, notes.get(kind, {}).get(ref, ""), ref
-            elif in_run and name in ("t", "tab", "br", "cr"):
-                held.append(visible(x))
-            elif name == "r":
-                yield from walk(x, True)
+                out.append((kind, notes.get(kind, {}).get(ref, ""), ref))
             elif name in CLEAR or name == "p":
-                yield from walk(x, False)
+                walk(x, False)
             elif name == "sdt":
-                yield from (y for part in x if local(part) == "sdtContent" for y in walk(part, False))
+                for part in x:
+                    if local(part) == "sdtContent":
+                        walk(part, False)
 
-    yield from walk(paragraph, False)
-    yield from text()
+    walk(paragraph, False)
+    text()
+    return iter(out)
 
 
 def package_rows(path: str, content: bytes) -> Iterator[tuple]:
@@ -115,7 +137,7 @@ def package_rows(path: str, content: bytes) -> Iterator[tuple]:
     todo = [(root, "", False)]
     while todo:
         element, boxed, in_cell = todo.pop()
-        name = local(element)
+        name = _NAMES[element.tag]
         if name in GONE:
             continue
         if name == "p" and boxed:
@@ -125,7 +147,10 @@ def package_rows(path: str, content: bytes) -> Iterator[tuple]:
             for k, (kind, text, ref) in enumerate(stream(element, notes, targets)):
                 yield (path, True, number, k, kind, text, ref, "", in_cell)
         inner = "textbox" if name == "txbxContent" else boxed or ("control" if name == "sdtContent" else "")
-        todo.extend((x, inner, in_cell or name == "tc") for x in reversed(element))
+        inside = in_cell or name == "tc"
+        for x in reversed(element):
+            if len(x) or _NAMES[x.tag] == "p":  # others have no rows
+                todo.append((x, inner, inside))
 
 
 def _files(path: str):
@@ -135,14 +160,47 @@ def _files(path: str):
     return system, root
 
 
+#: What the files and folders of a job that hasn't committed are called, and files of it below such a folder.
+_HIDDEN = re.compile(r"/\.[^/]*$|/\.[0-9a-f]{32}-[^/]*/")
+
+
+def _packages(system, root: str, recursive: bool = True) -> list[str]:
+    from pyarrow import fs
+
+    found = system.get_file_info(fs.FileSelector(root, recursive=recursive))
+    return sorted(f.path for f in found if f.is_file and f.path.endswith(".docx") and not _HIDDEN.search(f.path[len(root.rstrip("/")) :]))
+
+
+def _batches(rows: Iterator[tuple]):
+    """Rows (ROWS) as Arrow batches of bounded size."""
+    import pyarrow as pa
+
+    types = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}
+    schema = pa.schema([(name, types[kind]) for name, kind in map(str.split, ROWS.split(", "))])
+    held, size = [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema, strict=True)], schema=schema)
+
+    for row in rows:
+        held.append(row)
+        size += len(row[5])
+        if len(held) == 2000 or size > 1 << 22:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 @dataclass
 class Files(InputPartition):
     paths: list[str]
+    folder: str = ""
 
 
 class PackageReader(DataSourceReader):
-    #: Files of a partition.
-    AT_ONCE = 64
+    #: Files of a partition: at least, and at most where there are so many that all partitions would be larger.
+    AT_ONCE, MOST, PARTS = 64, 2048, 256
 
     def __init__(self, path: str):
         self.path, self.paths, self.kinds = path, None, None
@@ -162,15 +220,30 @@ class PackageReader(DataSourceReader):
         from pyarrow import fs
 
         system, root = _files(self.path)
-        found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        # Names of files that a job hasn't committed begin with a dot.
-        names = sorted(f.path for f in found if f.is_file and f.path.endswith(".docx") and not posixpath.basename(f.path).startswith("."))
-        names = [n for n in names if self.paths is None or n in self.paths]
-        return [Files(names[i : i + self.AT_ONCE]) for i in range(0, len(names), self.AT_ONCE)] or [Files([])]
+        top = system.get_file_info(fs.FileSelector(root))
+        folders = set()
+        for f in top:
+            if f.is_file and re.fullmatch(r"folders-[0-9a-f]{32}\.json", f.base_name):
+                with system.open_input_stream(f.path) as content:
+                    folders |= {f"{root.rstrip('/')}/{n}" for n in json.loads(content.read())["folders"]}
+        names = _packages(system, root, recursive=False)
+        for f in top:
+            if not f.is_file and f.path not in folders and not _HIDDEN.search("/" + f.base_name + "/"):
+                names += _packages(system, f.path)
+        names = sorted(n for n in names if self.paths is None or n in self.paths)
+        folders = sorted(f for f in folders if self.paths is None or any(posixpath.dirname(p) == f for p in self.paths))
+        step = min(max(self.AT_ONCE, len(names) // self.PARTS), self.MOST)
+        return [Files([], f) for f in folders] + [Files(names[i : i + step]) for i in range(0, len(names), step)] or [Files([])]
 
     def read(self, partition):
+        return _batches(self._rows(partition))
+
+    def _rows(self, partition):
         system, _ = _files(self.path)
-        for name in partition.paths:
+        paths = partition.paths
+        if partition.folder:
+            paths = [n for n in _packages(system, partition.folder) if self.paths is None or n in self.paths]
+        for name in paths:
             with system.open_input_stream(name) as f:
                 content = f.read()
             for row in package_rows(name, content):
@@ -183,21 +256,39 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
+def _packed(row) -> bytes:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as package:
+        package.writestr("word/document.xml", row.document)
+        if row.relations:
+            package.writestr("word/_rels/document.xml.rels", row.relations)
+        for part, content in (row.media or {}).items():
+            package.writestr(part, bytes(content))
+    return buffer.getvalue()
+
+
+def _delete(system, path: str, is_file: bool) -> None:
+    (system.delete_file if is_file else system.delete_dir)(path)
+
+
 class PackageWriter(DataSourceWriter):
-    def __init__(self, path: str, overwrite: bool):
+    #: Packages of a folder.
+    IN_FOLDER = 2048
+
+    def __init__(self, path: str, overwrite: bool, folders: bool = False):
         if overwrite:
             raise ValueError("packages are appended; write into a new folder")
-        self.path, self.job = path, uuid.uuid4().hex
+        self.path, self.job, self.folders = path, uuid.uuid4().hex, folders
 
     def write(self, iterator):
         system, root = _files(self.path)
         system.create_dir(root, recursive=True)
         made = []
         try:
-            self._write(system, root, iterator, made)
+            (self._fill if self.folders else self._write)(system, root, iterator, made)
         except BaseException:
             for hidden, _ in made:
-                system.delete_file(hidden)
+                _delete(system, hidden, not self.folders)
             raise
         return Written(made)
 
@@ -205,16 +296,22 @@ class PackageWriter(DataSourceWriter):
         for row in iterator:
             hidden, name = f"{root}/.{self.job}-{uuid.uuid4().hex}", f"{root}/{row.name}.docx"
             with system.open_output_stream(hidden) as out:
-                buffer = io.BytesIO()
-                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as package:
-                    package.writestr("word/document.xml", row.document)
-                    if row.relations:
-                        package.writestr("word/_rels/document.xml.rels", row.relations)
-                    for part, content in (row.media or {}).items():
-                        package.writestr(part, bytes(content))
-                out.write(buffer.getvalue())
+                out.write(_packed(row))
             made.append((hidden, name))
 
+    def _fill(self, system, root, iterator, made) -> None:
+        seen = set()
+        for n, row in enumerate(iterator):
+            if row.name in seen:
+                raise ValueError("two rows have one name")
+            seen.add(row.name)
+            if n % self.IN_FOLDER == 0:
+                name = f"{self.job}-{uuid.uuid4().hex}"
+                system.create_dir(f"{root}/.{name}")
+                made.append((f"{root}/.{name}", f"{root}/{name}"))
+            with system.open_output_stream(f"{made[-1][0]}/{row.name}.docx") as out:
+                out.write(_packed(row))
+
     def commit(self, messages):
         system, root = _files(self.path)
         files = sorted(f for m in messages if m is not None for f in m.files)
@@ -226,8 +323,9 @@ class PackageWriter(DataSourceWriter):
             system.move(hidden, name)
         self._clear()
         system.create_dir(root, recursive=True)
-        with system.open_output_stream(f"{root}/manifest-{self.job}.json") as out:
-            out.write(json.dumps({"files": [posixpath.basename(n) for n in names]}).encode())
+        kind, manifest = ("folders", "folders") if self.folders else ("files", "manifest")
+        with system.open_output_stream(f"{root}/{manifest}-{self.job}.json") as out:
+            out.write(json.dumps({kind: [posixpath.basename(n) for n in names]}).encode())
 
     def abort(self, messages):
         self._clear()
@@ -239,7 +337,7 @@ class PackageWriter(DataSourceWriter):
         system, root = _files(self.path)
         for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)):
             if posixpath.basename(f.path).startswith(f".{self.job}-"):
-                system.delete_file(f.path)
+                _delete(system, f.path, f.is_file)
 
 
 class Packages(DataSource):
@@ -254,7 +352,7 @@ class Packages(DataSource):
         return PackageReader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return PackageWriter(self.options["path"], overwrite)
+        return PackageWriter(self.options["path"], overwrite, self.options.get("folders", "false").lower() == "true")
 
 
 def registered(spark):

@@ -59,3 +59,38 @@ def test_a_failed_job_leaves_nothing_to_read(source, tmp_path):
     with pytest.raises(Exception, match="two rows"):
         twice.write.format("packages").mode("append").save(folder + "2")
     assert os.listdir(folder + "2") == []
+
+
+def test_folders_keep_files_from_the_driver(source, tmp_path, monkeypatch):
+    rows = source.range(150, numPartitions=3).select(F.concat(F.lit("d"), "id").alias("name"), F.lit(HEAD + BODY).alias("document"), F.lit(RELATIONS).alias("relations"), F.lit(None).cast("map<string,binary>").alias("media"))
+    flat, dealt = str(tmp_path / "flat"), str(tmp_path / "dealt")
+    rows.write.format("packages").mode("append").save(flat)
+    rows.write.format("packages").mode("append").option("folders", "true").save(dealt)
+    top = sorted(os.listdir(dealt))
+    assert len(top) == 4
+    folders = json.load(open(next(f"{dealt}/{n}" for n in top if n.endswith(".json"))))["folders"]
+    assert sorted(len(os.listdir(f"{dealt}/{n}")) for n in folders) == [50, 50, 50]
+    # What a job that hasn't committed holds, and files put beside, in folders of their own too.
+    os.mkdir(f"{dealt}/.{'0' * 32}-{'1' * 32}")
+    open(f"{dealt}/.{'0' * 32}-{'1' * 32}/d9.docx", "w").write("x")
+    os.makedirs(f"{dealt}/other/deep")
+    open(f"{dealt}/other/deep/bad.docx", "w").write("no package")
+    reader = packages.PackageReader(dealt)
+    assert sorted((len(p.paths), p.folder != "") for p in reader.partitions()) == [(0, True)] * 3 + [(1, False)]
+    read = lambda folder: source.read.format("packages").load(folder)
+    short = lambda t: sorted((os.path.basename(r.path), *map(str, r[1:])) for r in t.where("ok").collect())
+    assert short(read(dealt)) == short(read(flat)) and read(dealt).where("NOT ok").count() == 1
+    one = next(f"{dealt}/{n}/d7.docx" for n in folders if os.path.exists(f"{dealt}/{n}/d7.docx"))
+    list(reader.pushFilters([packages.EqualTo(("path",), one)]))
+    assert len(reader.partitions()) == 1 and read(dealt).where(F.col("path") == one).count() == read(flat).where(F.col("path") == f"{flat}/d7.docx").count() > 0
+    monkeypatch.setattr(packages.PackageWriter, "IN_FOLDER", 20)
+    writer = packages.PackageWriter(str(tmp_path / "small"), False, True)
+    writer.commit([writer.write(iter(rows.collect()[:50]))])
+    assert len(os.listdir(tmp_path / "small")) == 4
+    with pytest.raises(ValueError, match="two rows"):
+        writer.write(iter(rows.collect()[:1] * 2))
+    assert len(os.listdir(tmp_path / "small")) == 4
+    bad = rows.withColumn("document", F.when(F.col("name") == "d149", F.raise_error(F.lit("stop"))).otherwise(F.col("document")))
+    with pytest.raises(Exception, match="stop"):
+        bad.write.format("packages").mode("append").option("folders", "true").save(str(tmp_path / "failed"))
+    assert read(str(tmp_path / "failed")).count() == 0
