@@ -1,6 +1,7 @@
 """What steps that large tables run through must not do again: read off plans, with the results beside."""
 
 import re
+import unicodedata
 
 from quire.functions import formula, latex, text
 from quire.operators import grids, matching
@@ -58,3 +59,15 @@ def test_merges_without_groups(spark):
     out = matching.horizontal_merges(t)
     assert sorted(tuple(r) for r in out.collect()) == [(1, 0, 0, 1, 3), (1, 0, 0, 8, 2), (1, 0, 1, 5, 3)]
     assert "Aggregate" not in PLAN(out)
+
+
+def test_spans_of_math_are_sought_where_signs_stand(spark):
+    texts = ["a $x$ and f(n) = 3", None, "", "no math, only $ and words", "a ≠ b1", "a $x$ and f(n) = 3", "E（2） ≥ 4)", "$$a = b$$", "words " * 300 + "$x$", "cost\n$y_1$", "[1] ＝ 2"]
+    t = spark.createDataFrame([(i, [x or "", "k"], x) for i, x in enumerate(texts)], "id long, own array<string>, text string").coalesce(1)
+    out = matching.explode_spans(t)
+    expected = [(i, [x or "", "k"], x, *s) for i, x in enumerate(texts) for s in matching.math_spans(unicodedata.normalize("NFC", x or ""))]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(expected) and {i for i, *_ in expected} == {0, 4, 5, 9}
+    assert out.schema.simpleString() == "struct<id:bigint,own:array<string>,text:string,start:int,end:int,span:string,kind:string>"
+    assert "RLIKE" in PLAN(out) and "EvalPython" not in PLAN(out)
+    left = t.where(t.text.rlike("|".join(matching.NEEDED.values())))
+    assert sorted(r.id for r in left.collect()) == [0, 4, 5, 6, 7, 8, 9]
