@@ -221,14 +221,15 @@ class PackageReader(DataSourceReader):
 
         system, root = _files(self.path)
         top = system.get_file_info(fs.FileSelector(root))
-        folders = set()
+        listed = set()
         for f in top:
             if f.is_file and re.fullmatch(r"folders-[0-9a-f]{32}\.json", f.base_name):
                 with system.open_input_stream(f.path) as content:
-                    folders |= {f"{root.rstrip('/')}/{n}" for n in json.loads(content.read())["folders"]}
+                    listed |= set(json.loads(content.read())["folders"])
+        folders = [f.path for f in top if not f.is_file and f.base_name in listed]
         names = _packages(system, root, recursive=False)
         for f in top:
-            if not f.is_file and f.path not in folders and not _HIDDEN.search("/" + f.base_name + "/"):
+            if not f.is_file and f.base_name not in listed and not _HIDDEN.search("/" + f.base_name + "/"):
                 names += _packages(system, f.path)
         names = sorted(n for n in names if self.paths is None or n in self.paths)
         folders = sorted(f for f in folders if self.paths is None or any(posixpath.dirname(p) == f for p in self.paths))
