@@ -207,18 +207,19 @@ def mapped(block: bytes) -> np.ndarray:
 
 
 class Codec:
-    """Whole texts to ids and back."""
+    """Whole texts to ids and back. Units that the automaton doesn't hold are kept in a cache once met, the pieces of those
+    that fall into several in another."""
 
     def __init__(self, vocabulary: Vocabulary, block: np.ndarray | bytes):
         self.vocabulary, self.lexicon = vocabulary, Transducer(block)
-        self.merged = Cache(lambda pieces: [array("i", vocabulary.merge(p)).tobytes() for p in pieces], 50_000)
-        self.unseen = Cache(self._merge, 50_000)
+        self.merged = Cache(lambda pieces: [array("i", vocabulary.merge(p)).tobytes() for p in pieces], 30_000)
+        self.unseen = Cache(self._merge, 30_000)
         self.specials = regex.compile("(" + "|".join(map(regex.escape, sorted(vocabulary.special, key=len, reverse=True))) + ")") if vocabulary.special else None
 
     def _merge(self, units: list[bytes]) -> list[bytes]:
         parts = [split_pieces(u) for u in units]
-        made = iter(self.merged.ids([p for x in parts for p in x]))
-        return [b"".join(islice(made, len(x))) for x in parts]
+        made = iter(self.merged.ids([p for x in parts if len(x) > 1 for p in x]))
+        return [array("i", self.vocabulary.merge(x[0])).tobytes() if len(x) == 1 else b"".join(islice(made, len(x))) for x in parts]
 
     def ids(self, units: list[bytes]) -> list[bytes]:
         ranks = self.lexicon.ranks(pa.array(units, pa.binary()))
@@ -266,19 +267,22 @@ def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
     where on they are few enough, so no more than `most` reach the driver, however many partitions there are.
     """
 
+    def summed(tables):
+        return pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
+
     def run(batches):
+        tables = []
         for b in batches:
-            tables = []
             for _, data, offsets in text_groups(b.column(0), 1 << 18):
                 starts = [spaced_starts(data[s:e]) + s for s, e in zip(offsets[:-1], offsets[1:]) if e > s]
                 if starts:
                     found = pc.value_counts(binary_array(data, np.concatenate(starts)))
                     tables.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
                     if sum(t.num_rows for t in tables) > 100_000:
-                        yield from pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
+                        yield from summed(tables)
                         tables = []
-            if tables:
-                yield from pa.concat_tables(tables).group_by("word").aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches()
+        if tables:
+            yield from summed(tables)
 
     counts = docs.select("text").where(F.col("text").isNotNull()).mapInArrow(tidy(run), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     step = F.floor(F.log2("n") * 16)
@@ -295,19 +299,6 @@ def frequent_words(docs: DataFrame, most: int) -> list[bytes]:
     return found
 
 
-_codecs: dict[int, tuple] = {}
-
-
-def _codec(shipped) -> Codec:
-    """This worker's codec for a broadcast, with what it has met in earlier tasks; one at a time is kept."""
-    key = id(shipped.value)
-    if key not in _codecs:
-        _codecs.clear()
-        vocabulary, block = shipped.value
-        _codecs[key] = (shipped.value, Codec(vocabulary, mapped(block)))  # the value too, so that its id stays taken
-    return _codecs[key][1]
-
-
 def bpe_round_trip(docs: DataFrame, path: str, most_words: int = 50_000) -> DataFrame:
     """doc_id, ids (little-endian unsigned 32-bit integers, as binary) and decoded (string) of every row of docs(doc_id, text), for the byte-level BPE
     tokenizer file at `path` (read by the driver; workers get it with the code).
@@ -323,7 +314,8 @@ def bpe_round_trip(docs: DataFrame, path: str, most_words: int = 50_000) -> Data
     shipped = spark.sparkContext.broadcast((vocabulary, Transducer.build(words)))
 
     def run(batches):
-        vocabulary, codec = shipped.value[0], _codec(shipped)
+        vocabulary, block = shipped.value
+        codec = Codec(vocabulary, mapped(block))  # goes with its task: workers live on between tasks and stages
         for b in batches:
             for first, data, offsets in text_groups(b.column(1), 1 << 18):
                 ids = codec.encode(data, offsets)

@@ -497,6 +497,13 @@ def test_both_encoders_on_odd_texts():
     assert [x.tolist() for x in bitplanes.word_encoder(word)(data, offsets)] == [word.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_units_of_one_piece_are_kept_once():
+    vocabulary = lexicon.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    codec = lexicon.Codec(vocabulary, lexicon.Transducer.build({}))
+    codec.encode(*text_buffer(pa.array(["zqx vvk zqx ab12"])))
+    assert set(codec.unseen.young) == {b"zqx", b" vvk", b" zqx", b" ab12"} and set(codec.merged.young) == {b" ab", b"12"}
+
+
 def test_transducer_shares_suffixes():
     words = {w.encode(): [i] for i, w in enumerate("tap taps top tops trap traps".split())}
     t = lexicon.Transducer(lexicon.Transducer.build(words))

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -89,3 +90,30 @@ def test_stages_keep_columns_and_odd_rows(spark, tmp_path):
         assert name == "quality rules" or {"k1", "k4"} & {r["__key"] for r in got}
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
     assert len(corpus_pipeline.token_stage(spark, docs, str(tmp_path)).collect()) == 5
+
+
+def test_stages_take_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(1, "a b", "en", "s", 3)], SCHEMA)
+    for before, after in (("67108864b", "1048576b"), ("8388608b", "1048576b"), ("123456b", "123456b")):
+        spark.conf.set(key, before)
+        try:
+            corpus_pipeline.token_stage(spark, docs, "")
+            assert spark.conf.get(key) == after
+        finally:
+            spark.conf.unset(key)
+
+
+def test_workers_keep_no_codec(spark):
+    """A worker that has encoded gives its caches back when its task ends."""
+    docs = spark.createDataFrame([(i, f"w{i} x{i}", "en", "s", 3) for i in range(40)], SCHEMA).repartition(4)
+    assert corpus_pipeline.token_stage(spark, docs, "").count() == 40
+
+    def held(batches):
+        import gc
+
+        for b in batches:
+            n = sum(type(x).__name__ == "Codec" for x in gc.get_objects())
+            yield pa.RecordBatch.from_arrays([pa.array([n] * b.num_rows, pa.int64())], names=["n"])
+
+    assert spark.range(8).repartition(4).mapInArrow(held, "n long").agg({"n": "max"}).first()[0] == 0
