@@ -71,3 +71,22 @@ def test_spans_of_math_are_sought_where_signs_stand(spark):
     assert "RLIKE" in PLAN(out) and "EvalPython" not in PLAN(out)
     left = t.where(t.text.rlike("|".join(matching.NEEDED.values())))
     assert sorted(r.id for r in left.collect()) == [0, 4, 5, 6, 7, 8, 9]
+
+
+def test_forward_pages_pass_in_order(spark):
+    pages = [(1, None, "Gamma"), (1, 3, "beta\n and ALPHA"), (1, 1, "目 录 alpha"), (1, 2, None), (1, 4, "g a m m a"), (2, 1, "x"), (2, 2, "y"), (3, 1, "目录"), (5, 1, "b"), (5, 2, "a b\nc"), (5, 3, "c d"), (None, 1, "z"), (None, 2, "p"), (None, 3, "q")]
+    entries = [(1, 2, "Beta"), (1, 1, "al pha"), (1, 3, None), (1, 4, "(gamma)!"), (1, 5, "alpha"), (2, 1, "z"), (2, 2, "y"), (3, 1, "y"), (4, 1, "a"), (5, 1, "a"), (5, 2, "bcc"), (5, 3, "cd"), (5, None, "ab"), (None, 1, "p"), (None, 2, "q")]
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, "2")
+    try:
+        out = matching.forward_pages(spark.createDataFrame(entries, "doc_id long, ord int, text string"), spark.createDataFrame(pages, "doc_id long, page long, text string"))
+        got = {(r.doc_id, r.ord): r.page for r in out.collect()}
+    finally:
+        spark.conf.set(batch, before)
+    assert out.schema.simpleString() == "struct<doc_id:bigint,ord:bigint,page:bigint>"
+    want = {(1, 1): 1, (1, 2): 1, (1, 3): None, (1, 4): 2, (1, 5): None, (2, 1): None, (2, 2): None, (3, 1): None, (4, 1): None, (5, 1): 1, (5, 2): None, (5, 3): 2, (5, None): None, (None, 1): 1, (None, 2): 2}
+    assert got == want
+    # A document isn't a group of its own in Python.
+    for df in (out, QUERIES["e21_forward_pages"](spark, "/root/testdata/sf0.001")):
+        assert "CoGroup" not in df._jdf.queryExecution().sparkPlan().toString()
