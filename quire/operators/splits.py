@@ -38,14 +38,21 @@ def tex(x, lower: Column | None = None, upper: Column | None = None) -> Column:
         s = F.replace(s, F.lit(sign), F.lit(name))
     total = F.lit(r"\sum") if lower is None else F.concat(F.lit(r"\sum_{"), lower, F.lit("}^{"), upper, F.lit("}"))
     s = F.replace(s, F.lit("∑"), total)
-    steps = (
+    greek = (
         (r"[∆Δ]([A-Za-z])([A-Za-z0-9]+)", r"\\Delta $1_{\\mathrm{$2}}"), (r"[∆Δ]([A-Za-z0-9]+)", r"\\Delta $1"), (r"[∆Δ]", r"\\Delta"),
         (r"λ([A-Za-z0-9]+)", r"\\lambda_{\\mathrm{$1}}"), (r"Λ([A-Za-z0-9]+)", r"\\Lambda_{\\mathrm{$1}}"), (r"μ([A-Za-z0-9]+)", r"\\mu_{\\mathrm{$1}}"), ("λ", r"\\lambda"), ("Λ", r"\\Lambda"), ("μ", r"\\mu"),
+    )
+    s = let(s, lambda x: F.when(x.rlike("[∆ΔλΛμ]"), _replaced(x, greek)).otherwise(x))
+    steps = (
         (r"(?<![\\{\p{L}\p{N}_])([A-Za-z])([A-Za-z0-9]+)(?![\p{L}\p{N}_])", r"$1_{\\mathrm{$2}}"), (r"\s+", " "),
     )
+    return F.trim(_replaced(s, steps))
+
+
+def _replaced(s: Column, steps) -> Column:
     for pattern, by in steps:
         s = F.regexp_replace(s, pattern, by)
-    return F.trim(s)
+    return s
 
 
 def _part(role: str, source: str, text: Column, latex: Column, numbered: Column) -> Column:
@@ -69,13 +76,13 @@ def _tail(text: Column) -> Column:
 def _facts(items: DataFrame) -> DataFrame:
     """What an item alone tells, found once."""
     t = items.withColumn("t", strip("text")).withColumn("like", F.coalesce("formula", F.lit(False))).withColumn("numbered", F.coalesce("numbered", F.lit(False)))
-    labels = formula.trailing_labels("t")
-    parted = F.when(F.size(labels["labels"]) > 0, labels["body"]).otherwise(formula.without_labels("t"))
+    labels, closed = formula.trailing_labels("t"), F.col("t").endswith(")") | F.col("t").endswith("）")
+    labelled = closed & (F.size(labels["labels"]) > 0)
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("ord")) - 1
     ratio = F.col("like") & F.col("t").startswith("=") & F.col("t").contains("100")
     return t.select(
-        "doc_id", "ord", n.cast("long").alias("n"), "t", "text", "like", "numbered", repair.is_piece("t").alias("piece"), repair.is_variable("t").alias("variable"), ratio.alias("ratio"), (F.size(labels["labels"]) > 0).alias("labelled"),
-        labels["body"].alias("body"), parted.alias("parted"), F.col("t").rlike(NUMBER).alias("number"), F.col("t").rlike(BOUND).alias("bound"), formula.is_label("t").alias("label"),
+        "doc_id", "ord", n.cast("long").alias("n"), "t", "text", "like", "numbered", repair.is_piece("t").alias("piece"), F.when(repair.is_piece("t"), repair.is_variable("t")).otherwise(False).alias("variable"), ratio.alias("ratio"), labelled.alias("labelled"),
+        F.when(closed, labels["body"]).otherwise(F.col("t")).alias("body"), F.when(labelled, labels["body"]).otherwise(F.col("t")).alias("parted"), F.col("t").rlike(NUMBER).alias("number"), F.col("t").rlike(BOUND).alias("bound"), formula.is_label("t").alias("label"),
     )
 
 
@@ -137,7 +144,7 @@ def _matches(t: DataFrame) -> DataFrame:
     first_other = F.array_position(F.concat(follow, F.array(none)), False) - 1
     bounds = F.least(first_other, F.size(numbers).cast("long"))
     body = _part("formula", "repaired_sum_bounds", F.col("parted1"), tex("parted1", bare("t2"), F.get(numbers, F.lit(0))), yes("labelled1") | yes("numbered1"))
-    summed = F.when((F.size(numbers) > 0) & col("t1").contains("∑") & (bounds > 0), made("sum_bounds", 2 + bounds, F.array(body)))
+    summed = F.when(col("t1").contains("∑") & yes("bound2") & (F.size(numbers) > 0) & (bounds > 0), made("sum_bounds", 2 + bounds, F.array(body)))
 
     # an upper bound, an indexed expression without its sum, a lower bound
     fits = F.col("number") & F.col("t2").isNotNull() & ~col("t1").contains("∑") & yes("bound2") & col("t1").rlike(INDEXED)
@@ -145,29 +152,29 @@ def _matches(t: DataFrame) -> DataFrame:
 
     # a sum with its upper bound, the summand
     upper, cut = F.regexp_extract("t", r"^∑\s*(\d+)$", 1), repair.prose_tail("t1")
-    prefix = let(F.struct(cut["formula"].alias("f"), cut["tail"].alias("tail"), repair.sum_start(cut["formula"]).alias("low")), lambda c: F.when(
-        (upper != "") & (c["f"] != ""), made("sum_prefix", 2, F.concat(F.array(F.when(c["low"].isNotNull(), _sum("sum_prefix", F.lit(""), c["low"], upper, c["f"], none)).otherwise(_problem(F.concat("t", F.lit(" "), c["f"])))), _tail(c["tail"])))))
+    prefix = F.when(F.col("t").startswith("∑") & (upper != ""), let(F.struct(cut["formula"].alias("f"), cut["tail"].alias("tail"), repair.sum_start(cut["formula"]).alias("low")), lambda c: F.when(
+        c["f"] != "", made("sum_prefix", 2, F.concat(F.array(F.when(c["low"].isNotNull(), _sum("sum_prefix", F.lit(""), c["low"], upper, c["f"], none)).otherwise(_problem(F.concat("t", F.lit(" "), c["f"])))), _tail(c["tail"]))))))
 
     # a name with = and an open sum, the summand; the index may come from before
     g = lambda k: F.regexp_extract("t", OPEN_SUM, k)
     before = F.filter(F.array(_part("text", "", strip(g(1)), F.lit(None), none)), lambda p: p["text"] != "")
-    opened = let(F.struct(cut["formula"].alias("f"), cut["tail"].alias("tail"), repair.sum_start(cut["formula"]).alias("low")), lambda c: F.when(
-        F.col("t").rlike(OPEN_SUM) & (c["f"] != ""), made("labeled_sum_continuation", 2, F.concat(before, F.array(F.when(c["low"].isNotNull(), _sum("labeled_sum_continuation", bare(g(2)), c["low"], g(3), c["f"], none)).otherwise(_problem(F.concat(bare(g(2)), F.lit("∑"), g(3), F.lit(" "), c["f"])))), _tail(c["tail"])),
-        lead=bare(g(2)), expr=c["f"], tail=c["tail"], upper=F.when(c["low"].isNull(), g(3)))))
+    opened = F.when(F.col("t").rlike(OPEN_SUM), let(F.struct(cut["formula"].alias("f"), cut["tail"].alias("tail"), repair.sum_start(cut["formula"]).alias("low")), lambda c: F.when(
+        c["f"] != "", made("labeled_sum_continuation", 2, F.concat(before, F.array(F.when(c["low"].isNotNull(), _sum("labeled_sum_continuation", bare(g(2)), c["low"], g(3), c["f"], none)).otherwise(_problem(F.concat(bare(g(2)), F.lit("∑"), g(3), F.lit(" "), c["f"])))), _tail(c["tail"])),
+        lead=bare(g(2)), expr=c["f"], tail=c["tail"], upper=F.when(c["low"].isNull(), g(3))))))
 
     # the same within one item
     q = lambda k: F.regexp_extract("t", CLOSED_SUM, k)
     own = repair.prose_tail(q(3))
-    inline = let(F.struct(own["formula"].alias("f"), own["tail"].alias("tail"), repair.sum_start(own["formula"]).alias("low")), lambda c: F.when(
-        F.col("t").rlike(CLOSED_SUM) & (c["f"] != "") & (c["low"].isNotNull() | (q(2) == TERMS)), made("inline_sum_missing_lower", 1, F.concat(F.array(F.when(c["low"].isNotNull(), _sum("inline_sum_missing_lower", bare(q(1)), c["low"], q(2), c["f"], F.col("numbered"))).otherwise(_part("item", "", F.col("text"), F.lit(None), F.col("numbered")))), _tail(c["tail"])),
-        lead=bare(q(1)), expr=c["f"], tail=c["tail"], upper=F.when(c["low"].isNull(), q(2)))))
-    return t.withColumn("m", F.coalesce(F.when(F.col("piece"), F.coalesce(most, fraction, summed, missing, prefix)), opened, inline))
+    inline = F.when(F.col("t").rlike(CLOSED_SUM), let(F.struct(own["formula"].alias("f"), own["tail"].alias("tail"), repair.sum_start(own["formula"]).alias("low")), lambda c: F.when(
+        (c["f"] != "") & (c["low"].isNotNull() | (q(2) == TERMS)), made("inline_sum_missing_lower", 1, F.concat(F.array(F.when(c["low"].isNotNull(), _sum("inline_sum_missing_lower", bare(q(1)), c["low"], q(2), c["f"], F.col("numbered"))).otherwise(_part("item", "", F.col("text"), F.lit(None), F.col("numbered")))), _tail(c["tail"])),
+        lead=bare(q(1)), expr=c["f"], tail=c["tail"], upper=F.when(c["low"].isNull(), q(2))))))
+    return t.withColumn("m", F.coalesce(F.when(F.col("piece"), F.coalesce(most, fraction, summed, missing, prefix)), F.when(F.col("t").contains("∑"), F.coalesce(opened, inline))))
 
 
 def _told(text: Column) -> Column:
     """The index that a text tells of a sum over TERMS, else null."""
     told = F.regexp_replace(F.regexp_extract(text, rf"∑_\{{\s*([A-Za-z]\s*=\s*1)\s*\}}\^\{{\s*{TERMS}\s*\}}", 1), r"\s+", "")
-    return F.when(told != "", told).when(text.contains("∑") & text.contains(TERMS), repair.sum_start(text))
+    return F.when(text.contains("∑") & text.contains(TERMS), F.when(told != "", told).otherwise(repair.sum_start(text)))
 
 
 _BOUNDED = re.compile(rf"∑_\{{\s*([A-Za-z]\s*=\s*1)\s*\}}\^\{{\s*{TERMS}\s*\}}", re.A)
@@ -316,7 +323,7 @@ def repaired(items: DataFrame) -> DataFrame:
     events = F.transform("m.parts", lambda p: F.struct((late & p["role"].isin("formula_problem", "item")).alias("asks"), _told(col(p["text"])).alias("told")))
     body = let(strip(F.regexp_replace(F.col("t"), "^=+", "")), lambda x: repair.percentage(formula.without_labels(x)))
     t = t.select(
-        "doc_id", "ord", "n", "t", "text", "numbered", "m", F.col("m.kind").alias("kind"), F.col("m.length").alias("length"), events.alias("events"), _told(col("text")).alias("told"), strip("text").rlike(BOUND).alias("bounded"),
+        "doc_id", "ord", "n", F.when(F.col("piece") | F.col("ratio"), F.col("t")).alias("t"), "text", "numbered", "m", F.col("m.kind").alias("kind"), F.col("m.length").alias("length"), events.alias("events"), _told(col("text")).alias("told"), strip("text").rlike(BOUND).alias("bounded"),
         F.when(F.col("m.kind") == kinds[1], F.least(F.length("m.tail"), F.lit(1))).otherwise(0).alias("spare"), "ratio", (F.col("piece") & ~F.col("like")).alias("scrap"), "variable", (F.col("piece") & F.col("variable")).alias("named"),
         F.when(F.col("ratio"), body).alias("side"),
     ).sortWithinPartitions("doc_id", "n")

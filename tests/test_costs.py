@@ -3,8 +3,10 @@
 import re
 import unicodedata
 
-from quire.functions import formula, latex, text
-from quire.operators import grids, matching
+from pyspark.sql import functions as F
+
+from quire.functions import formula, latex, repair, text
+from quire.operators import grids, matching, splits
 from quire.plans import more_queries  # noqa: F401  (it registers its queries)
 from quire.plans.queries import QUERIES
 
@@ -90,3 +92,15 @@ def test_forward_pages_pass_in_order(spark):
     # A document isn't a group of its own in Python.
     for df in (out, QUERIES["e21_forward_pages"](spark, "/root/testdata/sf0.001")):
         assert "CoGroup" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_sums_are_sought_in_texts_with_a_sum_only(spark, monkeypatch):
+    texts = ["Part 1 was sent by rail", "24", "E(t)+2P", "t=1", "x", "= m / n × 100%", "P", "q", "(3-1)", None, "E =", "成本 C="]
+    items = spark.createDataFrame([(1, i, t, False, False) for i, t in enumerate(texts)], "doc_id long, ord int, text string, formula boolean, numbered boolean")
+    own = [("item", t) for t in texts]
+    assert [(r.role, r.text) for r in splits.repaired(items).orderBy("ord", "place").collect()] == [*own[:1], ("formula", "∑_{t=1}^{24} E(t)+2P"), *own[4:]]
+    # Past this, asking for a sum's index or summand fails.
+    asked = lambda *_: F.raise_error(F.concat(F.lit("asked"), F.col("t"))).cast("string")
+    monkeypatch.setattr(repair, "sum_start", asked)
+    monkeypatch.setattr(repair, "prose_tail", lambda x: F.struct(asked().alias("formula"), asked().alias("tail")))
+    assert len(splits._matches(splits._facts(items)).select("m.kind").collect()) == len(texts)
