@@ -3,7 +3,7 @@
 Cells are rows (doc_id, table_id, row, cell, span, across, down, filled, before): `cell` is the place in its row, `span` the
 columns it takes, `across` and `down` its marks of horizontal and vertical merging (empty, restart or continue), `filled`
 whether it shows anything, `before` the columns that its row leaves free. A row's cells are one window, a column's cells
-another; nothing gathers a table in one task.
+another; only rectangles has the cells of a table in one task's memory.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .state import settled
+from .state import settled  # noqa: F401  (tests see to it that nothing here calls it)
 
 TABLE = ["doc_id", "table_id"]
 ROW = [*TABLE, "row"]
@@ -105,43 +105,165 @@ def chained(cells: DataFrame) -> DataFrame:
     return kept.withColumn("swallowed", F.coalesce(F.last(edge, ignorenulls=True).over(before) > F.col("col"), F.lit(False)))
 
 
+def _whole_tables(batches):
+    """Batches in the order of their tables, cut anew so that none ends within a table."""
+    held = []
+    for batch in batches:
+        starts = np.flatnonzero(batch.column("starts").to_numpy(zero_copy_only=False))
+        cut = int(starts[-1]) if len(starts) else 0
+        if cut or (len(starts) and held):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _so_far(values, first):
+    """Sums of what stands before each element of its group; first: the place of the group's first element."""
+    total = np.cumsum(values) - values
+    return total - total[first]
+
+
+def _latest(flags):
+    """The place of the last set flag up to each element, 0 before the first."""
+    return np.maximum.accumulate(np.where(flags, np.arange(len(flags)), 0))
+
+
+def _marks(t: dict):
+    """Marks of merged cells of whole tables, by arrays: place of the cell, kind (0: down, 1: across), row number over all tables (line),
+    col, rowspan and colspan; behind them the lines of each one's rows, one after the other. It follows chained step by step."""
+    across, down, span, row, filled = (t[c] for c in ("across", "down", "span", "row", "filled"))
+    n = len(row)
+    head = t["starts"] | (row != np.concatenate([row[:1], row[:-1]]))
+    head[:1] = True
+    line, first = np.cumsum(head) - 1, _latest(head)
+    # Runs of horizontal merges.
+    on = across == 2
+    begins = head | ~on
+    run, at = np.cumsum(begins) - 1, _latest(begins)
+    runs = np.flatnonzero(begins)
+    headed, used = across[at] == 1, _so_far(np.where(on, span, 0), at)
+    repeat = on & headed & (used < span[at] - 1)
+    plain = t["before"] + _so_far(np.where(repeat, 0, span), first)
+    width = np.add.reduceat(np.where(repeat, 0, span), runs)[run]
+    ended = _so_far(repeat & filled, at) > 0
+    skipped = repeat & ~filled & ~ended
+    extends = on & headed & ~repeat & ~ended
+    col = t["before"] + _so_far(np.where(skipped, 0, span), first)
+    extended = span + np.add.reduceat(np.where(extends, span, 0), runs)[run]
+    # Widths by line and column, ends by islands of free cells.
+    most = int(max(col.max(), plain.max()) + span.max() + 1)
+    restarts = np.flatnonzero(across == 1)
+    keys, which = np.unique(line[restarts] * most + plain[restarts], return_index=True)
+    asked = line * most + col
+    spot = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+    own = np.where(keys[spot] == asked, width[restarts[which]][spot], span) if len(keys) else span
+    free = (down == 2) & ~filled & ~skipped
+    island = np.cumsum(head | ~free)
+    # Chains of a column.
+    order = np.flatnonzero(~skipped)
+    table = np.cumsum(t["starts"])
+    order = order[np.argsort(table[order] * most + col[order], kind="stable")]
+    o_table, o_col, o_row, o_down, o_span, o_own = table[order], col[order], row[order], down[order], span[order], own[order]
+    new = (o_down == 1) | (o_table != np.concatenate([o_table[:1], o_table[:-1]])) | (o_col != np.concatenate([o_col[:1], o_col[:-1]]))
+    new[:1] = True
+    top, links = _latest(new), np.flatnonzero(new)
+    need = np.where(o_own > o_span, o_own, 1)[top]
+    wide = o_span[top]
+    alone = (o_span == wide) & ((need <= 1) | (o_own == need))
+    together = (o_span < wide) & np.isin(island[order] * most + o_col + wide, (island * most + col + span)[free])
+    fits = (o_down[top] == 1) & (o_row == o_row[top] + np.arange(len(order)) - top) & ((o_down == 1) | (free[order] & (alone | together)))
+    fits &= _so_far(~fits, top) == 0
+    tall = np.flatnonzero(o_down == 1)
+    down_span = np.add.reduceat(fits.astype(np.int64), links)[np.searchsorted(links, tall)]
+    joined, spread = np.zeros(n, dtype=bool), span.copy()
+    joined[order], spread[order] = fits & (o_down == 2), wide
+    # Cells that lie in a continuation begun before them in their row.
+    last = np.concatenate([[0], _latest(joined)[:-1]])
+    swallowed = joined[last] & (last >= first) & (last < np.arange(n)) & (col[last] + spread[last] > col)
+    spanned = (across == 0) & (span > 1) & (down != 1) & ~joined
+    level = np.flatnonzero(((across == 1) | spanned) & ~skipped & ~swallowed & ~(joined & (span < spread)))
+    place = np.concatenate([order[tall], level])
+    kind = np.repeat([0, 1], [len(tall), len(level)])
+    rowspan = np.concatenate([down_span, np.ones(len(level), dtype=np.int64)])
+    colspan = np.concatenate([span[order[tall]], np.where(across == 1, extended, span)[level]])
+    steps = np.arange(down_span.sum()) - np.repeat(np.cumsum(down_span) - down_span, down_span)
+    lines = np.concatenate([line[order[np.repeat(tall, down_span) + steps]], line[level]])
+    return place, kind, line[place], col[place], rowspan, colspan, lines, most
+
+
+def _rectangles(t: dict):
+    """Merged rectangles of whole tables: place of the cell that began each, kind, col, rowspan and colspan."""
+    place, kind, line, col, rowspan, colspan, lines, most = _marks(t)
+    # Of the flat marks at a line's column the first; a tall one is asked for at each of its lines.
+    flat = np.flatnonzero((rowspan == 1) & (colspan > 1))
+    flat = flat[np.lexsort((kind[flat], place[flat]))]
+    keys, which = np.unique(line[flat] * most + col[flat], return_index=True)
+    firsts = flat[which]
+    starts = np.cumsum(rowspan) - rowspan
+    tall = np.flatnonzero(rowspan > 1)
+    long = rowspan[tall]
+    offsets = np.cumsum(long) - long
+    steps = np.repeat(starts[tall] - offsets, long) + np.arange(long.sum())
+    asked = lines[steps] * most + np.repeat(col[tall], long)
+    spot = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+    width = np.zeros(len(tall), dtype=np.int64)
+    if len(tall) and len(keys):
+        under = np.where(keys[spot] == asked, colspan[firsts][spot], 0)
+        least, widest = np.minimum.reduceat(under, offsets), np.maximum.reduceat(under, offsets)
+        width = np.where((least == widest) & (least > 0) & (widest >= colspan[tall]), widest, 0)
+    # From left to right over the tall merges of the same rows: a wide one takes those that begin inside it.
+    keep, end, group = np.ones(len(tall), dtype=bool), -1, None
+    if width.any():
+        by = np.lexsort((place[tall], col[tall], long, line[tall]))
+        for i, of, at, w in zip(by.tolist(), zip(line[tall][by].tolist(), long[by].tolist()), col[tall][by].tolist(), width[by].tolist(), strict=True):
+            if of != group:
+                group, end = of, -1
+            if at < end:
+                keep[i] = False
+            elif w:
+                end = at + w
+    gone = np.zeros(len(place), dtype=bool)
+    if len(tall) and len(keys):
+        gone[firsts[spot[np.repeat(keep & (width > 0), long)]]] = True
+    rest = flat[~gone[flat]]
+    tall, width = tall[keep], width[keep]
+    colspan[tall] = np.maximum(colspan[tall], width)
+    out = np.concatenate([tall, rest])
+    # Equal rectangles are one: the first mark's.
+    out = out[np.lexsort((kind[out], place[out], colspan[out], rowspan[out], col[out], line[out]))]
+    same = [x[out][1:] == x[out][:-1] for x in (line, col, rowspan, colspan)]
+    out = out[np.concatenate([np.ones(min(len(out), 1), dtype=bool), ~np.logical_and.reduce(same)])]
+    return place[out], kind[out], col[out], rowspan[out], colspan[out]
+
+
 def rectangles(cells: DataFrame) -> DataFrame:
-    """doc_id, table_id, ord, row, col, rowspan and colspan of the merged rectangles of each table.
+    """doc_id, table_id, row, col, rowspan, colspan and ord of the merged rectangles of each table.
 
     A vertical merge whose rows all have a horizontal merge as wide at its column is one rectangle of that width; the
     horizontal ones, and the vertical ones of the same rows that begin inside it, are part of it. Equal rectangles are
-    one. ord is the place of the mark that began it.
+    one. ord is the place of the mark that began it. Cells are dealt by table and sorted once, and pass their task in order, by
+    arrays over many tables at a time: nothing is written, and a task holds one batch and the cells of one table.
     """
-    t = chained(cells)
-    vertical = t.where("down = 'restart'").select(*TABLE, F.struct("row", "cell", F.lit(0).alias("kind")).alias("ord"), "row", "col", F.col("down_span").cast("long").alias("rowspan"), F.col("span").cast("long").alias("colspan"))
-    run = Window.partitionBy(*ROW, "run")
-    extended = F.col("span") + F.coalesce(F.sum(F.when(F.col("extends"), F.col("span"))).over(run), F.lit(0))
-    spanned = (F.col("across") == "") & (F.col("span") > 1) & (F.col("down") != "restart") & ~F.col("joined")
-    level = t.withColumn("colspan", F.when(F.col("across") == "restart", extended).otherwise(F.col("span")).cast("long")).where((F.col("across") == "restart") | spanned).where("NOT swallowed AND NOT (joined AND span < wide)")
-    level = level.select(*TABLE, F.struct("row", "cell", F.lit(1).alias("kind")).alias("ord"), "row", "col", F.lit(1).cast("long").alias("rowspan"), "colspan")
-    marks = settled(vertical.unionByName(level))
-    first = Window.partitionBy(*ROW, "col").orderBy("ord")
-    flat = marks.where("rowspan = 1 AND colspan > 1").withColumn("n", F.row_number().over(first)).where("n = 1").select(*ROW, "col", F.col("ord").alias("flat_ord"), F.col("colspan").alias("width"))
-    tall = marks.where("rowspan > 1")
-    # A tall merge's rows, each with the flat one at its column: an equi-join on the row.
-    met = tall.withColumn("top", F.col("row")).withColumn("row", F.explode(F.sequence(F.col("row"), F.col("row") + F.col("rowspan").cast("int") - 1))).join(flat, [*ROW, "col"])
-    met = met.groupBy(*TABLE, "ord", F.col("top").alias("row"), "col", "rowspan", "colspan").agg(F.count("*").alias("n"), F.min("width").alias("least"), F.max("width").alias("width"), F.collect_list("flat_ord").alias("flats"))
-    met = met.where("n = rowspan AND least = width AND width >= colspan").select(*TABLE, "ord", "width", "flats")
-    # From left to right over the tall merges of the same rows: a wide one takes those that begin inside it.
-    side = tall.join(met, [*TABLE, "ord"], "left").groupBy(*ROW, "rowspan").agg(F.array_sort(F.collect_list(F.struct("col", "ord", "colspan", "width", "flats"))).alias("side"))
-    empty = F.struct(F.lit(-1).cast("int").alias("end"), F.filter("side", lambda x: F.lit(False)).alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        inside = x["col"] < acc["end"]
-        end = F.when(~inside & x["width"].isNotNull(), (x["col"] + x["width"]).cast("int")).otherwise(acc["end"])
-        return F.struct(end.alias("end"), F.when(inside, acc["kept"]).otherwise(F.concat(acc["kept"], F.array(x))).alias("kept"))
-
-    side = side.withColumn("x", F.explode(F.aggregate("side", empty, step, lambda acc: acc["kept"])))
-    kept = settled(side.select(*ROW, "rowspan", "x.*"))
-    tall = kept.select(*TABLE, "ord", "row", "col", "rowspan", F.greatest("colspan", F.coalesce("width", F.lit(0))).alias("colspan"))
-    taken = kept.where("width IS NOT NULL").select(*TABLE, F.explode("flats").alias("ord"))
-    out = tall.unionByName(marks.where("rowspan = 1 AND colspan > 1").join(taken, [*TABLE, "ord"], "left_anti"))
-    return out.groupBy(*ROW, "col", "rowspan", "colspan").agg(F.min("ord").alias("ord"))
+    code = lambda c: F.when(F.col(c) == "restart", 1).when(F.col(c) == "continue", 2).when(F.coalesce(c, F.lit("")) == "", 0).otherwise(3).cast("byte").alias(c)
+    start = F.lag("row").over(Window.partitionBy(*TABLE).orderBy("row", "cell")).isNull()
+    t = cells.select(*ROW, "cell", F.col("span").cast("long"), code("across"), code("down"), F.coalesce("filled", F.lit(False)).alias("filled"), F.col("before").cast("long"))
+    t = t.withColumn("starts", start).sortWithinPartitions(*ROW, "cell")
+
+    def run(batches):
+        for whole in _whole_tables(batches):
+            if not whole.num_rows:
+                continue
+            own = {c: whole.column(c).to_numpy() for c in ("row", "span", "across", "down", "filled", "before", "starts")}
+            place, kind, col, rowspan, colspan = _rectangles(own)
+            part = whole.select([*ROW, "cell"]).take(pa.array(place)).combine_chunks()
+            ids = {c: (part.column(c).chunk(0) if part.num_rows else pa.array([], part.schema.field(c).type)) for c in part.column_names}
+            ord = pa.StructArray.from_arrays([ids["row"], ids["cell"], pa.array(kind.astype(np.int32))], names=["row", "cell", "kind"])
+            yield pa.RecordBatch.from_arrays([*(ids[c] for c in ROW), *(pa.array(x.astype(np.int64)) for x in (col, rowspan, colspan)), ord], names=[*ROW, "col", "rowspan", "colspan", "ord"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in t.schema}
+    return t.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in ROW) + f", col long, rowspan long, colspan long, ord struct<row:{kinds['row']},cell:{kinds['cell']},kind:int>")
 
 
 def grid(cells: DataFrame) -> DataFrame:

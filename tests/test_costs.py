@@ -104,3 +104,23 @@ def test_sums_are_sought_in_texts_with_a_sum_only(spark, monkeypatch):
     monkeypatch.setattr(repair, "sum_start", asked)
     monkeypatch.setattr(repair, "prose_tail", lambda x: F.struct(asked().alias("formula"), asked().alias("tail")))
     assert len(splits._matches(splits._facts(items)).select("m.kind").collect()) == len(texts)
+
+
+def test_rectangles_pass_in_order(spark, monkeypatch):
+    monkeypatch.setattr(grids, "settled", _written)
+    wide = [(9, 1, 0, 0, 2, "restart", "restart", True, 0, 0, "w"), (9, 1, 0, 1, 1, "continue", "", False, 0, 0, ""), (9, 1, 0, 2, 1, "", "", True, 1, 0, "x"), (9, 1, 1, 0, 2, "restart", "continue", False, 0, 0, ""), (9, 1, 1, 1, 1, "continue", "", False, 0, 0, ""), (9, 1, 3, 0, 2, "restart", "continue", False, 0, 0, "")]
+    cells = _cells(spark).unionByName(spark.createDataFrame(wide, _cells(spark).schema))
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    got = []
+    try:
+        for size in ("3", "10000"):  # tables that go over batches, and many tables in one
+            spark.conf.set(batch, size)
+            out = grids.rectangles(cells)
+            got.append(sorted((r.doc_id, r.table_id, r.row, r.col, r.rowspan, r.colspan, *r.ord) for r in out.collect()))
+    finally:
+        spark.conf.set(batch, before)
+    want = [(d, 0, 0, c, 4, 1, 0, c, 0) for d in range(3) for c in range(2)] + [(9, 1, 0, 0, 2, 2, 0, 0, 0), (9, 1, 3, 0, 1, 2, 3, 0, 1)]
+    assert got == [want, want]
+    assert grids.rectangles(cells.where("false")).collect() == []
+    assert "Join" not in out._jdf.queryExecution().sparkPlan().toString()
