@@ -82,7 +82,7 @@ def _facts(items: DataFrame) -> DataFrame:
     ratio = F.col("like") & F.col("t").startswith("=") & F.col("t").contains("100")
     return t.select(
         "doc_id", "ord", n.cast("long").alias("n"), "t", "text", "like", "numbered", repair.is_piece("t").alias("piece"), F.when(repair.is_piece("t"), repair.is_variable("t")).otherwise(False).alias("variable"), ratio.alias("ratio"), labelled.alias("labelled"),
-        F.when(closed, labels["body"]).otherwise(F.col("t")).alias("body"), F.when(labelled, labels["body"]).otherwise(F.col("t")).alias("parted"), F.col("t").rlike(NUMBER).alias("number"), F.col("t").rlike(BOUND).alias("bound"), formula.is_label("t").alias("label"),
+        F.when(closed, labels["body"]).otherwise(F.col("t")).alias("body"), F.when(labelled, labels["body"]).otherwise(F.col("t")).alias("parted"), F.col("t").rlike(NUMBER).alias("number"), F.col("t").rlike(BOUND).alias("bound"), (closed & formula.is_label("t")).alias("label"),
     )
 
 
@@ -127,7 +127,7 @@ def _matches(t: DataFrame) -> DataFrame:
     op = F.lower("t")
     text = F.concat(op, F.lit(" "), "t1", F.lit(" "), group(1), total, group(2), group(3))
     latex = F.concat(F.lit("\\"), op, F.lit("_{"), repair.identifier("t1"), F.lit("} "), tex(F.concat(group(1), F.lit("∑"), group(2), group(3)), bare("t4"), F.col("t2")))
-    fits = op.isin("max", "min") & F.col("t4").isNotNull() & yes("piece1") & yes("number2") & yes("bound4") & ~col("t3").contains("∑") & (group(2) != "")
+    fits = (F.length("t") == 3) & op.isin("max", "min") & F.col("t4").isNotNull() & yes("piece1") & yes("number2") & yes("bound4") & ~col("t3").contains("∑") & (group(2) != "")
     most = F.when(fits, made("max_sum_layout", 5, F.array(_part("formula", "repaired_max_sum_layout", text, latex, yes("labelled3") | yes("numbered3")))))
 
     # a name with =, numerator, denominator, upper and lower bound, the summand, a number
@@ -135,7 +135,7 @@ def _matches(t: DataFrame) -> DataFrame:
     lhs = F.replace(F.col("t"), F.lit(" "), F.lit(""))
     text = F.concat(lhs, "t1", F.lit("/"), "t2", F.lit(" ∑_{"), bare("t4"), F.lit("}^{"), "t3", F.lit("} "), expr)
     latex = F.concat(repair.identifier(F.regexp_replace(lhs, "=+$", "")), F.lit(r"=\frac{"), tex("t1"), F.lit("}{"), tex("t2"), F.lit("}"), tex(F.concat(F.lit("∑"), expr), bare("t4"), F.col("t3")))
-    fits = F.col("t").rlike(FRACTION) & (col("t1") != "") & (col("t2") != "") & yes("number3") & yes("bound4") & col("t5").rlike("[A-Za-z∆ΔλΛμ]")
+    fits = F.col("t").endswith("=") & F.col("t").rlike(FRACTION) & (col("t1") != "") & (col("t2") != "") & yes("number3") & yes("bound4") & col("t5").rlike("[A-Za-z∆ΔλΛμ]")
     fraction = F.when(fits, made("fraction_sum_layout", F.when(yes("label6"), 7).otherwise(6), F.array(_part("formula", "repaired_fraction_sum_layout", text, latex, yes("label6")))))
 
     # numbers, a sum, a lower bound for each number
@@ -323,7 +323,7 @@ def repaired(items: DataFrame) -> DataFrame:
     events = F.transform("m.parts", lambda p: F.struct((late & p["role"].isin("formula_problem", "item")).alias("asks"), _told(col(p["text"])).alias("told")))
     body = let(strip(F.regexp_replace(F.col("t"), "^=+", "")), lambda x: repair.percentage(formula.without_labels(x)))
     t = t.select(
-        "doc_id", "ord", "n", F.when(F.col("piece") | F.col("ratio"), F.col("t")).alias("t"), "text", "numbered", "m", F.col("m.kind").alias("kind"), F.col("m.length").alias("length"), events.alias("events"), _told(col("text")).alias("told"), strip("text").rlike(BOUND).alias("bounded"),
+        "doc_id", "ord", "n", F.when(F.col("piece") | F.col("ratio"), F.col("t")).alias("t"), "text", "numbered", "m", F.col("m.kind").alias("kind"), F.col("m.length").alias("length"), events.alias("events"), _told(col("text")).alias("told"), F.col("bound").alias("bounded"),
         F.when(F.col("m.kind") == kinds[1], F.least(F.length("m.tail"), F.lit(1))).otherwise(0).alias("spare"), "ratio", (F.col("piece") & ~F.col("like")).alias("scrap"), "variable", (F.col("piece") & F.col("variable")).alias("named"),
         F.when(F.col("ratio"), body).alias("side"),
     ).sortWithinPartitions("doc_id", "n")
